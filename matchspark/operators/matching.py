@@ -78,15 +78,15 @@ def score_request(
 
 # --- many requests: blocks ---------------------------------------------------------
 
-def _cell(c: Column, low: int) -> Column:
-    return F.floor((c - F.lit(low)) / F.lit(CELL_DEGREES)).cast("int")
+def _cell(c: Column, low: int, cell: float) -> Column:
+    return F.floor((c - F.lit(low)) / F.lit(cell)).cast("int")
 
 
 def _cell_name(lat: Column, lon: Column) -> Column:
     return F.concat_ws(":", F.lit("C"), lat, lon)
 
 
-def candidate_blocks(candidates: DataFrame) -> DataFrame:
+def candidate_blocks(candidates: DataFrame, cell: float = CELL_DEGREES) -> DataFrame:
     """One row per block in which a vacancy may admit the candidate.
 
     Candidates every vacancy admits sit in the block 'G' only; the others in
@@ -99,14 +99,14 @@ def candidate_blocks(candidates: DataFrame) -> DataFrame:
     placed = geo.is_number(F.col("latitude")) & geo.is_number(F.col("longitude"))
     keys = F.array_compact(F.array(
         F.when(regional, F.concat(F.lit("R:"), F.lower(F.trim("region")))),
-        F.when(placed, _cell_name(_cell(F.col("latitude"), -90), _cell(F.col("longitude"), -180))),
+        F.when(placed, _cell_name(_cell(F.col("latitude"), -90, cell), _cell(F.col("longitude"), -180, cell))),
         F.when(F.col("location").isNotNull(), F.concat(F.lit("L:"), F.lower(F.trim("location")))),
     ))
     return candidates.withColumn(
         "block", F.explode(F.when(everywhere, F.array(F.lit("G"))).otherwise(keys)))
 
 
-def vacancy_blocks(vacancies: DataFrame) -> DataFrame:
+def vacancy_blocks(vacancies: DataFrame, cell: float = CELL_DEGREES) -> DataFrame:
     """One row per block a vacancy draws from: everyone, its region, and the grid
     cells its radius touches, or its city when it has no coordinates."""
     placed = geo.is_number(F.col("latitude")) & geo.is_number(F.col("longitude"))
@@ -116,11 +116,11 @@ def vacancy_blocks(vacancies: DataFrame) -> DataFrame:
     # Widest at the latitude of the circle nearest a pole; near a pole take all longitudes.
     narrow = F.cos(F.radians(F.greatest(F.abs(south), F.abs(north))))
     wide = F.when(narrow > 0.01, F.least(reach / narrow, F.lit(180.0))).otherwise(F.lit(180.0))
-    columns = int(360 / CELL_DEGREES)
-    first = _cell(F.col("longitude") - wide, -180)
-    last = F.least(_cell(F.col("longitude") + wide, -180), first + F.lit(columns - 1))
+    columns = round(360 / cell)
+    first = _cell(F.col("longitude") - wide, -180, cell)
+    last = F.least(_cell(F.col("longitude") + wide, -180, cell), first + F.lit(columns - 1))
     cells = F.flatten(F.transform(
-        F.sequence(_cell(south, -90), _cell(north, -90)),
+        F.sequence(_cell(south, -90, cell), _cell(north, -90, cell)),
         lambda y: F.transform(
             F.sequence(first, last), lambda x: _cell_name(y, F.pmod(x, F.lit(columns)).cast("int")))))
     city = F.when(F.coalesce(F.trim("location"), F.lit("")) != "", F.concat(F.lit("L:"), F.lower(F.trim("location"))))
@@ -259,8 +259,8 @@ def _days(c: Column) -> Column:
     return F.unix_date(c.cast("date"))
 
 
-def prepare_candidates(candidates: DataFrame) -> DataFrame:
-    ready = candidate_blocks(candidates).withColumns({
+def prepare_candidates(candidates: DataFrame, cell: float = CELL_DEGREES) -> DataFrame:
+    ready = candidate_blocks(candidates, cell).withColumns({
         "available_day": _days(F.col("date_available")),
         "shift_bits": shift_bits(F.col("turno_preferenza")),
         "education_rank": filters.level_rank(F.col("education"), vocab.EDUCATION_LEVELS),
@@ -268,9 +268,9 @@ def prepare_candidates(candidates: DataFrame) -> DataFrame:
     return ready.select(CANDIDATE_COLUMNS)
 
 
-def prepare_vacancies(vacancies: DataFrame) -> DataFrame:
+def prepare_vacancies(vacancies: DataFrame, cell: float = CELL_DEGREES) -> DataFrame:
     wanted = shift_bits(F.col("turno_preferenza")).bitwiseAND(F.lit((1 << len(vocab.SHIFTS)) - 1))
-    ready = vacancy_blocks(vacancies).withColumns({
+    ready = vacancy_blocks(vacancies, cell).withColumns({
         "available_day": _days(F.col("date_available")),
         "shift_bits": wanted,
         "education_rank": filters.level_rank(F.col("education_mand"), vocab.EDUCATION_LEVELS),
@@ -283,14 +283,15 @@ def prepare_vacancies(vacancies: DataFrame) -> DataFrame:
 def match_all(
     vacancies: DataFrame, candidates: DataFrame, k: int = vocab.MATCH_LIMIT,
     weights: tuple[float, ...] = vocab.SCORE_WEIGHTS,
-    candidate_tile: int = CANDIDATE_TILE, vacancy_tile: int = VACANCY_TILE,
+    candidate_tile: int = CANDIDATE_TILE, vacancy_tile: int = VACANCY_TILE, cell: float = CELL_DEGREES,
 ) -> DataFrame:
     """Filter, score and rank candidates for every vacancy: (vacancy_id, candidate_id, score, rank).
 
     Exact: similarities are scaled by their minimum over all admitted candidates
-    of the vacancy, then the best k are kept per tile and again overall.
+    of the vacancy, then the best k are kept per tile and again overall. cell is the
+    grid step in degrees (a divisor of 360), best near the usual search radius.
     """
-    people, openings = prepare_candidates(candidates), prepare_vacancies(vacancies)
+    people, openings = prepare_candidates(candidates, cell), prepare_vacancies(vacancies, cell)
     left, right = tiles(people, openings, candidate_tile, vacancy_tile)
     v_type, c_type = (dict(f.dtypes)[n] for f, n in ((vacancies, "vacancy_id"), (candidates, "candidate_id")))
     tile = ["block", "c_tile", "v_tile"]
@@ -323,16 +324,19 @@ def match_all(
             score += weight * ((sims[s] - low) / (1.0 - low + vectors.EPSILON))
         ok &= score > 0
         ids, order_score = c["candidate_id"].to_numpy(), np.round(score, TIE_DIGITS)
-        parts = []
-        for j, vacancy in enumerate(v["vacancy_id"]):
+        picked, owner = [], []
+        for j in range(len(v)):
             rows = np.flatnonzero(ok[:, j])
             if len(rows) > k:
                 # Everything at or above the k-th score, so that ties are settled below.
                 kth = np.partition(order_score[rows, j], len(rows) - k)[len(rows) - k]
                 rows = rows[order_score[rows, j] >= kth]
-            rows = rows[np.lexsort((ids[rows], -order_score[rows, j]))][:k]
-            parts.append(pd.DataFrame({"vacancy_id": vacancy, "candidate_id": ids[rows], "raw": score[rows, j]}))
-        return pd.concat(parts, ignore_index=True)[names]
+                rows = rows[np.lexsort((ids[rows], -order_score[rows, j]))][:k]
+            picked.append(rows)
+            owner.append(np.full(len(rows), j))
+        rows, owner = np.concatenate(picked), np.concatenate(owner)
+        return pd.DataFrame({
+            "vacancy_id": v["vacancy_id"].to_numpy()[owner], "candidate_id": ids[rows], "raw": score[rows, owner]})
 
     scaled = right.join(lows, "vacancy_id")
     found = left.groupBy(*tile).cogroup(scaled.groupBy(*tile)).applyInPandas(

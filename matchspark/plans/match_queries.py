@@ -210,7 +210,7 @@ def batch_match_topk(spark, sf):
         "date_available": F.lit(None).cast("date"), "parttime_preferenza_perc": number,
         "turno_preferenza": F.lit(None).cast("array<string>"), "education_mand": text,
         "skills_mand": none, "languages_mand": none, "certifications_mand": none})
-    return matching.match_all(openings, people, k=20)
+    return matching.match_all(openings, people, k=20, cell=2.0)
 
 
 # --- ratings ---------------------------------------------------------------------------
