@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchspark import vocab
 from matchspark.functions import text
+from matchspark.functions.once import where_computed
+
 
+def clean_description(df: DataFrame, column: str, before: Callable[[Column], Column] = lambda c: c) -> DataFrame:
+    """Collapse spaces, strip HTML, lower-case, keep usable texts.
 
-def clean_description(df: DataFrame, column: str) -> DataFrame:
-    """Drop blanks, collapse spaces, strip HTML, lower-case, keep usable texts."""
-    cleaned = F.lower(text.strip_html(text.collapse_spaces(F.col(column))))
-    return (
-        df.where(text.not_blank(F.col(column)))
-        .withColumn(column, cleaned)
-        .where(text.usable_text(F.col(column)))
-    )
+    Blank texts need no test of their own: they end up as '', which is not usable.
+    before is applied to the raw text first.
+    """
+    cleaned = F.lower(text.strip_html(text.collapse_spaces(before(F.col(column)))))
+    return where_computed(df, column, cleaned, text.usable_text)
 
 
 def clean_texts(
@@ -24,9 +27,9 @@ def clean_texts(
     cap: int = vocab.TEXT_CAP, prose_runs: bool = True,
 ) -> DataFrame:
     """Noise, cleaning and the length cap; extra columns only lose noise and get the cap."""
-    for name in (column, *extra):
-        df = df.withColumn(name, text.remove_noise(F.col(name), prose_runs))
-    df = clean_description(df, column)
-    for name in (column, *extra):
-        df = df.withColumn(name, text.cap_length(F.col(name), cap))
-    return df
+    denoise = lambda c: text.remove_noise(c, prose_runs)
+    cleaned = clean_description(df, column, denoise)
+    return cleaned.withColumns({
+        column: text.cap_length(F.col(column), cap),
+        **{name: text.cap_length(denoise(F.col(name)), cap) for name in extra},
+    })

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from matchspark import vocab
 from matchspark.functions import geo, jsonx, text, vectors
+from matchspark.functions.once import let, where_computed
 from matchspark.operators.features import append_shift
 
 Provider = Callable[[DataFrame], DataFrame]
@@ -27,10 +28,9 @@ def ask(df: DataFrame, prompt: Column, provider: Provider, out: str) -> DataFram
     """Answer column for a prompt expression. Equal prompts are asked once; null is not asked."""
     keyed = df.withColumn("prompt_key", prompt_key(prompt))
     asked = (
-        df.select(prompt.alias("prompt_text"))
-        .where(F.col("prompt_text").isNotNull())
+        where_computed(df, "prompt_text", prompt, lambda p: p.isNotNull())
+        .select("prompt_text").distinct()
         .withColumn("prompt_key", prompt_key(F.col("prompt_text")))
-        .dropDuplicates(["prompt_key"])
     )
     answers = provider(asked).select("prompt_key", F.col("answer").alias(out))
     return keyed.join(answers, "prompt_key", "left").drop("prompt_key")
@@ -74,14 +74,14 @@ class Vocabulary:
 def _mentioned(c: Column, words: Sequence[str]) -> Column:
     if not words:
         return F.lit("")
-    found = F.filter(
-        F.array(*[F.lit(w) for w in words]),
-        lambda w: F.contains(F.lower(c), F.lower(w)))
+    found = let(F.lower(c), lambda low: F.filter(
+        F.array(*[F.lit(w) for w in words]), lambda w: F.contains(low, F.lower(w))))
     return F.array_join(found, ", ")
 
 
 def _first_mentioned(c: Column, words: Sequence[str]) -> Column:
-    return F.coalesce(*[F.when(F.contains(F.lower(c), F.lit(w.lower())), F.lit(w)) for w in words], F.lit(""))
+    return let(F.lower(c), lambda low: F.coalesce(
+        *[F.when(F.contains(low, F.lit(w.lower())), F.lit(w)) for w in words], F.lit("")))
 
 
 def _after_label(c: Column, label: str) -> Column:
@@ -144,13 +144,13 @@ def weekend_rule(c: Column) -> Column:
 def extract(df: DataFrame, source: str, provider: Provider, names: Sequence[str], rules: dict) -> tuple[DataFrame, DataFrame]:
     """(rows with validated feature columns, rejected rows with the unusable answer)."""
     asked = ask(df, F.col(source), provider, "answer")
-    parsed = asked.withColumn("answer", jsonx.repair_json(F.col("answer"))).withColumn(
-        "_json", F.when(F.col("answer") != "", jsonx.parse_json(F.col("answer"))))
-    kept = parsed.where(F.col("_json").isNotNull())
+    repaired = jsonx.repair_json(F.col("answer"))
+    kept = where_computed(asked, "_json", jsonx.parse_json(repaired), lambda j: j.isNotNull())
     base = [F.col(c) for c in df.columns if c not in names]
     features = kept.select(*base, *jsonx.fields(F.col("_json"), names)).select(
         *base, *jsonx.validated(names, rules))
-    return features, parsed.where(F.col("_json").isNull()).drop("_json")
+    rejected = where_computed(asked, "answer", repaired, lambda a: F.try_parse_json(a).isNull())
+    return features, rejected
 
 
 def extract_candidates(df: DataFrame, provider: Provider | None = None, source: str = "description"):

@@ -30,8 +30,8 @@ def largest_percent(c: Column, allowed: list[int]) -> Column:
 
 def largest_number(c: Column, default: str = "1000") -> Column:
     """Largest number in the text, compared as numbers."""
-    parts = F.split(F.regexp_replace(F.coalesce(c, F.lit(default)), "[^0-9,]", ","), ",")
-    return F.array_max(F.transform(parts, lambda x: x.try_cast("int")))
+    numbers = F.regexp_extract_all(F.coalesce(c, F.lit(default)), F.lit("[0-9]++"), F.lit(0))
+    return F.array_max(F.transform(numbers, lambda x: x.try_cast("int")))
 
 
 def append_shift(shifts: Column, answer: Column, shift: str = vocab.WEEKEND_SHIFT) -> Column:

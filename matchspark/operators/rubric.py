@@ -16,6 +16,9 @@ JOB_RATINGS = {
 }
 THIRD_JOB_ONLY_OLDER = 10
 
+# Answers that count as true.
+TRUE_WORDS = ["true", "t", "yes", "y", "on", "1"]
+
 
 def holds(c: Column, term: Column) -> Column:
     return F.coalesce(F.contains(F.lower(c), F.lower(term)), F.lit(False))
@@ -50,6 +53,11 @@ def levels_above(c: Column, wanted: Column, levels: list[str] = vocab.EDUCATION_
     return F.coalesce(filters.level_rank(c, levels) - filters.level_rank(wanted, levels), F.lit(0))
 
 
+def _number(c: Column) -> Column:
+    """0 unless the text is a plain number; tested by pattern, since failed casts are slow."""
+    return F.when(c.rlike(r"^ *[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)? *$"), c.try_cast("double")).otherwise(F.lit(0.0))
+
+
 def gate_and_sum(df: DataFrame, gates: str = "mand_", scores: str = "score_") -> DataFrame:
     """Fold answer columns: every gate must be true, scores are summed.
 
@@ -58,9 +66,8 @@ def gate_and_sum(df: DataFrame, gates: str = "mand_", scores: str = "score_") ->
     """
     gate_columns = [c for c in df.columns if c.lower().startswith(gates)]
     score_columns = [c for c in df.columns if c.lower().startswith(scores)]
-    passed = filters.all_of(F.col(c).cast("string").try_cast("boolean") for c in gate_columns)
-    total = sum(
-        (F.coalesce(F.col(c).cast("string").try_cast("double"), F.lit(0.0)) for c in score_columns), F.lit(0.0))
+    passed = filters.all_of(F.lower(F.trim(F.col(c).cast("string"))).isin(TRUE_WORDS) for c in gate_columns)
+    total = sum((_number(F.col(c).cast("string")) for c in score_columns), F.lit(0.0))
     rest = [c for c in df.columns if c not in gate_columns + score_columns]
     return (
         df.where(passed)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from matchspark import vocab
 from matchspark.functions.filters import compile_filter
+from matchspark.functions.once import let
 from matchspark.functions.text import tokens
 
 # Usual BM25 parameters.
@@ -48,10 +49,10 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     Tokens are counted inside their row's document after one hash partitioning by
     key, so later steps that group by document need no further shuffle.
     """
-    words = tokens(F.col(text))
+    words = let(tokens(F.col(text)), lambda all_words: F.transform(
+        all_words, lambda w: F.struct(w.alias("token"), F.size(all_words).alias("doc_len"))))
     return (
-        docs.select(key, words.alias("words"))
-        .select(key, F.size("words").alias("doc_len"), F.explode("words").alias("token"))
+        docs.select(key, F.inline(words))
         .repartition(F.col(key))
         .groupBy(key, "token")
         .agg(F.count("*").alias("tf"), F.first("doc_len").alias("doc_len"))
@@ -83,7 +84,8 @@ def search(
     stored = index if index is not None else postings(docs, doc_key, text)
     terms = query_terms(queries, query_key, query_text)
     wanted = stored.join(terms.select("token").distinct(), "token", "left_semi")
-    frequency = wanted.groupBy("token").agg(F.count("*").alias("df"))
+    # Counting doc_len keeps the columns of both uses equal, so the shuffled postings are read twice, not made twice.
+    frequency = wanted.groupBy("token").agg(F.count("doc_len").alias("df"))
     stats = collection_stats(docs, text)
     weighted_terms = (
         terms.join(frequency, "token")

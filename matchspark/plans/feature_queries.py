@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from matchspark import vocab
 from matchspark.functions import filters, geo, jsonx, text, vectors
+from matchspark.functions.once import where_computed
 from matchspark.operators import cost, extraction, features, geography, incremental
 from matchspark.plans.registry import query
 from matchspark.sources.tables import load_cities, read_table, spread
@@ -163,7 +164,7 @@ SQL_ANSWERS = """
 
 
 def sql_repair(c: str) -> str:
-    b = text.BLANK
+    b = text.BLANK_CLASS
     out = f"regexp_replace(lower({c}), '^{b}*```json{b}*', '')"
     out = f"replace({out}, '\\', '')"
     out = f"regexp_replace({out}, '{b}+', ' ', 'g')"
@@ -202,8 +203,8 @@ def json_repair(spark, sf):
     FROM r WHERE json_valid(repaired)
 """)
 def json_extract(spark, sf):
-    parsed = answers(spark, sf).select(
-        "event_id", jsonx.parse_json(jsonx.repair_json(F.col("answer"))).alias("j")).where("j is not null")
+    parsed = where_computed(
+        answers(spark, sf), "j", jsonx.parse_json(jsonx.repair_json(F.col("answer"))), lambda j: j.isNotNull())
     found = parsed.select("event_id", *jsonx.fields(F.col("j"), ["k", "missing"]))
     return found.select("event_id", "k", jsonx.valid_int(F.col("k"), 1, 60).alias("age"), "missing")
 

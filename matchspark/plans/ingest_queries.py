@@ -133,7 +133,7 @@ def sql_noise(c: str) -> str:
 
 
 def sql_strip(c: str) -> str:
-    return f"regexp_replace({c}, '^{text.BLANK}+|{text.BLANK}+$', '', 'g')"
+    return f"regexp_replace({c}, '^{text.BLANK_CLASS}+|{text.BLANK_CLASS}+$', '', 'g')"
 
 
 def sql_html(c: str) -> str:
@@ -178,7 +178,7 @@ def clean_description(spark, sf):
 
 
 @query("whitelist_text", f"""
-    SELECT doc_id, coalesce(regexp_replace(regexp_replace(trim(text), '{text.BLANK}+', ' ', 'g'),
+    SELECT doc_id, coalesce(regexp_replace(regexp_replace(trim(text), '{text.BLANK_CLASS}+', ' ', 'g'),
         '{text.DROPPED_CHARS.replace("'", "''")}', '', 'g'), '') AS kept
     FROM documents
 """)
