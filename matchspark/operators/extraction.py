@@ -1,14 +1,15 @@
 """Model answers as columns, behind a provider; rule-based providers need no model.
 
-A provider maps a frame (prompt_key, prompt_text) to (prompt_key, answer). It may
-call a hosted model through mapInPandas, or be plain expressions as here.
+A provider maps a prompt column to an answer column. It may be plain expressions,
+as the rule extractors here, or a Pandas UDF that calls a hosted model (batch_provider).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,40 +18,44 @@ from matchspark.functions import geo, jsonx, text, vectors
 from matchspark.functions.once import let, where_computed
 from matchspark.operators.features import append_shift
 
-Provider = Callable[[DataFrame], DataFrame]
+Provider = Callable[[Column], Column]
 
 
-def prompt_key(c: Column) -> Column:
-    return F.sha2(c, 256)
+def ask(df: DataFrame, prompt: Column, provider: Provider, out: str, dedupe: bool = False) -> DataFrame:
+    """Answer column for a prompt expression; null prompts get null.
 
-
-def ask(df: DataFrame, prompt: Column, provider: Provider, out: str) -> DataFrame:
-    """Answer column for a prompt expression. Equal prompts are asked once; null is not asked."""
-    keyed = df.withColumn("prompt_key", prompt_key(prompt))
-    asked = (
+    Texts of people are mostly distinct and are asked where they lie, without a
+    shuffle. With dedupe equal prompts are asked once and the answers joined back,
+    which pays when a model call costs more than moving the text.
+    """
+    if not dedupe:
+        return df.withColumn(out, F.when(prompt.isNotNull(), provider(prompt)))
+    # Only a hash travels with the wide rows; the texts are moved once per distinct prompt.
+    key = lambda c: F.sha2(c, 256)
+    answers = (
         where_computed(df, "prompt_text", prompt, lambda p: p.isNotNull())
         .select("prompt_text").distinct()
-        .withColumn("prompt_key", prompt_key(F.col("prompt_text")))
+        .select(key(F.col("prompt_text")).alias("prompt_key"), provider(F.col("prompt_text")).alias(out))
     )
-    answers = provider(asked).select("prompt_key", F.col("answer").alias(out))
-    return keyed.join(answers, "prompt_key", "left").drop("prompt_key")
+    return df.withColumn("prompt_key", key(prompt)).join(answers, "prompt_key", "left").drop("prompt_key")
 
 
 def batch_provider(answer: Callable[[list[str]], list[str]]) -> Provider:
-    """Provider from a function on lists of prompts, run on Arrow batches in the executors."""
-
-    def provider(prompts: DataFrame) -> DataFrame:
-        def run(batches):
-            for batch in batches:
-                yield batch[["prompt_key"]].assign(answer=answer(batch["prompt_text"].tolist()))
-
-        return prompts.mapInPandas(run, "prompt_key string, answer string")
+    """Provider from a function on lists of prompts, run on Arrow batches in the executors.
 
-    return provider
+    Marked as not deterministic, so that no plan rewrite calls the model twice.
+    """
 
+    @F.pandas_udf("string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for prompts in batches:
+            answers = pd.Series([None] * len(prompts), dtype=object)
+            asked = prompts.notna().to_numpy()
+            if asked.any():
+                answers[asked] = answer(prompts[asked].tolist())
+            yield answers
 
-def expression_provider(rule: Callable[[Column], Column]) -> Provider:
-    return lambda prompts: prompts.select("prompt_key", rule(F.col("prompt_text")).alias("answer"))
+    return run.asNondeterministic()
 
 
 @dataclass(frozen=True)
@@ -89,7 +94,7 @@ def _after_label(c: Column, label: str) -> Column:
     return F.trim(F.regexp_extract(c, rf"(?i)(?:^|[^a-z]){label}: *([^|;\n]*)", 1))
 
 
-def candidate_rules(words: Vocabulary = Vocabulary()) -> Callable[[Column], Column]:
+def candidate_rules(words: Vocabulary = Vocabulary()) -> Provider:
     """A JSON answer with the fourteen candidate fields, from labels and word lists."""
 
     def rule(c: Column) -> Column:
@@ -110,7 +115,7 @@ def candidate_rules(words: Vocabulary = Vocabulary()) -> Callable[[Column], Colu
     return rule
 
 
-def vacancy_rules(words: Vocabulary = Vocabulary()) -> Callable[[Column], Column]:
+def vacancy_rules(words: Vocabulary = Vocabulary()) -> Provider:
     """A JSON answer with the seven vacancy fields; country and percentage have defaults."""
 
     def rule(c: Column) -> Column:
@@ -154,12 +159,12 @@ def extract(df: DataFrame, source: str, provider: Provider, names: Sequence[str]
 
 
 def extract_candidates(df: DataFrame, provider: Provider | None = None, source: str = "description"):
-    return extract(df, source, provider or expression_provider(candidate_rules()),
+    return extract(df, source, provider or candidate_rules(),
                    vocab.CANDIDATE_FEATURES, jsonx.CANDIDATE_RULES)
 
 
 def extract_vacancies(df: DataFrame, provider: Provider | None = None, source: str = "description"):
-    return extract(df, source, provider or expression_provider(vacancy_rules()),
+    return extract(df, source, provider or vacancy_rules(),
                    vocab.VACANCY_FEATURES, jsonx.VACANCY_RULES)
 
 
@@ -171,15 +176,20 @@ def embed(df: DataFrame, columns: dict[str, str], dims: int = 1024,
     return kept.withColumns({out: make(F.col(source)) for out, source in columns.items()})
 
 
-def ask_weekend(df: DataFrame, provider: Provider | None = None) -> DataFrame:
-    """Weekend answer for people with a chat; nobody else is asked, and they count as 'False'."""
-    chat = F.when(text.not_blank(F.col("chatwa")), F.col("chatwa"))
-    answered = ask(df, chat, provider or expression_provider(weekend_rule), "weekend")
+def ask_weekend(df: DataFrame, provider: Provider | None = None, flag: str | None = None) -> DataFrame:
+    """Weekend answer for people with a chat (and the flag, when given); nobody else is
+    asked, and they count as 'False'."""
+    wanted = text.not_blank(F.col("chatwa"))
+    if flag:
+        wanted = wanted & F.coalesce(F.col(flag), F.lit(False))
+    chat = F.when(wanted, F.col("chatwa"))
+    answered = ask(df, chat, provider or weekend_rule, "weekend")
     return answered.withColumn("weekend", F.coalesce("weekend", F.lit("False")))
 
 
-def update_weekend_shift(df: DataFrame, provider: Provider | None = None) -> DataFrame:
-    answered = ask_weekend(df, provider)
+def update_weekend_shift(df: DataFrame, provider: Provider | None = None, flag: str | None = None) -> DataFrame:
+    """One pass over all rows: rows that are not asked keep their shifts."""
+    answered = ask_weekend(df, provider, flag)
     return answered.withColumn(
         "turno_preferenza", append_shift(F.col("turno_preferenza"), F.col("weekend"))).drop("weekend")
 

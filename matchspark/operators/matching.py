@@ -1,9 +1,11 @@
-"""Vacancy-candidate scoring: one request by expressions, many by tiles.
+"""Vacancy-candidate scoring: one request by expressions, many by matrices.
 
 Scoring many vacancies needs every admitted pair once for the minimum of each
-similarity and once for the score, but no pair is ever written as a row. Both
-sides are cut into tiles of bounded size per block (place or region); one task
-multiplies two tiles and returns a minimum, or the best k, per vacancy.
+similarity and once for the score, but no pair is ever written as a row: a task
+multiplies a batch of candidates with a set of vacancies and returns a minimum, or
+the best k, per vacancy. A counted, small set of vacancies is sent to the
+candidates, which then are not shuffled at all. Larger sets are cut, like the
+candidates, into tiles of bounded size per block (place or region).
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 
 from matchspark import vocab
 from matchspark.functions import filters, geo, vectors
+from matchspark.functions.once import where_computed
 
 SIMS = ("last", "second", "third", "skills")
 CANDIDATE_TILE = 8192
@@ -22,6 +25,7 @@ VACANCY_TILE = 256
 CELL_DEGREES = 0.5
 KM_PER_DEGREE = 111.0
 TIE_DIGITS = 9
+SENT_VACANCIES = 2048
 
 
 # --- one request -----------------------------------------------------------------
@@ -44,13 +48,18 @@ def weighted(weights: tuple[float, ...]) -> Column:
     return terms[0] + terms[1] + terms[2] + terms[3]
 
 
-def best(scored: DataFrame, k: int | None, raw: str = "score") -> DataFrame:
-    """Positive scores, best first, rounded half-even; ties by candidate."""
-    ranked = scored.where(F.col(raw) > 0).orderBy(
-        F.round(raw, TIE_DIGITS).desc(), F.col("candidate_id"))
+def best(sims: DataFrame, k: int | None, weights: tuple[float, ...]) -> DataFrame:
+    """Positive scores, best first, rounded half-even; ties by candidate.
+
+    A plain filter on the score would be pushed below the exchange and take all
+    cosines with it.
+    """
+    scored = where_computed(sims, "score", weighted(weights), lambda x: x > 0)
+    ranked = scored.select("candidate_id", "score").orderBy(
+        F.round("score", TIE_DIGITS).desc(), F.col("candidate_id"))
     if k is not None:
         ranked = ranked.limit(k)
-    return ranked.withColumn(raw, F.bround(raw, 0).cast("long"))
+    return ranked.withColumn("score", F.bround("score", 0).cast("long"))
 
 
 def score_request(
@@ -73,7 +82,7 @@ def score_request(
             vectors.min_scale(F.col(s), F.col(f"_lows.{s}")).alias(s) for s in SIMS])
     else:
         sims = sims.select("candidate_id", *[F.coalesce(s, F.lit(0.0)).alias(s) for s in SIMS])
-    return best(sims.select("candidate_id", weighted(weights).alias("score")), k)
+    return best(sims, k, weights)
 
 
 # --- many requests: blocks ---------------------------------------------------------
@@ -86,15 +95,19 @@ def _cell_name(lat: Column, lon: Column) -> Column:
     return F.concat_ws(":", F.lit("C"), lat, lon)
 
 
+def _everywhere() -> Column:
+    """Candidates every vacancy admits by place."""
+    return F.coalesce(
+        (F.col("desired_location") == "Internazionale")
+        | ((F.col("desired_location") == "Nazionale") & (F.lower("country") == "italia")), F.lit(False))
+
+
 def candidate_blocks(candidates: DataFrame, cell: float = CELL_DEGREES) -> DataFrame:
     """One row per block in which a vacancy may admit the candidate.
 
     Candidates every vacancy admits sit in the block 'G' only; the others in
     their region (if regional), grid cell and city.
     """
-    everywhere = F.coalesce(
-        (F.col("desired_location") == "Internazionale")
-        | ((F.col("desired_location") == "Nazionale") & (F.lower("country") == "italia")), F.lit(False))
     regional = F.coalesce(F.col("desired_location") == "Regionale", F.lit(False)) & F.col("region").isNotNull()
     placed = geo.is_number(F.col("latitude")) & geo.is_number(F.col("longitude"))
     keys = F.array_compact(F.array(
@@ -103,7 +116,7 @@ def candidate_blocks(candidates: DataFrame, cell: float = CELL_DEGREES) -> DataF
         F.when(F.col("location").isNotNull(), F.concat(F.lit("L:"), F.lower(F.trim("location")))),
     ))
     return candidates.withColumn(
-        "block", F.explode(F.when(everywhere, F.array(F.lit("G"))).otherwise(keys)))
+        "block", F.explode(F.when(_everywhere(), F.array(F.lit("G"))).otherwise(keys)))
 
 
 def vacancy_blocks(vacancies: DataFrame, cell: float = CELL_DEGREES) -> DataFrame:
@@ -195,21 +208,40 @@ def _upper_bound(c: pd.Series, v: pd.Series) -> np.ndarray:
     return np.isnan(have) | np.isnan(bound) | (bound == 0) | (have <= bound)
 
 
-def _admitted(block: str, c: pd.DataFrame, v: pd.DataFrame) -> np.ndarray:
-    """Which pairs of the two tiles the structured filter admits in this block."""
+def _by_region(c: pd.DataFrame, v: pd.DataFrame) -> np.ndarray:
     c_region = c["region"].fillna("").str.strip().str.lower().to_numpy()[:, None]
     v_region = v["region"].fillna("").str.strip().str.lower().to_numpy()[None, :]
     regional = (c["desired_location"].fillna("") == "Regionale").to_numpy()[:, None]
-    by_region = regional & (c_region == v_region) & (v_region != "")
+    return regional & (c_region == v_region) & (v_region != "")
+
+
+def _within_reach(c: pd.DataFrame, v: pd.DataFrame) -> np.ndarray:
+    return _distance(c, v) <= v["max_distance"].to_numpy(float)[None, :]
+
+
+def _place_in_block(c: pd.DataFrame, v: pd.DataFrame) -> np.ndarray:
+    """The pairs a block stands for; a pair its region block holds is not taken again."""
+    block = c["block"].iat[0]
     if block == "G":
-        ok = np.ones((len(c), len(v)), dtype=bool)
-    elif block.startswith("R:"):
-        ok = by_region
-    else:
-        # A pair the region block already holds is not taken a second time.
-        ok = ~by_region
-        if block.startswith("C:"):
-            ok = ok & (_distance(c, v) <= v["max_distance"].to_numpy(float)[None, :])
+        return np.ones((len(c), len(v)), dtype=bool)
+    if block.startswith("R:"):
+        return _by_region(c, v)
+    near = _within_reach(c, v) if block.startswith("C:") else True
+    return near & ~_by_region(c, v)
+
+
+def _place(c: pd.DataFrame, v: pd.DataFrame) -> np.ndarray:
+    """The whole place clause, without blocks."""
+    placed = v["latitude"].notna().to_numpy() & v["longitude"].notna().to_numpy()
+    c_city = c["location"].fillna("").str.strip().str.lower().to_numpy()[:, None]
+    v_city = v["location"].fillna("").str.strip().str.lower().to_numpy()[None, :]
+    same_city = ~placed[None, :] & (c_city == v_city) & (v_city != "")
+    return c["everywhere"].to_numpy(bool)[:, None] | _by_region(c, v) | _within_reach(c, v) | same_city
+
+
+def _admitted(c: pd.DataFrame, v: pd.DataFrame) -> np.ndarray:
+    """Which pairs the structured filter admits."""
+    ok = _place_in_block(c, v) if "block" in c else _place(c, v)
     ok = ok & _upper_bound(c["age"], v["max_age"])
     ok &= _upper_bound(c["salary_low"], v["max_ral"])
     ok &= _upper_bound(c["available_day"], v["available_day"])
@@ -243,13 +275,13 @@ def shift_bits(c: Column, shifts: list[str] = vocab.SHIFTS) -> Column:
 
 
 CANDIDATE_COLUMNS = [
-    "candidate_id", "block", "region", "desired_location", "latitude", "longitude", "age",
+    "candidate_id", "region", "desired_location", "latitude", "longitude", "age",
     "salary_low", "available_day", "parttime_preferenza_perc", "shift_bits", "education_rank",
     "skills", "languages", "certifications",
     "last_job_emb", "second_last_job_emb", "third_last_job_emb", "skills_emb",
 ]
 VACANCY_COLUMNS = [
-    "vacancy_id", "block", "region", "latitude", "longitude", "max_distance", "max_age", "max_ral",
+    "vacancy_id", "region", "latitude", "longitude", "max_distance", "max_age", "max_ral",
     "available_day", "parttime_preferenza_perc", "shift_bits", "education_rank",
     "skills_mand", "languages_mand", "certifications_mand", "jobtitle_emb", "skills_emb",
 ]
@@ -259,88 +291,150 @@ def _days(c: Column) -> Column:
     return F.unix_date(c.cast("date"))
 
 
-def prepare_candidates(candidates: DataFrame, cell: float = CELL_DEGREES) -> DataFrame:
-    ready = candidate_blocks(candidates, cell).withColumns({
+def prepare_candidates(candidates: DataFrame) -> DataFrame:
+    return candidates.withColumns({
         "available_day": _days(F.col("date_available")),
         "shift_bits": shift_bits(F.col("turno_preferenza")),
         "education_rank": filters.level_rank(F.col("education"), vocab.EDUCATION_LEVELS),
+        "everywhere": _everywhere(),
     })
-    return ready.select(CANDIDATE_COLUMNS)
 
 
-def prepare_vacancies(vacancies: DataFrame, cell: float = CELL_DEGREES) -> DataFrame:
+def prepare_vacancies(vacancies: DataFrame) -> DataFrame:
     wanted = shift_bits(F.col("turno_preferenza")).bitwiseAND(F.lit((1 << len(vocab.SHIFTS)) - 1))
-    ready = vacancy_blocks(vacancies, cell).withColumns({
+    return vacancies.withColumns({
         "available_day": _days(F.col("date_available")),
         "shift_bits": wanted,
         "education_rank": filters.level_rank(F.col("education_mand"), vocab.EDUCATION_LEVELS),
         **{c: F.transform(F.col(c), lambda t: F.lower(F.trim(t)))
            for c in ("skills_mand", "languages_mand", "certifications_mand")},
     })
-    return ready.select(VACANCY_COLUMNS)
+
+
+# --- many requests: the two passes on a pair of batches ------------------------------
+
+def _lowest(c: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+    """Minimum of each similarity per vacancy over the admitted candidates."""
+    if c.empty or v.empty:
+        return pd.DataFrame(columns=["vacancy_id", *SIMS])
+    ok = _admitted(c, v)
+    some = ok.any(axis=0)
+    sims = _cosines(c, v)
+    lows = {s: np.where(ok, sims[s], np.inf).min(axis=0)[some] for s in SIMS}
+    return pd.DataFrame({"vacancy_id": v["vacancy_id"].to_numpy()[some], **lows})
+
+
+def _best_rows(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the k best scores, ties by id."""
+    order_score = np.round(score, TIE_DIGITS)
+    rows = np.arange(len(score))
+    if len(rows) > k:
+        # Everything at or above the k-th score, so that ties are settled by id.
+        kth = np.partition(order_score, len(rows) - k)[len(rows) - k]
+        rows = rows[order_score >= kth]
+    return rows[np.lexsort((ids[rows], -order_score[rows]))][:k]
+
+
+def _top(c: pd.DataFrame, v: pd.DataFrame, weights: tuple[float, ...], k: int) -> pd.DataFrame:
+    """The k best admitted candidates per vacancy; v carries the minima."""
+    names = ["vacancy_id", "candidate_id", "raw"]
+    if c.empty or v.empty:
+        return pd.DataFrame(columns=names)
+    ok, sims = _admitted(c, v), _cosines(c, v)
+    score = np.zeros(ok.shape)
+    for weight, s in zip(weights, SIMS):
+        low = v[f"low_{s}"].to_numpy(float)[None, :]
+        score += weight * ((sims[s] - low) / (1.0 - low + vectors.EPSILON))
+    ok &= score > 0
+    ids, picked, owner = c["candidate_id"].to_numpy(), [], []
+    for j in range(len(v)):
+        rows = np.flatnonzero(ok[:, j])
+        rows = rows[_best_rows(score[rows, j], ids[rows], k)]
+        picked.append(rows)
+        owner.append(np.full(len(rows), j))
+    rows, owner = np.concatenate(picked), np.concatenate(owner)
+    return pd.DataFrame({
+        "vacancy_id": v["vacancy_id"].to_numpy()[owner], "candidate_id": ids[rows], "raw": score[rows, owner]})[names]
+
+
+def _match_tiled(vacancies, candidates, k, weights, candidate_tile, vacancy_tile, cell, types):
+    left, right = tiles(
+        candidate_blocks(candidates, cell).select("block", *CANDIDATE_COLUMNS),
+        vacancy_blocks(vacancies, cell).select("block", *VACANCY_COLUMNS), candidate_tile, vacancy_tile)
+    tile = ["block", "c_tile", "v_tile"]
+    lows = (
+        left.groupBy(*tile).cogroup(right.groupBy(*tile)).applyInPandas(_lowest, types["lows"])
+        .groupBy("vacancy_id").agg(*[F.min(s).alias(f"low_{s}") for s in SIMS])
+    )
+    scaled = right.join(lows, "vacancy_id")
+    return left.groupBy(*tile).cogroup(scaled.groupBy(*tile)).applyInPandas(
+        lambda c, v: _top(c, v, weights, k), types["top"])
+
+
+def _chunks(df: pd.DataFrame, size: int) -> list[pd.DataFrame]:
+    return [df.iloc[i:i + size] for i in range(0, len(df), size)]
+
+
+def _match_sent(vacancies, candidates, k, weights, vacancy_tile, types):
+    """vacancies is small and counted: both passes run where the candidates lie."""
+    people = candidates.select("everywhere", "location", *CANDIDATE_COLUMNS)
+    sent = vacancies.select("location", *VACANCY_COLUMNS).toPandas()
+
+    def lows_of(batches):
+        found = None
+        for c in batches:
+            parts = [_lowest(c, v) for v in _chunks(sent, vacancy_tile)]
+            found = pd.concat(parts if found is None else [found, *parts], ignore_index=True)
+            found = found.groupby("vacancy_id", as_index=False).min()
+        if found is not None:
+            yield found
+
+    lows = people.mapInPandas(lows_of, types["lows"]).groupBy("vacancy_id").agg(
+        *[F.min(s).alias(f"low_{s}") for s in SIMS])
+    # One row per vacancy at most, so bounded as the vacancies are.
+    scaled = sent.merge(lows.toPandas(), on="vacancy_id")
+
+    def top_of(batches):
+        kept = None
+        for c in batches:
+            parts = [_top(c, v, weights, k) for v in _chunks(scaled, vacancy_tile)]
+            kept = pd.concat(parts if kept is None else [kept, *parts], ignore_index=True)
+            if len(kept) > 4 * k * max(1, len(scaled)):
+                kept = _keep_best(kept, k)
+        if kept is not None:
+            yield _keep_best(kept, k)
+
+    return people.mapInPandas(top_of, types["top"])
+
+
+def _keep_best(found: pd.DataFrame, k: int) -> pd.DataFrame:
+    order = found.assign(key=found["raw"].round(TIE_DIGITS)).sort_values(
+        ["vacancy_id", "key", "candidate_id"], ascending=[True, False, True])
+    return order.groupby("vacancy_id").head(k).drop(columns="key")
 
 
 def match_all(
     vacancies: DataFrame, candidates: DataFrame, k: int = vocab.MATCH_LIMIT,
-    weights: tuple[float, ...] = vocab.SCORE_WEIGHTS,
+    weights: tuple[float, ...] = vocab.SCORE_WEIGHTS, sent_vacancies: int = SENT_VACANCIES,
     candidate_tile: int = CANDIDATE_TILE, vacancy_tile: int = VACANCY_TILE, cell: float = CELL_DEGREES,
 ) -> DataFrame:
     """Filter, score and rank candidates for every vacancy: (vacancy_id, candidate_id, score, rank).
 
-    Exact: similarities are scaled by their minimum over all admitted candidates
-    of the vacancy, then the best k are kept per tile and again overall. cell is the
-    grid step in degrees (a divisor of 360), best near the usual search radius.
+    Exact: similarities are scaled by their minimum over all admitted candidates of
+    the vacancy, then the best k are kept per task and again overall. Up to
+    sent_vacancies vacancies are sent to the candidates; more are matched in tiles.
+    cell is the grid step in degrees (a divisor of 360), best near the usual radius.
     """
-    people, openings = prepare_candidates(candidates, cell), prepare_vacancies(vacancies, cell)
-    left, right = tiles(people, openings, candidate_tile, vacancy_tile)
+    people, openings = prepare_candidates(candidates), prepare_vacancies(vacancies)
     v_type, c_type = (dict(f.dtypes)[n] for f, n in ((vacancies, "vacancy_id"), (candidates, "candidate_id")))
-    tile = ["block", "c_tile", "v_tile"]
-
-    def lowest(c: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        if c.empty or v.empty:
-            return pd.DataFrame(columns=["vacancy_id", *SIMS])
-        ok = _admitted(c["block"].iat[0], c, v)
-        some = ok.any(axis=0)
-        sims = _cosines(c, v)
-        lows = {s: np.where(ok, sims[s], np.inf).min(axis=0)[some] for s in SIMS}
-        return pd.DataFrame({"vacancy_id": v["vacancy_id"].to_numpy()[some], **lows})
-
-    lows = (
-        left.groupBy(*tile).cogroup(right.groupBy(*tile))
-        .applyInPandas(lowest, f"vacancy_id {v_type}, " + ", ".join(f"{s} double" for s in SIMS))
-        .groupBy("vacancy_id")
-        .agg(*[F.min(s).alias(f"low_{s}") for s in SIMS])
-    )
-
-    def top(c: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        names = ["vacancy_id", "candidate_id", "raw"]
-        if c.empty or v.empty:
-            return pd.DataFrame(columns=names)
-        ok = _admitted(c["block"].iat[0], c, v)
-        sims = _cosines(c, v)
-        score = np.zeros(ok.shape)
-        for weight, s in zip(weights, SIMS):
-            low = v[f"low_{s}"].to_numpy(float)[None, :]
-            score += weight * ((sims[s] - low) / (1.0 - low + vectors.EPSILON))
-        ok &= score > 0
-        ids, order_score = c["candidate_id"].to_numpy(), np.round(score, TIE_DIGITS)
-        picked, owner = [], []
-        for j in range(len(v)):
-            rows = np.flatnonzero(ok[:, j])
-            if len(rows) > k:
-                # Everything at or above the k-th score, so that ties are settled below.
-                kth = np.partition(order_score[rows, j], len(rows) - k)[len(rows) - k]
-                rows = rows[order_score[rows, j] >= kth]
-                rows = rows[np.lexsort((ids[rows], -order_score[rows, j]))][:k]
-            picked.append(rows)
-            owner.append(np.full(len(rows), j))
-        rows, owner = np.concatenate(picked), np.concatenate(owner)
-        return pd.DataFrame({
-            "vacancy_id": v["vacancy_id"].to_numpy()[owner], "candidate_id": ids[rows], "raw": score[rows, owner]})
-
-    scaled = right.join(lows, "vacancy_id")
-    found = left.groupBy(*tile).cogroup(scaled.groupBy(*tile)).applyInPandas(
-        top, f"vacancy_id {v_type}, candidate_id {c_type}, raw double")
+    types = {
+        "lows": f"vacancy_id {v_type}, " + ", ".join(f"{s} double" for s in SIMS),
+        "top": f"vacancy_id {v_type}, candidate_id {c_type}, raw double",
+    }
+    if vacancies.limit(sent_vacancies + 1).count() <= sent_vacancies:
+        found = _match_sent(openings, people, k, weights, vacancy_tile, types)
+    else:
+        found = _match_tiled(openings, people, k, weights, candidate_tile, vacancy_tile, cell, types)
     order = Window.partitionBy("vacancy_id").orderBy(F.round("raw", TIE_DIGITS).desc(), F.col("candidate_id"))
     return (
         found.withColumn("rank", F.row_number().over(order))

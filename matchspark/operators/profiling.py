@@ -14,7 +14,8 @@ QUANTILE_BUCKETS = 1024
 def value_counts(df: DataFrame, column: str, by: str = "count", top: int | None = None) -> DataFrame:
     """Occurrences and share of all rows per value; most frequent or smallest label first."""
     counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
-    total = df.agg(F.count(column).alias("total")).scalar()
+    # From the counts, whose exchange is reused, not from a second scan.
+    total = counts.agg(F.sum("n").alias("total")).scalar()
     shared = counts.withColumn("share", F.round(F.col("n") / total, 4))
     order = [F.col("n").desc(), F.col(column)] if by == "count" else [F.col(column)]
     ranked = shared.orderBy(*order)
@@ -200,8 +201,8 @@ def table_profile(df: DataFrame) -> DataFrame:
         else:
             parts.append(F.countDistinct(c).alias(f"{c}__distinct"))
     duplicates = (
-        df.groupBy(*df.columns).agg(F.count("*").alias("n"))
-        .agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates")).scalar()
+        df.groupBy(*df.columns).agg(F.count("*").alias("_copies"))
+        .agg(F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0)).alias("duplicates")).scalar()
     )
     null = F.lit(None).cast("double")
     columns = [

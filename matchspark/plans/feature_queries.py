@@ -302,7 +302,7 @@ def rule_extraction(spark, sf):
 def prompt_dedupe(spark, sf):
     c = read_table(spark, sf, "conversations")
     prompt = F.concat(F.lit("Testo: "), "role", "text")
-    return extraction.ask(c, prompt, extraction.expression_provider(F.md5), "answer").select("conv_id", "turn", "answer")
+    return extraction.ask(c, prompt, F.md5, "answer", dedupe=True).select("conv_id", "turn", "answer")
 
 
 @query("weekend_answer_join", """
@@ -338,7 +338,8 @@ def weekend_answer_join(spark, sf):
 def hash_embedding(spark, sf):
     d = spread(read_table(spark, sf, "documents").select("doc_id", "text"))
     embedded = extraction.embed(d, {"text_emb": "text"})
-    return embedded.select("doc_id", F.posexplode("text_emb").alias("bucket", "w")).where("w > 0").select(
+    # outer: a plain explode infers a filter on the vector and computes it a second time.
+    return embedded.select("doc_id", F.posexplode_outer("text_emb").alias("bucket", "w")).where("w > 0").select(
         "doc_id", "bucket", F.round(F.col("w").cast("double"), 5).alias("weight"))
 
 

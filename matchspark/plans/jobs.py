@@ -55,8 +55,8 @@ def ingest_vacancies(orders: DataFrame, submissions: DataFrame, as_of: Column,
     return cleaning.clean_texts(described)
 
 
-def transform_candidates(
-    new: DataFrame, previous: DataFrame | None, cities: DataFrame, stamp: Column,
+def enrich_candidates(
+    detected: DataFrame, cities: DataFrame, stamp: Column,
     provider: extraction.Provider | None = None, weekend: extraction.Provider | None = None, dims: int = 1024,
 ) -> DataFrame:
     """Features, vectors and places of changed candidates; weekend shift of changed chats."""
@@ -67,12 +67,19 @@ def transform_candidates(
             "second_last_job_emb": "second_last_job", "third_last_job_emb": "third_last_job"}, dims)
         return geography.enrich(embedded, cities)
 
-    detected = incremental.detect_candidates(new, previous)
     by_text = incremental.reprocess(
         detected, "needs_processing", recompute,
         vocab.CANDIDATE_FEATURES + vocab.CANDIDATE_VECTORS + vocab.GEO_COLUMNS, stamp)
-    return incremental.reprocess(
-        by_text, "needs_processing_wa", lambda rows: extraction.update_weekend_shift(rows, weekend), [], stamp)
+    # No second split: rows whose chat did not change are simply not asked.
+    asked = extraction.update_weekend_shift(by_text, weekend, "needs_processing_wa")
+    return asked.withColumn(
+        "time_processing", F.when(F.col("needs_processing_wa"), stamp).otherwise(F.col("time_processing")))
+
+
+def transform_candidates(
+    new: DataFrame, previous: DataFrame | None, cities: DataFrame, stamp: Column, **options,
+) -> DataFrame:
+    return enrich_candidates(incremental.detect_candidates(new, previous), cities, stamp, **options)
 
 
 def transform_vacancies(new: DataFrame, previous: DataFrame | None, stamp: Column,
@@ -89,15 +96,21 @@ def transform_vacancies(new: DataFrame, previous: DataFrame | None, stamp: Colum
 def run_transformation(
     spark: SparkSession, new: DataFrame, root: str, cities: DataFrame, stamp: Column, run_id: str | None = None, **options,
 ) -> DataFrame:
-    """One candidate run against the table published by the last one, with its log row."""
-    target, log = f"{root}/candidates", f"{root}/candidate_log"
+    """One candidate run against the table published by the last one, with its log row.
+
+    The joined rows with their flags are written first. Both halves of the split then
+    read that table, so the join to the history is made once, and a lost executor
+    does not lead back to it.
+    """
+    target, stage, log = f"{root}/candidates", f"{root}/candidates_detected", f"{root}/candidate_log"
     previous = tables.current(spark, target) if tables.table_exists(spark, target) else None
-    tables.publish(transform_candidates(new, previous, cities, stamp, **options), target)
-    published = tables.current(spark, target)
+    tables.publish(incremental.detect_candidates(new, previous), stage)
+    detected = tables.current(spark, stage)
+    tables.publish(enrich_candidates(detected, cities, stamp, **options), target)
     counts = incremental.run_counts(
-        published, stamp, nproc_cv_rows="needs_processing", nproc_wa_rows="needs_processing_wa")
+        detected, stamp, nproc_cv_rows="needs_processing", nproc_wa_rows="needs_processing_wa")
     tables.append_log(counts, log, run_id or uuid.uuid4().hex)
-    return published
+    return tables.current(spark, target)
 
 
 def search_candidates(candidates: DataFrame, request: Request, request_vectors: DataFrame, cities: DataFrame,

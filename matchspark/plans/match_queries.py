@@ -133,7 +133,7 @@ def sql_scaled(weights) -> str:
 def vector_candidates(spark, sf):
     e = F.col("embedding")
     turn = lambda n: F.concat(F.slice(e, n + 1, 64 - n), F.slice(e, 1, n))
-    return read_table(spark, sf, "embeddings").select(
+    return spread(read_table(spark, sf, "embeddings")).select(
         F.col("vec_id").alias("candidate_id"), F.col("label"), e.alias("last_job_emb"), F.reverse(e).alias("second_last_job_emb"),
         turn(16).alias("third_last_job_emb"), turn(32).alias("skills_emb"))
 
@@ -181,15 +181,17 @@ SQL_MATCH_SIDES = f"""
             OR {SQL_HAVERSINE.format(a='v', b='c')} <= 150))"""
 
 
-@query("batch_match_topk", f"""
+SQL_BATCH_MATCH = f"""
     WITH {SQL_MATCH_SIDES},
     m AS (SELECT vacancy_id, min(s1) AS m1, min(s2) AS m2, min(s3) AS m3, min(s4) AS m4 FROM s GROUP BY vacancy_id),
     r AS (SELECT vacancy_id, candidate_id, {sql_scaled(vocab.SCORE_WEIGHTS)} AS raw FROM s JOIN m USING (vacancy_id))
     SELECT vacancy_id, candidate_id, CAST(round_even(raw, 0) AS BIGINT) AS score, CAST(rank AS INTEGER) AS rank FROM (
         SELECT *, row_number() OVER (PARTITION BY vacancy_id ORDER BY round(raw, 9) DESC, candidate_id) AS rank FROM r WHERE raw > 0)
     WHERE rank <= 20
-""")
-def batch_match_topk(spark, sf):
+"""
+
+
+def match_sides(spark, sf):
     def placed(df, key):
         k = F.col(key)
         return df.withColumns({
@@ -210,7 +212,17 @@ def batch_match_topk(spark, sf):
         "date_available": F.lit(None).cast("date"), "parttime_preferenza_perc": number,
         "turno_preferenza": F.lit(None).cast("array<string>"), "education_mand": text,
         "skills_mand": none, "languages_mand": none, "certifications_mand": none})
-    return matching.match_all(openings, people, k=20, cell=2.0)
+    return openings, people
+
+
+@query("batch_match_topk", SQL_BATCH_MATCH)
+def batch_match_topk(spark, sf):
+    return matching.match_all(*match_sides(spark, sf), k=20)
+
+
+@query("batch_match_tiled", SQL_BATCH_MATCH)
+def batch_match_tiled(spark, sf):
+    return matching.match_all(*match_sides(spark, sf), k=20, sent_vacancies=0, cell=2.0)
 
 
 # --- ratings ---------------------------------------------------------------------------
