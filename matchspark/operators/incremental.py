@@ -12,15 +12,20 @@ from matchspark.functions.text import not_blank
 from matchspark.sources.tables import align
 
 
-def changed(raw: Column, previous_raw: Column, header: str) -> Column:
+def fingerprint(c: Column) -> Column:
+    """Stands for a text in a join: 64 characters travel instead of the text."""
+    return F.sha2(c, 256)
+
+
+def changed(raw: Column, old_print: Column, old_is_header: Column) -> Column:
     """New or different text, never null. A stored header literal is never reprocessed."""
-    differs = (raw != previous_raw) & (previous_raw != header)
-    return F.coalesce(previous_raw.isNull() | differs, F.lit(True))
+    differs = (fingerprint(raw) != old_print) & ~old_is_header
+    return F.coalesce(old_print.isNull() | differs, F.lit(True))
 
 
-def changed_chat(chat: Column, raw: Column, previous_raw: Column) -> Column:
-    differs = (raw != previous_raw) & (previous_raw != vocab.CHAT_HEADER)
-    return F.coalesce(chat.isNotNull() & (previous_raw.isNull() | differs), F.lit(False))
+def changed_chat(chat: Column, raw: Column, old_print: Column, old_is_header: Column) -> Column:
+    differs = (fingerprint(raw) != old_print) & ~old_is_header
+    return F.coalesce(chat.isNotNull() & (old_print.isNull() | differs), F.lit(False))
 
 
 def with_history(new: DataFrame, previous: DataFrame, key: str) -> DataFrame:
@@ -32,7 +37,17 @@ def with_history(new: DataFrame, previous: DataFrame, key: str) -> DataFrame:
     return new.join(renamed, key, "left")
 
 
+def _history(previous: DataFrame, texts: dict[str, str]) -> DataFrame:
+    """The previous output with compared texts as fingerprints and header marks."""
+    return previous.withColumns({
+        **{f"{c}_is_header": F.col(c) == header for c, header in texts.items()},
+        **{c: fingerprint(F.col(c)) for c in texts},
+    })
+
+
 def detect_candidates(new: DataFrame, previous: DataFrame | None, key: str = "candidateid") -> DataFrame:
+    """Current candidates with what carries over from the last run, and the flags
+    needs_processing (new or changed text) and needs_processing_wa (changed chat)."""
     rows = new.where(not_blank(F.col("description")))
     if previous is None:
         return rows.withColumns({
@@ -40,21 +55,24 @@ def detect_candidates(new: DataFrame, previous: DataFrame | None, key: str = "ca
             "needs_processing_wa": F.col("chatwa").isNotNull(),
             "time_processing": F.lit(None).cast("timestamp_ntz"),
         })
-    carried = previous.drop("needs_processing", "needs_processing_wa")
-    joined = with_history(rows, carried, key).withColumns({
-        "needs_processing": changed(F.col("description_raw"), F.col("description_raw_old"), vocab.RAW_HEADER),
-        "needs_processing_wa": changed_chat(F.col("chatwa"), F.col("chatwa_raw"), F.col("chatwa_raw_old")),
+    kept = previous.drop("needs_processing", "needs_processing_wa")
+    history = _history(kept, {"description_raw": vocab.RAW_HEADER, "chatwa_raw": vocab.CHAT_HEADER})
+    joined = with_history(rows, history, key).withColumns({
+        "needs_processing": changed(
+            F.col("description_raw"), F.col("description_raw_old"), F.col("description_raw_is_header")),
+        "needs_processing_wa": changed_chat(
+            F.col("chatwa"), F.col("chatwa_raw"), F.col("chatwa_raw_old"), F.col("chatwa_raw_is_header")),
     })
-    if "turno_preferenza_old" in joined.columns:
-        # An earlier weekend answer stays while neither the chat nor the list behind it changed.
-        joined = joined.withColumn("turno_preferenza", F.when(
-            ~F.col("needs_processing_wa") & F.col("chatwa").isNotNull()
-            & F.array_contains("turno_preferenza_old", vocab.WEEKEND_SHIFT)
-            & ~F.coalesce(F.array_contains("turno_preferenza", vocab.WEEKEND_SHIFT), F.lit(False)),
-            F.array_append(F.coalesce("turno_preferenza", F.array().cast("array<string>")),
-                           F.lit(vocab.WEEKEND_SHIFT)),
-        ).otherwise(F.col("turno_preferenza")))
-    return joined
+    # An earlier weekend answer stays while the chat behind it has not changed.
+    weekend = F.lit(vocab.WEEKEND_SHIFT)
+    shifts = F.coalesce("turno_preferenza", F.array().cast("array<string>"))
+    keeps = (
+        ~F.col("needs_processing_wa") & F.col("chatwa").isNotNull()
+        & F.coalesce(F.array_contains("turno_preferenza_old", weekend), F.lit(False))
+        & ~F.array_contains(shifts, weekend))
+    return joined.withColumn(
+        "turno_preferenza", F.when(keeps, F.array_append(shifts, weekend)).otherwise(F.col("turno_preferenza")),
+    ).drop("description_raw_is_header", "chatwa_raw_is_header")
 
 
 def detect_vacancies(new: DataFrame, previous: DataFrame | None, key: str = "joborderid") -> DataFrame:
@@ -62,10 +80,10 @@ def detect_vacancies(new: DataFrame, previous: DataFrame | None, key: str = "job
     if previous is None:
         return rows.withColumns({
             "needs_processing": F.lit(True), "time_processing": F.lit(None).cast("timestamp_ntz")})
-    carried = previous.drop("needs_processing")
-    return with_history(rows, carried, key).withColumn(
-        "needs_processing",
-        changed(F.col("description_raw"), F.col("description_raw_old"), vocab.RAW_HEADER))
+    history = _history(previous.drop("needs_processing"), {"description_raw": vocab.RAW_HEADER})
+    return with_history(rows, history, key).withColumn("needs_processing", changed(
+        F.col("description_raw"), F.col("description_raw_old"), F.col("description_raw_is_header"),
+    )).drop("description_raw_is_header")
 
 
 def split(df: DataFrame, flag: str) -> tuple[DataFrame, DataFrame]:

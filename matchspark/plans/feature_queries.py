@@ -120,7 +120,7 @@ def education_rank(spark, sf):
 """)
 def request_from_vacancy(spark, sf):
     status, none = F.col("o_orderstatus"), F.lit(None).cast("string")
-    v = read_table(spark, sf, "orders").select(
+    v = spread(read_table(spark, sf, "orders")).select(
         F.concat(F.lit("JO-"), "o_orderkey").alias("joborderid"),
         F.when(status == "P", F.lit(" ")).otherwise(F.col("o_orderpriority")).alias("jobtitle"),
         none.alias("location"), none.alias("region"), none.alias("country"),
@@ -182,7 +182,7 @@ def answers(spark, sf):
         .when(kind == "signup", F.expr("substr(props, 1, length(props) - 1)"))
         .otherwise(props)
     )
-    return read_table(spark, sf, "events").select("event_id", "user_id", answer.alias("answer"))
+    return spread(read_table(spark, sf, "events")).select("event_id", "user_id", answer.alias("answer"))
 
 
 @query("json_repair", f"""
@@ -270,7 +270,7 @@ def cvs(spark, sf):
         F.lit(" | Ultimo lavoro: "), "c_mktsegment",
         F.when(F.col("c_acctbal") > 5000, F.lit(" | Inglese e russo")).otherwise(F.lit("")),
         F.when(F.col("c_acctbal") < 2000, F.lit(" | Laurea Triennale in Puglia")).otherwise(F.lit("")))
-    return read_table(spark, sf, "customer").select(key.alias("candidateid"), described.alias("description"))
+    return spread(read_table(spark, sf, "customer")).select(key.alias("candidateid"), described.alias("description"))
 
 
 @query("rule_extraction", f"""
@@ -502,7 +502,7 @@ SQL_DETECTED = f"""
 
 
 def snapshots(spark, sf):
-    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    docs = spread(read_table(spark, sf, "documents").select("doc_id", "text"))
     new = docs.select("doc_id", F.col("text").alias("description"), F.col("text").alias("description_raw"), F.lit(None).cast("string").alias("jobtitle"))
     old_text = F.when(F.col("toxic") == 1, F.lit(None)).when(
         F.col("quality") == 0, F.concat("text", F.lit(" (old)"))).otherwise(F.col("text"))

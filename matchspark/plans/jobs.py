@@ -62,10 +62,10 @@ def enrich_candidates(
     """Features, vectors and places of changed candidates; weekend shift of changed chats."""
     def recompute(rows: DataFrame) -> DataFrame:
         found, _ = extraction.extract_candidates(rows, provider)
-        embedded = extraction.embed(found, {
+        # Vectors last: the joins to the cities then move no vectors.
+        return extraction.embed(geography.enrich(found, cities), {
             "skills_emb": "skills", "last_job_emb": "last_job",
             "second_last_job_emb": "second_last_job", "third_last_job_emb": "third_last_job"}, dims)
-        return geography.enrich(embedded, cities)
 
     by_text = incremental.reprocess(
         detected, "needs_processing", recompute,

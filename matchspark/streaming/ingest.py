@@ -59,6 +59,7 @@ def merge(target: str, key: str, transform: Callable[[DataFrame, DataFrame | Non
     """Batch writer for change detection: transform(batch, previous rows of its keys)
     gives the new rows; rows of other keys are kept."""
     def each(batch: DataFrame, _: int) -> None:
+        batch = tables.spread(batch)
         if not tables.table_exists(spark, target):
             tables.publish(transform(batch, None), target)
             return
@@ -74,7 +75,7 @@ def merge(target: str, key: str, transform: Callable[[DataFrame, DataFrame | Non
 def refresh_postings(target: str, key: str, text: str, spark: SparkSession) -> Callable[[DataFrame, int], None]:
     """Batch writer replacing the postings of the documents in the batch."""
     def each(batch: DataFrame, _: int) -> None:
-        fresh = search.postings(batch, key, text)
+        fresh = search.postings(tables.spread(batch), key, text)
         if tables.table_exists(spark, target):
             stored = tables.current(spark, target)
             fresh = stored.join(batch.select(key).distinct(), key, "left_anti").unionByName(fresh)

@@ -101,10 +101,18 @@ def test_chat_threads(spark):
 def test_change_flags(spark):
     rows = [("a", "a", False), ("a", "b", True), ("a", None, True), (None, "b", True), ("a", "Description", False)]
     df = spark.createDataFrame(rows, "raw string, old string, wanted boolean")
-    got = df.select(incremental.changed(F.col("raw"), F.col("old"), vocab.RAW_HEADER).alias("g"), "wanted").collect()
+    flag = incremental.changed(F.col("raw"), incremental.fingerprint(F.col("old")), F.col("old") == vocab.RAW_HEADER)
+    got = df.select(flag.alias("g"), "wanted").collect()
     assert all(r["g"] == r["wanted"] for r in got)
 
 
+def test_history_join_suffixes(spark):
+    new = spark.createDataFrame([(1, "a"), (2, "b")], "k int, x string")
+    old = spark.createDataFrame([(1, "z", 7)], "k int, x string, feature int")
+    got = incremental.with_history(new, old, "k").orderBy("k")
+    assert got.columns == ["k", "x", "x_old", "feature"] and [tuple(r) for r in got.collect()] == [(1, "a", "z", 7), (2, "b", None, None)]
+
+
 def candidate_rows(spark, texts, chats=None):
     chats = chats or {}
     rows = [(str(i), t, t, chats.get(i), chats.get(i), ["Notte"]) for i, t in texts.items()]
