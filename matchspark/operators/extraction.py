@@ -17,6 +17,7 @@ from matchspark import vocab
 from matchspark.functions import geo, jsonx, text, vectors
 from matchspark.functions.once import let, where_computed
 from matchspark.operators.features import append_shift
+from matchspark.operators.skew import join_weighted, small
 
 Provider = Callable[[Column], Column]
 
@@ -34,10 +35,13 @@ def ask(df: DataFrame, prompt: Column, provider: Provider, out: str, dedupe: boo
     key = lambda c: F.sha2(c, 256)
     answers = (
         where_computed(df, "prompt_text", prompt, lambda p: p.isNotNull())
-        .select("prompt_text").distinct()
-        .select(key(F.col("prompt_text")).alias("prompt_key"), provider(F.col("prompt_text")).alias(out))
+        .groupBy("prompt_text").agg(F.count("*").alias("_asked"))
+        .select(key(F.col("prompt_text")).alias("prompt_key"), "_asked", provider(F.col("prompt_text")).alias(out))
     )
-    return df.withColumn("prompt_key", key(prompt)).join(answers, "prompt_key", "left").drop("prompt_key")
+    keyed = df.withColumn("prompt_key", key(prompt))
+    answered = join_weighted(keyed.where(F.col("prompt_key").isNotNull()), answers, ["prompt_key"], "_asked")
+    silent = keyed.where(F.col("prompt_key").isNull()).withColumn(out, F.lit(None).cast("string"))
+    return answered.drop("prompt_key").unionByName(silent.drop("prompt_key"))
 
 
 def batch_provider(answer: Callable[[list[str]], list[str]]) -> Provider:
@@ -205,7 +209,7 @@ def repair_coordinates(cities: DataFrame, known: DataFrame) -> DataFrame:
     broken = (
         cities.where(~good)
         .withColumns({"_city": F.lower(F.trim("city_name")), "_prov": F.lower(F.trim("province_ext"))})
-        .join(fixes, ["_city", "_prov"], "left")
+        .join(small(fixes), ["_city", "_prov"], "left")
     )
     repaired = broken.select(*[
         F.when(geo.well_formed(F.col(f"_fix.{c}")), F.col(f"_fix.{c}")).cast(cities.schema[c].dataType).alias(c)

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from matchspark import vocab
 from matchspark.functions import geo, text
+from matchspark.operators.skew import small
 
 
 def known_zip(people: DataFrame, cities: DataFrame) -> DataFrame:
     """Zip codes not in the dimension become null. The zip list stays on the executors."""
     zips = cities.select(F.col("zip").alias("zip_code")).where("zip_code is not null").distinct()
     return (
-        people.join(zips.withColumn("_known", F.lit(True)), "zip_code", "left")
+        people.join(small(zips.withColumn("_known", F.lit(True))), "zip_code", "left")
         .withColumn("zip_code", F.when(F.col("_known"), F.col("zip_code")))
         .select(people.columns)
     )
@@ -41,7 +42,8 @@ def enrich(people: DataFrame, cities: DataFrame, fan_out: bool = False) -> DataF
             *[F.col(c).alias(f"_{c}") for c in ("zip", "latitude", "longitude", "province_ext")])
     else:
         dimension = one_per_name(cities)
-    joined = known_zip(base, cities).withColumn("_city", F.lower("location")).join(dimension, "_city", "left")
+    joined = known_zip(base, cities).withColumn("_city", F.lower("location")).join(
+        small(dimension), "_city", "left")
     return joined.select(
         *[F.coalesce("zip_code", "_zip").alias("zip_code") if c == "zip_code" else F.col(c) for c in base.columns],
         geo.valid_latitude(F.col("_latitude")).alias("latitude"),

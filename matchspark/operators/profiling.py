@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchspark.operators.skew import join_weighted
+
 # Weekday order.
 WEEKDAYS = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
 
@@ -75,21 +77,21 @@ def daily_counts(df: DataFrame, ts: str) -> DataFrame:
 def top_groups(df: DataFrame, by: str, n: int) -> DataFrame:
     """Rows of the n largest groups; ties by label."""
     largest = df.groupBy(by).agg(F.count("*").alias("_n")).orderBy(F.col("_n").desc(), F.col(by)).limit(n)
-    return df.join(largest.select(by), by, "left_semi")
+    return df.join(F.broadcast(largest.select(by)), by, "left_semi")  # n rows
 
 
 def pair_counts(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Every row with the number of rows sharing its (x, y).
+    """Every row with the number of rows sharing its (x, y); null where one is null.
 
     Counts are made by a partial aggregate and joined back, so that a very common
     pair is not gathered in one window.
     """
-    counts = df.groupBy(x, y).agg(F.count("*").alias("pair_count"))
-    return df.alias("r").join(
-        counts.alias("c"),
-        F.col(f"r.{x}").eqNullSafe(F.col(f"c.{x}")) & F.col(f"r.{y}").eqNullSafe(F.col(f"c.{y}")),
-        "left",
-    ).select("r.*", F.when(F.col(f"r.{x}").isNotNull() & F.col(f"r.{y}").isNotNull(), F.col("c.pair_count")).alias("pair_count"))
+    whole = F.col(x).isNotNull() & F.col(y).isNotNull()
+    counts = df.where(whole).groupBy(x, y).agg(F.count("*").alias("pair_count"))
+    counted = join_weighted(
+        df.where(whole), counts.withColumn("_weight", F.col("pair_count")), [x, y], "_weight")
+    rest = df.where(~whole).withColumn("pair_count", F.lit(None).cast("long"))
+    return counted.select(*df.columns, "pair_count").unionByName(rest)
 
 
 def exact_quantiles(df: DataFrame, group: str, value: str, points: list[float]) -> DataFrame:
@@ -102,8 +104,8 @@ def exact_quantiles(df: DataFrame, group: str, value: str, points: list[float])
         "x is not null and not isnan(x)")
     counts = rows.groupBy("g", "x").agg(F.count("*").alias("c"))
     span = counts.groupBy("g").agg(
-        F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("c").alias("n"))
-    placed = counts.join(span, "g").withColumn("bucket", F.when(
+        F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("c").alias("n"), F.count("*").alias("values"))
+    placed = join_weighted(counts, span, ["g"], "values").withColumn("bucket", F.when(
         F.col("hi") > F.col("lo"),
         F.least(F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * QUANTILE_BUCKETS),
                 F.lit(QUANTILE_BUCKETS - 1)),
@@ -145,8 +147,10 @@ def box_stats(df: DataFrame, group: str, value: str) -> DataFrame:
     )
     x = F.col(value).cast("double")
     low, high = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")), F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
+    rows = df.where(x.isNotNull() & ~F.isnan(x) & F.col(group).isNotNull())
+    sizes = rows.groupBy(group).agg(F.count("*").alias("_rows"))
     return (
-        df.where(x.isNotNull() & ~F.isnan(x)).join(q, group).groupBy(group, "q1", "median", "q3")
+        join_weighted(rows, q.join(sizes, group), [group], "_rows").groupBy(group, "q1", "median", "q3")
         .agg(F.count("*").alias("n"), F.min(x).alias("lowest"), F.max(x).alias("highest"),
              F.min(F.when(x >= low, x)).alias("whisker_low"), F.max(F.when(x <= high, x)).alias("whisker_high"),
              F.count_if((x < low) | (x > high)).alias("outliers"))
@@ -165,10 +169,10 @@ def density(df: DataFrame, group: str, value: str, points: int = 50) -> DataFram
     )
     mean_of = F.sum(F.col("x") * F.col("c")) / F.sum("c")
     means = counts.groupBy("g").agg(
-        F.sum("c").alias("n"), mean_of.alias("mean"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+        F.sum("c").alias("n"), mean_of.alias("mean"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("values"))
     stats = (
-        counts.join(means, "g").groupBy("g", "n", "lo", "hi")
-        .agg(F.sum(F.col("c") * F.pow(F.col("x") - F.col("mean"), F.lit(2))).alias("ss"))
+        join_weighted(counts, means, ["g"], "values").groupBy("g", "n", "lo", "hi")
+        .agg(F.sum(F.col("c") * F.pow(F.col("x") - F.col("mean"), F.lit(2))).alias("ss"), F.count("*").alias("values"))
         .where("n > 1 and ss > 0")
         .withColumn("h", F.sqrt(F.col("ss") / (F.col("n") - 1)) * F.pow("n", F.lit(-0.2)))
         .drop("ss")
@@ -176,7 +180,7 @@ def density(df: DataFrame, group: str, value: str, points: int = 50) -> DataFram
     grid_x = F.col("lo") + F.col("i") * (F.col("hi") - F.col("lo")) / (points - 1)
     z = (F.col("grid_x") - F.col("x")) / F.col("h")
     return (
-        counts.join(stats, "g")
+        join_weighted(counts, stats, ["g"], "values")
         .withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
         .withColumn("grid_x", grid_x)
         .groupBy("g", "i", "grid_x", "n", "h")

@@ -9,6 +9,7 @@ from matchspark import vocab
 from matchspark.functions.filters import compile_filter
 from matchspark.functions.once import let
 from matchspark.functions.text import tokens
+from matchspark.operators.skew import SMALL_ROWS
 
 # Usual BM25 parameters.
 K1 = 1.2
@@ -83,7 +84,10 @@ def search(
     """
     stored = index if index is not None else postings(docs, doc_key, text)
     terms = query_terms(queries, query_key, query_text)
-    wanted = stored.join(terms.select("token").distinct(), "token", "left_semi")
+    # Sent to the postings when counted to be small: common words would be hot join keys.
+    few = terms.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
+    words = terms.select("token").distinct()
+    wanted = stored.join(F.broadcast(words) if few else words, "token", "left_semi")
     # Counting doc_len keeps the columns of both uses equal, so the shuffled postings are read twice, not made twice.
     frequency = wanted.groupBy("token").agg(F.count("doc_len").alias("df"))
     stats = collection_stats(docs, text)
@@ -100,7 +104,7 @@ def search(
     tf = F.col("tf")
     gain = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("doc_len") / F.col("mean_len")))
     scored = (
-        candidates.join(weighted_terms, "token")
+        candidates.join(F.broadcast(weighted_terms) if few else weighted_terms, "token")
         .groupBy(doc_key, query_key)
         .agg(F.sum(gain).alias("score"))
     )

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchspark.functions.text import alphanumeric
+from matchspark.operators.skew import join_weighted
 
 CUTOFF = 0.85
 MOST_CLOSE = 20
@@ -67,7 +68,8 @@ def expand_roles(queries: DataFrame, column: str, terms: DataFrame, cutoff: floa
     with at most 20 close spellings; "edit" is the edit-distance ratio.
     """
     _check_size(terms)
-    distinct = queries.select(alphanumeric(F.col(column)).alias("query_norm")).where("query_norm is not null").distinct()
+    keyed = queries.withColumn("query_norm", alphanumeric(F.col(column)))
+    distinct = keyed.where("query_norm is not null").groupBy("query_norm").agg(F.count("*").alias("_asked"))
     spellings = _spellings(terms)
     if similarity == "edit":
         known = spellings.agg(F.collect_list(F.struct("norm", "role")).alias("known")).scalar()
@@ -90,8 +92,10 @@ def expand_roles(queries: DataFrame, column: str, terms: DataFrame, cutoff: floa
                     rows += [(query, role) for role in roles]
                 yield pd.DataFrame(rows, columns=["query_norm", "role"])
 
-        matched = distinct.mapInPandas(close, "query_norm string, role string")
+        matched = distinct.select("query_norm").mapInPandas(close, "query_norm string, role string")
     else:
         raise ValueError(f"unknown similarity {similarity}")
-    return queries.withColumn("query_norm", alphanumeric(F.col(column))).join(
-        _expand(matched, terms), "query_norm", "left")
+    expanded = distinct.join(_expand(matched, terms), "query_norm", "left")
+    found = join_weighted(keyed.where("query_norm is not null"), expanded, ["query_norm"], "_asked")
+    unnamed = keyed.where("query_norm is null").withColumn("synonyms", F.lit(None).cast("array<string>"))
+    return found.unionByName(unnamed)
