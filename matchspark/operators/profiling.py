@@ -10,7 +10,8 @@ from matchspark.operators.skew import join_weighted
 # Weekday order.
 WEEKDAYS = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
 
-QUANTILE_BUCKETS = 1024
+BUCKETS_PER_FOLD = 1024
+BUCKET_OFFSET = 1_000_000
 
 
 def value_counts(df: DataFrame, column: str, by: str = "count", top: int | None = None) -> DataFrame:
@@ -94,66 +95,79 @@ def pair_counts(df: DataFrame, x: str, y: str) -> DataFrame:
     return counted.select(*df.columns, "pair_count").unionByName(rest)
 
 
-def exact_quantiles(df: DataFrame, group: str, value: str, points: list[float]) -> DataFrame:
-    """Exact linear-interpolated quantiles per group: (group, p, q).
+def _value_bucket(x: Column) -> Column:
+    """A number that never falls as x grows: the scaled logarithm with the sign of x."""
+    magnitude = F.floor(F.log(F.abs(x)) * BUCKETS_PER_FOLD) + F.lit(BUCKET_OFFSET)
+    bucket = F.when(x == 0, F.lit(0)).otherwise(F.signum(x) * magnitude).cast("long")
+    # Never null, so a join on it adds no filter and the counted values are shuffled once.
+    return F.coalesce(bucket, F.lit(0))
+
+
+def _counted(df: DataFrame, group: str, value: str) -> DataFrame:
+    """(g, x, c): how often each value occurs in each group."""
+    return (
+        df.select(F.col(group).alias("g"), F.col(value).cast("double").alias("x"))
+        .where("g is not null and x is not null and not isnan(x)")
+        .groupBy("g", "x").agg(F.count("*").alias("c"))
+    )
+
 
-    Values are counted per group in equal-width buckets; only the buckets that
-    hold a wanted rank are then ordered. No task sorts a whole group.
+def _quantiles(counts: DataFrame, points: list[float]) -> DataFrame:
+    """(g, p, q, n) from counted values.
+
+    Values fall into buckets that need no statistics of the group. Bucket totals
+    tell which buckets hold a wanted rank; only the values of those are ordered, so
+    no task sees a whole group.
     """
-    rows = df.select(F.col(group).alias("g"), F.col(value).cast("double").alias("x")).where(
-        "x is not null and not isnan(x)")
-    counts = rows.groupBy("g", "x").agg(F.count("*").alias("c"))
-    span = counts.groupBy("g").agg(
-        F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("c").alias("n"), F.count("*").alias("values"))
-    placed = join_weighted(counts, span, ["g"], "values").withColumn("bucket", F.when(
-        F.col("hi") > F.col("lo"),
-        F.least(F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * QUANTILE_BUCKETS),
-                F.lit(QUANTILE_BUCKETS - 1)),
-    ).otherwise(F.lit(0)).cast("int"))
-    before = Window.partitionBy("g").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = (
-        placed.groupBy("g", "bucket").agg(F.sum("c").alias("in_bucket"), F.first("n").alias("n"))
-        .withColumn("before", F.coalesce(F.sum("in_bucket").over(before), F.lit(0)))
+    placed = counts.withColumn("bucket", _value_bucket(F.col("x")))
+    whole = Window.partitionBy("g")
+    before = whole.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    ranks = [
+        F.struct(F.lit(p).alias("p"), at.alias("at"), rank.cast("long").alias("rank"))
+        for p in points for at in [F.lit(p) * (F.col("n") - 1)] for rank in (F.floor(at), F.ceil(at))]
+    inside = lambda r, first, size: (r["rank"] >= first) & (r["rank"] < first + size)
+    needed = (
+        placed.groupBy("g", "bucket").agg(F.sum("c").alias("size"))
+        .withColumns({"before": F.coalesce(F.sum("size").over(before), F.lit(0)), "n": F.sum("size").over(whole)})
+        .withColumn("ranks", F.filter(F.array_distinct(F.array(*ranks)), lambda r: inside(r, F.col("before"), F.col("size"))))
+        .where(F.size("ranks") > 0)
+        .drop("size")
     )
-    targets = (
-        span.select("g", "n", F.explode(F.array(*[F.lit(p) for p in points])).alias("p"))
-        .withColumn("at", F.col("p") * (F.col("n") - 1))
-        .select("g", "p", "at", F.explode(F.array_distinct(F.array(
-            F.floor("at"), F.ceil("at")))).alias("rank"))
+    in_order = Window.partitionBy("g", "bucket").orderBy("x")
+    found = (
+        placed.join(needed, ["g", "bucket"])
+        .withColumn("first", F.col("before") + F.sum("c").over(in_order) - F.col("c"))
+        .select("g", "n", "x", F.explode(F.filter("ranks", lambda r: inside(r, F.col("first"), F.col("c")))).alias("r"))
     )
-    wanted = targets.join(buckets.select("g", "bucket", "before", "in_bucket"), "g").where(
-        (F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("in_bucket")))
-    inside = Window.partitionBy("g", "bucket").orderBy("x")
-    ordered = (
-        placed.join(wanted.select("g", "bucket").distinct(), ["g", "bucket"], "left_semi")
-        .withColumn("last", F.sum("c").over(inside))
-        .select("g", "bucket", "x", (F.col("last") - F.col("c")).alias("first"), "last")
+    share = F.col("at") - F.floor("at")
+    return (
+        found.groupBy("g", "n", F.col("r.p").alias("p"), F.col("r.at").alias("at"))
+        .agg(F.min("x").alias("low"), F.max("x").alias("high"))
+        .select("g", "p", (F.col("low") + (F.col("high") - F.col("low")) * share).alias("q"), "n")
     )
-    hits = wanted.join(ordered, ["g", "bucket"]).where(
-        (F.col("rank") - F.col("before") >= F.col("first")) & (F.col("rank") - F.col("before") < F.col("last")))
-    low, high = F.min_by("x", "rank"), F.max_by("x", "rank")
-    return hits.groupBy("g", "p", "at").agg(low.alias("low"), high.alias("high")).select(
-        F.col("g").alias(group), "p",
-        (F.col("low") + (F.col("high") - F.col("low")) * (F.col("at") - F.floor("at"))).alias("q"))
+
+
+def exact_quantiles(df: DataFrame, group: str, value: str, points: list[float]) -> DataFrame:
+    """Exact linear-interpolated quantiles per group: (group, p, q)."""
+    return _quantiles(_counted(df, group, value), points).select(F.col("g").alias(group), "p", "q")
 
 
 def box_stats(df: DataFrame, group: str, value: str) -> DataFrame:
     """Quartiles, whiskers (1.5 IQR, at data points), extremes and outlier count per group."""
-    q = (
-        exact_quantiles(df, group, value, [0.25, 0.5, 0.75])
-        .groupBy(group)
-        .agg(*[F.max(F.when(F.col("p") == p, F.col("q"))).alias(n)
-               for n, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))])
+    counts = _counted(df, group, value)
+    quartiles = (
+        _quantiles(counts, [0.25, 0.5, 0.75]).groupBy("g")
+        .agg(F.max("n").alias("rows"), *[F.max(F.when(F.col("p") == p, F.col("q"))).alias(n)
+                                         for n, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))])
     )
-    x = F.col(value).cast("double")
-    low, high = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")), F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
-    rows = df.where(x.isNotNull() & ~F.isnan(x) & F.col(group).isNotNull())
-    sizes = rows.groupBy(group).agg(F.count("*").alias("_rows"))
+    x, reach = F.col("x"), 1.5 * (F.col("q3") - F.col("q1"))
+    low, high = F.col("q1") - reach, F.col("q3") + reach
+    total = counts.agg(F.sum("c").alias("total")).scalar()
     return (
-        join_weighted(rows, q.join(sizes, group), [group], "_rows").groupBy(group, "q1", "median", "q3")
-        .agg(F.count("*").alias("n"), F.min(x).alias("lowest"), F.max(x).alias("highest"),
+        join_weighted(counts, quartiles, ["g"], "rows", total).groupBy(F.col("g").alias(group), "q1", "median", "q3")
+        .agg(F.sum("c").alias("n"), F.min(x).alias("lowest"), F.max(x).alias("highest"),
              F.min(F.when(x >= low, x)).alias("whisker_low"), F.max(F.when(x <= high, x)).alias("whisker_high"),
-             F.count_if((x < low) | (x > high)).alias("outliers"))
+             F.sum(F.when((x < low) | (x > high), F.col("c")).otherwise(F.lit(0))).alias("outliers"))
     )
 
 
@@ -163,24 +177,18 @@ def density(df: DataFrame, group: str, value: str, points: int = 50) -> DataFram
     Equal values are counted first, then each distinct value adds its share to
     every grid point through a partial aggregate.
     """
-    counts = (
-        df.select(F.col(group).alias("g"), F.col(value).cast("double").alias("x")).where("x is not null and not isnan(x)")
-        .groupBy("g", "x").agg(F.count("*").alias("c"))
-    )
-    mean_of = F.sum(F.col("x") * F.col("c")) / F.sum("c")
-    means = counts.groupBy("g").agg(
-        F.sum("c").alias("n"), mean_of.alias("mean"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("values"))
+    counts = _counted(df, group, value)
     stats = (
-        join_weighted(counts, means, ["g"], "values").groupBy("g", "n", "lo", "hi")
-        .agg(F.sum(F.col("c") * F.pow(F.col("x") - F.col("mean"), F.lit(2))).alias("ss"), F.count("*").alias("values"))
-        .where("n > 1 and ss > 0")
-        .withColumn("h", F.sqrt(F.col("ss") / (F.col("n") - 1)) * F.pow("n", F.lit(-0.2)))
-        .drop("ss")
+        df.select(F.col(group).alias("g"), F.col(value).cast("double").alias("x"))
+        .where("g is not null and x is not null and not isnan(x)")
+        .groupBy("g").agg(F.count("*").alias("n"), F.stddev_samp("x").alias("sd"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+        .where("n > 1 and sd > 0")
+        .select("g", "n", "lo", "hi", (F.col("sd") * F.pow("n", F.lit(-0.2))).alias("h"), F.col("n").alias("rows"))
     )
     grid_x = F.col("lo") + F.col("i") * (F.col("hi") - F.col("lo")) / (points - 1)
     z = (F.col("grid_x") - F.col("x")) / F.col("h")
     return (
-        join_weighted(counts, stats, ["g"], "values")
+        join_weighted(counts, stats, ["g"], "rows")
         .withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
         .withColumn("grid_x", grid_x)
         .groupBy("g", "i", "grid_x", "n", "h")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # A key is hot when it holds more than this share of the rows. There are fewer hot
@@ -20,13 +20,15 @@ def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def join_weighted(big: DataFrame, side: DataFrame, keys: list[str], weight: str) -> DataFrame:
+def join_weighted(big: DataFrame, side: DataFrame, keys: list[str], weight: str, total: Column | None = None) -> DataFrame:
     """Inner join of big to one row per key, weight being how many big rows hold the key.
 
     Rows of hot keys meet them by broadcast and are not shuffled; all other keys
-    are joined as usual. Every row takes exactly one of the two ways.
+    are joined as usual. Every row takes exactly one of the two ways. total is the
+    sum of weights, when a cheaper source than side gives it.
     """
-    total = side.agg(F.sum(weight).alias("total")).scalar()
+    if total is None:
+        total = side.agg(F.sum(weight).alias("total")).scalar()
     is_hot = F.col(weight) > total * F.lit(HOT_SHARE)
     hot, cold = side.where(is_hot).drop(weight), side.where(~is_hot).drop(weight)
     return big.join(F.broadcast(hot), keys).unionByName(big.join(cold, keys))
