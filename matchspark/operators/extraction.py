@@ -33,13 +33,15 @@ def ask(df: DataFrame, prompt: Column, provider: Provider, out: str, dedupe: boo
         return df.withColumn(out, F.when(prompt.isNotNull(), provider(prompt)))
     # Only a hash travels with the wide rows; the texts are moved once per distinct prompt.
     key = lambda c: F.sha2(c, 256)
-    answers = (
+    prompts = (
         where_computed(df, "prompt_text", prompt, lambda p: p.isNotNull())
         .groupBy("prompt_text").agg(F.count("*").alias("_asked"))
-        .select(key(F.col("prompt_text")).alias("prompt_key"), "_asked", provider(F.col("prompt_text")).alias(out))
+        .select(key(F.col("prompt_text")).alias("prompt_key"), "prompt_text", "_asked")
     )
+    answer = lambda part: part.select("prompt_key", provider(F.col("prompt_text")).alias(out))
     keyed = df.withColumn("prompt_key", key(prompt))
-    answered = join_weighted(keyed.where(F.col("prompt_key").isNotNull()), answers, ["prompt_key"], "_asked")
+    answered = join_weighted(
+        keyed.where(F.col("prompt_key").isNotNull()), prompts, ["prompt_key"], "_asked", finish=answer)
     silent = keyed.where(F.col("prompt_key").isNull()).withColumn(out, F.lit(None).cast("string"))
     return answered.drop("prompt_key").unionByName(silent.drop("prompt_key"))
 

@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 
 from matchspark import vocab
 from matchspark.functions import filters, geo, vectors
+from matchspark.functions.geo import EARTH_RADIUS_KM
 from matchspark.functions.once import where_computed
+from matchspark.functions.vectors import EPSILON
 
 SIMS = ("last", "second", "third", "skills")
 CANDIDATE_TILE = 8192
@@ -188,7 +190,7 @@ def _cosines(c: pd.DataFrame, v: pd.DataFrame) -> dict[str, np.ndarray]:
     for sim, column in zip(SIMS, ("last_job_emb", "second_last_job_emb", "third_last_job_emb", "skills_emb")):
         mat = _matrix(c[column])
         target, length = (skills, skills_norm) if sim == "skills" else (job, job_norm)
-        out[sim] = (mat @ target.T) / (np.linalg.norm(mat, axis=1)[:, None] * length[None, :] + vectors.EPSILON)
+        out[sim] = (mat @ target.T) / (np.linalg.norm(mat, axis=1)[:, None] * length[None, :] + EPSILON)
     return out
 
 
@@ -199,7 +201,7 @@ def _distance(c: pd.DataFrame, v: pd.DataFrame) -> np.ndarray:
     half_lon = np.sin((np.radians(c["longitude"].to_numpy(float))[:, None]
                        - np.radians(v["longitude"].to_numpy(float))[None, :]) / 2)
     chord = half_lat**2 + np.cos(a) * np.cos(b) * half_lon**2
-    return 2 * geo.EARTH_RADIUS_KM * np.arcsin(np.sqrt(np.minimum(1.0, chord)))
+    return 2 * EARTH_RADIUS_KM * np.arcsin(np.sqrt(np.minimum(1.0, chord)))
 
 
 def _upper_bound(c: pd.Series, v: pd.Series) -> np.ndarray:
@@ -344,7 +346,7 @@ def _top(c: pd.DataFrame, v: pd.DataFrame, weights: tuple[float, ...], k: int) -
     score = np.zeros(ok.shape)
     for weight, s in zip(weights, SIMS):
         low = v[f"low_{s}"].to_numpy(float)[None, :]
-        score += weight * ((sims[s] - low) / (1.0 - low + vectors.EPSILON))
+        score += weight * ((sims[s] - low) / (1.0 - low + EPSILON))
     ok &= score > 0
     ids, picked, owner = c["candidate_id"].to_numpy(), [], []
     for j in range(len(v)):

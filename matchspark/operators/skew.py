@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,15 +22,19 @@ def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def join_weighted(big: DataFrame, side: DataFrame, keys: list[str], weight: str, total: Column | None = None) -> DataFrame:
+def join_weighted(
+    big: DataFrame, side: DataFrame, keys: list[str], weight: str, total: Column | None = None,
+    finish: Callable[[DataFrame], DataFrame] = lambda part: part,
+) -> DataFrame:
     """Inner join of big to one row per key, weight being how many big rows hold the key.
 
     Rows of hot keys meet them by broadcast and are not shuffled; all other keys
     are joined as usual. Every row takes exactly one of the two ways. total is the
-    sum of weights, when a cheaper source than side gives it.
+    sum of weights, when a cheaper source than side gives it. finish adds columns to
+    both parts of side after the cut, so that costly ones are made once per row.
     """
     if total is None:
         total = side.agg(F.sum(weight).alias("total")).scalar()
     is_hot = F.col(weight) > total * F.lit(HOT_SHARE)
-    hot, cold = side.where(is_hot).drop(weight), side.where(~is_hot).drop(weight)
+    hot, cold = (finish(side.where(part).drop(weight)) for part in (is_hot, ~is_hot))
     return big.join(F.broadcast(hot), keys).unionByName(big.join(cold, keys))

@@ -11,7 +11,7 @@ from matchspark.operators import matching, rubric, synonyms
 from matchspark.operators.filtering import Request, filter_candidates, shifts_by_explode
 from matchspark.plans.feature_queries import SQL_CITIES, raw_cities
 from matchspark.plans.registry import query
-from matchspark.sources.tables import load_cities, read_table, spread
+from matchspark.sources.tables import load_cities, lookup, read_table, spread
 
 # Candidates made of the customers: place, mobility, shifts and bounds follow from their columns.
 SQL_CANDIDATES = f"""
@@ -153,7 +153,7 @@ def vector_vacancies(spark, sf):
     ORDER BY round(raw, 9) DESC, candidate_id LIMIT 100
 """)
 def vector_score_topk(spark, sf):
-    request = vector_vacancies(spark, sf).where("vacancy_id = 7")
+    request = lookup(vector_vacancies(spark, sf), "vacancy_id", 7)  # the opening a recruiter names
     return matching.score_request(vector_candidates(spark, sf), request)
 
 
@@ -164,7 +164,7 @@ def vector_score_topk(spark, sf):
     SELECT candidate_id, CAST(round_even(raw, 0) AS BIGINT) AS score FROM r WHERE raw > 0
 """)
 def vector_score_legacy(spark, sf):
-    request = vector_vacancies(spark, sf).where("vacancy_id = 7")
+    request = lookup(vector_vacancies(spark, sf), "vacancy_id", 7)  # the opening a recruiter names
     return matching.score_request(
         vector_candidates(spark, sf), request, k=None, weights=vocab.OLDER_SCORE_WEIGHTS, scale=False)
 

@@ -60,12 +60,12 @@ FILTER = {"@and": [{"@lte": {"n_chars": 3000}}, {"@eq": {"lang": "en"}}]}
 
 
 @query("search_filtered", sql_search(
-    "(SELECT * FROM benchmark WHERE item_id = 3)",
+    "benchmark",
     "WHERE doc_id IN (SELECT doc_id FROM documents WHERE n_chars <= 3000 AND lang = 'en')"))
 def search_filtered(spark, sf):
     docs = spread(read_table(spark, sf, "documents").select("doc_id", "text", "n_chars", "lang"))
-    item = read_table(spark, sf, "benchmark").where("item_id = 3")
-    return _ranked(search.search(docs, "doc_id", "text", item, "item_id", "text", FILTER))
+    items = read_table(spark, sf, "benchmark")
+    return _ranked(search.search(docs, "doc_id", "text", items, "item_id", "text", FILTER))
 
 
 @query("structured_filter", """

@@ -170,11 +170,20 @@ def test_rejected_answers_are_kept_apart(spark):
     assert [r["candidateid"] for r in rejected.collect()] == [2]
 
 
-def test_dedupe_asks_once(spark):
-    df = spark.createDataFrame([(i, "same" if i < 5 else None) for i in range(7)], "i int, p string")
-    number = extraction.batch_provider(lambda ps: [f"{p}:{len(ps)}" for p in ps])
-    got = extraction.ask(df, F.col("p"), number, "a", dedupe=True).orderBy("i").collect()
-    assert [r["a"] for r in got] == ["same:1"] * 5 + [None] * 2
+def test_dedupe_asks_once(spark, tmp_path):
+    rows = [(i, "same" if i < 3000 else f"p{i}" if i < 5000 else None) for i in range(5010)]
+    df = spark.createDataFrame(rows, "i int, p string")
+    log = str(tmp_path / "calls")
+
+    def call(prompts):
+        with open(log, "a") as f:
+            f.writelines(p + "\n" for p in prompts)
+        return [p.upper() for p in prompts]
+
+    got = extraction.ask(df, F.col("p"), extraction.batch_provider(call), "a", dedupe=True).orderBy("i").collect()
+    assert [r["a"] for r in got] == [p and p.upper() for _, p in rows]
+    asked = open(log).read().split()
+    assert len(asked) == len(set(asked)) == 2001
 
 
 def test_geo_fan_out(spark):
