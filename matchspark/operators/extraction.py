@@ -49,7 +49,8 @@ def ask(df: DataFrame, prompt: Column, provider: Provider, out: str, dedupe: boo
 def batch_provider(answer: Callable[[list[str]], list[str]]) -> Provider:
     """Provider from a function on lists of prompts, run on Arrow batches in the executors.
 
-    Marked as not deterministic, so that no plan rewrite calls the model twice.
+    Marked as not deterministic, so that no plan rewrite calls the model twice. Write
+    the answers to a table before a global sort, which reads its input twice.
     """
 
     @F.pandas_udf("string")

@@ -180,7 +180,8 @@ def test_dedupe_asks_once(spark, tmp_path):
             f.writelines(p + "\n" for p in prompts)
         return [p.upper() for p in prompts]
 
-    got = extraction.ask(df, F.col("p"), extraction.batch_provider(call), "a", dedupe=True).orderBy("i").collect()
+    got = extraction.ask(df, F.col("p"), extraction.batch_provider(call), "a", dedupe=True)
+    got = sorted(got.collect(), key=lambda r: r["i"])
     assert [r["a"] for r in got] == [p and p.upper() for _, p in rows]
     asked = open(log).read().split()
     assert len(asked) == len(set(asked)) == 2001
