@@ -96,6 +96,7 @@ def expand_roles(queries: DataFrame, column: str, terms: DataFrame, cutoff: floa
     else:
         raise ValueError(f"unknown similarity {similarity}")
     expanded = distinct.join(_expand(matched, terms), "query_norm", "left")
-    found = join_weighted(keyed.where("query_norm is not null"), expanded, ["query_norm"], "_asked")
+    total = keyed.agg(F.count("query_norm").alias("total")).scalar()
+    found = join_weighted(keyed.where("query_norm is not null"), expanded, ["query_norm"], "_asked", total)
     unnamed = keyed.where("query_norm is null").withColumn("synonyms", F.lit(None).cast("array<string>"))
     return found.unionByName(unnamed)
