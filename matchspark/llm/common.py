@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import sys
 import uuid
-from collections.abc import Callable, Hashable
+from collections.abc import Callable, Hashable, Iterable, Iterator
 from typing import Any
 
 import numpy as np
@@ -53,14 +53,15 @@ def texts_of(batch: pa.RecordBatch, name: str) -> list[bytes]:
     return column.view(kind).to_pylist()
 
 
-def int_column(batch: pa.RecordBatch, name: str) -> np.ndarray:
-    return batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 2048) -> Iterator[pa.RecordBatch]:
+    """Batches of fewer rows: Arrow batches of whole texts may be large."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
 
 
-def fixed_binary(flat: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """Binary column over one flat byte array; ends are the rows' ends in it."""
-    offsets = np.concatenate([[0], ends]).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
+def int_column(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
 
 
 def with_columns(batch: pa.RecordBatch, drop: set[str], **added: pa.Array) -> pa.RecordBatch:

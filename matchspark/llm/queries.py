@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matchspark.llm import bpe_fst, exact_dedup, packing, va_topk
+from matchspark.llm import (
+    bpe_fst,
+    exact_dedup,
+    license_scan,
+    packing,
+    quality_qda,
+    run_length_index,
+    secret_scan,
+    simhash_ring,
+    suffix_trees,
+    va_topk,
+)
 from matchspark.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,11 +54,41 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return va_topk.nearest(read_table(spark, folder, "embeddings"))
 
 
+@query("op2_simhash_pigeonring")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash_ring.near_digests(read_table(spark, folder, "documents"))
+
+
+@query("op3_suffix_tree_dedup")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_trees.removed_digests(read_table(spark, folder, "documents"))
+
+
+@query("op4_secret_ownership", secret_scan.SQL)
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.scan_digests(read_table(spark, folder, "documents"))
+
+
 @query("op5_vector_best_fit")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed_documents(read_table(spark, folder, "documents"), packing.default_file())
 
 
+@query("op6_license_dice", license_scan.sql())
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.notices(read_table(spark, folder, "documents"))
+
+
+@query("op7_quality_qda")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_qda.scored(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
+
+
+@query("op8_run_length_index")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return run_length_index.removed_digests(read_table(spark, folder, "documents"))
+
+
 EXACT_DEDUP_SQL = r"""
 WITH n AS (
   SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body FROM documents

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchspark.llm.common import fixed_binary, int_column, staged
+from matchspark.llm.common import int_column, staged
 
 #: Cells a component. Queries a block: what a scanning task holds in memory at once.
 CELLS, BLOCK = 256, 8192
