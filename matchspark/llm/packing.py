@@ -16,13 +16,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchspark.llm.common import staged, texts_of, whole_text, with_columns, worker_value
+from matchspark.llm.common import slices, staged, texts_of, whole_text, worker_value
 
 TOKENS = 2048
 #: Sequences a group is meant to fill: large enough that its last one hardly counts.
 GROUP = 1024
-#: Words a worker keeps the ids of before it starts anew.
-WORDS, CORES = 300_000, 600_000
+#: Words a worker keeps the ids of, twice at most: so many newer and so many older ones.
+WORDS, CORES = 300_000, 450_000
 
 
 class WordEncoder:
@@ -37,8 +37,9 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cores: dict[str, bytes] = {}
-        self.words: dict[bytes, bytes] = {}
+        #: Newer and older entries: what is met again moves to the newer ones, the rest goes.
+        self.cores: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        self.words: tuple[dict[bytes, bytes], dict[bytes, bytes]] = ({}, {})
         self.parts = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
         self.plain = regex.compile(r"[\x21-\x7e\xa1-\xac\xae-\xff]+")
 
@@ -46,34 +47,49 @@ class WordEncoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
+    def _cores(self, wanted: set[str]) -> dict[str, bytes]:
+        known, older = self.cores
+        fresh = []
+        for core in wanted.difference(known):
+            ids = older.get(core)
+            if ids is None:
+                fresh.append(core)
+            else:
+                known[core] = ids
+        known.update(zip(fresh, self._ask(fresh)))
+        if len(known) > CORES:  # the ones met since the last time stay
+            self.cores = ({}, known)
+        return known
+
     def learn(self, words: set[bytes]) -> None:
+        known, older = self.words
         whole, split = [], {}
         for word in words:
+            ids = older.get(word)
+            if ids is not None:
+                known[word] = ids
+                continue
             text = word.decode()
             if self.plain.fullmatch(text):
                 split[word] = self.parts.findall(text.lower())
             else:
                 whole.append(word)
-        if len(self.cores) > CORES:
-            self.cores.clear()
-        fresh = list({c for parts in split.values() for c in parts}.difference(self.cores))
-        self.cores.update(zip(fresh, self._ask(fresh)))
-        cores = self.cores
+        cores = self._cores({c for parts in split.values() for c in parts})
         for word, parts in split.items():
-            self.words[word] = b"".join([cores[c] for c in parts])
-        self.words.update(zip(whole, self._ask([w.decode() for w in whole])))
+            known[word] = cores[parts[0]] if len(parts) == 1 else b"".join([cores[c] for c in parts])
+        known.update(zip(whole, self._ask([w.decode() for w in whole])))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text, 32 bit little-endian."""
-        if len(self.words) > WORDS:
-            self.words.clear()
-        out, step = [], 256
+        out, step = [], 512
         for at in range(0, len(texts), step):
             split = [t.split() for t in texts[at:at + step]]
-            fresh = set().union(*split).difference(self.words)
+            if len(self.words[0]) > WORDS:
+                self.words = ({}, self.words[0])
+            fresh = set().union(*split).difference(self.words[0])
             if fresh:
                 self.learn(fresh)
-            known = self.words
+            known = self.words[0]
             out += [b"".join([known[w] for w in words]) for words in split]
         return out
 
@@ -107,23 +123,21 @@ def tokenise(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_value(("words", path), make)
-        for whole in batches:
-            for a in range(0, whole.num_rows, 2048):
-                batch = whole.slice(a, 2048)
-                row, piece, start, length, ids = [], [], [], [], []
-                for i, coded in enumerate(encoder.encode(texts_of(batch, "_text"))):
-                    coded += last
-                    for p, at in enumerate(range(0, len(coded), 4 * size)):
-                        body = coded[at:at + 4 * size]
-                        row.append(i)
-                        piece.append(p)
-                        start.append(at // 4)
-                        length.append(len(body) // 4)
-                        ids.append(body)
-                yield pa.RecordBatch.from_arrays(
-                    [batch[key].take(pa.array(row, pa.int32())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
-                     pa.array(length, pa.int64()), pa.array(ids, pa.binary())],
-                    names=[key, "piece", "start", "length", "ids"])
+        for batch in slices(batches):
+            row, piece, start, length, ids = [], [], [], [], []
+            for i, coded in enumerate(encoder.encode(texts_of(batch, "_text"))):
+                coded += last
+                for p, at in enumerate(range(0, len(coded), 4 * size)):
+                    body = coded[at:at + 4 * size]
+                    row.append(i)
+                    piece.append(p)
+                    start.append(at // 4)
+                    length.append(len(body) // 4)
+                    ids.append(body)
+            yield pa.RecordBatch.from_arrays(
+                [batch[key].take(pa.array(row, pa.int32())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
+                 pa.array(length, pa.int64()), pa.array(ids, pa.binary())],
+                names=[key, "piece", "start", "length", "ids"])
 
     return rows.mapInArrow(run, f"`{key}` {kind}, piece int, start long, length long, ids binary")
 
