@@ -67,12 +67,3 @@ def compile_filter(obj: dict) -> Column:
         else:
             raise ValueError(f"unknown filter operator {op}")
     return all_of(clauses)
-
-
-def age_province_filter(max_age: int | None = None, province: str | None = None) -> dict:
-    clauses = []
-    if max_age is not None:
-        clauses.append({"@lte": {"age": max_age}})
-    if province:
-        clauses.append({"@eq": {"province_ext": province}})
-    return {"@and": clauses} if clauses else {}

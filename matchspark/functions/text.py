@@ -64,6 +64,11 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, f"^{BLANK}++|{BLANK}++$", "")
 
 
+def place_name(c: Column) -> Column:
+    """A place as it is compared everywhere: outer blanks gone, lower case, never null."""
+    return F.coalesce(F.lower(strip(c)), F.lit(""))
+
+
 def remove_noise(c: Column, prose_runs: bool = True) -> Column:
     return F.regexp_replace(c, NOISE_PATTERN + (PROSE_RUN if prose_runs else ""), "")
 
@@ -117,7 +122,7 @@ def strip_html(c: Column) -> Column:
     return F.coalesce(decode_entities(visible), F.lit(""))
 
 
-def cap_length(c: Column, cap: int = vocab.TEXT_CAP) -> Column:
+def cap_length(c: Column, cap: int) -> Column:
     """Texts over the cap become '' (not null)."""
     return let(c, lambda x: F.when(F.length(x) > cap, F.lit("")).otherwise(x))
 

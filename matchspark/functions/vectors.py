@@ -53,11 +53,12 @@ def hash_embedding(c: Column, dims: int = 1024) -> Column:
 
     @F.pandas_udf("array<float>")
     def pack(buckets: pd.Series) -> pd.Series:
-        def one(ids):
-            counts = np.bincount(np.asarray(ids, dtype=np.int64), minlength=dims).astype(np.float64)
-            length = np.sqrt(counts @ counts)
-            return (counts / length if length else counts).astype(np.float32)
-
-        return buckets.map(one)
+        # One count over (row, bucket) for the whole batch.
+        sizes = buckets.str.len().to_numpy(np.int64)
+        ids = np.concatenate([*buckets.to_numpy(), np.empty(0, np.int64)]).astype(np.int64)
+        rows = np.repeat(np.arange(len(sizes)), sizes)
+        counts = np.bincount(rows * dims + ids, minlength=len(sizes) * dims).reshape(len(sizes), dims)
+        length = np.sqrt((counts.astype(np.float64) ** 2).sum(axis=1, keepdims=True))
+        return pd.Series(list((counts / np.where(length == 0, 1, length)).astype(np.float32)))
 
     return pack(hash_buckets(or_placeholder(c), dims))

@@ -23,9 +23,8 @@ def highest_level(c: Column, levels: list[str]) -> Column:
 
 def largest_percent(c: Column, allowed: list[int]) -> Column:
     """Largest allowed percentage named in the text; missing means 100, none named means null."""
-    stated = F.coalesce(c, F.lit("100%"))
-    named = [F.when(F.contains(stated, F.lit(str(v))), F.lit(v)).otherwise(F.lit(0)) for v in allowed]
-    return F.nullif(F.greatest(*named), F.lit(0))
+    stated, choices = F.coalesce(c, F.lit("100%")), F.array(*[F.lit(v) for v in allowed])
+    return F.array_max(F.filter(choices, lambda v: F.contains(stated, v.cast("string"))))
 
 
 def largest_number(c: Column, default: str = "1000") -> Column:
@@ -36,10 +35,9 @@ def largest_number(c: Column, default: str = "1000") -> Column:
 
 def append_shift(shifts: Column, answer: Column, shift: str = vocab.WEEKEND_SHIFT) -> Column:
     """Add the shift when the answer is true and the list (or null) lacks it."""
-    agreed = F.coalesce(F.lower(F.trim(answer)) == "true", F.lit(False))
-    held = F.coalesce(F.contains(F.array_join(shifts, ","), F.lit(shift)), F.lit(False))
-    grown = F.array_append(F.coalesce(shifts, F.array().cast("array<string>")), F.lit(shift))
-    return F.when(agreed & ~held, grown).otherwise(shifts)
+    known = F.coalesce(shifts, F.array().cast("array<string>"))
+    wanted = F.coalesce(F.lower(F.trim(answer)) == "true", F.lit(False)) & ~F.array_contains(known, F.lit(shift))
+    return F.when(wanted, F.array_append(known, F.lit(shift))).otherwise(shifts)
 
 
 def digits_only(c: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchspark import vocab
-from matchspark.functions import filters, geo
+from matchspark.functions import filters, geo, text
 
 
 @dataclass(frozen=True)
@@ -31,13 +31,14 @@ class Request:
 
 
 def in_provinces(df: DataFrame, provinces: tuple[str, ...]) -> DataFrame:
-    return df.where(F.lower("province_ext").isin([p.lower() for p in provinces])) if provinces else df
+    wanted = [p.strip().lower() for p in provinces]
+    return df.where(text.place_name(F.col("province_ext")).isin(wanted)) if wanted else df
 
 
 def _city(cities: DataFrame, name: str) -> Column:
     """The named city as a one-row scalar subquery; null when unknown."""
     return (
-        cities.where(F.lower(F.trim("city_name")) == name.strip().lower())
+        cities.where(text.place_name(F.col("city_name")) == name.strip().lower())
         .agg(F.min_by(F.struct("latitude", "longitude", "region"), F.col("unique_identifier")).alias("city"))
         .scalar()
     )
@@ -54,9 +55,10 @@ def place_clauses(df: DataFrame, request: Request, cities: DataFrame) -> tuple[D
         placed = geo.is_number(lat) & geo.is_number(lon)
         km = geo.haversine(lat, lon, F.col("latitude"), F.col("longitude"))
         df = df.withColumn("distance_km", F.when(placed, km).otherwise(F.lit(float(vocab.FAR_AWAY_KM))))
-        same_city = F.lower(F.trim("location")) == request.location.strip().lower()
+        same_city = text.place_name(F.col("location")) == request.location.strip().lower()
         near = F.when(F.coalesce(placed, F.lit(False)), F.col("distance_km") <= request.max_distance).otherwise(same_city)
-        same_region = (F.lower("region") == F.lower(F.trim(region))) & (F.trim(region) != "")
+        home = text.place_name(region)
+        same_region = (text.place_name(F.col("region")) == home) & (home != "")
         clauses += [near, same_region & (F.col("desired_location") == "Regionale")]
     return df, filters.any_of(clauses)
 
@@ -99,16 +101,3 @@ def filter_candidates(candidates: DataFrame, request: Request, cities: DataFrame
         rows = rows.where(filters.all_of(clauses))
     rows, place = place_clauses(rows, request, cities)
     return rows.where(place).drop("_city")
-
-
-def shifts_by_explode(df: DataFrame, key: str, shifts: str, wanted: list[str]) -> DataFrame:
-    """The same shift test as holds_all, by exploding and counting; kept as a cross-check."""
-    open_to_all = df.where(F.col(shifts).isNull() | (F.size(shifts) == 0))
-    full = (
-        df.select(key, F.explode(shifts).alias("_shift"))
-        .where(F.lower("_shift").isin([w.lower() for w in wanted]))
-        .groupBy(key)
-        .agg(F.countDistinct(F.lower("_shift")).alias("_n"))
-        .where(F.col("_n") == len({w.lower() for w in wanted}))
-    )
-    return df.join(full.select(key), key).unionAll(open_to_all)

@@ -12,16 +12,18 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchspark import vocab
-from matchspark.functions import filters, geo, vectors
+from matchspark.functions import filters, geo, text, vectors
 from matchspark.functions.geo import EARTH_RADIUS_KM
 from matchspark.functions.once import where_computed
 from matchspark.functions.vectors import EPSILON
 
 SIMS = ("last", "second", "third", "skills")
+CANDIDATE_VECTORS = ["last_job_emb", "second_last_job_emb", "third_last_job_emb", "skills_emb"]
 CANDIDATE_TILE = 8192
 VACANCY_TILE = 256
 CELL_DEGREES = 0.5
@@ -32,17 +34,24 @@ SENT_VACANCIES = 2048
 
 # --- one request -----------------------------------------------------------------
 
-def similarities(candidates: DataFrame, job: Column, skills: Column) -> DataFrame:
-    """The four cosines of each candidate with the vectors of one request."""
-    with_request = candidates.withColumns({"_job": job, "_skills": skills})
-    job, skills = F.col("_job"), F.col("_skills")
-    return with_request.select(
-        "candidate_id",
-        vectors.cosine(F.col("last_job_emb"), job).alias("last"),
-        vectors.cosine(F.col("second_last_job_emb"), job).alias("second"),
-        vectors.cosine(F.col("third_last_job_emb"), job).alias("third"),
-        vectors.cosine(F.col("skills_emb"), skills).alias("skills"),
-    )
+def similarities(candidates: DataFrame, job: list[float], skills: list[float]) -> DataFrame:
+    """The four cosines of each candidate with the vectors of one request, as matrix
+    products over Arrow batches. All vectors have the request's length."""
+    wanted = [np.asarray(job, np.float64)] * 3 + [np.asarray(skills, np.float64)]
+    people = with_vectors(candidates, CANDIDATE_VECTORS).select("candidate_id", *CANDIDATE_VECTORS)
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            out = [batch["candidate_id"]]
+            for name, vector in zip(CANDIDATE_VECTORS, wanted):
+                rows = batch[name].flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+                out.append(pa.array(rows @ vector / (np.linalg.norm(rows, axis=1) * np.linalg.norm(vector) + EPSILON)))
+            yield pa.RecordBatch.from_arrays(out, names=["candidate_id", *SIMS])
+
+    kind = people.schema["candidate_id"].dataType.simpleString()
+    return people.mapInArrow(run, f"candidate_id {kind}, " + ", ".join(f"{s} double" for s in SIMS))
 
 
 def weighted(weights: tuple[float, ...]) -> Column:
@@ -70,10 +79,13 @@ def score_request(
 ) -> DataFrame:
     """Top candidates of a one-row request (jobtitle_emb, skills_emb).
 
-    The request enters as scalar subqueries, so candidates are scanned where they
-    are; only four numbers per candidate remain for the minimum and the top k.
+    The one-row request is sent to the candidates, which are scanned where they are;
+    only four numbers per candidate remain for the minimum and the top k.
     """
-    sims = similarities(candidates, request.select("jobtitle_emb").scalar(), request.select("skills_emb").scalar())
+    asked = request.select("jobtitle_emb", "skills_emb").first()
+    if asked is None or asked[0] is None or asked[1] is None:
+        return best(similarities(candidates.limit(0), [], []), k, weights)
+    sims = similarities(candidates, asked[0], asked[1])
     if scale:
         # The exchange holds the small rows; the minimum and the score reuse it
         # instead of reading the vectors twice.
@@ -105,25 +117,26 @@ def _everywhere() -> Column:
 
 
 def candidate_blocks(candidates: DataFrame, cell: float = CELL_DEGREES) -> DataFrame:
-    """One row per block in which a vacancy may admit the candidate.
+    """One row per block in which a vacancy may admit a prepared candidate.
 
     Candidates every vacancy admits sit in the block 'G' only; the others in
     their region (if regional), grid cell and city.
     """
-    regional = F.coalesce(F.col("desired_location") == "Regionale", F.lit(False)) & F.col("region").isNotNull()
+    regional = F.coalesce(F.col("desired_location") == "Regionale", F.lit(False)) & (F.col("region") != "")
     placed = geo.is_number(F.col("latitude")) & geo.is_number(F.col("longitude"))
     keys = F.array_compact(F.array(
-        F.when(regional, F.concat(F.lit("R:"), F.lower(F.trim("region")))),
+        F.when(regional, F.concat(F.lit("R:"), "region")),
         F.when(placed, _cell_name(_cell(F.col("latitude"), -90, cell), _cell(F.col("longitude"), -180, cell))),
-        F.when(F.col("location").isNotNull(), F.concat(F.lit("L:"), F.lower(F.trim("location")))),
+        F.when(F.col("location") != "", F.concat(F.lit("L:"), "location")),
     ))
     return candidates.withColumn(
-        "block", F.explode(F.when(_everywhere(), F.array(F.lit("G"))).otherwise(keys)))
+        "block", F.explode(F.when(F.col("everywhere"), F.array(F.lit("G"))).otherwise(keys)))
 
 
 def vacancy_blocks(vacancies: DataFrame, cell: float = CELL_DEGREES) -> DataFrame:
-    """One row per block a vacancy draws from: everyone, its region, and the grid
-    cells its radius touches, or its city when it has no coordinates."""
+    """One row per block a prepared vacancy draws from: everyone, its region, and the grid
+    cells its radius touches, or its city when it has no coordinates. Without a radius
+    nobody is near."""
     placed = geo.is_number(F.col("latitude")) & geo.is_number(F.col("longitude"))
     reach = F.col("max_distance") / F.lit(KM_PER_DEGREE)
     south = F.greatest(F.col("latitude") - reach, F.lit(-90.0))
@@ -138,12 +151,12 @@ def vacancy_blocks(vacancies: DataFrame, cell: float = CELL_DEGREES) -> DataFram
         F.sequence(_cell(south, -90, cell), _cell(north, -90, cell)),
         lambda y: F.transform(
             F.sequence(first, last), lambda x: _cell_name(y, F.pmod(x, F.lit(columns)).cast("int")))))
-    city = F.when(F.coalesce(F.trim("location"), F.lit("")) != "", F.concat(F.lit("L:"), F.lower(F.trim("location"))))
-    keys = F.array_compact(F.array(
-        F.lit("G"),
-        F.when(F.trim("region") != "", F.concat(F.lit("R:"), F.lower(F.trim("region")))),
-    ))
-    near = F.when(F.coalesce(placed, F.lit(False)), cells).otherwise(F.array_compact(F.array(city)))
+    city = F.when(F.col("location") != "", F.concat(F.lit("L:"), "location"))
+    keys = F.array_compact(F.array(F.lit("G"), F.when(F.col("region") != "", F.concat(F.lit("R:"), "region"))))
+    near = (
+        F.when(F.coalesce(placed, F.lit(False)) & F.col("max_distance").isNotNull(), cells)
+        .when(F.coalesce(placed, F.lit(False)), F.array().cast("array<string>"))
+        .otherwise(F.array_compact(F.array(city))))
     return vacancies.withColumn("block", F.explode(F.concat(keys, near)))
 
 
@@ -211,8 +224,7 @@ def _upper_bound(c: pd.Series, v: pd.Series) -> np.ndarray:
 
 
 def _by_region(c: pd.DataFrame, v: pd.DataFrame) -> np.ndarray:
-    c_region = c["region"].fillna("").str.strip().str.lower().to_numpy()[:, None]
-    v_region = v["region"].fillna("").str.strip().str.lower().to_numpy()[None, :]
+    c_region, v_region = c["region"].to_numpy()[:, None], v["region"].to_numpy()[None, :]
     regional = (c["desired_location"].fillna("") == "Regionale").to_numpy()[:, None]
     return regional & (c_region == v_region) & (v_region != "")
 
@@ -235,16 +247,27 @@ def _place_in_block(c: pd.DataFrame, v: pd.DataFrame) -> np.ndarray:
 def _place(c: pd.DataFrame, v: pd.DataFrame) -> np.ndarray:
     """The whole place clause, without blocks."""
     placed = v["latitude"].notna().to_numpy() & v["longitude"].notna().to_numpy()
-    c_city = c["location"].fillna("").str.strip().str.lower().to_numpy()[:, None]
-    v_city = v["location"].fillna("").str.strip().str.lower().to_numpy()[None, :]
+    c_city, v_city = c["location"].to_numpy()[:, None], v["location"].to_numpy()[None, :]
     same_city = ~placed[None, :] & (c_city == v_city) & (v_city != "")
     return c["everywhere"].to_numpy(bool)[:, None] | _by_region(c, v) | _within_reach(c, v) | same_city
 
 
+def _served(c: pd.DataFrame, v: pd.DataFrame) -> np.ndarray:
+    """Candidates of the provinces a vacancy names; one that names none takes all."""
+    ok, known = np.ones((len(c), len(v)), dtype=bool), {}
+    for j, names in enumerate(v["provinces"]):
+        if names is not None and len(names):
+            names = frozenset(names)
+            if names not in known:
+                known[names] = c["province_ext"].isin(names).to_numpy()
+            ok[:, j] = known[names]
+    return ok
+
+
 def _admitted(c: pd.DataFrame, v: pd.DataFrame) -> np.ndarray:
     """Which pairs the structured filter admits."""
     ok = _place_in_block(c, v) if "block" in c else _place(c, v)
-    ok = ok & _upper_bound(c["age"], v["max_age"])
+    ok = ok & _served(c, v) & _upper_bound(c["age"], v["max_age"])
     ok &= _upper_bound(c["salary_low"], v["max_ral"])
     ok &= _upper_bound(c["available_day"], v["available_day"])
     have, need = c["parttime_preferenza_perc"].to_numpy(float)[:, None], v["parttime_preferenza_perc"].to_numpy(float)[None, :]
@@ -277,13 +300,13 @@ def shift_bits(c: Column, shifts: list[str] = vocab.SHIFTS) -> Column:
 
 
 CANDIDATE_COLUMNS = [
-    "candidate_id", "region", "desired_location", "latitude", "longitude", "age",
+    "candidate_id", "region", "province_ext", "desired_location", "latitude", "longitude", "age",
     "salary_low", "available_day", "parttime_preferenza_perc", "shift_bits", "education_rank",
     "skills", "languages", "certifications",
     "last_job_emb", "second_last_job_emb", "third_last_job_emb", "skills_emb",
 ]
 VACANCY_COLUMNS = [
-    "vacancy_id", "region", "latitude", "longitude", "max_distance", "max_age", "max_ral",
+    "vacancy_id", "region", "provinces", "latitude", "longitude", "max_distance", "max_age", "max_ral",
     "available_day", "parttime_preferenza_perc", "shift_bits", "education_rank",
     "skills_mand", "languages_mand", "certifications_mand", "jobtitle_emb", "skills_emb",
 ]
@@ -293,8 +316,22 @@ def _days(c: Column) -> Column:
     return F.unix_date(c.cast("date"))
 
 
+def _or_null(df: DataFrame, name: str, kind: str) -> Column:
+    return F.col(name) if name in df.columns else F.lit(None).cast(kind)
+
+
+def with_vectors(df: DataFrame, names: list[str]) -> DataFrame:
+    """Rows that have all vectors; others can't be scored and take no part, nor in the minima."""
+    for name in names:
+        df = df.where(F.col(name).isNotNull())
+    return df
+
+
 def prepare_candidates(candidates: DataFrame) -> DataFrame:
-    return candidates.withColumns({
+    scored = with_vectors(candidates, CANDIDATE_VECTORS)
+    return scored.withColumns({
+        "region": text.place_name(F.col("region")), "location": text.place_name(F.col("location")),
+        "province_ext": text.place_name(_or_null(candidates, "province_ext", "string")),
         "available_day": _days(F.col("date_available")),
         "shift_bits": shift_bits(F.col("turno_preferenza")),
         "education_rank": filters.level_rank(F.col("education"), vocab.EDUCATION_LEVELS),
@@ -304,7 +341,9 @@ def prepare_candidates(candidates: DataFrame) -> DataFrame:
 
 def prepare_vacancies(vacancies: DataFrame) -> DataFrame:
     wanted = shift_bits(F.col("turno_preferenza")).bitwiseAND(F.lit((1 << len(vocab.SHIFTS)) - 1))
-    return vacancies.withColumns({
+    return with_vectors(vacancies, ["jobtitle_emb", "skills_emb"]).withColumns({
+        "region": text.place_name(F.col("region")), "location": text.place_name(F.col("location")),
+        "provinces": F.transform(_or_null(vacancies, "provinces", "array<string>"), text.place_name),
         "available_day": _days(F.col("date_available")),
         "shift_bits": wanted,
         "education_rank": filters.level_rank(F.col("education_mand"), vocab.EDUCATION_LEVELS),
@@ -315,12 +354,21 @@ def prepare_vacancies(vacancies: DataFrame) -> DataFrame:
 
 # --- many requests: the two passes on a pair of batches ------------------------------
 
+def _any_admitted(c: pd.DataFrame, v: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
+    """Candidates that some vacancy of the batch admits: only their vectors are multiplied."""
+    ok = _admitted(c, v)
+    rows = ok.any(axis=1)
+    return c[rows], ok[rows]
+
+
 def _lowest(c: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
     """Minimum of each similarity per vacancy over the admitted candidates."""
     if c.empty or v.empty:
         return pd.DataFrame(columns=["vacancy_id", *SIMS])
-    ok = _admitted(c, v)
+    c, ok = _any_admitted(c, v)
     some = ok.any(axis=0)
+    if not some.any():
+        return pd.DataFrame(columns=["vacancy_id", *SIMS])
     sims = _cosines(c, v)
     lows = {s: np.where(ok, sims[s], np.inf).min(axis=0)[some] for s in SIMS}
     return pd.DataFrame({"vacancy_id": v["vacancy_id"].to_numpy()[some], **lows})
@@ -342,7 +390,10 @@ def _top(c: pd.DataFrame, v: pd.DataFrame, weights: tuple[float, ...], k: int) -
     names = ["vacancy_id", "candidate_id", "raw"]
     if c.empty or v.empty:
         return pd.DataFrame(columns=names)
-    ok, sims = _admitted(c, v), _cosines(c, v)
+    c, ok = _any_admitted(c, v)
+    if c.empty:
+        return pd.DataFrame(columns=names)
+    sims = _cosines(c, v)
     score = np.zeros(ok.shape)
     for weight, s in zip(weights, SIMS):
         low = v[f"low_{s}"].to_numpy(float)[None, :]
@@ -422,6 +473,10 @@ def match_all(
 ) -> DataFrame:
     """Filter, score and rank candidates for every vacancy: (vacancy_id, candidate_id, score, rank).
 
+    Place names are compared without outer blanks and case; a vacancy may name provinces
+    (array<string>) that candidates must live in. A null radius reaches nobody. Rows with a
+    null vector take no part.
+
     Exact: similarities are scaled by their minimum over all admitted candidates of
     the vacancy, then the best k are kept per task and again overall. Up to
     sent_vacancies vacancies are sent to the candidates; more are matched in tiles.

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,8 +9,7 @@ from matchspark.functions.text import alphanumeric
 from matchspark.operators.skew import join_weighted
 
 CUTOFF = 0.85
-MOST_CLOSE = 20
-DICTIONARY_LIMIT = 50_000
+PIECE = 3
 
 
 def dictionary(df: DataFrame, role: str = "role", synonyms: str = "synonyms", order: str | None = None) -> DataFrame:
@@ -25,12 +21,6 @@ def dictionary(df: DataFrame, role: str = "role", synonyms: str = "synonyms", or
     )
 
 
-def _check_size(terms: DataFrame) -> None:
-    """The dictionary is configuration; refuse one too large to hand to every task."""
-    if terms.limit(DICTIONARY_LIMIT + 1).count() > DICTIONARY_LIMIT:
-        raise ValueError(f"synonym dictionary holds more than {DICTIONARY_LIMIT} terms")
-
-
 def _spellings(terms: DataFrame) -> DataFrame:
     """Each normalised spelling once, owned by the first role that uses it."""
     names = terms.select("role_pos", F.lit(-1).alias("term_pos"), "role", F.col("role_norm").alias("norm"))
@@ -59,42 +49,52 @@ def _expand(matched: DataFrame, terms: DataFrame) -> DataFrame:
     )
 
 
-def expand_roles(queries: DataFrame, column: str, terms: DataFrame, cutoff: float = CUTOFF, similarity: str = "edit") -> DataFrame:
+def _pieces(c: Column, sizes: list[int]) -> Column:
+    """Distinct substrings of the given sizes."""
+    whole = [F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: F.substring(c, i, F.lit(n))))
+             .otherwise(F.array().cast("array<string>")) for n in sizes]
+    return F.array_distinct(F.concat(*whole))
+
+
+def _keys(c: Column, cutoff: float, inner: str, outer: str) -> Column:
+    """Keys under which a spelling meets those it may match.
+
+    inner: its own beginning, found among the pieces of a spelling that contains it;
+    outer: all its pieces, for those it contains itself; and for close spellings a few of
+    its pieces in one fixed order: k edits leave all but 3k of a spelling's pieces alone,
+    so two close spellings share one among the first 3k + 1 of each.
+    """
+    begin = F.array(F.concat(F.lit(inner), F.substring(c, F.lit(1), F.lit(PIECE))))
+    within = F.transform(F.array_append(_pieces(c, list(range(1, PIECE + 1))), F.lit("")), lambda x: F.concat(F.lit(outer), x))
+    # The longer of a close pair is at most 1 / cutoff times as long as this one.
+    edits = F.floor(F.length(c) / F.lit(cutoff) * F.lit(1 - cutoff) + F.lit(1e-9)).cast("int")
+    ordered = F.array_sort(F.transform(_pieces(c, [PIECE]), lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("piece"))))
+    few = F.transform(F.slice(ordered, F.lit(1), PIECE * edits + 1), lambda x: F.concat(F.lit("e:"), x["piece"]))
+    return F.concat(begin, within, few)
+
+
+def matches(queries: DataFrame, spellings: DataFrame, cutoff: float) -> DataFrame:
+    """(query_norm, role): spellings close to a query, containing it or contained in it.
+
+    Only pairs that share a key are compared, so neither side has a limit.
+    """
+    q, n = F.col("query_norm"), F.col("norm")
+    asked = queries.select("query_norm", F.explode(_keys(q, cutoff, "a:", "b:")).alias("_key"))
+    known = spellings.select("norm", "role", F.explode(_keys(n, cutoff, "b:", "a:")).alias("_key"))
+    pairs = asked.join(known, "_key").select("query_norm", "norm", "role").distinct()
+    near = F.abs(F.length(q) - F.length(n)) <= (1 - cutoff) * F.greatest(F.length(q), F.length(n)) + 1e-9
+    close = near & (edit_ratio(q, n) >= cutoff)
+    return pairs.where(F.contains(n, q) | F.contains(q, n) | close).select("query_norm", "role").distinct()
+
+
+def expand_roles(queries: DataFrame, column: str, terms: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """Synonyms of every role matched by the query: close spelling, or one inside the other.
 
-    Distinct normalised queries only are compared. The dictionary reaches the
-    tasks as one array (edit) or one list (blocks), after a size check.
-    similarity="blocks" is the longest-matching-blocks ratio of Python's difflib
-    with at most 20 close spellings; "edit" is the edit-distance ratio.
+    Distinct normalised queries only are compared, with the spellings that share a piece.
     """
-    _check_size(terms)
     keyed = queries.withColumn("query_norm", alphanumeric(F.col(column)))
     distinct = keyed.where("query_norm is not null").groupBy("query_norm").agg(F.count("*").alias("_asked"))
-    spellings = _spellings(terms)
-    if similarity == "edit":
-        known = spellings.agg(F.collect_list(F.struct("norm", "role")).alias("known")).scalar()
-        q = F.col("query_norm")
-        hits = F.filter(F.col("known"), lambda s: (
-            (edit_ratio(q, s["norm"]) >= cutoff) | F.contains(s["norm"], q) | F.contains(q, s["norm"])))
-        matched = (
-            distinct.withColumn("known", known)
-            .select("query_norm", F.explode(F.array_distinct(F.transform(hits, lambda s: s["role"]))).alias("role"))
-        )
-    elif similarity == "blocks":
-        known = {r["norm"]: r["role"] for r in spellings.collect()}
-
-        def close(batches):
-            for batch in batches:
-                rows = []
-                for query in batch["query_norm"]:
-                    near = set(difflib.get_close_matches(query, known, n=MOST_CLOSE, cutoff=cutoff))
-                    roles = {role for norm, role in known.items() if norm in near or query in norm or norm in query}
-                    rows += [(query, role) for role in roles]
-                yield pd.DataFrame(rows, columns=["query_norm", "role"])
-
-        matched = distinct.select("query_norm").mapInPandas(close, "query_norm string, role string")
-    else:
-        raise ValueError(f"unknown similarity {similarity}")
+    matched = matches(distinct.select("query_norm"), _spellings(terms), cutoff)
     expanded = distinct.join(_expand(matched, terms), "query_norm", "left")
     total = keyed.agg(F.count("query_norm").alias("total")).scalar()
     found = join_weighted(keyed.where("query_norm is not null"), expanded, ["query_norm"], "_asked", total)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from matchspark import vocab
 from matchspark.functions import filters
 from matchspark.operators import matching, rubric, synonyms
-from matchspark.operators.filtering import Request, filter_candidates, shifts_by_explode
+from matchspark.operators.filtering import Request, filter_candidates
 from matchspark.plans.feature_queries import SQL_CITIES, raw_cities
 from matchspark.plans.registry import query
 from matchspark.sources.tables import load_cities, lookup, read_table, spread
@@ -107,7 +107,7 @@ def candidate_filter(spark, sf):
 def shifts_match_all(spark, sf):
     shifts = F.when(F.col("p_size") < 10, F.array().cast("array<string>")).otherwise(F.split("p_name", " "))
     parts = read_table(spark, sf, "part").select("p_partkey", "p_name", shifts.alias("shifts"))
-    return shifts_by_explode(parts, "p_partkey", "shifts", ["red", "ring"]).select("p_partkey", "p_name")
+    return parts.where(filters.holds_all(F.col("shifts"), F.array(F.lit("Red"), F.lit("ring")))).select("p_partkey", "p_name")
 
 
 # --- scores: each vector row is a candidate (rotated for its four vectors) and a vacancy ---
@@ -343,9 +343,3 @@ SQL_NORM = r"regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}]+', '', 'g')"
 def synonym_expand(spark, sf):
     found = synonyms.expand_roles(role_queries(spark, sf), "query", role_dictionary(spark, sf))
     return found.select("p_partkey", F.array_join("synonyms", ", ").alias("synonyms"))
-
-
-@query("synonym_expand_blocks")
-def synonym_expand_blocks(spark, sf):
-    found = synonyms.expand_roles(role_queries(spark, sf), "query", role_dictionary(spark, sf), similarity="blocks")
-    return found.select("p_partkey", F.array_join("synonyms", ", ").alias("synonyms"))

@@ -56,7 +56,6 @@ SEARCH_OUTPUT = ["candidateid", "age", "location", "province_ext", *SEARCH_COLUM
 NO_TEXT = "Non disponibile"
 FAR_AWAY_KM = 999999
 JUNK_WORDS = ["null", "none", "nan"]
-CHAT_ACTION = "joboti"
 CHAT_QUESTION = "Sei disponibile a lavorare nel fine settimana?"
 RAW_HEADER = "Description"
 CHAT_HEADER = "Chatwa"

@@ -1,4 +1,3 @@
-import difflib
 import math
 import random
 from datetime import date
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 from matchspark import vocab
 from matchspark.functions import filters, geo, vectors
 from matchspark.operators import matching, synonyms
-from matchspark.operators.filtering import Request, filter_candidates, shifts_by_explode
+from matchspark.operators.filtering import Request, filter_candidates
 from matchspark.plans import jobs
 from matchspark.sources import tables
 
@@ -100,6 +99,29 @@ def test_matching_equals_brute_force(spark, seed, options):
     assert sorted(tuple(r) for r in got.collect()) == brute_force(candidates, vacancies, 7)
 
 
+@pytest.mark.parametrize("options", [{}, {"sent_vacancies": 0}, {"sent_vacancies": 0, "candidate_tile": 8, "vacancy_tile": 2, "cell": 2.0}])
+def test_dirty_places_radius_provinces_and_vectors(spark, options):
+    """Tabs around names, no radius, provinces and missing vectors mean the same on every path."""
+    candidates, vacancies = random_sides(5)
+    provinces = ["Bari", " modena", "LECCE", None]
+    people = [(*c[:2], f"{c[2]}\t" if c[2] and i % 3 == 0 else c[2], *c[3:-1], None if i % 17 == 0 else c[-1], provinces[i % 4]) for i, c in enumerate(candidates)]
+    wanted = [["bari", "Modena\t"], [], None]
+    openings = [(*v[:2], f"\t{v[2]} " if v[2] else v[2], *v[3:5], None if i % 4 == 0 else v[5], *v[6:-1], None if i == 7 else v[-1], wanted[i % 3]) for i, v in enumerate(vacancies)]
+    got = matching.match_all(
+        spark.createDataFrame(openings, VACANCY + ", provinces array<string>"),
+        spark.createDataFrame(people, CANDIDATE + ", province_ext string").repartition(5), k=7, **options)
+    low = lambda s: (s or "").strip().lower()
+    expected = []
+    for v in openings:
+        served = {low(p) for p in v[-1] or []}
+        pool = [c[:-1] for c in people if c[-2] is not None and (not served or low(c[-1]) in served)]
+        plain = [*v[:-1]]
+        plain[5] = -1.0 if plain[5] is None else plain[5]
+        if v[-2] is not None:
+            expected += brute_force(pool, [tuple(plain)], 7)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(expected)
+
+
 def test_hot_block_is_cut_into_bounded_tiles(spark):
     people = spark.range(3000).select(F.col("id").alias("candidate_id"), F.when(F.col("id") < 2000, F.lit("G")).otherwise(F.concat(F.lit("R:"), F.col("id") % 50)).alias("block"))
     openings = spark.range(40).select(F.col("id").alias("vacancy_id"), F.lit("G").alias("block"))
@@ -176,6 +198,13 @@ def test_search_job_shapes_result(spark):
     assert len(rows) == 2 and rows[0]["Score"] >= rows[1]["Score"] and rows[0]["URL"].startswith("[Open Link](")
 
 
+def shifts_by_explode(df, key, shifts, wanted):
+    """The shift test as exploding and counting."""
+    low = [w.lower() for w in wanted]
+    full = df.select(key, F.explode(shifts).alias("s")).where(F.lower("s").isin(low)).groupBy(key).agg(F.countDistinct(F.lower("s")).alias("n"))
+    return df.join(full.where(F.col("n") == len(set(low))).select(key), key).unionAll(df.where(F.col(shifts).isNull() | (F.size(shifts) == 0)))
+
+
 def test_shift_forms_agree(spark):
     df = spark.createDataFrame([(1, ["Mattina", "Notte"]), (2, ["mattina"]), (3, []), (4, None), (5, ["Notte", "Notte"]), (6, ["notte", "x", "MATTINA"])], "i int, s array<string>")
     wanted = F.array(F.lit("Mattina"), F.lit("Notte"))
@@ -197,31 +226,42 @@ def test_hash_embedding_is_unit_and_repeatable(spark):
     assert none == empty and sum(none) > 0 and sum(symbols) == 0
 
 
-ROLES = {"acquisti": ["buyer", "procurement", "gestione ordini"], "magazzino": ["magazziniere", "carico scarico", "buyer"], "direttore_acquisti": ["purchasing director"]}
+def plain_expansion(roles, query, cutoff):
+    def norm(text):
+        return "".join(ch for ch in text.lower() if ch.isalnum())
 
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
 
-def stated_expansion(query, cutoff):
-    norm = lambda s: "".join(ch for ch in s.lower() if ch.isalnum())
     owner = {}
-    for role in sorted(ROLES):
-        for word in [role, *ROLES[role]]:
+    for role in sorted(roles):
+        for word in [role, *roles[role]]:
             owner.setdefault(norm(word), role)
     q = norm(query)
-    near = difflib.get_close_matches(q, list(owner), n=20, cutoff=cutoff)
-    roles = {r for n, r in owner.items() if n in near or q in n or n in q}
-    return list(dict.fromkeys(t for r in sorted(ROLES) if r in roles for t in ROLES[r]))
+    close = lambda n: 1 - edits(q, n) / max(len(q), len(n), 1) >= cutoff - 1e-12
+    found = {r for n, r in owner.items() if q in n or n in q or close(n)}
+    return list(dict.fromkeys(t for r in sorted(roles) if r in found for t in roles[r]))
 
 
-def test_synonyms_by_blocks_equal_stated_rule(spark):
-    terms = synonyms.dictionary(spark.createDataFrame(list(ROLES.items()), "role string, synonyms array<string>"))
-    asked = ["Buyer", "senior buyer", "magazinere", "Direttore Acquisti", "acquisto", "pilota", "purchasing", "carico-scarico"]
-    got = synonyms.expand_roles(spark.createDataFrame([(q,) for q in asked], "q string"), "q", terms, 0.8, "blocks")
-    assert {r["q"]: r["synonyms"] for r in got.collect()} == {q: stated_expansion(q, 0.8) or None for q in asked}
+@pytest.mark.parametrize("cutoff", [0.85, 0.6])
+def test_synonyms_equal_stated_rule(spark, cutoff):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcde ") for _ in range(rng.randint(1, 12)))
+    roles = {f"role {i}": [word() for _ in range(4)] for i in range(25)} | {"acquisti": ["buyer", "procurement", "gestione ordini"]}
+    asked = [word() for _ in range(60)] + ["Senior Buyer", "procurment", "a", "ab", "gestione-ordine", "zzz"]
+    asked += [t[:-1] + "x" for ts in roles.values() for t in ts]
+    asked = sorted({q for q in asked if any(ch.isalnum() for ch in q)})
+    terms = synonyms.dictionary(spark.createDataFrame(list(roles.items()), "role string, synonyms array<string>"))
+    got = synonyms.expand_roles(spark.createDataFrame([(q,) for q in asked], "q string"), "q", terms, cutoff)
+    assert {r["q"]: r["synonyms"] for r in got.collect()} == {q: plain_expansion(roles, q, cutoff) or None for q in asked}
 
 
 def test_scalar_synonym_is_one_term(spark):
     terms = synonyms.dictionary(spark.createDataFrame([("accettazione", "accoglienza")], "role string, synonyms string"))
     got = synonyms.expand_roles(spark.createDataFrame([("Accettazione",)], "q string"), "q", terms).first()
     assert got["synonyms"] == ["accoglienza"]
-    with pytest.raises(ValueError):
-        synonyms.expand_roles(spark.createDataFrame([("x",)], "q string"), "q", terms, similarity="other")

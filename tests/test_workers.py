@@ -11,7 +11,7 @@ import sys; sys.path.insert(0, {ROOT!r})
 from __spark_entry__ import queries
 from matchspark.session import local_session
 spark = local_session(2, "2g")
-for name in ("batch_match_topk", "batch_match_tiled", "hash_embedding", "synonym_expand_blocks"):
+for name in ("batch_match_topk", "batch_match_tiled", "hash_embedding", "vector_score_topk"):
     assert queries()[name](spark, "/root/testdata/sf0.001").count() > 0, name
 print("fine")
 """
