@@ -10,8 +10,8 @@ from matchspark.operators.skew import join_weighted
 # Weekday order.
 WEEKDAYS = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
 
-BUCKETS_PER_FOLD = 1024
-BUCKET_OFFSET = 1_000_000
+#: A range that holds wanted ranks is cut into so many parts, so many times.
+PARTS, ROUNDS = 1024, 3
 
 
 def value_counts(df: DataFrame, column: str, by: str = "count", top: int | None = None) -> DataFrame:
@@ -85,29 +85,17 @@ def pair_counts(df: DataFrame, x: str, y: str) -> DataFrame:
     """Every row with the number of rows sharing its (x, y); null where one is null.
 
     Counts are made by a partial aggregate and joined back, so that a very common
-    pair is not gathered in one window.
+    pair is not gathered in one window; its rows are split by the skewed join.
     """
-    whole = F.col(x).isNotNull() & F.col(y).isNotNull()
-    counts = df.where(whole).groupBy(x, y).agg(F.count("*").alias("pair_count"))
-    counted = join_weighted(
-        df.where(whole), counts.withColumn("_weight", F.col("pair_count")), [x, y], "_weight")
-    rest = df.where(~whole).withColumn("pair_count", F.lit(None).cast("long"))
-    return counted.select(*df.columns, "pair_count").unionByName(rest)
-
-
-def _value_bucket(x: Column) -> Column:
-    """A number that never falls as x grows: the scaled logarithm with the sign of x."""
-    magnitude = F.floor(F.log(F.abs(x)) * BUCKETS_PER_FOLD) + F.lit(BUCKET_OFFSET)
-    bucket = F.when(x == 0, F.lit(0)).otherwise(F.signum(x) * magnitude).cast("long")
-    # Never null, so a join on it adds no filter and the counted values are shuffled once.
-    return F.coalesce(bucket, F.lit(0))
+    counts = df.groupBy(x, y).agg(F.count("*").alias("pair_count"))
+    return df.join(counts.where(F.col(x).isNotNull() & F.col(y).isNotNull()), [x, y], "left").select(*df.columns, "pair_count")
 
 
 def _counted(df: DataFrame, group: str, value: str) -> DataFrame:
-    """(g, x, c): how often each value occurs in each group."""
+    """(g, x, c): how often each finite value occurs in each group."""
     return (
         df.select(F.col(group).alias("g"), F.col(value).cast("double").alias("x"))
-        .where("g is not null and x is not null and not isnan(x)")
+        .where("g is not null and x is not null and not isnan(x) and abs(x) < double('infinity')")
         .groupBy("g", "x").agg(F.count("*").alias("c"))
     )
 
@@ -115,30 +103,43 @@ def _counted(df: DataFrame, group: str, value: str) -> DataFrame:
 def _quantiles(counts: DataFrame, points: list[float]) -> DataFrame:
     """(g, p, q, n) from counted values.
 
-    Values fall into buckets that need no statistics of the group. Bucket totals
-    tell which buckets hold a wanted rank; only the values of those are ordered, so
-    no task sees a whole group.
+    Ranges between the smallest and largest value are cut into equal parts; totals of the
+    parts tell which hold a wanted rank, and only those are cut again. In the end only the
+    values of a few parts, each a billionth of a group's range, are ordered, so no task
+    sees a whole group however its values lie.
     """
-    placed = counts.withColumn("bucket", _value_bucket(F.col("x")))
-    whole = Window.partitionBy("g")
-    before = whole.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     ranks = [
         F.struct(F.lit(p).alias("p"), at.alias("at"), rank.cast("long").alias("rank"))
         for p in points for at in [F.lit(p) * (F.col("n") - 1)] for rank in (F.floor(at), F.ceil(at))]
-    inside = lambda r, first, size: (r["rank"] >= first) & (r["rank"] < first + size)
-    needed = (
-        placed.groupBy("g", "bucket").agg(F.sum("c").alias("size"))
-        .withColumns({"before": F.coalesce(F.sum("size").over(before), F.lit(0)), "n": F.sum("size").over(whole)})
-        .withColumn("ranks", F.filter(F.array_distinct(F.array(*ranks)), lambda r: inside(r, F.col("before"), F.col("size"))))
-        .where(F.size("ranks") > 0)
-        .drop("size")
-    )
-    in_order = Window.partitionBy("g", "bucket").orderBy("x")
+
+    def inside(first: Column, size: Column):
+        return lambda r: (r["rank"] >= first) & (r["rank"] < first + size)
+
+    # A range: its smallest and largest value, the values before it, and the ranks it holds.
+    ranges = counts.groupBy("g").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("c").alias("n")).select(
+        "g", "n", "lo", "hi", F.lit(0).cast("long").alias("before"), F.array_distinct(F.array(*ranks)).alias("ranks"))
+
+    def placed(ranges: DataFrame) -> DataFrame:
+        r = ranges.withColumnRenamed("g", "_g")
+        return counts.join(r, (F.col("g") == F.col("_g")) & (F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi"))).drop("_g")
+
+    for _ in range(ROUNDS):
+        # Halves are subtracted, so that the widest range of doubles does not overflow.
+        share = (F.col("x") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
+        part = F.when(F.col("lo") == F.col("hi"), F.lit(0)).otherwise(F.least(F.floor(share * PARTS), F.lit(PARTS - 1)))
+        sized = placed(ranges).groupBy("g", "n", "lo", "before", "ranks", part.alias("part")).agg(
+            F.sum("c").alias("size"), F.min("x").alias("low"), F.max("x").alias("high"))
+        earlier = Window.partitionBy("g", "lo").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        first = F.col("before") + F.coalesce(F.sum("size").over(earlier), F.lit(0))
+        ranges = (
+            sized.withColumn("first", first)
+            .withColumn("ranks", F.filter("ranks", inside(F.col("first"), F.col("size"))))
+            .where(F.size("ranks") > 0)
+            .select("g", "n", F.col("low").alias("lo"), F.col("high").alias("hi"), F.col("first").alias("before"), "ranks"))
+    in_order = Window.partitionBy("g", "lo").orderBy("x")
     found = (
-        placed.join(needed, ["g", "bucket"])
-        .withColumn("first", F.col("before") + F.sum("c").over(in_order) - F.col("c"))
-        .select("g", "n", "x", F.explode(F.filter("ranks", lambda r: inside(r, F.col("first"), F.col("c")))).alias("r"))
-    )
+        placed(ranges).withColumn("first", F.col("before") + F.sum("c").over(in_order) - F.col("c"))
+        .select("g", "n", "x", F.explode(F.filter("ranks", inside(F.col("first"), F.col("c")))).alias("r")))
     share = F.col("at") - F.floor("at")
     return (
         found.groupBy("g", "n", F.col("r.p").alias("p"), F.col("r.at").alias("at"))
@@ -180,7 +181,7 @@ def density(df: DataFrame, group: str, value: str, points: int = 50) -> DataFram
     counts = _counted(df, group, value)
     stats = (
         df.select(F.col(group).alias("g"), F.col(value).cast("double").alias("x"))
-        .where("g is not null and x is not null and not isnan(x)")
+        .where("g is not null and x is not null and not isnan(x) and abs(x) < double('infinity')")
         .groupBy("g").agg(F.count("*").alias("n"), F.stddev_samp("x").alias("sd"), F.min("x").alias("lo"), F.max("x").alias("hi"))
         .where("n > 1 and sd > 0")
         .select("g", "n", "lo", "hi", (F.col("sd") * F.pow("n", F.lit(-0.2))).alias("h"), F.col("n").alias("rows"))
@@ -198,36 +199,46 @@ def density(df: DataFrame, group: str, value: str, points: int = 50) -> DataFram
     )
 
 
+NUMBERS = ("byte", "short", "integer", "long", "float", "double", "decimal")
+
+
 def table_profile(df: DataFrame) -> DataFrame:
-    """One row per column: null share, distinct values of non-numbers, statistics of
-    numbers, and the number of duplicated rows of the table."""
-    numeric = {f.name for f in df.schema if f.dataType.typeName() in
-               ("byte", "short", "integer", "long", "float", "double", "decimal")}
-    parts = [F.count("*").alias("rows")]
-    for c in df.columns:
-        parts.append(F.count_if(F.col(c).isNull()).alias(f"{c}__nulls"))
-        if c in numeric:
-            x = F.col(c).cast("double")
-            parts += [F.avg(x).alias(f"{c}__mean"), F.stddev_samp(x).alias(f"{c}__std"),
-                      F.min(x).alias(f"{c}__min"), F.max(x).alias(f"{c}__max")]
-        else:
-            parts.append(F.countDistinct(c).alias(f"{c}__distinct"))
-    duplicates = (
-        df.groupBy(*df.columns).agg(F.count("*").alias("_copies"))
-        .agg(F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0)).alias("duplicates")).scalar()
-    )
-    null = F.lit(None).cast("double")
-    columns = [
-        F.struct(
-            F.lit(c).alias("column_name"),
-            F.round(F.col(f"{c}__nulls") / F.col("rows") * 100, 2).alias("null_percent"),
-            (F.lit(None).cast("long") if c in numeric else F.col(f"{c}__distinct")).alias("distinct_values"),
-            *[(F.col(f"{c}__{s}") if c in numeric else null).alias(s) for s in ("mean", "std", "min", "max")],
-        )
-        for c in df.columns
-    ]
+    """One row per column: null share, count, distinct values of non-numbers, statistics
+    and quartiles of (finite) numbers, and the number of duplicated rows of the table.
+
+    Columns are stacked into (column, value) and counted once; distinct values and
+    quartiles come from the counts. Duplicates are found by a digest of the row.
+    """
+    numeric = [f.name for f in df.schema if f.dataType.typeName() in NUMBERS]
+    others = [c for c in df.columns if c not in numeric]
+    cell = lambda c, x, t: F.struct(F.lit(c).alias("g"), x.alias("x"), t.alias("t"))
+    no_number, no_text = F.lit(None).cast("double"), F.lit(None).cast("string")
+    cells = [cell(c, F.col(c).cast("double"), no_text) for c in numeric] + [cell(c, no_number, F.to_json(F.struct(c))) for c in others]
+    missing = F.array(*[F.col(c).isNull() for c in [*numeric, *others]])
+    stacked = df.select(F.explode(F.arrays_zip(F.array(*cells).alias("v"), missing.alias("missing"))).alias("c")).select("c.v.*", "c.missing")
+    basics = stacked.groupBy("g").agg(
+        F.count("*").alias("rows"), F.count_if("missing").alias("nulls"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"),
+        F.min("x").alias("min"), F.max("x").alias("max"))
+    distinct = stacked.where("t is not null and not missing").groupBy("g", "t").agg(F.count("*").alias("c")).groupBy("g").agg(
+        F.count("*").alias("distinct_values"))
+    spread = _quantiles(_counted(stacked, "g", "x"), [0.25, 0.5, 0.75]).groupBy("g").agg(
+        *[F.max(F.when(F.col("p") == p, F.col("q"))).alias(name) for name, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))])
+    row = F.sha2(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}), 256)
+    duplicates = df.groupBy(row.alias("_row")).agg(F.count("*").alias("_copies")).agg(
+        F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0)).alias("duplicates")).scalar()
+    is_text = F.col("g").isin(others) if others else F.lit(False)
     return (
-        df.agg(*parts)
-        .select("rows", F.explode(F.array(*columns)).alias("p"))
-        .select("p.*", "rows").withColumn("duplicate_rows", duplicates)
+        basics.join(distinct, "g", "left").join(spread, "g", "left")
+        .select(
+            F.col("g").alias("column_name"), F.round(F.col("nulls") / F.col("rows") * 100, 2).alias("null_percent"),
+            (F.col("rows") - F.col("nulls")).alias("filled"),
+            F.when(is_text, F.coalesce("distinct_values", F.lit(0))).alias("distinct_values"),
+            "mean", "std", "min", "q1", "median", "q3", "max", "rows")
+        .withColumn("duplicate_rows", duplicates)
     )
+
+
+def in_order(df: DataFrame, column: str, key: str, descending: bool = True) -> DataFrame:
+    """Rows by a column, unknown values last either way, ties by key."""
+    c = F.col(column)
+    return df.orderBy(c.desc_nulls_last() if descending else c.asc_nulls_last(), key)

@@ -9,6 +9,7 @@ from matchspark import vocab
 from matchspark.functions.filters import compile_filter
 from matchspark.functions.once import let
 from matchspark.functions.text import tokens
+from matchspark.functions.vectors import cosine
 from matchspark.operators.skew import SMALL_ROWS
 
 # Usual BM25 parameters.
@@ -16,17 +17,12 @@ K1 = 1.2
 B = 0.75
 
 
-def label(column: str) -> str:
-    return " ".join(column.strip().split("_")).capitalize()
+def search_document(columns: dict[str, str]) -> Column:
+    """A line 'label: value' for each column of a column -> label map; unknown values leave the label."""
+    return F.concat_ws("\n", *[F.concat(F.lit(f"{label}: "), F.coalesce(F.col(c), F.lit(""))) for c, label in columns.items()])
 
 
-def search_document(columns: list[str]) -> Column:
-    """'Last job: …' lines; unknown fields stay as empty lines with their label."""
-    lines = [F.concat(F.lit(f"{label(c)}: "), F.coalesce(F.col(c), F.lit(""))) for c in columns]
-    return F.concat_ws("\n", *lines)
-
-
-def build_documents(df: DataFrame, key: str, searched: list[str], attributes: list[str], output: list[str]) -> DataFrame:
+def build_documents(df: DataFrame, key: str, searched: dict[str, str], attributes: list[str], output: list[str]) -> DataFrame:
     kept = list(dict.fromkeys([key, *attributes, *output]))
     return df.select(*kept, search_document(searched).alias("description"))
 
@@ -44,26 +40,32 @@ def index_description(df: DataFrame, searched: list[str], attributes: list[str],
     return counted.select(F.inline(rows))
 
 
-def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, token, tf, doc_len): one row per distinct token of a document.
+def _tokenised(docs: DataFrame, key: str, text: str, length_rows: bool) -> DataFrame:
+    """(key, token, doc_len), one row per token; with length_rows one more per document, its token null."""
+    def rows(words: Column) -> Column:
+        size = F.size(words)
+        each = F.transform(words, lambda w: F.struct(w.alias("token"), size.alias("doc_len")))
+        if not length_rows:
+            return each
+        return F.array_append(each, F.struct(F.lit(None).cast("string").alias("token"), size.alias("doc_len")))
 
-    Tokens are counted inside their row's document after one hash partitioning by
-    key, so later steps that group by document need no further shuffle.
-    """
-    words = let(tokens(F.col(text)), lambda all_words: F.transform(
-        all_words, lambda w: F.struct(w.alias("token"), F.size(all_words).alias("doc_len"))))
-    return (
-        docs.select(key, F.inline(words))
-        .repartition(F.col(key))
-        .groupBy(key, "token")
-        .agg(F.count("*").alias("tf"), F.first("doc_len").alias("doc_len"))
-    )
+    return docs.select(key, F.inline(let(tokens(F.col(text)), rows)))
 
 
-def collection_stats(docs: DataFrame, text: str) -> Column:
-    """{docs, mean_len} of all documents as a scalar subquery."""
-    return docs.agg(F.struct(
-        F.count("*").alias("docs"), F.avg(F.size(tokens(F.col(text)))).alias("mean_len")).alias("stats")).scalar()
+def _counted(rows: DataFrame, key: str) -> DataFrame:
+    """Tokens counted where their document lies, after one hash partitioning by key, so
+    later steps that group by document need no further shuffle."""
+    return rows.repartition(F.col(key)).groupBy(key, "token").agg(F.count("*").alias("tf"), F.first("doc_len").alias("doc_len"))
+
+
+def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, token, tf, doc_len): one row per distinct token of a document."""
+    return _counted(_tokenised(docs, key, text, False), key)
+
+
+def lengths(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, doc_len) of every document; stored beside its postings."""
+    return docs.select(key, F.size(tokens(F.col(text))).alias("doc_len"))
 
 
 def query_terms(queries: DataFrame, key: str, text: str) -> DataFrame:
@@ -73,24 +75,31 @@ def query_terms(queries: DataFrame, key: str, text: str) -> DataFrame:
 def search(
     docs: DataFrame, doc_key: str, text: str, queries: DataFrame, query_key: str, query_text: str,
     filter_object: dict | None = None, limit: int = vocab.SEARCH_LIMIT,
-    index: DataFrame | None = None, blend: Column | None = None,
+    index: tuple[DataFrame, DataFrame] | None = None,
 ) -> DataFrame:
     """Best documents per query by BM25: (query, document, score, rank).
 
     Document counts and lengths are those of the whole index; the filter only
-    restricts results. Postings are reduced to query tokens first, scores are
-    summed where the document lies, and each task keeps its best rows per query
-    before anything is shuffled by query.
+    restricts results. index holds stored postings and lengths; without it documents are
+    tokenised once, and only tokens that queries use, and one length per document, are
+    moved. Scores are summed where the document lies, and each task keeps its best rows
+    per query before anything is shuffled by query.
     """
-    stored = index if index is not None else postings(docs, doc_key, text)
     terms = query_terms(queries, query_key, query_text)
     # Sent to the postings when counted to be small: common words would be hot join keys.
     few = terms.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
-    words = terms.select("token").distinct()
-    wanted = stored.join(F.broadcast(words) if few else words, "token", "left_semi")
+    words = terms.select(F.col("token").alias("_word")).distinct()
+    words = F.broadcast(words) if few else words
+    if index is None:
+        used = _tokenised(docs, doc_key, text, True).join(words, F.col("token") == F.col("_word"), "left").where(
+            F.col("token").isNull() | F.col("_word").isNotNull()).drop("_word")
+        stored = _counted(used, doc_key)
+        wanted, sizes = stored.where(F.col("token").isNotNull()), stored.where(F.col("token").isNull())
+    else:
+        wanted, sizes = index[0].join(words, F.col("token") == F.col("_word"), "left_semi"), index[1]
     # Counting doc_len keeps the columns of both uses equal, so the shuffled postings are read twice, not made twice.
     frequency = wanted.groupBy("token").agg(F.count("doc_len").alias("df"))
-    stats = collection_stats(docs, text)
+    stats = sizes.agg(F.struct(F.count("*").alias("docs"), F.avg("doc_len").alias("mean_len")).alias("stats")).scalar()
     weighted_terms = (
         terms.join(frequency, "token")
         .withColumn("_stats", stats)
@@ -108,7 +117,25 @@ def search(
         .groupBy(doc_key, query_key)
         .agg(F.sum(gain).alias("score"))
     )
-    if blend is not None:
-        scored = scored.withColumn("score", blend)
+    return _ranked(scored, doc_key, query_key, limit)
+
+
+def _ranked(scored: DataFrame, doc_key: str, query_key: str, limit: int) -> DataFrame:
     order = Window.partitionBy(query_key).orderBy(F.round("score", 9).desc(), F.col(doc_key))
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+
+
+def rerank(
+    found: DataFrame, doc_key: str, query_key: str, doc_vectors: DataFrame, query_vectors: DataFrame,
+    weight: float, limit: int = vocab.SEARCH_LIMIT,
+) -> DataFrame:
+    """Results of a search (with a larger limit) in the order of score + weight * cosine.
+
+    doc_vectors: (document, doc_vector), query_vectors: (query, query_vector); a missing
+    vector counts as cosine 0. Only found documents' vectors are multiplied.
+    """
+    meaning = F.coalesce(cosine(F.col("doc_vector"), F.col("query_vector")), F.lit(0.0))
+    blended = (
+        found.drop("rank").join(doc_vectors, doc_key, "left").join(query_vectors, query_key, "left")
+        .select(doc_key, query_key, (F.col("score") + F.lit(weight) * meaning).alias("score")))
+    return _ranked(blended, doc_key, query_key, limit)

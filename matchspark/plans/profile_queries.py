@@ -102,26 +102,67 @@ def density(spark, sf):
 
 
 def sql_profile(table: str, numbers: list[str], others: list[str]) -> str:
-    parts = [f"""SELECT '{c}' AS column_name, round(count(*) FILTER (WHERE {c} IS NULL) / count(*) * 100, 2) AS null_percent,
-        CAST(NULL AS BIGINT) AS distinct_values, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std,
-        CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max, count(*) AS rows FROM {table}""" for c in numbers]
-    parts += [f"""SELECT '{c}', round(count(*) FILTER (WHERE {c} IS NULL) / count(*) * 100, 2), count(DISTINCT {c}),
-        NULL, NULL, NULL, NULL, count(*) FROM {table}""" for c in others]
-    keys = ", ".join(numbers + others)
+    shared = "round(count(*) FILTER (WHERE {0} IS NULL) / count(*) * 100, 2) AS null_percent, count({0}) AS filled"
+    parts = [f"""SELECT '{c}' AS column_name, {shared.format(c)}, CAST(NULL AS BIGINT) AS distinct_values,
+        round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, CAST(min({c}) AS DOUBLE) AS min,
+        round(quantile_cont({c}::DOUBLE, 0.25), 6) AS q1, round(quantile_cont({c}::DOUBLE, 0.5), 6) AS median,
+        round(quantile_cont({c}::DOUBLE, 0.75), 6) AS q3, CAST(max({c}) AS DOUBLE) AS max, count(*) AS rows FROM {table}""" for c in numbers]
+    parts += [f"""SELECT '{c}', {shared.format(c)}, count(DISTINCT {c}), NULL, NULL, NULL, NULL, NULL, NULL, NULL, count(*) FROM {table}""" for c in others]
+    keys = ", ".join(f"coalesce(CAST({c} AS VARCHAR), '<null>')" for c in numbers + others)
     return f"""SELECT *, (SELECT CAST(count(*) - count(DISTINCT ({keys})) AS BIGINT) FROM {table}) AS duplicate_rows
         FROM ({" UNION ALL ".join(parts)})"""
 
 
 @query("profile_table", sql_profile(
-    "(SELECT l_suppkey, l_linenumber, l_quantity, l_discount, nullif(l_returnflag, 'N') AS l_returnflag, l_linestatus FROM lineitem)",
-    ["l_suppkey", "l_linenumber", "l_quantity", "l_discount"], ["l_returnflag", "l_linestatus"])
-    .replace("count(DISTINCT (l_suppkey, l_linenumber, l_quantity, l_discount, l_returnflag, l_linestatus))",
-             "count(DISTINCT (l_suppkey, l_linenumber, l_quantity, l_discount, coalesce(l_returnflag, ''), l_linestatus))"))
+    "(SELECT * REPLACE (nullif(l_returnflag, 'N') AS l_returnflag, nullif(l_linenumber, 7) AS l_linenumber) FROM lineitem)",
+    ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"],
+    ["l_returnflag", "l_linestatus", "l_shipdate"]))
 def profile_table(spark, sf):
-    rows = read_table(spark, sf, "lineitem").select(
-        "l_suppkey", "l_linenumber", "l_quantity", "l_discount", F.nullif("l_returnflag", F.lit("N")).alias("l_returnflag"), "l_linestatus")
+    rows = read_table(spark, sf, "lineitem").withColumns({
+        "l_returnflag": F.nullif("l_returnflag", F.lit("N")), "l_linenumber": F.nullif("l_linenumber", F.lit(7))})
     p = profiling.table_profile(rows)
-    return p.withColumns({"mean": F.round("mean", 6), "std": F.round("std", 6)})
+    return p.withColumns({c: F.round(c, 6) for c in ("mean", "std", "q1", "median", "q3")})
+
+
+@query("box_stats_seconds", """
+    WITH e AS (SELECT event_type, CASE WHEN event_id % 97 = 0 THEN 'infinity'::DOUBLE ELSE epoch(ts) END AS x FROM events),
+    f AS (SELECT * FROM e WHERE isfinite(x)),
+    q AS (SELECT event_type, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.5) AS median, quantile_cont(x, 0.75) AS q3 FROM f GROUP BY 1)
+    SELECT event_type, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3, count(*) AS n, min(x) AS lowest, max(x) AS highest,
+        min(CASE WHEN x >= q1 - 1.5 * (q3 - q1) THEN x END) AS whisker_low, max(CASE WHEN x <= q3 + 1.5 * (q3 - q1) THEN x END) AS whisker_high,
+        count(*) FILTER (WHERE x < q1 - 1.5 * (q3 - q1) OR x > q3 + 1.5 * (q3 - q1)) AS outliers
+    FROM f JOIN q USING (event_type) GROUP BY ALL
+""")
+def box_stats_seconds(spark, sf):
+    x = F.when(F.col("event_id") % 97 == 0, F.lit(float("inf"))).otherwise(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+    b = profiling.box_stats(read_table(spark, sf, "events").select("event_type", x.alias("x")), "event_type", "x")
+    return b.withColumns({c: F.round(c, 6) for c in ("q1", "median", "q3")})
+
+
+@query("sorted_nulls_last", """
+    SELECT o_orderkey, amount, row_number() OVER (ORDER BY amount DESC NULLS LAST, o_orderkey) AS place
+    FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE floor(o_totalprice) END AS amount FROM orders)
+    ORDER BY place LIMIT 500
+""")
+def sorted_nulls_last(spark, sf):
+    amount = F.when(F.col("o_orderkey") % 5 != 0, F.floor("o_totalprice").cast("double"))
+    rows = read_table(spark, sf, "orders").select("o_orderkey", amount.alias("amount"))
+    top = profiling.in_order(rows, "amount", "o_orderkey").limit(500)  # a top-k report; its places are numbered afterwards
+    return top.withColumn("place", F.expr("row_number() over (order by amount desc nulls last, o_orderkey)").cast("long"))
+
+
+@query("datepart_counts_year", """
+    SELECT CAST(year(l_shipdate) AS INTEGER) AS part, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 4) AS share FROM lineitem GROUP BY 1
+""")
+def datepart_counts_year(spark, sf):
+    return profiling.datepart_counts(read_table(spark, sf, "lineitem"), "l_shipdate", "year")
+
+
+@query("datepart_counts_day", """
+    SELECT CAST(day(l_shipdate) AS INTEGER) AS part, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 4) AS share FROM lineitem GROUP BY 1
+""")
+def datepart_counts_day(spark, sf):
+    return profiling.datepart_counts(read_table(spark, sf, "lineitem"), "l_shipdate", "day")
 
 
 @query("schema_conformance", """

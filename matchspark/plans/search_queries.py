@@ -1,10 +1,13 @@
 """Ranked search on the driver tables."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from matchspark.functions.filters import compile_filter
 from matchspark.operators import search
 from matchspark.plans.registry import query
+from matchspark.session import shared_folder
 from matchspark.sources.tables import read_table, spread
 
 TOKENS = r"list_filter(regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
@@ -16,7 +19,7 @@ TOKENS = r"list_filter(regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{N}}]+'),
 """)
 def search_build(spark, sf):
     p = read_table(spark, sf, "part").withColumn("p_type", F.nullif("p_type", F.lit("PROMO")))
-    return search.build_documents(p, "p_partkey", ["p_name", "p_type"], ["p_size", "p_brand"], [])
+    return search.build_documents(p, "p_partkey", {"p_name": "P name", "p_type": "P type"}, ["p_size", "p_brand"], [])
 
 
 @query("search_meta", """
@@ -30,7 +33,12 @@ def search_meta(spark, sf):
     return search.index_description(p, ["p_name", "p_type"], ["p_size"], ["p_name"])
 
 
-def sql_search(queries: str, where: str = "") -> str:
+PICK = """
+    SELECT item_id, doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (
+        SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM {0}) WHERE rank <= 5"""
+
+
+def sql_search(queries: str, where: str = "", pick: str = "") -> str:
     return f"""
     WITH p AS (SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest({TOKENS.format('text')}) AS token FROM documents) GROUP BY ALL),
     l AS (SELECT doc_id, len({TOKENS.format('text')}) AS doc_len FROM documents),
@@ -40,9 +48,7 @@ def sql_search(queries: str, where: str = "") -> str:
     s AS (SELECT item_id, doc_id, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2
             / (tf + 1.2 * (0.25 + 0.75 * doc_len / mean_len))) AS score
           FROM q JOIN f USING (token) JOIN p USING (token) JOIN l USING (doc_id) CROSS JOIN n
-          {where} GROUP BY item_id, doc_id)
-    SELECT item_id, doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (
-        SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s) WHERE rank <= 5"""
+          {where} GROUP BY item_id, doc_id){pick or PICK.format('s')}"""
 
 
 def _ranked(found):
@@ -68,6 +74,37 @@ def search_filtered(spark, sf):
     return _ranked(search.search(docs, "doc_id", "text", items, "item_id", "text", FILTER))
 
 
+@query("search_stored_index", sql_search("benchmark"))
+def search_stored_index(spark, sf):
+    docs = spread(read_table(spark, sf, "documents").select("doc_id", "text"))
+    folder = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    search.postings(docs, "doc_id", "text").write.parquet(f"{folder}/postings")
+    search.lengths(docs, "doc_id", "text").write.parquet(f"{folder}/lengths")
+    index = spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/lengths")
+    items = read_table(spark, sf, "benchmark")
+    return _ranked(search.search(docs, "doc_id", "text", items, "item_id", "text", index=index))
+
+
+# Document and item vectors by their number; most have none.
+SQL_BLENDED = """, top AS (
+        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS r FROM s) WHERE r <= 50),
+    b AS (
+        SELECT item_id, doc_id, score + 10 * coalesce(list_dot_product(d.e, q.e)
+            / (sqrt(list_dot_product(d.e, d.e)) * sqrt(list_dot_product(q.e, q.e)) + 1e-9), 0) AS score
+        FROM top LEFT JOIN (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) d ON d.vec_id = doc_id
+        LEFT JOIN (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) q ON q.vec_id = item_id)"""
+
+
+@query("search_blended", sql_search("benchmark", pick=SQL_BLENDED + PICK.format("b")))
+def search_blended(spark, sf):
+    docs = spread(read_table(spark, sf, "documents").select("doc_id", "text"))
+    found = search.search(docs, "doc_id", "text", read_table(spark, sf, "benchmark"), "item_id", "text", limit=50)
+    vectors = read_table(spark, sf, "embeddings")
+    return _ranked(search.rerank(
+        found, "doc_id", "item_id", vectors.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("doc_vector")),
+        vectors.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("query_vector")), 10.0))
+
+
 @query("structured_filter", """
     SELECT doc_id, lang, n_chars FROM documents
     WHERE (n_chars <= 800 AND (lang = 'en' OR source = 'src1')) AND NOT (n_chars >= 600 AND lang = 'fr')

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -33,9 +34,12 @@ def local_session(cores: int = 8, memory: str = "8g", app: str = "matchspark") -
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor reaches: spark.checkpoint.dir, or a new one when unset (tests)."""
+    """Folder every executor reaches: spark.checkpoint.dir. A local session, where all
+    tasks share one machine, makes one when none is set; a cluster must name it."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="matchspark-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")

@@ -42,14 +42,14 @@ def test_search_filter_limit_and_stored_index(spark):
     queries = spark.createDataFrame([("a", "red ring bolt")], "q string, s string")
     found = search.search(docs, "k", "t", queries, "q", "s", {"@gte": {"n": 20}}, limit=2)
     assert len(found.collect()) == 2 and min(r["k"] for r in found.collect()) > 1
-    stored = search.postings(docs, "k", "t")
+    stored = search.postings(docs, "k", "t"), search.lengths(docs, "k", "t")
     again = search.search(docs, "k", "t", queries, "q", "s", {"@gte": {"n": 20}}, limit=2, index=stored)
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, found.collect()))
 
 
 def test_search_document(spark):
     df = spark.createDataFrame([(1, "Buyer", None)], "candidateid int, last_job string, skills string")
-    got = search.build_documents(df, "candidateid", ["last_job", "skills"], [], []).first()
+    got = search.build_documents(df, "candidateid", {"last_job": "Last job", "skills": "Skills"}, [], []).first()
     assert got["description"] == "Last job: Buyer\nSkills: "
 
 
@@ -136,8 +136,8 @@ def test_streams_continue_where_they_stopped(spark, tmp_path):
     run("latest", latest), run("index", index)
     arrive([(1, 3, "red"), (2, 4, "nut nut")])
     run("latest", latest), run("index", index), run("latest", latest)
-    assert sorted(map(tuple, tables.current(spark, f"{target}/latest").collect())) == [(1, 3, "red"), (2, 5, "bolt")]
-    got = sorted((r["k"], r["token"], r["tf"]) for r in tables.current(spark, f"{target}/index").collect())
+    assert sorted(map(tuple, tables.bucketed(spark, f"{target}/latest").collect())) == [(1, 3, "red"), (2, 5, "bolt")]
+    got = sorted((r["k"], r["token"], r["tf"]) for r in tables.bucketed(spark, f"{target}/index").collect())
     assert got == [(1, "red", 1), (2, "nut", 2)]
 
 
