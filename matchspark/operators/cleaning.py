@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchspark import vocab
 from matchspark.functions import text
 from matchspark.functions.once import where_computed
 
@@ -24,12 +23,12 @@ def clean_description(df: DataFrame, column: str, before: Callable[[Column], Col
 
 def clean_texts(
     df: DataFrame, column: str = "description", extra: tuple[str, ...] = (),
-    cap: int = vocab.TEXT_CAP, prose_runs: bool = True,
+    cap: int | None = None, prose_runs: bool = True,
 ) -> DataFrame:
-    """Noise, cleaning and the length cap; extra columns only lose noise and get the cap."""
+    """Noise and cleaning; extra columns only lose noise. With a cap, longer texts become ''."""
     denoise = lambda c: text.remove_noise(c, prose_runs)
+    capped = (lambda c: c) if cap is None else (lambda c: text.cap_length(c, cap))
     cleaned = clean_description(df, column, denoise)
     return cleaned.withColumns({
-        column: text.cap_length(F.col(column), cap),
-        **{name: text.cap_length(denoise(F.col(name)), cap) for name in extra},
+        column: capped(F.col(column)), **{name: capped(denoise(F.col(name))) for name in extra},
     })

@@ -153,9 +153,17 @@ def weekend_rule(c: Column) -> Column:
                   & ~reply.rlike(r"(?:^|[^\p{L}])(no|non)(?:[^\p{L}]|$)"), F.lit("True")).otherwise(F.lit("False"))
 
 
-def extract(df: DataFrame, source: str, provider: Provider, names: Sequence[str], rules: dict) -> tuple[DataFrame, DataFrame]:
-    """(rows with validated feature columns, rejected rows with the unusable answer)."""
-    asked = ask(df, F.col(source), provider, "answer")
+Stage = Callable[[DataFrame], DataFrame]
+
+
+def extract(df: DataFrame, source: str, provider: Provider, names: Sequence[str], rules: dict,
+            stage: Stage = lambda rows: rows) -> tuple[DataFrame, DataFrame]:
+    """(rows with validated feature columns, rejected rows with the unusable answer).
+
+    stage may write the answered rows and read them back: both results then come from
+    the same answers and the model is asked once.
+    """
+    asked = stage(ask(df, F.col(source), provider, "answer"))
     repaired = jsonx.repair_json(F.col("answer"))
     kept = where_computed(asked, "_json", jsonx.parse_json(repaired), lambda j: j.isNotNull())
     base = [F.col(c) for c in df.columns if c not in names]
@@ -165,14 +173,14 @@ def extract(df: DataFrame, source: str, provider: Provider, names: Sequence[str]
     return features, rejected
 
 
-def extract_candidates(df: DataFrame, provider: Provider | None = None, source: str = "description"):
+def extract_candidates(df: DataFrame, provider: Provider | None = None, source: str = "description", stage: Stage = lambda rows: rows):
     return extract(df, source, provider or candidate_rules(),
-                   vocab.CANDIDATE_FEATURES, jsonx.CANDIDATE_RULES)
+                   vocab.CANDIDATE_FEATURES, jsonx.CANDIDATE_RULES, stage)
 
 
-def extract_vacancies(df: DataFrame, provider: Provider | None = None, source: str = "description"):
+def extract_vacancies(df: DataFrame, provider: Provider | None = None, source: str = "description", stage: Stage = lambda rows: rows):
     return extract(df, source, provider or vacancy_rules(),
-                   vocab.VACANCY_FEATURES, jsonx.VACANCY_RULES)
+                   vocab.VACANCY_FEATURES, jsonx.VACANCY_RULES, stage)
 
 
 def embed(df: DataFrame, columns: dict[str, str], dims: int = 1024,

@@ -377,7 +377,7 @@ SQL_RAW_CITIES = """
 
 SQL_CITIES = f"""
     SELECT unique_identifier, trim(city_name) AS city_name, trim(province) AS province, trim(province_ext) AS province_ext,
-        trim(region) AS region, lpad(CAST(CAST(zip AS DOUBLE) AS BIGINT)::VARCHAR, 5, '0') AS zip,
+        trim(region) AS region, repeat('0', 5 - length(CAST(CAST(zip AS DOUBLE) AS BIGINT)::VARCHAR)) || CAST(CAST(zip AS DOUBLE) AS BIGINT)::VARCHAR AS zip,
         CASE WHEN NOT isnan(TRY_CAST(latitude AS DOUBLE)) THEN TRY_CAST(latitude AS DOUBLE) END AS latitude,
         TRY_CAST(longitude AS DOUBLE) AS longitude
     FROM ({SQL_RAW_CITIES}) WHERE lower(trim(city_name)) NOT IN ('', 'null', 'nan')"""

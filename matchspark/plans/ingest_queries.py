@@ -168,13 +168,21 @@ def clean_html(spark, sf):
     s AS (SELECT id, {sql_strip("regexp_replace(description, '[ \t]+', ' ', 'g')")} AS description
           FROM n WHERE trim(description) <> ''),
     h AS (SELECT id, lower({sql_html('description')}) AS description FROM s)
-    SELECT id, CASE WHEN length(description) > 20000 THEN '' ELSE description END AS description FROM h
+    SELECT id, description FROM h
     WHERE length(trim(description)) > 5 AND NOT contains(description, 'null')
 """)
 def clean_description(spark, sf):
     d = read_table(spark, sf, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), F.col("text").alias("description"))
     p = read_table(spark, sf, "pages").select(F.concat(F.lit("p"), "page_id").alias("id"), F.col("html").alias("description"))
-    return cleaning.clean_texts(spread(d).unionByName(spread(p)), cap=20000)
+    return cleaning.clean_texts(spread(d).unionByName(spread(p)))
+
+
+@query("length_cap", """
+    SELECT doc_id, CASE WHEN length(text) > 20000 THEN '' ELSE text END AS text FROM documents
+""")
+def length_cap(spark, sf):
+    d = read_table(spark, sf, "documents")
+    return d.select("doc_id", text.cap_length(F.col("text"), 20_000).alias("text"))
 
 
 @query("whitelist_text", f"""

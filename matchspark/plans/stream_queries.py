@@ -16,9 +16,18 @@ def _folder(spark) -> str:
     return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
-def _stream(spark, sf, name):
-    schema = tables.read_table(spark, sf, name).schema
-    return ingest.read_stream(spark, sf, schema, f"{name}.parquet")
+def _arrivals(spark, folder, *batches):
+    """A stream over files that arrived one after the other, each its own micro-batch."""
+    for batch in batches:
+        batch.coalesce(1).write.mode("append").parquet(f"{folder}/arrived")
+    return ingest.read_stream(spark, f"{folder}/arrived", batches[0].schema, files_per_batch=1)
+
+
+def _thirds(spark, sf, name, key, *columns):
+    """A table in three files: later and earlier rows mixed, the first third repeated at the end."""
+    rows = tables.read_table(spark, sf, name).select(*columns)
+    parts = [rows.where(F.pmod(F.col(key), F.lit(3)) == n) for n in range(3)]
+    return [*parts, parts[0]]
 
 
 @query("stream_latest", """
@@ -27,30 +36,51 @@ def _stream(spark, sf, name):
 """)
 def stream_latest(spark, sf):
     folder = _folder(spark)
-    events = _stream(spark, sf, "events").select("event_id", "user_id", "event_type", "ts")
+    events = _arrivals(spark, folder, *_thirds(spark, sf, "events", "event_id", "event_id", "user_id", "event_type", "ts"))
     each = ingest.upsert(f"{folder}/latest", ["user_id", "event_type"], ["ts", "event_id"], spark)
     ingest.run_available(events, each, f"{folder}/checkpoint")
-    return tables.current(spark, f"{folder}/latest")
+    return tables.bucketed(spark, f"{folder}/latest")
+
+
+@query("stream_dedup", """
+    SELECT event_id, user_id, ts FROM events
+""")
+def stream_dedup(spark, sf):
+    """Copies that arrive again within the delay are dropped; a watermark bounds the state."""
+    folder = _folder(spark)
+    rows = tables.read_table(spark, sf, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+    stream = ingest.dedup_stream(_arrivals(spark, folder, rows, rows), ["event_id"], "ts", "60 days")
+    ingest.run_available(
+        stream, lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/out/batch={n}"), f"{folder}/checkpoint")
+    found = spark.read.schema(rows.schema).option("recursiveFileLookup", "true").parquet(f"{folder}/out")
+    return found.select("event_id", "user_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 
 @query("stream_activity", "SELECT user_id, max(ts) AS date_last_active FROM events GROUP BY user_id")
 def stream_activity(spark, sf):
     folder = _folder(spark)
-    activity = ingest.last_activity_stream(_stream(spark, sf, "events"), "user_id", "ts")
+    activity = ingest.last_activity_stream(
+        _arrivals(spark, folder, *_thirds(spark, sf, "events", "event_id", "event_id", "user_id", "ts")), "user_id", "ts")
     each = ingest.upsert(f"{folder}/activity", ["user_id"], ["date_last_active"], spark)
     ingest.run_available(activity, each, f"{folder}/checkpoint", mode="update")
-    return tables.current(spark, f"{folder}/activity")
+    return tables.bucketed(spark, f"{folder}/activity")
 
 
 @query("stream_merge", r"""
-    SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS INTEGER) AS n_words,
-        true AS needs_processing
+    SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) + CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS INTEGER) AS n_words,
+        doc_id % 3 <> 0 AS needs_processing
     FROM documents WHERE trim(text) <> ''
 """)
 def stream_merge(spark, sf):
+    """All documents, then changed texts of every second one, then every third one as it is."""
     folder = _folder(spark)
-    docs = _stream(spark, sf, "documents").select(
-        "doc_id", F.col("text").alias("description"), F.col("text").alias("description_raw"), F.lit(None).cast("string").alias("jobtitle"))
+    key, body = F.col("doc_id"), F.col("text")
+    rows = tables.read_table(spark, sf, "documents").where(text.not_blank(body))
+    newer = F.when(key % 2 == 0, F.concat(body, F.lit(" changed"))).otherwise(body)
+    batches = [rows.select("doc_id", body.alias("description")), rows.where(key % 2 == 0).select("doc_id", newer.alias("description")),
+               rows.where(key % 3 == 0).select("doc_id", newer.alias("description"))]
+    docs = _arrivals(spark, folder, *batches).select(
+        "doc_id", "description", F.col("description").alias("description_raw"), F.lit(None).cast("string").alias("jobtitle"))
 
     def transform(batch, previous):
         detected = incremental.detect_vacancies(batch, previous, key="doc_id")
@@ -59,7 +89,7 @@ def stream_merge(spark, sf):
             detected, "needs_processing", count_words, ["n_words"], F.lit("2024-02-01").cast("timestamp_ntz"))
 
     ingest.run_available(docs, ingest.merge(f"{folder}/merged", "doc_id", transform, spark), f"{folder}/checkpoint")
-    return tables.current(spark, f"{folder}/merged").select("doc_id", "n_words", "needs_processing")
+    return tables.bucketed(spark, f"{folder}/merged").select("doc_id", "n_words", "needs_processing")
 
 
 @query("stream_search_refresh", r"""
@@ -70,7 +100,10 @@ def stream_merge(spark, sf):
 """)
 def stream_search_refresh(spark, sf):
     folder = _folder(spark)
-    docs = _stream(spark, sf, "documents").select("doc_id", "text")
+    first, second, third, again = _thirds(spark, sf, "documents", "doc_id", "doc_id", "text")
+    # The first third arrives with other texts, which the last batch replaces.
+    older = first.withColumn("text", F.concat(F.lit("older "), "text"))
+    docs = _arrivals(spark, folder, older, second, third, again)
     each = ingest.refresh_postings(f"{folder}/postings", "doc_id", "text", spark)
     ingest.run_available(docs, each, f"{folder}/checkpoint")
-    return tables.current(spark, f"{folder}/postings")
+    return tables.bucketed(spark, f"{folder}/postings")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import time
 import uuid
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,19 +35,11 @@ def spread(df: DataFrame) -> DataFrame:
     return df
 
 
-def rows_to_frame(spark: SparkSession, rows: Iterable[tuple], schema: T.StructType | str) -> DataFrame:
-    return spark.createDataFrame(list(rows), schema)
-
-
 def sample_rows(df: DataFrame, key: str, n: int) -> DataFrame:
     """n rows in a repeatable order: by a hash of the key, then the key."""
     return df.orderBy(F.md5(F.col(key).cast("string")), key).limit(n)
 
 
-def drop_suffix(df: DataFrame, *suffixes: str) -> DataFrame:
-    return df.select([c for c in df.columns if not c.lower().endswith(suffixes)])
-
-
 def align(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Columns, order and types of another frame; absent columns become typed nulls."""
     have = {c.lower() for c in df.columns}
@@ -55,27 +49,32 @@ def align(df: DataFrame, schema: T.StructType) -> DataFrame:
     ])
 
 
-def normalise_headers(df: DataFrame) -> DataFrame:
-    names = [c.strip().replace(" ", "_").replace('"', "").replace("'", "").lower() for c in df.columns]
-    return df.toDF(*names)
+# How a header is spelled as a column name.
+HEADER = str.maketrans({" ": "_", '"': None, "'": None})
+
+
+def named_by_headers(df: DataFrame) -> DataFrame:
+    """Columns named by their headers in lower case, without quotes, blanks as underscores."""
+    return df.toDF(*(c.strip().lower().translate(HEADER) for c in df.columns))
 
 
 def load_cities(raw: DataFrame) -> DataFrame:
     """City dimension from any tabular source: headers, zip padding, numbers, blank names."""
-    df = normalise_headers(raw)
+    df = named_by_headers(raw)
     texts = [f.name for f in CITY_SCHEMA if f.name not in ("zip", "latitude", "longitude")]
 
     def number(name: str) -> Column:
         value = F.col(name).cast("string").try_cast("double")
         return F.when(~F.isnan(value), value)
 
-    zip_number = F.col("zip").cast("string").try_cast("double")
+    zip_digits = F.col("zip").cast("string").try_cast("double").try_cast("long").cast("string")
     name = F.lower(F.trim(F.col("city_name").cast("string")))
     return (
         df.where(name.isNotNull() & (name != "") & ~name.isin("null", "nan"))
         .select(
             *[F.trim(F.col(c).cast("string")).alias(c) for c in texts],
-            F.lpad(zip_number.try_cast("long").cast("string"), 5, "0").alias("zip"),
+            # Padded, never cut: codes of other countries may be longer.
+            F.when(F.length(zip_digits) < 5, F.lpad(zip_digits, 5, "0")).otherwise(zip_digits).alias("zip"),
             number("latitude").alias("latitude"),
             number("longitude").alias("longitude"),
         )
@@ -84,27 +83,86 @@ def load_cities(raw: DataFrame) -> DataFrame:
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:
-    """True when a previous run published something at this path."""
+    """True when a previous run published something at this path.
+
+    Only an absent path counts as absent: any other failure is raised, for a table taken
+    for new would lose its history.
+    """
     try:
         return not spark.read.parquet(f"{path}/_current").isEmpty()
-    except AnalysisException:
-        return False
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return False
+        raise
+
+
+def _newest(spark: SparkSession, path: str):
+    return spark.read.schema("version string, at long").parquet(f"{path}/_current").orderBy(F.desc("at"), "version").first()
 
 
 def publish(df: DataFrame, path: str) -> str:
-    """Write a new version beside the old ones, then point readers at it."""
-    version = f"v={uuid.uuid4().hex}"
+    """Write a new version beside the old ones, then point readers at it.
+
+    Pointers are only added, one row each, and the newest counts; a run that dies at any
+    point leaves the last published version in place.
+    """
+    spark, version = df.sparkSession, f"v={uuid.uuid4().hex}"
     df.write.parquet(f"{path}/{version}")
-    spark = df.sparkSession
-    # One row: the pointer is the only thing ever overwritten, and no plan reads it lazily.
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode(
-        "overwrite").parquet(f"{path}/_current")
+    before = _newest(spark, path)["at"] if table_exists(spark, path) else 0
+    pointer = spark.createDataFrame([(version, max(time.time_ns(), before + 1))], "version string, at long")
+    pointer.coalesce(1).write.mode("append").parquet(f"{path}/_current")
     return f"{path}/{version}"
 
 
 def current(spark: SparkSession, path: str) -> DataFrame:
-    version = spark.read.parquet(f"{path}/_current").first()["version"]
-    return spark.read.parquet(f"{path}/{version}")
+    return spark.read.parquet(f"{path}/{_newest(spark, path)['version']}")
+
+
+# --- tables of which a batch replaces a part -------------------------------------------
+
+BUCKETS = 16
+
+
+def bucket_of(keys: Sequence[str]) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
+
+
+def touched_buckets(batch: DataFrame, keys: Sequence[str]) -> list[int]:
+    """Buckets that hold the keys of a batch; at most BUCKETS numbers."""
+    return sorted(r[0] for r in batch.select(bucket_of(keys)).distinct().collect())
+
+
+def bucketed(spark: SparkSession, path: str, wanted: Sequence[int] | None = None) -> DataFrame | None:
+    """The rows of a bucketed table, or of some of its buckets; None before the first batch.
+
+    Of each bucket the newest version counts; untouched buckets are not read.
+    """
+    try:
+        pointers = spark.read.schema("bucket int, version string, at long").parquet(f"{path}/_buckets")
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+    newest = pointers.groupBy("bucket").agg(F.max_by("version", "at").alias("version")).collect()  # a row a bucket
+    held: dict[str, list[int]] = {}
+    for r in newest:
+        if wanted is None or r["bucket"] in wanted:
+            held.setdefault(r["version"], []).append(r["bucket"])
+    if not held:  # the columns, without rows
+        return spark.read.parquet(f"{path}/{newest[0]['version']}").drop("_bucket").limit(0)
+    parts = [spark.read.parquet(f"{path}/{v}").where(F.col("_bucket").isin(b)).drop("_bucket") for v, b in sorted(held.items())]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def replace_buckets(df: DataFrame, path: str, keys: Sequence[str], buckets: Sequence[int]) -> None:
+    """Write whole new versions of some buckets, then point readers at them in one commit."""
+    if not buckets:
+        return
+    spark, version = df.sparkSession, f"v={uuid.uuid4().hex}"
+    df.withColumn("_bucket", bucket_of(keys)).repartition("_bucket").write.partitionBy("_bucket").parquet(f"{path}/{version}")
+    at = time.time_ns()
+    rows = spark.createDataFrame([(b, version, at) for b in buckets], "bucket int, version string, at long")
+    rows.coalesce(1).write.mode("append").parquet(f"{path}/_buckets")
 
 
 def append_log(counts: DataFrame, path: str, run_id: str) -> None:
@@ -126,12 +184,3 @@ def reset_log(spark: SparkSession, path: str) -> None:
 def lookup(df: DataFrame, key: str, value) -> DataFrame:
     """Keyed lookup of one row; stays a frame, so nothing is collected."""
     return df.where(F.col(key) == F.lit(value)).limit(1)
-
-
-def rename(df: DataFrame, names: dict[str, str]) -> DataFrame:
-    return df.withColumnsRenamed(names)
-
-
-def select_existing(df: DataFrame, wanted: Sequence[str]) -> DataFrame:
-    have = {c.lower() for c in df.columns}
-    return df.select([c for c in wanted if c.lower() in have])

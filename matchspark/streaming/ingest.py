@@ -41,15 +41,17 @@ def last_activity_stream(stream: DataFrame, key: str, ts: str) -> DataFrame:
 
 
 def upsert(target: str, keys: list[str], order: list[str], spark: SparkSession) -> Callable[[DataFrame, int], None]:
-    """Batch writer keeping the newest row per key in a versioned table.
+    """Batch writer keeping the newest row per key; only buckets the batch touches are
+    read and rewritten.
 
     A batch repeated after a failure gives the same table: the newest row per key
     of old and new rows does not depend on how often a row is seen.
     """
     def each(batch: DataFrame, _: int) -> None:
-        if tables.table_exists(spark, target):
-            batch = tables.current(spark, target).unionByName(batch)
-        tables.publish(latest_version(batch, keys, order), target)
+        buckets = tables.touched_buckets(batch, keys)
+        stored = tables.bucketed(spark, target, buckets)
+        rows = batch if stored is None else stored.unionByName(batch)
+        tables.replace_buckets(latest_version(rows, keys, order), target, keys, buckets)
 
     return each
 
@@ -57,17 +59,18 @@ def upsert(target: str, keys: list[str], order: list[str], spark: SparkSession)
 def merge(target: str, key: str, transform: Callable[[DataFrame, DataFrame | None], DataFrame],
           spark: SparkSession) -> Callable[[DataFrame, int], None]:
     """Batch writer for change detection: transform(batch, previous rows of its keys)
-    gives the new rows; rows of other keys are kept."""
+    gives the new rows; rows of other keys in the touched buckets are kept."""
     def each(batch: DataFrame, _: int) -> None:
         batch = tables.spread(batch)
-        if not tables.table_exists(spark, target):
-            tables.publish(transform(batch, None), target)
+        buckets = tables.touched_buckets(batch, [key])
+        stored = tables.bucketed(spark, target, buckets)
+        if stored is None:
+            tables.replace_buckets(transform(batch, None), target, [key], buckets)
             return
-        stored = tables.current(spark, target)
         keys = batch.select(key).distinct()
         fresh = transform(batch, stored.join(keys, key, "left_semi"))
         untouched = stored.join(keys, key, "left_anti")
-        tables.publish(fresh.unionByName(tables.align(untouched, fresh.schema)), target)
+        tables.replace_buckets(fresh.unionByName(tables.align(untouched, fresh.schema)), target, [key], buckets)
 
     return each
 
@@ -75,10 +78,11 @@ def merge(target: str, key: str, transform: Callable[[DataFrame, DataFrame | Non
 def refresh_postings(target: str, key: str, text: str, spark: SparkSession) -> Callable[[DataFrame, int], None]:
     """Batch writer replacing the postings of the documents in the batch."""
     def each(batch: DataFrame, _: int) -> None:
+        buckets = tables.touched_buckets(batch, [key])
         fresh = search.postings(tables.spread(batch), key, text)
-        if tables.table_exists(spark, target):
-            stored = tables.current(spark, target)
+        stored = tables.bucketed(spark, target, buckets)
+        if stored is not None:
             fresh = stored.join(batch.select(key).distinct(), key, "left_anti").unionByName(fresh)
-        tables.publish(fresh, target)
+        tables.replace_buckets(fresh, target, [key], buckets)
 
     return each

@@ -2,6 +2,7 @@ import json
 from datetime import date, datetime
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from matchspark import vocab
@@ -94,7 +95,7 @@ def test_chat_threads(spark):
         ("n2", "p1", f"{q} forse", "x joboti", t(2), 0), ("n3", "p1", q, "joboti", t(1), 0), ("n3", "p1", q, "joboti", t(2), 1),
         ("n4", "p2", q, "call", t(1), 0), ("n5", "p3", "altro", "joboti", t(1), 0), ("n6", "p4", f"{q} a", "joboti", t(5), 0)]
     df = spark.createDataFrame(rows, "noteid string, personreferenceid string, comments string, action string, load_datetimestamp timestamp_ntz, isdeleted int")
-    got = {r[0]: r[1] for r in notes.chat_threads(df, vocab.CHAT_ACTION, q).collect()}
+    got = {r[0]: r[1] for r in notes.chat_threads(df, "joboti", q).collect()}
     assert got == {"p1": f"{q} forse || {q} no", "p4": f"{q} a"}
 
 
@@ -152,6 +153,40 @@ def test_transformation_runs_incrementally(spark, tmp_path):
     assert not tables.table_exists(spark, f"{root}/candidate_log")
 
 
+def test_publish_survives_a_dead_run(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    assert not tables.table_exists(spark, path)
+    tables.publish(spark.range(3), path)
+    # A run that dies after its data but before its pointer leaves the old version.
+    monkeypatch.setattr(tables, "table_exists", lambda *_: (_ for _ in ()).throw(RuntimeError("dead")))
+    with pytest.raises(RuntimeError):
+        tables.publish(spark.range(9), path)
+    monkeypatch.undo()
+    assert tables.table_exists(spark, path) and tables.current(spark, path).count() == 3
+    tables.publish(spark.range(5), path)
+    assert tables.current(spark, path).count() == 5
+
+
+def test_long_zip_codes_stay_whole(spark):
+    rows = [("1", "A", "", "", "", "701219.0", "1", "2"), ("2", "B", "", "", "", "121", "1", "2"), ("3", "C", "", "", "", "x", "1", "2")]
+    raw = spark.createDataFrame(rows, "unique_identifier string, city_name string, province string, province_ext string, region string, zip string, latitude string, longitude string")
+    assert {r.city_name: r.zip for r in tables.load_cities(raw).collect()} == {"A": "701219", "B": "00121", "C": None}
+
+
+def test_vacancy_run_keeps_rejects_and_history(spark, tmp_path):
+    root, stamp = str(tmp_path / "v"), F.lit("2024-01-01").cast("timestamp_ntz")
+    new = spark.createDataFrame(
+        [(1, "Buyer", "cerca buyer"), (2, "Cook", "cerca bad cook")], "joborderid long, jobtitle string, description string").withColumn("description_raw", F.col("description"))
+    rules = extraction.vacancy_rules()
+    provider = lambda c: F.when(c.contains("bad"), F.lit("no json")).otherwise(rules(c))
+    for _ in range(2):
+        got = jobs.run_vacancies(spark, new, root, stamp, provider=provider, dims=8).collect()
+        assert [r["joborderid"] for r in got] == [1]
+        assert [tuple(r) for r in tables.current(spark, f"{root}/vacancy_rejects").collect()] == [(2, "no json")]
+    log = tables.read_log(spark, f"{root}/vacancy_log").orderBy("id").collect()
+    assert [(r["nproc_rows"], r["nproc_rejected"]) for r in log] == [(2, 1), (1, 1)]
+
+
 def test_vacancy_features(spark):
     new = spark.createDataFrame(
         [(1, "Buyer", "Full time giornaliero, richiesto inglese, 24 ore"), (2, "x", None), (3, " ", "")],
@@ -235,10 +270,8 @@ def test_gate_without_columns(spark):
 def test_compile_filter(spark):
     df = spark.createDataFrame([(30, "Bari"), (50, "Bari"), (None, "Bari"), (20, "Lecce")], "age int, province_ext string")
     assert df.where(filters.compile_filter({})).count() == 4
-    wanted = filters.age_province_filter(40, "Bari")
-    assert wanted == {"@and": [{"@lte": {"age": 40}}, {"@eq": {"province_ext": "Bari"}}]}
+    wanted = {"@and": [{"@lte": {"age": 40}}, {"@eq": {"province_ext": "Bari"}}]}
     assert df.where(filters.compile_filter(wanted)).count() == 1
-    assert filters.age_province_filter() == {}
 
 
 def test_ingestion_end_to_end(spark):
@@ -251,7 +284,7 @@ def test_ingestion_end_to_end(spark):
     subs = spark.createDataFrame([], "candidateid long, joborderid long, data_ultimo_cambio_status timestamp_ntz")
     chat = spark.createDataFrame([("n", "1", vocab.CHAT_QUESTION + " si", "joboti", datetime(2024, 3, 1), 0)],
                                  "noteid string, personreferenceid string, comments string, action string, load_datetimestamp timestamp_ntz, isdeleted int")
-    got = jobs.ingest_candidates(people, subs, chat, as_of).collect()
+    got = jobs.ingest_candidates(people, subs, chat, as_of, "joboti").collect()
     assert len(got) == 1
     row = got[0]
     assert row["candidateid"] == "1" and row["description"] == "magazziniere esperto" and row["desired_location"] == "Regionale"
