@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchspark.llm.common import int_column, row_identity, staged, texts_of, whole_text, worker_value
@@ -150,6 +150,10 @@ SENT = "mark long, kind int, own long, rid long, lo int, hi int, body binary"
 SPAN, NEAR, WINDOW = 0, 1, 2
 
 
+def _digest(part: bytes) -> bytes:
+    return hashlib.blake2b(part, digest_size=16).digest()
+
+
 class _Sender:
     def __init__(self) -> None:
         self.rows: list[tuple] = []
@@ -162,52 +166,93 @@ class _Sender:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
 
+def _window_row(digest: bytes, own: int, rid: int, at: int) -> tuple:
+    return (int.from_bytes(digest[:8], "little", signed=True), WINDOW, own, rid, at, at, digest)
+
+
 class Earliest:
     """Lengthened windows where every occurrence but the earliest goes.
 
-    A window of a later document than one seen before is settled; else it may be the earliest.
+    A window of a later document than one seen before is settled; else it may be the
+    earliest. So is a whole surrounding that was seen in an earlier document.
     """
 
+    once_a_text = True
+
     def __init__(self) -> None:
         self.first: dict[bytes, int] = {}
+        self.bodies: dict[bytes, int] = {}
+
+    def whole(self, body: bytes, own: int, rid: int, lo: int, hi: int) -> list[tuple] | None:
+        """Rows that settle all windows of a surrounding; none if its windows must be seen one by one."""
+        known = self.bodies.get(body)
+        if known is not None and known < own:
+            return [(rid, SPAN, own, rid, lo, hi, None)]
+        self.bodies[body] = own
+        return None
 
-    def see(self, digest: bytes, own: int, rid: int, at: int) -> Iterator[tuple]:
+    def see(self, digest: bytes, own: int, rid: int, at: int) -> tuple[bool, list[tuple]]:
+        """Whether this occurrence is settled, and rows about it or an earlier one."""
         known = self.first.get(digest)
         if known is not None and known < own:
-            yield (rid, SPAN, own, rid, at, at, None)
-            return
+            return True, []
         self.first[digest] = own
-        yield (int.from_bytes(digest[:8], "little", signed=True), WINDOW, own, rid, at, at, digest)
+        return False, [_window_row(digest, own, rid, at)]
 
-    def flush(self) -> Iterator[tuple]:
-        self.first = {}
-        yield from ()
+    def flush(self) -> list[tuple]:
+        self.first, self.bodies = {}, {}
+        return []
 
 
 class Anywhere:
     """Lengthened windows where every occurrence goes if there are two.
 
-    Of a window seen twice each occurrence is settled; one row of each is sent on.
+    Of a window or whole surrounding seen twice each occurrence is settled; one row of each
+    window is sent on.
     """
 
+    once_a_text = False
+
     def __init__(self) -> None:
         self.first: dict[bytes, tuple[int, int, int]] = {}
         self.twice: set[bytes] = set()
+        self.bodies: dict[bytes, tuple | None] = {}
+
+    def whole(self, body: bytes, own: int, rid: int, lo: int, hi: int) -> list[tuple] | None:
+        span = (rid, SPAN, own, rid, lo, hi, None)
+        if body not in self.bodies:
+            self.bodies[body] = span
+            return None
+        first, self.bodies[body] = self.bodies[body], None
+        return [span] if first is None else [first, span]
 
-    def see(self, digest: bytes, own: int, rid: int, at: int) -> Iterator[tuple]:
+    def see(self, digest: bytes, own: int, rid: int, at: int) -> tuple[bool, list[tuple]]:
         known = self.first.get(digest)
         if known is None:
             self.first[digest] = (own, rid, at)
-            return
-        if digest not in self.twice:
-            self.twice.add(digest)
-            yield (known[1], SPAN, known[0], known[1], known[2], known[2], None)
-        yield (rid, SPAN, own, rid, at, at, None)
-
-    def flush(self) -> Iterator[tuple]:
-        for digest, (own, rid, at) in self.first.items():
-            yield (int.from_bytes(digest[:8], "little", signed=True), WINDOW, own, rid, at, at, digest)
-        self.first, self.twice = {}, set()
+            return False, []
+        if digest in self.twice:
+            return True, []
+        self.twice.add(digest)
+        return True, [(known[1], SPAN, known[0], known[1], known[2], known[2], None)]
+
+    def flush(self) -> list[tuple]:
+        rows = [_window_row(digest, own, rid, at) for digest, (own, rid, at) in self.first.items()]
+        self.first, self.twice, self.bodies = {}, set(), {}
+        return rows
+
+
+def runs_of(places: Iterable[int]) -> Iterator[tuple[int, int]]:
+    """First and last of each run of consecutive places; places ascend."""
+    start = last = None
+    for at in places:
+        if last is None or at > last + 1:
+            if last is not None:
+                yield start, last
+            start = at
+        last = at
+    if last is not None:
+        yield start, last
 
 
 def send_surroundings(rows: DataFrame, spots: DataFrame, shape: Shape, settle: type) -> DataFrame:
@@ -229,29 +274,39 @@ def send_surroundings(rows: DataFrame, spots: DataFrame, shape: Shape, settle: t
                 own, rid = owns[i], rids[i]
                 units = body.split() if shape.words else body
                 mine: set[bytes] = set()
+                settled: list[int] = []
                 for k in sorted(range(offsets[i], offsets[i + 1]), key=lo.__getitem__):
                     if hi[k] + window > len(units):
                         continue  # another text's place, under an equal 64-bit identity
+                    part = units[lo[k]:hi[k] + window]
+                    part = b" ".join(part) if shape.words else part
                     if n[k] <= shape.most:
-                        part = units[lo[k]:hi[k] + window]
-                        out.rows.append((h[k], NEAR, own, rid, lo[k], hi[k], b" ".join(part) if shape.words else part))
+                        out.rows.append((h[k], NEAR, own, rid, lo[k], hi[k], part))
+                        continue
+                    known = local.whole(_digest(part), own, rid, lo[k], hi[k])
+                    if known is not None:
+                        out.rows += known
                         continue
                     for at in range(lo[k], hi[k] + 1):
                         part = units[at:at + window]
-                        digest = hashlib.blake2b(b" ".join(part) if shape.words else part, digest_size=16).digest()
-                        if settle is Earliest and digest in mine:
-                            out.rows.append((rid, SPAN, own, rid, at, at, None))
+                        digest = _digest(b" ".join(part) if shape.words else part)
+                        if local.once_a_text and digest in mine:
+                            settled.append(at)
                             continue
                         mine.add(digest)
-                        out.rows.extend(local.see(digest, own, rid, at))
+                        done, rows = local.see(digest, own, rid, at)
+                        out.rows += rows
+                        if done:
+                            settled.append(at)
+                out.rows += [(rid, SPAN, own, rid, a, b, None) for a, b in runs_of(settled)]
                 if len(out.rows) > 8000:
                     yield out.batch()
-                if len(local.first) > KEPT:
-                    out.rows.extend(local.flush())
-        out.rows.extend(local.flush())
+                if len(local.first) + len(local.bodies) > KEPT:
+                    out.rows += local.flush()
+        out.rows += local.flush()
         yield out.batch()
 
-    return rows.join(spots, "rid").select("own", "rid", "_text", "spots").mapInArrow(run, SENT)
+    return rows.join(spots, "rid").select(own_of(rows), "rid", "_text", "spots").mapInArrow(run, SENT)
 
 
 def groups_of(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, int, list[tuple]]]:
@@ -282,7 +337,7 @@ Spans = Iterator[tuple[int, int, int, int]]
 def repeated_spans(rows: DataFrame, shape: Shape, settle: type, resolve: Callable[[Iterable], Spans]) -> DataFrame:
     """(rid, spans array<struct<own, a, b>>): units a up to b are in repeated windows.
 
-    rows has own (the document's place in order), rid and _text. resolve turns the groups
+    rows are those of identified. resolve turns the groups
     of a task, read one by one, into (own, rid, first window, last window).
     """
     anchors = staged(find_anchors(rows, shape), "anchors")
@@ -314,10 +369,14 @@ def repeated_spans(rows: DataFrame, shape: Shape, settle: type, resolve: Callabl
 
 
 def identified(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, own, rid, _text): own orders documents (null first), rid tells rows apart."""
-    return docs.select(
-        F.col(key), F.coalesce(F.col(key).cast("long"), F.lit(LEAST)).alias("own"),
-        row_identity(key, text).alias("rid"), whole_text(text).alias("_text"))
+    """(key, rid, _text): rid tells rows apart. Both joins to the texts take these columns,
+    so that Spark shuffles the texts once and reads them twice."""
+    return docs.select(F.col(key), row_identity(key, text).alias("rid"), whole_text(text).alias("_text"))
+
+
+def own_of(rows: DataFrame) -> Column:
+    """The document's place in order, made after the join; null keys come first."""
+    return F.coalesce(F.col(rows.columns[0]).cast("long"), F.lit(LEAST)).alias("own")
 
 
 def covered(batch: pa.RecordBatch, sizes: list[int]) -> Iterator[np.ndarray | None]:

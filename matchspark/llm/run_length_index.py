@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchspark.llm.anchored import NEAR, SPAN, Anywhere, Shape, Spans, covered, identified, repeated_spans
+from matchspark.llm.anchored import NEAR, SPAN, Anywhere, Shape, Spans, covered, identified, own_of, repeated_spans
 from matchspark.llm.common import texts_of
 
 SHAPE = Shape(words=False, window=200, gram=24, most=4096)
@@ -190,7 +190,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
                 names=[key, "n_bytes", "n_removed", "n_spans", "kept"])
 
     kind = rows.schema[key].dataType.simpleString()
-    return rows.join(spans, "rid", "left").select(key, "own", "_text", "spans").mapInArrow(
+    return rows.join(spans, "rid", "left").select(key, own_of(rows), "_text", "spans").mapInArrow(
         run, f"`{key}` {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
 
 

@@ -16,23 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchspark.llm.anchored import NEAR, SPAN, Earliest, Shape, Spans, covered, identified, repeated_spans
+from matchspark.llm.anchored import NEAR, SPAN, Earliest, Shape, Spans, covered, identified, own_of, repeated_spans, runs_of
 from matchspark.llm.common import texts_of
 
 #: Twenty words a window, prefixes of six words, at most so many suffixes' surroundings a subtree.
 SHAPE = Shape(words=True, window=20, gram=6, most=4096)
 
 
-def _runs(places: list[int]) -> Iterator[tuple[int, int]]:
-    start = last = places[0]
-    for at in places[1:]:
-        if at != last + 1:
-            yield start, last
-            start = at
-        last = at
-    yield start, last
-
-
 def subtree(bodies: dict[bytes, list[tuple[int, int, int]]], window: int) -> Spans:
     """Removed windows among different surroundings of one prefix; each has the places of its earliest occurrence.
 
@@ -59,7 +49,7 @@ def subtree(bodies: dict[bytes, list[tuple[int, int, int]]], window: int) -> Spa
         else:
             rows.add(rid)
     for (own, rid), places in gone.items():
-        for a, b in _runs(sorted(set(places))):
+        for a, b in runs_of(sorted(set(places))):
             yield own, rid, a, b
 
 
@@ -119,7 +109,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
                  pa.array(kept, pa.binary()).cast(pa.string())], names=[key, "n_words", "n_removed", "kept"])
 
     kind = rows.schema[key].dataType.simpleString()
-    return rows.join(spans, "rid", "left").select(key, "own", "_text", "spans").mapInArrow(
+    return rows.join(spans, "rid", "left").select(key, own_of(rows), "_text", "spans").mapInArrow(
         run, f"`{key}` {kind}, n_words long, n_removed long, kept string")
 
 

@@ -46,16 +46,18 @@ COLUMNS = {
 }
 
 
-@pytest.mark.parametrize("most", [4096, 3])
-def test_repeated_words(spark, rows, rows_of, most, monkeypatch):
+@pytest.mark.parametrize("most,kept", [(4096, 150_000), (3, 150_000), (3, 20)])
+def test_repeated_words(spark, rows, rows_of, most, kept, monkeypatch):
+    monkeypatch.setattr(anchored, "KEPT", kept)
     monkeypatch.setattr(suffix_trees, "SHAPE", anchored.Shape(True, 20, 6, most))
     got = rows_of(suffix_trees.removed_digests(frame(spark, rows)), *COLUMNS["words"])
     assert sorted(got) == brute.repeated_words(rows)
     assert sum(r[2] for r in got) > 500
 
 
-@pytest.mark.parametrize("most", [4096, 3])
-def test_repeated_bytes(spark, rows, rows_of, most, monkeypatch):
+@pytest.mark.parametrize("most,kept", [(4096, 150_000), (3, 150_000), (3, 20)])
+def test_repeated_bytes(spark, rows, rows_of, most, kept, monkeypatch):
+    monkeypatch.setattr(anchored, "KEPT", kept)
     monkeypatch.setattr(run_length_index, "SHAPE", anchored.Shape(False, 200, 24, most))
     got = rows_of(run_length_index.removed_digests(frame(spark, rows)), *COLUMNS["bytes"])
     assert got == brute.repeated_bytes(rows)
