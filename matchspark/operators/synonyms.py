@@ -62,7 +62,8 @@ def _keys(c: Column, cutoff: float, inner: str, outer: str) -> Column:
     inner: its own beginning, found among the pieces of a spelling that contains it;
     outer: all its pieces, for those it contains itself; and for close spellings a few of
     its pieces in one fixed order: k edits leave all but 3k of a spelling's pieces alone,
-    so two close spellings share one among the first 3k + 1 of each.
+    so two close spellings share one among the first 3k + 1 of each. Where that leaves none
+    (below a cutoff of about 0.8, or in short spellings), lengths are the key.
     """
     begin = F.array(F.concat(F.lit(inner), F.substring(c, F.lit(1), F.lit(PIECE))))
     within = F.transform(F.array_append(_pieces(c, list(range(1, PIECE + 1))), F.lit("")), lambda x: F.concat(F.lit(outer), x))
@@ -70,7 +71,16 @@ def _keys(c: Column, cutoff: float, inner: str, outer: str) -> Column:
     edits = F.floor(F.length(c) / F.lit(cutoff) * F.lit(1 - cutoff) + F.lit(1e-9)).cast("int")
     ordered = F.array_sort(F.transform(_pieces(c, [PIECE]), lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("piece"))))
     few = F.transform(F.slice(ordered, F.lit(1), PIECE * edits + 1), lambda x: F.concat(F.lit("e:"), x["piece"]))
-    return F.concat(begin, within, few)
+
+    def unsure(size: Column) -> Column:
+        """Edits may spoil every piece of a spelling of this size (short ones, or low cutoffs)."""
+        allowed = F.floor(size * F.lit(1 - cutoff) + F.lit(1e-9))
+        return (allowed > 0) & (size - (PIECE - 1) <= PIECE * allowed)
+
+    # Such pairs meet by the longer one's length.
+    sizes = F.filter(F.sequence(F.length(c), F.floor(F.length(c) / F.lit(cutoff) + F.lit(1e-9)).cast("int")), unsure)
+    by_size = F.transform(sizes, lambda n: F.concat(F.lit("l:"), n.cast("string")))
+    return F.concat(begin, within, few, by_size)
 
 
 def matches(queries: DataFrame, spellings: DataFrame, cutoff: float) -> DataFrame:
