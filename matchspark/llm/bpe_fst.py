@@ -12,6 +12,7 @@ within reach of one unfinished token. States and steps are made when first met.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,10 +21,10 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchspark.llm.common import texts_of, whole_text, with_columns, worker_value
+from matchspark.llm.common import slices, texts_of, whole_text, with_columns, worker_value
 
-#: Entries a worker keeps before it starts anew: texts of unlimited variety stay within memory.
-UNITS, STATES = 300_000, 400_000
+#: Entries a worker keeps of each kind, so that texts of unlimited variety stay within memory.
+UNITS, STATES, STEPS = 150_000, 250_000, 500_000
 NEVER = 1 << 60
 
 
@@ -33,17 +34,20 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
-        self.longest = max(map(len, ranks), default=1)
+        self.sizes = {rank: len(token) for token, rank in ranks.items()}
         self.open = {token[:n] for token in ranks for n in range(1, len(token))}
         self.halves: dict[int, tuple[int, int] | None] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.clear()
 
     def clear(self) -> None:
-        #: A state: last token emitted (-1: none), pending bytes, and by each pending end the token that ends there.
-        self.states: list[tuple[int, bytes, tuple[int, ...]]] = [(-1, b"", ())]
-        self.ids = {(-1, b""): 0}
+        #: A state: last token emitted (-1: none), pending bytes, for each pending end the token that ends
+        #: there, and the places from which some token can still grow.
+        self.states: list[tuple[int, bytes, tuple[int, ...], tuple[int, ...]]] = [(-1, b"", (), (0,))]
+        self.ids = {(-1, b"", ()): 0}
         self.steps: dict[int, tuple[int, tuple[int, ...]]] = {}
+        #: Equal outputs and places are kept once.
+        self.outputs: dict[tuple[int, ...], tuple[int, ...]] = {}
 
     def split(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes this one; none for a single byte."""
@@ -67,7 +71,7 @@ class Transducer:
 
     def stays(self, left: int, right: int) -> bool:
         """Whether merging left and right together would leave the border between them."""
-        known = self.pairs.get((left, right))
+        known = self.pairs.get(left << 32 | right)
         if known is None:
             a, b = self.spine(left, 1), self.spine(right, 0)
             i = j = 0
@@ -88,56 +92,58 @@ class Transducer:
                     j += 1
             if len(self.pairs) >= STATES:
                 self.pairs.clear()
-            self.pairs[left, right] = known
+            self.pairs[left << 32 | right] = known
         return known
 
-    def _last(self, start: int, pending: bytes, ends: tuple[int, ...]) -> int:
-        """The token that ends the encoding of all that was read."""
-        n = len(pending)
-        for size in range(min(n, self.longest), 0, -1):
-            token = self.ranks.get(pending[n - size:])
-            if token is None:
-                continue
-            before = start if size == n else ends[n - size - 1]
-            if before < 0 or self.stays(before, token):
-                return token
-        raise ValueError("bytes without a token")
-
-    def _path(self, at: int, ends: tuple[int, ...]) -> list[int]:
-        """Token ends on the way back from a place to the last emitted token, nearest first."""
-        places = []
-        while at > 0:
-            places.append(at)
-            at -= len(self.tokens[ends[at - 1]])
-        return [*places, 0]
-
     def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        start, pending, ends = self.states[state]
+        start, pending, ends, live = self.states[state]
         pending += bytes((byte,))
-        ends += (self._last(start, pending, ends),)
         n = len(pending)
-        shared = self._path(n, ends)
-        for at in range(max(0, n - self.longest + 1), n):
-            if pending[at:] in self.open:
-                other = set(self._path(at, ends))
-                shared = [x for x in shared if x in other]
-        settled, out = shared[0], []
-        at = settled
-        while at > 0:
-            out.append(ends[at - 1])
-            at -= len(self.tokens[ends[at - 1]])
-        out.reverse()
+        for at in live:  # the token that ends here began where a token could still grow
+            token = self.ranks.get(pending[at:])
+            if token is not None:
+                before = ends[at - 1] if at else start
+                if before < 0 or self.stays(before, token):
+                    break
+        else:
+            raise ValueError("bytes without a token")
+        ends += (token,)
+        live = (*(at for at in live if pending[at:] in self.open), n)
+        # The nearest place that the paths back from all live places share.
+        met = set(live)
+        while len(met) > 1:
+            far = max(met)
+            met.remove(far)
+            met.add(far - self.sizes[ends[far - 1]])
+        settled = met.pop()
+        out = self._tokens(settled, ends)
         if out:
-            # Tokens that start before the settled place can't end a path any more.
             start, pending, ends = out[-1], pending[settled:], ends[settled:]
-        found = self.ids.get((start, pending))
+            live = tuple(at - settled for at in live)
+        # Equal futures, one state: what no live place leads back to is forgotten, and so is the
+        # token before, unless one may still start right behind it.
+        paths: set[int] = set()
+        for at in live:
+            while at > 0 and at not in paths:
+                paths.add(at)
+                at -= self.sizes[ends[at - 1]]
+        key = (start if live[0] == 0 else -1, pending, tuple(t if at in paths else 0 for at, t in enumerate(ends, 1)))
+        found = self.ids.get(key)
         if found is None:
-            found = self.ids[start, pending] = len(self.states)
-            self.states.append((start, pending, ends))
-        return found, tuple(out)
+            found = self.ids[key] = len(self.states)
+            self.states.append((*key, self.outputs.setdefault(live, live)))
+        return found, self.outputs.setdefault(tuple(out), tuple(out))
+
+    def _tokens(self, at: int, ends: tuple[int, ...]) -> list[int]:
+        """The tokens between the last emitted one and a place."""
+        out = []
+        while at > 0:
+            out.append(ends[at - 1])
+            at -= self.sizes[ends[at - 1]]
+        return out[::-1]
 
     def encode(self, piece: bytes) -> list[int]:
-        if len(self.states) >= STATES or len(self.steps) >= STATES:
+        if len(self.states) >= STATES or len(self.steps) >= STEPS:
             self.clear()
         out: list[int] = []
         state, steps = 0, self.steps
@@ -149,8 +155,7 @@ class Transducer:
             if step[1]:
                 out += step[1]
         ends = self.states[state][2]
-        tail = [ends[at - 1] for at in self._path(len(ends), ends)[:-1]]
-        return out + tail[::-1]
+        return out + self._tokens(len(ends), ends)
 
 
 class Encoder:
@@ -165,31 +170,34 @@ class Encoder:
         self.pattern = regex.compile(pattern)
         self.cuts = regex.compile(r" (?=\S)")
         self.doubtful = regex.compile(r" (?!\S)")
-        self.whole: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
+        self.known, self.older = {}, {}
 
     def _unit(self, unit: str) -> bytes:
-        ids: list[int] = []
+        ids = array("I")
         for piece in self.pattern.findall(unit):
             body = piece.encode()
             token = self.ranks.get(body)
-            ids += self.transducer.encode(body) if token is None else (token,)
-        return np.array(ids, "<u4").tobytes()
+            if token is None:
+                ids.extend(self.transducer.encode(body))
+            else:
+                ids.append(token)
+        return ids.tobytes()
+
+    def _learn(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self._unit(" " + word)
+        if len(word) < 64:
+            if len(self.known) >= UNITS:  # the words met since the last time stay
+                self.older, self.known = self.known, {}
+            self.known[word] = ids
+        return ids
 
     def encode(self, text: str) -> bytes:
         words = text.split(" ") if self.doubtful.search(text) is None else self.cuts.split(text)
-        known = self.whole
-        if len(known) > UNITS:
-            known.clear()
-        head = words[0]
-        out = [self._unit(head)]
+        out = [self._unit(words[0])]
         for word in words[1:]:
-            ids = known.get(word)
-            if ids is None:
-                ids = self._unit(" " + word)
-                if len(word) < 64:
-                    known[word] = ids
-            out.append(ids)
+            out.append(self.known.get(word) or self._learn(word))
         return b"".join(out)
 
 
@@ -223,8 +231,32 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """docs with a column of token ids (array<int>) in place of the text.
+class Decoder:
+    """Token ids to text, a number of tokens at a time through the UTF-8 stream."""
+
+    def __init__(self, ranks: dict[bytes, int], step: int = 4096):
+        tokens = {v: k for k, v in ranks.items()}
+        bodies = [tokens.get(i, b"") for i in range(max(tokens, default=0) + 1)]
+        self.flat, self.step = np.frombuffer(b"".join(bodies), np.uint8), step
+        self.sizes = np.array([len(b) for b in bodies], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def bytes_of(self, tokens: np.ndarray) -> bytes:
+        sizes = self.sizes[tokens]
+        ends = np.cumsum(sizes)
+        return self.flat[np.repeat(self.starts[tokens] - (ends - sizes), sizes) + np.arange(sizes.sum())].tobytes()
+
+    def text_of(self, tokens: np.ndarray) -> str:
+        stream = Utf8Stream()
+        parts = [stream.feed(self.bytes_of(tokens[i:i + self.step])) for i in range(0, len(tokens), self.step)]
+        return "".join([*parts, stream.close()])
+
+
+def encode(
+    docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str | None = None,
+) -> DataFrame:
+    """docs with a column of token ids (array<int>) in place of the text; with `decoded`,
+    one more with the text that the ids decode to.
 
     Null and empty texts have no ids. Every piece of the pattern is encoded by itself and
     no special token is known. All other columns, also repeated rows, pass unchanged; ids
@@ -236,45 +268,33 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_value(("bpe", ranks_path, pattern), lambda: Encoder(ranks.value, pattern))
-        for batch in batches:
+        decoder = worker_value(("tokens", ranks_path), lambda: Decoder(ranks.value)) if decoded else None
+        for batch in slices(batches):
             coded = [encoder.encode(t.decode()) for t in texts_of(batch, text)]
             ends = np.cumsum([0, *map(len, coded)]) // 4
             flat = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(coded))])
-            yield with_columns(batch, {text}, **{ids: pa.ListArray.from_arrays(ends.astype(np.int32), flat)})
+            added = {ids: pa.ListArray.from_arrays(ends.astype(np.int32), flat)}
+            if decoded:
+                added[decoded] = pa.array([decoder.text_of(np.frombuffer(c, np.int32)) for c in coded], pa.string())
+            yield with_columns(batch, {text}, **added)
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), f"`{ids}` array<int>"])
-    return rows.mapInArrow(run, schema)
+    schema = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), f"`{ids}` array<int>"]
+    return rows.mapInArrow(run, ", ".join([*schema, f"`{decoded}` string"] if decoded else schema))
 
 
-def decode(coded: DataFrame, ranks_path: str, ids: str = "ids", text: str = "decoded", step: int = 4096) -> DataFrame:
-    """coded with its ids turned back into text, step tokens at a time through the UTF-8 stream.
+def decode(coded: DataFrame, ranks_path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
+    """coded with its ids turned back into text.
 
     Null ids give an empty text; bytes that are no UTF-8 give replacement characters.
     """
     ranks = coded.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
     others = [f for f in coded.schema.fields if f.name != text]
 
-    def table() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        by_id = {v: k for k, v in ranks.value.items()}
-        sizes = np.array([len(by_id.get(i, b"")) for i in range(max(by_id, default=0) + 1)], np.int64)
-        return np.frombuffer(b"".join(by_id.get(i, b"") for i in range(len(sizes))), np.uint8), np.cumsum(sizes) - sizes, sizes
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, starts, sizes = worker_value(("tokens", ranks_path), table)
-
-        def body(tokens: np.ndarray) -> bytes:
-            n = sizes[tokens]
-            ends = np.cumsum(n)
-            return flat[np.repeat(starts[tokens] - (ends - n), n) + np.arange(n.sum())].tobytes()
-
-        for batch in batches:
-            column = batch.column(batch.schema.get_field_index(ids)).fill_null([])
-            offsets, values = column.offsets.to_numpy(), column.values.to_numpy()
-            out = []
-            for a, b in zip(offsets[:-1], offsets[1:]):
-                stream = Utf8Stream()
-                parts = [stream.feed(body(values[i:min(i + step, b)])) for i in range(a, b, step)]
-                out.append("".join([*parts, stream.close()]))
+        decoder = worker_value(("tokens", ranks_path), lambda: Decoder(ranks.value))
+        for batch in slices(batches):
+            column = batch.column(batch.schema.get_field_index(ids))
+            out = [decoder.text_of(np.array(x.as_py() or [], np.int64)) for x in column]
             yield with_columns(batch, {text}, **{text: pa.array(out, pa.string())})
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), f"`{text}` string"])
@@ -283,11 +303,11 @@ def decode(coded: DataFrame, ranks_path: str, ids: str = "ids", text: str = "dec
 
 def coded_digests(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_tokens, ids_sha256, decoded_sha256 of every text's encoding and its decoding."""
-    coded = encode(docs.select(key, text), ranks_path, pattern, text)
+    coded = encode(docs.select(key, text), ranks_path, pattern, text, decoded="decoded")
     numbers = F.concat_ws(",", F.col("ids").cast("array<string>"))
-    measured = coded.select(key, "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(numbers, 256).alias("ids_sha256"))
-    return decode(measured, ranks_path).select(
-        key, "n_tokens", "ids_sha256", F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
+    return coded.select(
+        key, F.size("ids").cast("long").alias("n_tokens"), F.sha2(numbers, 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
 
 
 def default_files(_: SparkSession | None = None) -> tuple[str, str]:

@@ -77,6 +77,15 @@ def test_bpe_equals_tiktoken(documents, odd_docs, plain_rows, empty_docs, rows_o
     assert bpe_fst.coded_digests(empty_docs, path, pattern).count() == 0
 
 
+def test_decoding_alone(spark, odd_docs):
+    path, pattern = bpe_fst.default_files()
+    back = bpe_fst.decode(bpe_fst.encode(odd_docs, path, pattern), path)
+    assert back.columns == ["doc_id", "lang", "source", "n_chars", "ids", "decoded"]
+    assert {r.doc_id: r.decoded for r in back.collect()} == {i: t or "" for i, t in ODD}
+    none = spark.createDataFrame([(1, None)], "doc_id long, ids array<int>")
+    assert bpe_fst.decode(none, path).first().decoded == ""
+
+
 def test_bpe_on_random_bytes():
     import tiktoken
 
@@ -93,7 +102,7 @@ def test_bpe_on_random_bytes():
 def test_transducer_emits_with_bounded_lookahead():
     machine = bpe_fst.Transducer(bpe_fst.read_ranks(bpe_fst.default_files()[0]))
     machine.encode(b"internationalisation of many long words without end " * 200)
-    assert max(len(pending) for _, pending, _ in machine.states) <= 2 * machine.longest
+    assert max(len(state[1]) for state in machine.states) <= 2 * max(machine.sizes.values())
 
 
 def test_utf8_stream_keeps_broken_characters():
