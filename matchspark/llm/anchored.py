@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchspark.llm.common import int_column, row_identity, staged, texts_of, whole_text, worker_value
+from matchspark.llm.common import int_column, row_identity, texts_of, whole_text, worker_value
 
 MASK = (1 << 64) - 1
 BASE = 0x9E3779B97F4A7C15
@@ -280,13 +280,13 @@ def send_surroundings(rows: DataFrame, spots: DataFrame, shape: Shape, settle: t
                         continue  # another text's place, under an equal 64-bit identity
                     part = units[lo[k]:hi[k] + window]
                     part = b" ".join(part) if shape.words else part
-                    if n[k] <= shape.most:
-                        out.rows.append((h[k], NEAR, own, rid, lo[k], hi[k], part))
-                        continue
                     known = local.whole(_digest(part), own, rid, lo[k], hi[k])
-                    if known is not None:
+                    if known is not None:  # settled by what this task has seen; the text need not travel
                         out.rows += known
                         continue
+                    if n[k] <= shape.most:
+                        out.rows.append((h[k], NEAR, own, rid, lo[k], hi[k], part))
+                        continue
                     for at in range(lo[k], hi[k] + 1):
                         part = units[at:at + window]
                         digest = _digest(b" ".join(part) if shape.words else part)
@@ -340,7 +340,8 @@ def repeated_spans(rows: DataFrame, shape: Shape, settle: type, resolve: Callabl
     rows are those of identified. resolve turns the groups
     of a task, read one by one, into (own, rid, first window, last window).
     """
-    anchors = staged(find_anchors(rows, shape), "anchors")
+    # Anchors are found twice: once more over the texts costs less than keeping them on disk.
+    anchors = find_anchors(rows, shape)
     twice = anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     spots = anchors.join(twice, "h").groupBy("rid").agg(F.collect_set(F.struct("lo", "hi", "h", "n")).alias("spots"))
     sent = send_surroundings(rows, spots, shape, settle)
