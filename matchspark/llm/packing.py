@@ -30,7 +30,9 @@ class WordEncoder:
 
     Words are cut at ASCII white space and looked up; new ones go to the tokenizer. Words
     of Latin-1 characters are first split as the tokenizer's own pattern does, so that
-    one core serves all the words it stands in.
+    one core serves all the words it stands in. Words that hold one of the file's added
+    tokens, which the library finds before it splits, go to the tokenizer whole; where an
+    added token has white space or is looked for in normalised text, every text does.
     """
 
     def __init__(self, path: str):
@@ -42,6 +44,9 @@ class WordEncoder:
         self.words: tuple[dict[bytes, bytes], dict[bytes, bytes]] = ({}, {})
         self.parts = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
         self.plain = regex.compile(r"[\x21-\x7e\xa1-\xac\xae-\xff]+")
+        added = list(self.tokenizer.get_added_tokens_decoder().values())
+        self.uncut = any(t.normalized or t.content.split() != [t.content] for t in added)
+        self.added = regex.compile("|".join(regex.escape(t.content) for t in added) or r"(?!)")
 
     def _ask(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -70,7 +75,7 @@ class WordEncoder:
                 known[word] = ids
                 continue
             text = word.decode()
-            if self.plain.fullmatch(text):
+            if self.plain.fullmatch(text) and not self.added.search(text):
                 split[word] = self.parts.findall(text.lower())
             else:
                 whole.append(word)
@@ -83,6 +88,9 @@ class WordEncoder:
         """The ids of each text, 32 bit little-endian."""
         out, step = [], 512
         for at in range(0, len(texts), step):
+            if self.uncut:
+                out += self._ask([t.decode() for t in texts[at:at + step]])
+                continue
             split = [t.split() for t in texts[at:at + step]]
             if len(self.words[0]) > WORDS:
                 self.words = ({}, self.words[0])

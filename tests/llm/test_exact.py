@@ -128,6 +128,34 @@ def test_pieces_equal_the_tokenizer(documents, odd_docs, plain_rows, empty_docs,
     assert packing.packed_documents(empty_docs, path).count() == 0
 
 
+ADDED_TEXTS = [
+    "a <|endoftext|> b", "x<|endoftext|>y", "<|startoftext|>Start of it<|endoftext|>", "<|endoftext|><|endoftext|>", "é<|endoftext|>数 don't<|startoftext|>'s",
+    "x<|ENDOFTEXT|>y <|end oftext|> <|endoftext |>", "<|endoftext|>\n\n<|startoftext|>\t12<|endoftext|>", "one <|endoftext|> two " * 900, "<<|endoftext|>>.",
+]
+
+
+def test_added_tokens_of_the_file(spark, docs_schema, rows_of):
+    from tokenizers import Tokenizer
+
+    path = packing.default_file()
+    rows = list(enumerate(ADDED_TEXTS))
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], docs_schema)
+    got = rows_of(packing.packed_documents(docs, path), "doc_id", "piece", "start", "length", "ids_crc32")
+    assert got == brute.pieces(rows, Tokenizer.from_file(path))
+
+
+@pytest.mark.parametrize("token", ["two words", "Mixed"])
+def test_added_tokens_with_spaces_or_normalised(token, tmp_path):
+    from tokenizers import AddedToken, Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.default_file())
+    tokenizer.add_tokens([AddedToken(token, normalized=token == "Mixed")])
+    tokenizer.save(str(tmp_path / "t.json"))
+    texts = ["some two words here", "xMIXEDy mixed", "", "plain"]
+    got = packing.WordEncoder(str(tmp_path / "t.json")).encode([t.encode() for t in texts])
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def check_sequences(rows, size=2048):
     filled = {}
     for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
