@@ -37,6 +37,21 @@ def row_identity(key: str, text: str) -> Column:
     return F.xxhash64(F.col(key), whole_text(text))
 
 
+def one_of_each(docs: DataFrame, key: str, body: Column, keep: DataFrame) -> DataFrame:
+    """One row of docs for each row of keep: (_kept_key, _digest), the key (may be null) and
+    body's SHA-256 digest, each pair once.
+
+    Rows that repeat a pair are merged in the task that reads them and then globally; of
+    those that differ in other columns, the one with the least hash stays.
+    """
+    # No null and one type, so that the join meets rows where the aggregation has put them.
+    named = lambda c: F.coalesce(F.concat(F.lit("k"), F.col(c).cast("string")), F.lit(""))
+    rows = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("_row"), named(key).alias("_pair_key"), F.sha2(body, 256).alias("_digest"))
+    single = rows.groupBy("_digest", "_pair_key").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
+    wanted = keep.select("_digest", named("_kept_key").alias("_pair_key"))
+    return single.join(wanted, ["_digest", "_pair_key"], "left_semi").select("_row.*")
+
+
 def worker_value(key: Hashable, make: Callable[[], Any]) -> Any:
     """make() once in each worker process. Functions travel by value, so a module's own
     globals would not outlive a task."""

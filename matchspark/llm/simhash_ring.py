@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchspark.llm.common import int_column, staged, texts_of, whole_text
+from matchspark.llm.common import int_column, one_of_each, staged, texts_of, whole_text
 from matchspark.llm.components import components
 
 LIMIT = 4
@@ -78,16 +78,20 @@ def fingerprint(body: bytes) -> int:
     return int(np.packbits(counts * 2 > len(starts), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, fp long)."""
+def fingerprints(docs: DataFrame, key: str, text: str, digest: bool = False) -> DataFrame:
+    """(key, fp long), with digest also _digest, the text's SHA-256."""
     rows = docs.select(F.col(key), whole_text(text).alias("_text"))
+    if digest:
+        rows = rows.withColumn("_digest", F.sha2("_text", 256))
+    others = [c for c in rows.columns if c != "_text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = np.array([fingerprint(t) for t in texts_of(batch, "_text")], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch[key], pa.array(prints, pa.int64())], names=[key, "fp"])
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in others), pa.array(prints, pa.int64())], names=[*others, "fp"])
 
-    return rows.mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, fp long")
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in others)
+    return rows.mapInArrow(run, f"{kinds}, fp long")
 
 
 def ring_keys(prints: DataFrame) -> DataFrame:
@@ -224,6 +228,12 @@ def links(prints: DataFrame, group: int = GROUP) -> DataFrame:
     return met.where(F.col("mark") == NONE).select("a", "b").unionByName(more.select("a", "b"))
 
 
+def _rooted(prints: DataFrame, least: DataFrame, group: int) -> DataFrame:
+    """fp, _least, root: the rows of least (fp, _least), each with the root of its component."""
+    found = components(links(prints, group))
+    return least.join(found, F.col("fp") == F.col("node"), "left").select("fp", "_least", F.coalesce("root", "fp").alias("root"))
+
+
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", group: int = GROUP) -> DataFrame:
     """One row per row of docs: key, fp (long), component_id.
 
@@ -234,9 +244,7 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", group:
     other columns are not read. An empty table gives an empty result.
     """
     prints = staged(fingerprints(docs, key, text), "prints")
-    found = components(links(prints, group))
-    least = prints.groupBy("fp").agg(F.min(key).alias("_least"))
-    rooted = least.join(found, F.col("fp") == F.col("node"), "left").select("fp", "_least", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(prints, prints.groupBy("fp").agg(F.min(key).alias("_least")), group)
     ids = rooted.groupBy("root").agg(F.min("_least").alias("component_id"))
     named = rooted.select("fp", "root").join(ids, "root").select("fp", "component_id")
     return prints.join(named, "fp").select(key, "fp", "component_id")
@@ -247,11 +255,15 @@ def near_digests(docs: DataFrame) -> DataFrame:
     return near_groups(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one row of each group of near texts: the one with the smallest key.
+def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", group: int = GROUP) -> DataFrame:
+    """docs with one row of each group of near texts: one with the smallest key.
 
-    Rows that repeat the smallest key, and rows of a group of null keys only, all stay.
+    Of rows that repeat the smallest key within the group one stays (that of the least
+    text digest), and of a group of null keys only one row too. A row whose key stays for
+    a text of another group is judged in its own group only.
     """
-    groups = near_groups(docs, key, text)
-    keep = groups.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_kept_key")).distinct()
-    return docs.join(keep, docs[key].eqNullSafe(keep["_kept_key"]), "left_semi")
+    prints = staged(fingerprints(docs, key, text, digest=True), "prints")
+    first = F.struct(F.col(key).isNull(), F.col(key).alias("_kept_key"), F.col("_digest"))
+    rooted = _rooted(prints, prints.groupBy("fp").agg(F.min(first).alias("_least")), group)
+    keep = rooted.groupBy("root").agg(F.min("_least").alias("_least")).select("_least._kept_key", "_least._digest")
+    return one_of_each(docs, key, whole_text(text), keep)

@@ -5,7 +5,7 @@ import corpus_pipeline
 import pytest
 from conftest import ODD
 
-from matchspark.llm import packing, quality_qda
+from matchspark.llm import exact_dedup, packing, quality_qda, simhash_ring
 
 
 @pytest.fixture(scope="module")
@@ -58,3 +58,21 @@ def test_odd_and_no_rows(spark, folder, odd_docs, empty_docs):
         for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, docs, folder)
             assert out.count() <= max(len(ODD) * 3, 1), name
+
+
+def test_repeated_rows_and_null_keys_leave_one(spark, docs_schema):
+    """A shard delivered twice, and null keys: one row of each group survives both stages."""
+    words = [f"w{i}" for i in range(120)]
+    near = " ".join([*words[:-1], "end"])
+    assert bin(brute.fingerprint(" ".join(words)) ^ brute.fingerprint(near)).count("1") <= 4
+    rows = [(5, " ".join(words)), (5, " ".join(words)), (7, " ".join(words)), (3, "quite another text of this shard"), (5, "same  key other text"),
+            (5, "same key other text"), (None, "only null keys"), (None, "only null keys"), (None, " ".join(words))]
+    docs = spark.createDataFrame([(i, t, "en", f"s{n}", len(t)) for n, (i, t) in enumerate(rows)], docs_schema)
+    exact = exact_dedup.drop_copies(docs)
+    assert exact.columns == docs.columns
+    wanted = [(3, rows[3][1]), (5, rows[0][1]), (5, "same key other text"), (None, "only null keys")]
+    assert sorted(((i, " ".join(t.split())) for i, t in texts(exact)), key=repr) == sorted(wanted, key=repr)
+    assert sorted(((i, " ".join(t.split())) for i, t in texts(simhash_ring.keep_first(docs))), key=repr) == sorted(wanted, key=repr)
+    # Key 5 stays for another text, but this near copy of document 4 goes.
+    crossed = spark.createDataFrame([(4, " ".join(words), None, None, 1), (5, near, None, None, 2), (5, "a text of its own", None, None, 3)] * 2, docs_schema)
+    assert sorted(texts(simhash_ring.keep_first(crossed))) == [(4, " ".join(words)), (5, "a text of its own")]
