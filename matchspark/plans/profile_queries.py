@@ -147,8 +147,7 @@ def box_stats_seconds(spark, sf):
 def sorted_nulls_last(spark, sf):
     amount = F.when(F.col("o_orderkey") % 5 != 0, F.floor("o_totalprice").cast("double"))
     rows = read_table(spark, sf, "orders").select("o_orderkey", amount.alias("amount"))
-    top = profiling.in_order(rows, "amount", "o_orderkey").limit(500)  # a top-k report; its places are numbered afterwards
-    return top.withColumn("place", F.expr("row_number() over (order by amount desc nulls last, o_orderkey)").cast("long"))
+    return profiling.placed(rows, "amount", "o_orderkey").where(F.col("place") <= 500)  # the report's limit; all rows are placed
 
 
 @query("datepart_counts_year", """

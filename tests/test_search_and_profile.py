@@ -150,3 +150,15 @@ def test_stream_dedup_drops_late_copies(spark, tmp_path):
     seen = []
     ingest.run_available(stream, lambda batch, _: seen.extend(r["k"] for r in batch.collect()), str(tmp_path / "c"))
     assert sorted(seen) == [1, 2]
+
+
+@pytest.mark.parametrize("descending", [True, False])
+def test_places_of_all_rows_nulls_last(spark, descending):
+    rng = random.Random(4)
+    rows = [(i, None if i % 5 == 0 else float(rng.randint(0, 300))) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, x double").repartition(7)
+    got = {r.place: (r.id, r.x) for r in profiling.placed(df, "x", "id", descending).collect()}
+    wanted = sorted(rows, key=lambda r: (r[1] is None, (-r[1] if descending else r[1]) if r[1] is not None else 0, r[0]))
+    assert [got[i + 1] for i in range(len(rows))] == wanted and len(got) == len(rows)
+    assert all(got[i][1] is None for i in range(2401, 3001))
+    assert profiling.placed(df.limit(0), "x", "id", descending).count() == 0
