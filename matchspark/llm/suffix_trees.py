@@ -2,9 +2,9 @@
 
 The suffixes that can begin a repeated window are split by prefixes of variable length: a
 prefix of a few words, and where too many suffixes share it, of a whole window. What
-shares a prefix fits into memory and becomes one subtree, held as its sorted suffixes with
-the words each has in common with the next. An internal node as deep as a window is a
-repeat; its leaves are the repeat's places, and all but the earliest are removed.
+shares a prefix fits into memory and is settled together. No tree is built: only nodes as deep as a window matter,
+so each suffix is cut to its first window, and equal neighbours of the sorted windows are
+the leaves of one such node, a repeat's places; all but the earliest are removed.
 """
 
 from __future__ import annotations
