@@ -9,12 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from matchspark.llm import (
     bpe_fst,
     exact_dedup,
+    html_cut,
     license_scan,
     packing,
+    periodic_runs,
     quality_qda,
     run_length_index,
     secret_scan,
     simhash_ring,
+    source_divergence,
     suffix_trees,
     va_topk,
 )
@@ -109,3 +112,18 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     ranks, pattern = bpe_fst.default_files()
     return bpe_fst.coded_digests(read_table(spark, folder, "documents"), ranks, pattern)
+
+
+@query("op11_html_min_cut")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return html_cut.extracted(read_table(spark, folder, "pages"))
+
+
+@query("op12_periodic_runs")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic_runs.digests(read_table(spark, folder, "documents"))
+
+
+@query("op13_source_divergence", source_divergence.SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return source_divergence.divergences(read_table(spark, folder, "documents"))
