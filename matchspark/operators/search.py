@@ -9,13 +9,9 @@ from matchspark import vocab
 from matchspark.functions.filters import compile_filter
 from matchspark.functions.once import let
 from matchspark.functions.text import tokens
-from matchspark.functions.vectors import cosine
+from matchspark.operators import blockmax
 from matchspark.operators.skew import SMALL_ROWS
-
-# Usual BM25 parameters.
-K1 = 1.2
-B = 0.75
-
+from matchspark.sources.tables import staged
 
 def search_document(columns: dict[str, str]) -> Column:
     """A line 'label: value' for each column of a column -> label map; unknown values leave the label."""
@@ -40,27 +36,15 @@ def index_description(df: DataFrame, searched: list[str], attributes: list[str],
     return counted.select(F.inline(rows))
 
 
-def _tokenised(docs: DataFrame, key: str, text: str, length_rows: bool) -> DataFrame:
-    """(key, token, doc_len), one row per token; with length_rows one more per document, its token null."""
+def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, token, tf, doc_len): one row per distinct token of a document, counted where the
+    document lies after one hash partitioning by key."""
     def rows(words: Column) -> Column:
         size = F.size(words)
-        each = F.transform(words, lambda w: F.struct(w.alias("token"), size.alias("doc_len")))
-        if not length_rows:
-            return each
-        return F.array_append(each, F.struct(F.lit(None).cast("string").alias("token"), size.alias("doc_len")))
-
-    return docs.select(key, F.inline(let(tokens(F.col(text)), rows)))
-
-
-def _counted(rows: DataFrame, key: str) -> DataFrame:
-    """Tokens counted where their document lies, after one hash partitioning by key, so
-    later steps that group by document need no further shuffle."""
-    return rows.repartition(F.col(key)).groupBy(key, "token").agg(F.count("*").alias("tf"), F.first("doc_len").alias("doc_len"))
-
+        return F.transform(words, lambda w: F.struct(w.alias("token"), size.alias("doc_len")))
 
-def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, token, tf, doc_len): one row per distinct token of a document."""
-    return _counted(_tokenised(docs, key, text, False), key)
+    each = docs.select(key, F.inline(let(tokens(F.col(text)), rows)))
+    return each.repartition(F.col(key)).groupBy(key, "token").agg(F.count("*").alias("tf"), F.first("doc_len").alias("doc_len"))
 
 
 def lengths(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -75,67 +59,45 @@ def query_terms(queries: DataFrame, key: str, text: str) -> DataFrame:
 def search(
     docs: DataFrame, doc_key: str, text: str, queries: DataFrame, query_key: str, query_text: str,
     filter_object: dict | None = None, limit: int = vocab.SEARCH_LIMIT,
-    index: tuple[DataFrame, DataFrame] | None = None,
+    index: DataFrame | tuple[DataFrame, DataFrame] | None = None,
+    vectors: tuple[DataFrame, DataFrame, float] | None = None,
 ) -> DataFrame:
     """Best documents per query by BM25: (query, document, score, rank).
 
-    Document counts and lengths are those of the whole index; the filter only
-    restricts results. index holds stored postings and lengths; without it documents are
-    tokenised once, and only tokens that queries use, and one length per document, are
-    moved. Scores are summed where the document lies, and each task keeps its best rows
-    per query before anything is shuffled by query.
+    With vectors, (document, doc_vector), (query, query_vector) and a weight, the score is
+    BM25 + weight * cosine over every document that has a word of the query or a vector;
+    a missing vector counts as cosine 0. Document counts and lengths are those of the whole
+    index; the filter only restricts results. Keys are unique.
+
+    index holds stored postings, in blocks (blockmax.block_index) or as rows (postings and
+    lengths); without it documents are tokenised once, and the postings of the words that
+    queries use are written in blocks. Most documents are never scored (see blockmax).
     """
     terms = query_terms(queries, query_key, query_text)
-    # Sent to the postings when counted to be small: common words would be hot join keys.
-    few = terms.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
-    words = terms.select(F.col("token").alias("_word")).distinct()
-    words = F.broadcast(words) if few else words
     if index is None:
-        used = _tokenised(docs, doc_key, text, True).join(words, F.col("token") == F.col("_word"), "left").where(
-            F.col("token").isNull() | F.col("_word").isNotNull()).drop("_word")
-        stored = _counted(used, doc_key)
-        wanted, sizes = stored.where(F.col("token").isNotNull()), stored.where(F.col("token").isNull())
-    else:
-        wanted, sizes = index[0].join(words, F.col("token") == F.col("_word"), "left_semi"), index[1]
-    # Counting doc_len keeps the columns of both uses equal, so the shuffled postings are read twice, not made twice.
-    frequency = wanted.groupBy("token").agg(F.count("doc_len").alias("df"))
-    stats = sizes.agg(F.struct(F.count("*").alias("docs"), F.avg("doc_len").alias("mean_len")).alias("stats")).scalar()
-    weighted_terms = (
-        terms.join(frequency, "token")
-        .withColumn("_stats", stats)
-        .select(query_key, "token", F.col("_stats.mean_len").alias("mean_len"),
-                F.log(1 + (F.col("_stats.docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    )
-    candidates = wanted
-    if filter_object:
-        allowed = docs.where(compile_filter(filter_object)).select(doc_key)
-        candidates = wanted.join(allowed, doc_key, "left_semi")
-    tf = F.col("tf")
-    gain = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("doc_len") / F.col("mean_len")))
-    scored = (
-        candidates.join(F.broadcast(weighted_terms) if few else weighted_terms, "token")
-        .groupBy(doc_key, query_key)
-        .agg(F.sum(gain).alias("score"))
-    )
-    return _ranked(scored, doc_key, query_key, limit)
+        # Sent to the tasks when counted to be few; all words are indexed otherwise.
+        words = [r[0] for r in terms.select("token").limit(SMALL_ROWS + 1).collect()]
+        index = staged(blockmax.block_index(docs, doc_key, text, list(set(words)) if len(words) <= SMALL_ROWS else None), "postings")
+    elif isinstance(index, tuple):
+        words = terms.select("token").distinct()
+        index = staged(blockmax.index_of_postings(index[0].join(words, "token", "left_semi"), index[1], doc_key), "postings")
+    size = blockmax.totals(index).first()  # one row
+    idf = F.log(1 + (F.lit(size["docs"] or 0) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighted = terms.join(blockmax.frequencies(index), "token").groupBy(query_key).agg(
+        F.collect_list(F.struct("token", idf.alias("idf"))).alias("terms"))
+    asked = weighted.withColumn("vector", F.lit(None).cast("array<float>"))
+    doc_vectors, weight = None, 0.0
+    if vectors is not None:
+        doc_vectors, query_vectors, weight = vectors
+        asked = (
+            queries.select(query_key).distinct().join(weighted, query_key, "left")
+            .join(query_vectors.select(query_key, F.col("query_vector").alias("vector")), query_key, "left"))
+    allowed = docs.where(compile_filter(filter_object)).select(doc_key) if filter_object else None
+    found = blockmax.best_documents(
+        index, asked, terms, queries.count(), size["mean_len"] or 1.0, limit, doc_key, query_key, weight, doc_vectors, allowed)
+    return _ranked(found, doc_key, query_key, limit)
 
 
 def _ranked(scored: DataFrame, doc_key: str, query_key: str, limit: int) -> DataFrame:
     order = Window.partitionBy(query_key).orderBy(F.round("score", 9).desc(), F.col(doc_key))
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
-
-
-def rerank(
-    found: DataFrame, doc_key: str, query_key: str, doc_vectors: DataFrame, query_vectors: DataFrame,
-    weight: float, limit: int = vocab.SEARCH_LIMIT,
-) -> DataFrame:
-    """Results of a search (with a larger limit) in the order of score + weight * cosine.
-
-    doc_vectors: (document, doc_vector), query_vectors: (query, query_vector); a missing
-    vector counts as cosine 0. Only found documents' vectors are multiplied.
-    """
-    meaning = F.coalesce(cosine(F.col("doc_vector"), F.col("query_vector")), F.lit(0.0))
-    blended = (
-        found.drop("rank").join(doc_vectors, doc_key, "left").join(query_vectors, query_key, "left")
-        .select(doc_key, query_key, (F.col("score") + F.lit(weight) * meaning).alias("score")))
-    return _ranked(blended, doc_key, query_key, limit)

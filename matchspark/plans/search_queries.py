@@ -1,14 +1,11 @@
 """Ranked search on the driver tables."""
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from matchspark.functions.filters import compile_filter
-from matchspark.operators import search
+from matchspark.operators import blockmax, search
 from matchspark.plans.registry import query
-from matchspark.session import shared_folder
-from matchspark.sources.tables import read_table, spread
+from matchspark.sources.tables import read_table, spread, staged
 
 TOKENS = r"list_filter(regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
 
@@ -77,32 +74,29 @@ def search_filtered(spark, sf):
 @query("search_stored_index", sql_search("benchmark"))
 def search_stored_index(spark, sf):
     docs = spread(read_table(spark, sf, "documents").select("doc_id", "text"))
-    folder = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
-    search.postings(docs, "doc_id", "text").write.parquet(f"{folder}/postings")
-    search.lengths(docs, "doc_id", "text").write.parquet(f"{folder}/lengths")
-    index = spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/lengths")
+    index = staged(blockmax.block_index(docs, "doc_id", "text"), "index")
     items = read_table(spark, sf, "benchmark")
     return _ranked(search.search(docs, "doc_id", "text", items, "item_id", "text", index=index))
 
 
-# Document and item vectors by their number; most have none.
-SQL_BLENDED = """, top AS (
-        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS r FROM s) WHERE r <= 50),
+# Every document with a word of the item or, where the item has a vector, with a vector.
+SQL_BLENDED = """, e AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+    v AS (
+        SELECT i.item_id, t.doc_id, 10 * list_dot_product(d.e, q.e)
+            / (sqrt(list_dot_product(d.e, d.e)) * sqrt(list_dot_product(q.e, q.e)) + 1e-9) AS score
+        FROM benchmark i JOIN e q ON q.vec_id = i.item_id CROSS JOIN (documents t JOIN e d ON d.vec_id = t.doc_id)),
     b AS (
-        SELECT item_id, doc_id, score + 10 * coalesce(list_dot_product(d.e, q.e)
-            / (sqrt(list_dot_product(d.e, d.e)) * sqrt(list_dot_product(q.e, q.e)) + 1e-9), 0) AS score
-        FROM top LEFT JOIN (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) d ON d.vec_id = doc_id
-        LEFT JOIN (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) q ON q.vec_id = item_id)"""
+        SELECT item_id, doc_id, coalesce(s.score, 0) + coalesce(v.score, 0) AS score
+        FROM s FULL JOIN v USING (item_id, doc_id))"""
 
 
 @query("search_blended", sql_search("benchmark", pick=SQL_BLENDED + PICK.format("b")))
 def search_blended(spark, sf):
     docs = spread(read_table(spark, sf, "documents").select("doc_id", "text"))
-    found = search.search(docs, "doc_id", "text", read_table(spark, sf, "benchmark"), "item_id", "text", limit=50)
     vectors = read_table(spark, sf, "embeddings")
-    return _ranked(search.rerank(
-        found, "doc_id", "item_id", vectors.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("doc_vector")),
-        vectors.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("query_vector")), 10.0))
+    return _ranked(search.search(docs, "doc_id", "text", read_table(spark, sf, "benchmark"), "item_id", "text", vectors=(
+        vectors.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("doc_vector")),
+        vectors.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("query_vector")), 10.0)))
 
 
 @query("structured_filter", """

@@ -3,12 +3,14 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from matchspark import vocab
-from matchspark.operators import conformance, cost, profiling, search
+from matchspark.operators import blockmax, conformance, cost, profiling, search
 from matchspark.sources import tables
 from matchspark.streaming import ingest
 
@@ -162,3 +164,105 @@ def test_places_of_all_rows_nulls_last(spark, descending):
     assert [got[i + 1] for i in range(len(rows))] == wanted and len(got) == len(rows)
     assert all(got[i][1] is None for i in range(2401, 3001))
     assert profiling.placed(df.limit(0), "x", "id", descending).count() == 0
+
+
+def blended_by_hand(docs, queries, vectors, weight, allowed=None):
+    """Every document with a common word or, for queries with a vector, a vector."""
+    words = {k: "".join(c if c.isalnum() else " " for c in (t or "").lower()).split() for k, t in docs}
+    mean = sum(map(len, words.values())) / len(words)
+    df = Counter(w for x in words.values() for w in set(x))
+    out = {}
+    for q, text in queries:
+        asked = set("".join(c if c.isalnum() else " " for c in text.lower()).split())
+        for k, have in words.items():
+            if allowed is not None and k not in allowed:
+                continue
+            tf = Counter(have)
+            total = sum(math.log(1 + (len(words) - df[w] + 0.5) / (df[w] + 0.5)) * tf[w] * 2.2 / (tf[w] + 1.2 * (0.25 + 0.75 * len(have) / mean))
+                        for w in asked if tf[w])
+            both = vectors and q in vectors[1] and k in vectors[0]
+            if both:
+                a, b = np.array(vectors[0][k]), np.array(vectors[1][q])
+                total += weight * float(a @ b) / (float(np.linalg.norm(a) * np.linalg.norm(b)) + 1e-9)
+            if both or asked & tf.keys():
+                out[q, k] = total
+    return out
+
+
+def best_by_hand(scores, limit):
+    out = {}
+    for (q, k), x in scores.items():
+        out.setdefault(q, []).append((-round(x, 9), k))
+    return {q: [k for _, k in sorted(v)[:limit]] for q, v in out.items()}
+
+
+@pytest.fixture(scope="module")
+def corpus():
+    rng = random.Random(6)
+    common, rare = [f"w{i}" for i in range(12)], [f"r{i}" for i in range(300)]
+    docs = [(i, " ".join(rng.choices(common, k=rng.randint(0, 30)) + rng.choices(rare, k=rng.randint(0, 3)))) for i in range(900)]
+    docs += [(900 + i, docs[7][1]) for i in range(60)] + [(970, None), (971, ""), (972, "w1 " * 5000)]
+    queries = [(f"q{i}", " ".join(rng.choices(common, k=3) + rng.choices(rare, k=rng.randint(0, 2)))) for i in range(25)] + [("none", "zzz"), ("empty", "")]
+    near = {i: [rng.gauss(0, 1) for _ in range(4)] for i in range(0, 960, 3)}
+    asked = {f"q{i}": [rng.gauss(0, 1) for _ in range(4)] for i in range(0, 25, 2)} | {"none": [1.0, 0.0, 0.0, -1.0]}
+    return docs, queries, (near, asked)
+
+
+@pytest.mark.parametrize("weight", [0.5, 10.0])
+def test_blended_search_sees_every_document(spark, corpus, weight, monkeypatch):
+    monkeypatch.setattr(blockmax, "DOCUMENTS", 200)
+    monkeypatch.setattr(blockmax, "RANGE", 8)
+    monkeypatch.setattr(blockmax, "QUERIES", 7)
+    docs, queries, (near, asked) = corpus
+    frame = spark.createDataFrame(docs, "k long, t string").repartition(3)
+    found = search.search(
+        frame, "k", "t", spark.createDataFrame(queries, "q string, s string"), "q", "s", limit=6, vectors=(
+            spark.createDataFrame([(k, v) for k, v in near.items()], "k long, doc_vector array<double>"),
+            spark.createDataFrame([(q, v) for q, v in asked.items()], "q string, query_vector array<double>"), weight)).collect()
+    scores = blended_by_hand(docs, queries, (near, asked), weight)
+    got = {}
+    for r in sorted(found, key=lambda r: r["rank"]):
+        got.setdefault(r["q"], []).append(r["k"])
+        assert abs(r["score"] - scores[r["q"], r["k"]]) < 1e-9
+    assert got == best_by_hand(scores, 6)
+    # Documents without a common word are found by meaning alone.
+    assert len(got["none"]) == 6
+
+
+@pytest.mark.parametrize("stored", ["no", "blocks", "rows"])
+def test_pruned_search_equals_scoring_all(spark, corpus, stored, monkeypatch):
+    monkeypatch.setattr(blockmax, "DOCUMENTS", 300)
+    monkeypatch.setattr(blockmax, "RANGE", 4)
+    docs, queries, _ = corpus
+    frame = spark.createDataFrame([(k, t, k % 5) for k, t in docs], "k long, t string, n long").repartition(3)
+    index = {"no": None, "blocks": blockmax.block_index(frame, "k", "t"),
+             "rows": (search.postings(frame, "k", "t"), search.lengths(frame, "k", "t"))}[stored]
+    asked = spark.createDataFrame(queries, "q string, s string")
+    for where, allowed in ((None, None), ({"@lte": {"n": 1}}, {k for k, _ in docs if k % 5 <= 1})):
+        found = search.search(frame, "k", "t", asked, "q", "s", where, 4, index).collect()
+        got = {}
+        for r in sorted(found, key=lambda r: r["rank"]):
+            got.setdefault(r["q"], []).append(r["k"])
+        assert got == best_by_hand(blended_by_hand(docs, queries, None, 0, allowed), 4)
+
+
+def test_most_documents_are_not_scored():
+    rng = np.random.default_rng(1)
+    n = 6400
+    tf = rng.integers(1, 3, n)
+    tf[rng.integers(0, n, 40)] = 60
+    lens = np.full(n, 100)
+    batch = blockmax.shard_rows(1, pa.array(np.arange(n)), lens, pa.array(["a"]), np.zeros(n, np.int64), np.arange(n), tf)
+    shard = blockmax.Shard(pa.Table.from_batches([batch]).filter(pc.field("token").is_valid()), lens, 100.0)
+    looked_at = []
+    best, score = blockmax.best_in_shard(shard, [("a", 1.0)], None, None, None, np.arange(n), 5, looked_at)
+    assert sorted(best) == sorted(np.lexsort((np.arange(n), -shard.gain))[:5]) and (score == shard.gain[best]).all()
+    assert sum(looked_at) < n // 2
+
+
+def test_search_of_nothing(spark):
+    docs = spark.createDataFrame([(1, "a b")], "k long, t string")
+    asked = spark.createDataFrame([("q", "a")], "q string, s string")
+    assert search.search(docs.limit(0), "k", "t", asked, "q", "s").count() == 0
+    assert search.search(docs, "k", "t", asked.limit(0), "q", "s").count() == 0
+    assert [r["k"] for r in search.search(docs, "k", "t", asked, "q", "s").collect()] == [1]
