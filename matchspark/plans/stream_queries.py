@@ -9,37 +9,76 @@ from matchspark.operators import incremental
 from matchspark.plans.registry import query
 from matchspark.session import shared_folder
 from matchspark.sources import tables
-from matchspark.streaming import ingest
+from matchspark.streaming import ingest, target
 
 
 def _folder(spark) -> str:
     return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
-def _arrivals(spark, folder, *batches):
-    """A stream over files that arrived one after the other, each its own micro-batch."""
+def _arriving(spark, folder, batches, run) -> None:
+    """Files that arrive one lot after the other; run(stream) handles each lot as one
+    micro-batch, and goes on from its checkpoint."""
     for batch in batches:
-        batch.coalesce(1).write.mode("append").parquet(f"{folder}/arrived")
-    return ingest.read_stream(spark, f"{folder}/arrived", batches[0].schema, files_per_batch=1)
+        batch.write.mode("append").parquet(f"{folder}/arrived")
+        run(ingest.read_stream(spark, f"{folder}/arrived", batch.schema))
+
+
+def _twice(each):
+    """A batch writer to which every batch is delivered again, as after a failure."""
+    def deliver(batch, number):
+        each(batch, number)
+        each(batch, number)
+
+    return deliver
 
 
 def _thirds(spark, sf, name, key, *columns):
-    """A table in three files: later and earlier rows mixed, the first third repeated at the end."""
+    """A table in three lots: later and earlier rows mixed, the first third repeated at the end."""
     rows = tables.read_table(spark, sf, name).select(*columns)
     parts = [rows.where(F.pmod(F.col(key), F.lit(3)) == n) for n in range(3)]
     return [*parts, parts[0]]
 
 
-@query("stream_latest", """
+def _by_time(spark, sf, *columns):
+    """Events about as they happened: three lots that overlap, and with the last one copies
+    of the first days, which are too late by then."""
+    rows = tables.read_table(spark, sf, "events").select(*columns, F.col("ts").cast("timestamp").alias("ts"))
+    day = F.dayofmonth("ts")
+    return [rows.where(day < 12), rows.where((day >= 8) & (day < 22)), rows.where((day >= 20) | (day < 4))]
+
+
+DELAY = "5 days"
+
+
+SQL_NEWEST = """
     SELECT event_id, user_id, event_type, ts FROM (
         SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1
-""")
+"""
+
+
+@query("stream_latest", SQL_NEWEST)
 def stream_latest(spark, sf):
+    """The newest version in a table that every batch is merged into; the stream has no state."""
     folder = _folder(spark)
-    events = _arrivals(spark, folder, *_thirds(spark, sf, "events", "event_id", "event_id", "user_id", "event_type", "ts"))
-    each = ingest.upsert(f"{folder}/latest", ["user_id", "event_type"], ["ts", "event_id"], spark)
-    ingest.run_available(events, each, f"{folder}/checkpoint")
-    return tables.bucketed(spark, f"{folder}/latest")
+    each = ingest.upsert(f"{folder}/latest", ["user_id", "event_type"], ["ts", "event_id"], folder)
+    lots = _thirds(spark, sf, "events", "event_id", "event_id", "user_id", "event_type", "ts")
+    _arriving(spark, folder, lots, lambda events: ingest.run_available(events, each, f"{folder}/checkpoint"))
+    return target.rows(spark, f"{folder}/latest")
+
+
+@query("stream_newest", SQL_NEWEST)
+def stream_newest(spark, sf):
+    """Only rows newer than all before pass; late ones are dropped, and a watermark bounds the state."""
+    folder, before = _folder(spark), spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    each = ingest.upsert(f"{folder}/newest", ["user_id", "event_type"], ["ts", "event_id"], folder)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ingest.STATE_STORE)
+    try:
+        _arriving(spark, folder, _by_time(spark, sf, "event_id", "user_id", "event_type"), lambda events: ingest.run_available(
+            ingest.newest_stream(events, ["user_id", "event_type"], "ts", "event_id", DELAY), each, f"{folder}/checkpoint"))
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    return target.rows(spark, f"{folder}/newest").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 
 @query("stream_dedup", """
@@ -49,9 +88,9 @@ def stream_dedup(spark, sf):
     """Copies that arrive again within the delay are dropped; a watermark bounds the state."""
     folder = _folder(spark)
     rows = tables.read_table(spark, sf, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
-    stream = ingest.dedup_stream(_arrivals(spark, folder, rows, rows), ["event_id"], "ts", "60 days")
-    ingest.run_available(
-        stream, lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/out/batch={n}"), f"{folder}/checkpoint")
+    _arriving(spark, folder, [rows, rows], lambda events: ingest.run_available(
+        ingest.dedup_stream(events, ["event_id"], "ts", "60 days"),
+        lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/out/batch={n}"), f"{folder}/checkpoint"))
     found = spark.read.schema(rows.schema).option("recursiveFileLookup", "true").parquet(f"{folder}/out")
     return found.select("event_id", "user_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
 
@@ -59,11 +98,10 @@ def stream_dedup(spark, sf):
 @query("stream_activity", "SELECT user_id, max(ts) AS date_last_active FROM events GROUP BY user_id")
 def stream_activity(spark, sf):
     folder = _folder(spark)
-    activity = ingest.last_activity_stream(
-        _arrivals(spark, folder, *_thirds(spark, sf, "events", "event_id", "event_id", "user_id", "ts")), "user_id", "ts")
-    each = ingest.upsert(f"{folder}/activity", ["user_id"], ["date_last_active"], spark)
-    ingest.run_available(activity, each, f"{folder}/checkpoint", mode="update")
-    return tables.bucketed(spark, f"{folder}/activity")
+    each = ingest.upsert(f"{folder}/activity", ["user_id"], ["date_last_active"], folder)
+    _arriving(spark, folder, _by_time(spark, sf, "user_id"), lambda events: ingest.run_available(
+        ingest.last_activity_stream(events, "user_id", "ts", DELAY), each, f"{folder}/checkpoint", mode="update"))
+    return target.rows(spark, f"{folder}/activity").select("user_id", F.col("date_last_active").cast("timestamp_ntz").alias("date_last_active"))
 
 
 @query("stream_merge", r"""
@@ -79,7 +117,7 @@ def stream_merge(spark, sf):
     newer = F.when(key % 2 == 0, F.concat(body, F.lit(" changed"))).otherwise(body)
     batches = [rows.select("doc_id", body.alias("description")), rows.where(key % 2 == 0).select("doc_id", newer.alias("description")),
                rows.where(key % 3 == 0).select("doc_id", newer.alias("description"))]
-    docs = _arrivals(spark, folder, *batches).select(
+    named = lambda docs: docs.select(
         "doc_id", "description", F.col("description").alias("description_raw"), F.lit(None).cast("string").alias("jobtitle"))
 
     def transform(batch, previous):
@@ -88,8 +126,9 @@ def stream_merge(spark, sf):
         return incremental.reprocess(
             detected, "needs_processing", count_words, ["n_words"], F.lit("2024-02-01").cast("timestamp_ntz"))
 
-    ingest.run_available(docs, ingest.merge(f"{folder}/merged", "doc_id", transform, spark), f"{folder}/checkpoint")
-    return tables.bucketed(spark, f"{folder}/merged").select("doc_id", "n_words", "needs_processing")
+    each = _twice(ingest.merge(f"{folder}/merged", "doc_id", transform, folder))
+    _arriving(spark, folder, batches, lambda docs: ingest.run_available(named(docs), each, f"{folder}/checkpoint"))
+    return target.rows(spark, f"{folder}/merged").select("doc_id", "n_words", "needs_processing")
 
 
 @query("stream_search_refresh", r"""
@@ -103,7 +142,6 @@ def stream_search_refresh(spark, sf):
     first, second, third, again = _thirds(spark, sf, "documents", "doc_id", "doc_id", "text")
     # The first third arrives with other texts, which the last batch replaces.
     older = first.withColumn("text", F.concat(F.lit("older "), "text"))
-    docs = _arrivals(spark, folder, older, second, third, again)
-    each = ingest.refresh_postings(f"{folder}/postings", "doc_id", "text", spark)
-    ingest.run_available(docs, each, f"{folder}/checkpoint")
-    return tables.bucketed(spark, f"{folder}/postings")
+    each = ingest.refresh_postings(f"{folder}/postings", "doc_id", "text", folder)
+    _arriving(spark, folder, [older, second, third, again], lambda docs: ingest.run_available(docs, each, f"{folder}/checkpoint"))
+    return target.rows(spark, f"{folder}/postings")

@@ -129,53 +129,6 @@ def current(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/{_newest(spark, path)['version']}")
 
 
-# --- tables of which a batch replaces a part -------------------------------------------
-
-BUCKETS = 16
-
-
-def bucket_of(keys: Sequence[str]) -> Column:
-    return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
-
-
-def touched_buckets(batch: DataFrame, keys: Sequence[str]) -> list[int]:
-    """Buckets that hold the keys of a batch; at most BUCKETS numbers."""
-    return sorted(r[0] for r in batch.select(bucket_of(keys)).distinct().collect())
-
-
-def bucketed(spark: SparkSession, path: str, wanted: Sequence[int] | None = None) -> DataFrame | None:
-    """The rows of a bucketed table, or of some of its buckets; None before the first batch.
-
-    Of each bucket the newest version counts; untouched buckets are not read.
-    """
-    try:
-        pointers = spark.read.schema("bucket int, version string, at long").parquet(f"{path}/_buckets")
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
-    newest = pointers.groupBy("bucket").agg(F.max_by("version", "at").alias("version")).collect()  # a row a bucket
-    held: dict[str, list[int]] = {}
-    for r in newest:
-        if wanted is None or r["bucket"] in wanted:
-            held.setdefault(r["version"], []).append(r["bucket"])
-    if not held:  # the columns, without rows
-        return spark.read.parquet(f"{path}/{newest[0]['version']}").drop("_bucket").limit(0)
-    parts = [spark.read.parquet(f"{path}/{v}").where(F.col("_bucket").isin(b)).drop("_bucket") for v, b in sorted(held.items())]
-    return reduce(lambda a, b: a.unionByName(b), parts)
-
-
-def replace_buckets(df: DataFrame, path: str, keys: Sequence[str], buckets: Sequence[int]) -> None:
-    """Write whole new versions of some buckets, then point readers at them in one commit."""
-    if not buckets:
-        return
-    spark, version = df.sparkSession, f"v={uuid.uuid4().hex}"
-    df.withColumn("_bucket", bucket_of(keys)).repartition("_bucket").write.partitionBy("_bucket").parquet(f"{path}/{version}")
-    at = time.time_ns()
-    rows = spark.createDataFrame([(b, version, at) for b in buckets], "bucket int, version string, at long")
-    rows.coalesce(1).write.mode("append").parquet(f"{path}/_buckets")
-
-
 def append_log(counts: DataFrame, path: str, run_id: str) -> None:
     """One row of counts per run; a run repeated under the same id replaces its own row."""
     counts.coalesce(1).write.mode("overwrite").parquet(f"{path}/run={run_id}")

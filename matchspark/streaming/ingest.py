@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from matchspark.operators import search
 from matchspark.operators.notes import latest_version
 from matchspark.sources import tables
+from matchspark.streaming.target import apply_batch
+
+#: Keeps state on disk, as states with timers need.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def read_stream(spark: SparkSession, folder: str, schema: T.StructType, pattern: str = "*.parquet",
@@ -22,13 +28,15 @@ def read_stream(spark: SparkSession, folder: str, schema: T.StructType, pattern:
 
 
 def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str,
-                  mode: str = "append") -> None:
-    """Process what is there and stop; a rerun continues after the last finished batch."""
+                  mode: str = "append") -> list[dict]:
+    """Process what is there and stop; a rerun continues after the last finished batch.
+    Gives the progress of the batches, with the sizes of their state."""
     query = (
         stream.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()
+    return list(query.recentProgress)
 
 
 def dedup_stream(stream: DataFrame, keys: list[str], ts: str, delay: str) -> DataFrame:
@@ -36,53 +44,91 @@ def dedup_stream(stream: DataFrame, keys: list[str], ts: str, delay: str) -> Dat
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def last_activity_stream(stream: DataFrame, key: str, ts: str) -> DataFrame:
-    return stream.groupBy(key).agg(F.max(ts).alias("date_last_active"))
+class _Newest(StatefulProcessor):
+    """Holds the version of each key's newest row until the watermark is past it by the delay."""
+
+    def __init__(self, names: list[str], tie: str, tie_type: str, delay_ms: int):
+        self.names, self.tie, self.delay_ms = names, tie, delay_ms
+        self.state_schema = f"at long, tie {tie_type}"
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.newest = handle.getValueState("newest", self.state_schema)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        best, version = None, None
+        if self.newest.exists():
+            version = tuple(self.newest.get())
+        for part in rows:
+            # Computed columns come without their names.
+            part = part.set_axis(self.names, axis=1).sort_values(["_at", self.tie])
+            last = (int(part["_at"].iloc[-1]), part[self.tie].iloc[-1])
+            if version is None or last > version:
+                best, version = part.iloc[[-1]], last
+        if best is not None:
+            tie = version[1].item() if hasattr(version[1], "item") else version[1]
+            self.newest.update((version[0], tie))
+            self.handle.registerTimer(version[0] // 1000 + self.delay_ms)
+            yield best
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        # Timers of versions that were replaced meanwhile find a newer one, which has its own.
+        if self.newest.exists() and self.newest.get()[0] // 1000 + self.delay_ms <= expiredTimerInfo.getExpiryTimeInMs():
+            self.newest.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def newest_stream(stream: DataFrame, keys: list[str], ts: str, tie: str, delay: str) -> DataFrame:
+    """Rows that are newer (by ts, then tie) than every earlier row of their key.
+
+    Rows older than the watermark are dropped. A key's state is one version number, and goes
+    when the watermark is the delay past it: whatever comes for the key after that is newer
+    than what was forgotten, or too late. Needs the state store STATE_STORE.
+    """
+    delay_ms = int(pd.Timedelta(delay).total_seconds() * 1000)
+    rows = stream.withColumn("_at", F.unix_micros(F.col(ts).cast("timestamp"))).withWatermark(ts, delay)
+    newest = _Newest(rows.columns, tie, stream.schema[tie].dataType.simpleString(), delay_ms)
+    found = rows.groupBy(*keys).transformWithStateInPandas(newest, rows.schema, "Append", "EventTime")
+    return found.drop("_at")
+
 
+def last_activity_stream(stream: DataFrame, key: str, ts: str, delay: str, width: str = "1 day") -> DataFrame:
+    """Last activity of a key in each window of time; a window's state goes when the watermark
+    is past its end. Merged by key into a table (see upsert) the newest is the last activity."""
+    windows = stream.withWatermark(ts, delay).groupBy(F.window(ts, width), F.col(key))
+    return windows.agg(F.max(ts).alias("date_last_active")).select(key, "date_last_active")
 
-def upsert(target: str, keys: list[str], order: list[str], spark: SparkSession) -> Callable[[DataFrame, int], None]:
-    """Batch writer keeping the newest row per key; only buckets the batch touches are
-    read and rewritten.
 
-    A batch repeated after a failure gives the same table: the newest row per key
-    of old and new rows does not depend on how often a row is seen.
-    """
-    def each(batch: DataFrame, _: int) -> None:
-        buckets = tables.touched_buckets(batch, keys)
-        stored = tables.bucketed(spark, target, buckets)
-        rows = batch if stored is None else stored.unionByName(batch)
-        tables.replace_buckets(latest_version(rows, keys, order), target, keys, buckets)
+def upsert(target: str, keys: list[str], order: list[str], stream: str) -> Callable[[DataFrame, int], None]:
+    """Batch writer keeping the newest row per key; only partitions the batch falls in are
+    read and rewritten, and a batch that is delivered again changes nothing."""
+    def change(batch: DataFrame, stored: DataFrame | None) -> DataFrame:
+        return latest_version(batch if stored is None else stored.unionByName(batch), keys, order)
 
-    return each
+    return lambda batch, number: apply_batch(batch, number, stream, target, keys, change) and None
 
 
-def merge(target: str, key: str, transform: Callable[[DataFrame, DataFrame | None], DataFrame],
-          spark: SparkSession) -> Callable[[DataFrame, int], None]:
+def merge(target: str, key: str, transform: Callable[[DataFrame, DataFrame | None], DataFrame], stream: str) -> Callable[[DataFrame, int], None]:
     """Batch writer for change detection: transform(batch, previous rows of its keys)
-    gives the new rows; rows of other keys in the touched buckets are kept."""
-    def each(batch: DataFrame, _: int) -> None:
-        batch = tables.spread(batch)
-        buckets = tables.touched_buckets(batch, [key])
-        stored = tables.bucketed(spark, target, buckets)
+    gives the new rows; rows of other keys in the touched partitions are kept."""
+    def change(batch: DataFrame, stored: DataFrame | None) -> DataFrame:
         if stored is None:
-            tables.replace_buckets(transform(batch, None), target, [key], buckets)
-            return
+            return transform(batch, None)
         keys = batch.select(key).distinct()
         fresh = transform(batch, stored.join(keys, key, "left_semi"))
         untouched = stored.join(keys, key, "left_anti")
-        tables.replace_buckets(fresh.unionByName(tables.align(untouched, fresh.schema)), target, [key], buckets)
+        return fresh.unionByName(tables.align(untouched, fresh.schema))
 
-    return each
+    return lambda batch, number: apply_batch(batch, number, stream, target, [key], change) and None
 
 
-def refresh_postings(target: str, key: str, text: str, spark: SparkSession) -> Callable[[DataFrame, int], None]:
+def refresh_postings(target: str, key: str, text: str, stream: str) -> Callable[[DataFrame, int], None]:
     """Batch writer replacing the postings of the documents in the batch."""
-    def each(batch: DataFrame, _: int) -> None:
-        buckets = tables.touched_buckets(batch, [key])
+    def change(batch: DataFrame, stored: DataFrame | None) -> DataFrame:
         fresh = search.postings(tables.spread(batch), key, text)
-        stored = tables.bucketed(spark, target, buckets)
-        if stored is not None:
-            fresh = stored.join(batch.select(key).distinct(), key, "left_anti").unionByName(fresh)
-        tables.replace_buckets(fresh, target, [key], buckets)
+        return fresh if stored is None else stored.join(batch.select(key).distinct(), key, "left_anti").unionByName(fresh)
 
-    return each
+    return lambda batch, number: apply_batch(batch, number, stream, target, [key], change) and None

@@ -7,12 +7,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from matchspark import vocab
 from matchspark.operators import blockmax, conformance, cost, profiling, search
-from matchspark.sources import tables
-from matchspark.streaming import ingest
 
 DOCS = [(1, "red ring red", 10), (2, "blue bolt", 20), (3, "red bolt nut", 30), (4, "", 40), (5, "RED, ring!", 50)]
 
@@ -121,39 +118,6 @@ def test_costs(spark):
     assert cost.row_credits(counted, 1.0, 2.0).agg(F.sum("credits_total")).first()[0] == pytest.approx(6e-6)
 
 
-def test_streams_continue_where_they_stopped(spark, tmp_path):
-    source, target = str(tmp_path / "in"), str(tmp_path / "out")
-    schema = T.StructType([T.StructField("k", T.LongType()), T.StructField("t", T.LongType()), T.StructField("text", T.StringType())])
-
-    def arrive(rows):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
-
-    def run(name, each):
-        stream = ingest.read_stream(spark, source, schema, files_per_batch=1)
-        ingest.run_available(stream, each, f"{target}/{name}-checkpoint")
-
-    latest = ingest.upsert(f"{target}/latest", ["k"], ["t"], spark)
-    index = ingest.refresh_postings(f"{target}/index", "k", "text", spark)
-    arrive([(1, 1, "red ring"), (2, 5, "bolt")])
-    run("latest", latest), run("index", index)
-    arrive([(1, 3, "red"), (2, 4, "nut nut")])
-    run("latest", latest), run("index", index), run("latest", latest)
-    assert sorted(map(tuple, tables.bucketed(spark, f"{target}/latest").collect())) == [(1, 3, "red"), (2, 5, "bolt")]
-    got = sorted((r["k"], r["token"], r["tf"]) for r in tables.bucketed(spark, f"{target}/index").collect())
-    assert got == [(1, "red", 1), (2, "nut", 2)]
-
-
-def test_stream_dedup_drops_late_copies(spark, tmp_path):
-    source = str(tmp_path / "in")
-    rows = [(1, "2024-01-01 00:00:00"), (1, "2024-01-01 00:05:00"), (2, "2024-01-01 00:01:00")]
-    frame = spark.createDataFrame(rows, "k long, s string").select("k", F.to_timestamp("s").alias("ts"))
-    frame.coalesce(1).write.parquet(source)
-    stream = ingest.dedup_stream(ingest.read_stream(spark, source, frame.schema), ["k"], "ts", "1 hour")
-    seen = []
-    ingest.run_available(stream, lambda batch, _: seen.extend(r["k"] for r in batch.collect()), str(tmp_path / "c"))
-    assert sorted(seen) == [1, 2]
-
-
 @pytest.mark.parametrize("descending", [True, False])
 def test_places_of_all_rows_nulls_last(spark, descending):
     rng = random.Random(4)
