@@ -7,15 +7,14 @@ import uuid
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchspark.operators import quantiles
 from matchspark.operators.skew import join_weighted
 from matchspark.session import shared_folder
+from matchspark.sources.tables import spread, staged
 
 # Weekday order.
 WEEKDAYS = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
 
-#: A range that holds wanted ranks is cut into so many parts, so many times.
-PARTS, ROUNDS = 1024, 3
-
 
 def value_counts(df: DataFrame, column: str, by: str = "count", top: int | None = None) -> DataFrame:
     """Occurrences and share of all rows per value; most frequent or smallest label first."""
@@ -103,75 +102,51 @@ def _counted(df: DataFrame, group: str, value: str) -> DataFrame:
     )
 
 
-def _quantiles(counts: DataFrame, points: list[float]) -> DataFrame:
-    """(g, p, q, n) from counted values.
+QUARTILES = [0.25, 0.5, 0.75]
 
-    Ranges between the smallest and largest value are cut into equal parts; totals of the
-    parts tell which hold a wanted rank, and only those are cut again. In the end only the
-    values of a few parts, each a billionth of a group's range, are ordered, so no task
-    sees a whole group however its values lie.
-    """
-    ranks = [
-        F.struct(F.lit(p).alias("p"), at.alias("at"), rank.cast("long").alias("rank"))
-        for p in points for at in [F.lit(p) * (F.col("n") - 1)] for rank in (F.floor(at), F.ceil(at))]
-
-    def inside(first: Column, size: Column):
-        return lambda r: (r["rank"] >= first) & (r["rank"] < first + size)
-
-    # A range: its smallest and largest value, the values before it, and the ranks it holds.
-    ranges = counts.groupBy("g").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("c").alias("n")).select(
-        "g", "n", "lo", "hi", F.lit(0).cast("long").alias("before"), F.array_distinct(F.array(*ranks)).alias("ranks"))
-
-    def placed(ranges: DataFrame) -> DataFrame:
-        r = ranges.withColumnRenamed("g", "_g")
-        return counts.join(r, (F.col("g") == F.col("_g")) & (F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi"))).drop("_g")
-
-    for _ in range(ROUNDS):
-        # Halves are subtracted, so that the widest range of doubles does not overflow.
-        share = (F.col("x") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
-        part = F.when(F.col("lo") == F.col("hi"), F.lit(0)).otherwise(F.least(F.floor(share * PARTS), F.lit(PARTS - 1)))
-        sized = placed(ranges).groupBy("g", "n", "lo", "before", "ranks", part.alias("part")).agg(
-            F.sum("c").alias("size"), F.min("x").alias("low"), F.max("x").alias("high"))
-        earlier = Window.partitionBy("g", "lo").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-        first = F.col("before") + F.coalesce(F.sum("size").over(earlier), F.lit(0))
-        ranges = (
-            sized.withColumn("first", first)
-            .withColumn("ranks", F.filter("ranks", inside(F.col("first"), F.col("size"))))
-            .where(F.size("ranks") > 0)
-            .select("g", "n", F.col("low").alias("lo"), F.col("high").alias("hi"), F.col("first").alias("before"), "ranks"))
-    in_order = Window.partitionBy("g", "lo").orderBy("x")
-    found = (
-        placed(ranges).withColumn("first", F.col("before") + F.sum("c").over(in_order) - F.col("c"))
-        .select("g", "n", "x", F.explode(F.filter("ranks", inside(F.col("first"), F.col("c")))).alias("r")))
-    share = F.col("at") - F.floor("at")
-    return (
-        found.groupBy("g", "n", F.col("r.p").alias("p"), F.col("r.at").alias("at"))
-        .agg(F.min("x").alias("low"), F.max("x").alias("high"))
-        .select("g", "p", (F.col("low") + (F.col("high") - F.col("low")) * share).alias("q"), "n")
-    )
+
+def _sketched(df: DataFrame, group: str, value: str, points: list[float]) -> tuple[DataFrame, DataFrame]:
+    """Finite values (g, x) and the sketch of each group (g, s), written once."""
+    rows = spread(df.select(group, value)).select(F.col(group).alias("g"), quantiles.finite(F.col(value)).alias("x"))
+    rows = rows.where("g is not null and x is not null")
+    return rows, staged(rows.groupBy("g").agg(quantiles.sketch(F.col("x"), points).alias("s")), "sketches")
 
 
 def exact_quantiles(df: DataFrame, group: str, value: str, points: list[float]) -> DataFrame:
     """Exact linear-interpolated quantiles per group: (group, p, q)."""
-    return _quantiles(_counted(df, group, value), points).select(F.col("g").alias(group), "p", "q")
+    rows, sketches = _sketched(df, group, value, points)
+    bracketed = quantiles.with_brackets(sketches, quantiles.brackets(F.col("s"), points))
+    found = quantiles.placed(quantiles.counted(rows, bracketed)).groupBy("g").agg(
+        F.array(*[F.struct(F.lit(p).alias("p"), quantiles.quantile(p).alias("q")) for p in points]).alias("found"))
+    return found.select(F.col("g").alias(group), F.inline("found"))
 
 
 def box_stats(df: DataFrame, group: str, value: str) -> DataFrame:
-    """Quartiles, whiskers (1.5 IQR, at data points), extremes and outlier count per group."""
-    counts = _counted(df, group, value)
-    quartiles = (
-        _quantiles(counts, [0.25, 0.5, 0.75]).groupBy("g")
-        .agg(F.max("n").alias("rows"), *[F.max(F.when(F.col("p") == p, F.col("q"))).alias(n)
-                                         for n, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))])
-    )
-    x, reach = F.col("x"), 1.5 * (F.col("q3") - F.col("q1"))
-    low, high = F.col("q1") - reach, F.col("q3") + reach
-    total = counts.agg(F.sum("c").alias("total")).scalar()
+    """Quartiles, whiskers (1.5 IQR, at data points), extremes and outlier count per group.
+
+    Where the quartiles lie between two values, so do the ends of the whiskers: these are
+    brackets as well, and all comes from one count.
+    """
+    rows, sketches = _sketched(df, group, value, QUARTILES)
+    first, median, third = quantiles.brackets(F.col("s"), QUARTILES)
+    # A little wider, for rounding; where doubles overflow, everything.
+    ends = [(2.5 * first[0] - 1.5 * third[1], 2.5 * first[1] - 1.5 * third[0]), (2.5 * third[0] - 1.5 * first[1], 2.5 * third[1] - 1.5 * first[0])]
+    slack = 1e-9 * (F.abs("s.lo") + F.abs("s.hi"))
+    inf = F.lit(float("inf"))
+    fences = [(F.nanvl(low - slack, -inf), F.nanvl(high + slack, inf)) for low, high in ends]
+    bracketed = quantiles.with_brackets(sketches, [first, median, third, *fences])
+    whole = Window.partitionBy("g")
+    ranked = quantiles.placed(quantiles.counted(rows, bracketed)).select(
+        "*", *[quantiles.quantile(p, whole).alias(name) for p, name in zip(QUARTILES, ("q1", "median", "q3"))])
+    low, high, reach = F.col("low"), F.col("high"), 1.5 * (F.col("q3") - F.col("q1"))
+    bottom, top = F.col("q1") - reach, F.col("q3") + reach
+    across = ((low < bottom) & (high >= bottom)) | ((low <= top) & (high > top))
+    checked = F.when(across, quantiles.one_value(low)).otherwise(low)
     return (
-        join_weighted(counts, quartiles, ["g"], "rows", total).groupBy(F.col("g").alias(group), "q1", "median", "q3")
-        .agg(F.sum("c").alias("n"), F.min(x).alias("lowest"), F.max(x).alias("highest"),
-             F.min(F.when(x >= low, x)).alias("whisker_low"), F.max(F.when(x <= high, x)).alias("whisker_high"),
-             F.sum(F.when((x < low) | (x > high), F.col("c")).otherwise(F.lit(0))).alias("outliers"))
+        ranked.withColumn("low", checked).groupBy(F.col("g").alias(group), "q1", "median", "q3")
+        .agg(F.sum("c").alias("n"), F.min("low").alias("lowest"), F.max("high").alias("highest"),
+             F.min(F.when(low >= bottom, low)).alias("whisker_low"), F.max(F.when(high <= top, high)).alias("whisker_high"),
+             F.sum(F.when((low < bottom) | (high > top), F.col("c")).otherwise(F.lit(0))).alias("outliers"))
     )
 
 
@@ -209,29 +184,39 @@ def table_profile(df: DataFrame) -> DataFrame:
     """One row per column: null share, count, distinct values of non-numbers, statistics
     and quartiles of (finite) numbers, and the number of duplicated rows of the table.
 
-    Columns are stacked into (column, value) and counted once; distinct values and
-    quartiles come from the counts. Duplicates are found by a digest of the row.
+    The table is read twice: for statistics and rank sketches of all columns in one row,
+    and stacked into (column, value) for one count, which holds what is between the
+    sketched ranks, the distinct texts, and a digest of each row.
     """
     numeric = [f.name for f in df.schema if f.dataType.typeName() in NUMBERS]
     others = [c for c in df.columns if c not in numeric]
-    cell = lambda c, x, t: F.struct(F.lit(c).alias("g"), x.alias("x"), t.alias("t"))
-    no_number, no_text = F.lit(None).cast("double"), F.lit(None).cast("string")
-    cells = [cell(c, F.col(c).cast("double"), no_text) for c in numeric] + [cell(c, no_number, F.to_json(F.struct(c))) for c in others]
-    missing = F.array(*[F.col(c).isNull() for c in [*numeric, *others]])
-    stacked = df.select(F.explode(F.arrays_zip(F.array(*cells).alias("v"), missing.alias("missing"))).alias("c")).select("c.v.*", "c.missing")
-    basics = stacked.groupBy("g").agg(
-        F.count("*").alias("rows"), F.count_if("missing").alias("nulls"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"),
-        F.min("x").alias("min"), F.max("x").alias("max"))
-    distinct = stacked.where("t is not null and not missing").groupBy("g", "t").agg(F.count("*").alias("c")).groupBy("g").agg(
-        F.count("*").alias("distinct_values"))
-    spread = _quantiles(_counted(stacked, "g", "x"), [0.25, 0.5, 0.75]).groupBy("g").agg(
-        *[F.max(F.when(F.col("p") == p, F.col("q"))).alias(name) for name, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))])
+    number = lambda c: F.col(c).cast("double")
+    nothing, no_text = F.lit(None).cast("double"), F.lit(None).cast("string")
+
+    def basics(c: str) -> Column:
+        x = number(c) if c in numeric else nothing
+        return F.struct(
+            F.lit(c).alias("g"), F.count(F.lit(1)).alias("rows"), F.count_if(F.col(c).isNull()).alias("nulls"), F.avg(x).alias("mean"),
+            F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"), quantiles.sketch(quantiles.finite(x), QUARTILES).alias("s"))
+
+    df = spread(df)
+    one_row = df.agg(F.array(*[basics(c) for c in df.columns]).alias("columns"))
+    known = staged(one_row.select(F.inline("columns")), "profile")  # a row a column
     row = F.sha2(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}), 256)
-    duplicates = df.groupBy(row.alias("_row")).agg(F.count("*").alias("_copies")).agg(
-        F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0)).alias("duplicates")).scalar()
+    cell = lambda g, x, t: F.struct(g.alias("g"), x.alias("x"), t.alias("t"))
+    cells = [cell(F.lit(c), quantiles.finite(F.col(c)), no_text) for c in numeric]
+    cells += [cell(F.lit(c), nothing, F.when(F.col(c).isNotNull(), F.to_json(F.struct(c)))) for c in others] + [cell(no_text, nothing, row)]
+    stacked = df.select(F.inline(F.array(*cells))).where("x is not null or t is not null")
+    bracketed = quantiles.with_brackets(known.select("g", "s"), quantiles.brackets(F.col("s"), QUARTILES))
+    digests = bracketed.sparkSession.range(1).select(F.lit(None).cast("string").alias("g"), *[F.lit(None).cast("double").alias(c) for c in bracketed.columns[1:]])
+    counts = staged(quantiles.counted(stacked, F.broadcast(bracketed.unionByName(digests)), ["t"]), "counts")
+    quartiles = quantiles.placed(counts.where("low is not null")).groupBy("g").agg(
+        *[quantiles.quantile(p).alias(name) for p, name in zip(QUARTILES, ("q1", "median", "q3"))])
+    distinct = counts.where("g is not null and t is not null").groupBy("g").agg(F.count(F.lit(1)).alias("distinct_values"))
+    duplicates = counts.where("g is null").agg(F.coalesce(F.sum(F.col("c") - 1), F.lit(0)).alias("duplicates")).scalar()
     is_text = F.col("g").isin(others) if others else F.lit(False)
     return (
-        basics.join(distinct, "g", "left").join(spread, "g", "left")
+        known.join(distinct, "g", "left").join(quartiles, "g", "left")
         .select(
             F.col("g").alias("column_name"), F.round(F.col("nulls") / F.col("rows") * 100, 2).alias("null_percent"),
             (F.col("rows") - F.col("nulls")).alias("filled"),

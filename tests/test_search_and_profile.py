@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from matchspark import vocab
-from matchspark.operators import blockmax, conformance, cost, profiling, search
+from matchspark.operators import blockmax, conformance, cost, profiling, quantiles, search
 
 DOCS = [(1, "red ring red", 10), (2, "blue bolt", 20), (3, "red bolt nut", 30), (4, "", 40), (5, "RED, ring!", 50)]
 
@@ -67,6 +67,41 @@ def test_exact_quantiles(spark, seed):
     assert not any(k[0] == "e" for k in got)
 
 
+SHAPES = {
+    "normal": lambda rng, n: [rng.gauss(0, 1) for _ in range(n)], "sorted": lambda rng, n: [float(i) for i in range(n)],
+    "few values": lambda rng, n: [float(rng.choice([1, 2, 2, 2, 9])) for _ in range(n)], "constant": lambda rng, n: [7.0] * n,
+    "far apart": lambda rng, n: [rng.choice([-1, 1]) * 10.0 ** rng.randint(-300, 300) for _ in range(n)],
+    "two heaps": lambda rng, n: [rng.choice([0, 1e9]) + rng.random() for _ in range(n)], "widest": lambda rng, n: [rng.choice([-1.7e308, 1.7e308, 0.0]) for _ in range(n)],
+}
+
+
+@pytest.mark.parametrize("many", [10**6, 1500])
+def test_sketched_quantiles_and_boxes(spark, many, monkeypatch):
+    """Groups beyond the size that is counted whole, with both widths of brackets."""
+    if many < 10**6:  # coarser, so that the narrow brackets are wider than two rows here as well
+        for name, value in (("MANY", many), ("NARROW", 0.0025), ("ACCURACY", 2000)):
+            monkeypatch.setattr(quantiles, name, value)
+    rng = random.Random(many)
+    data = {f"{name} {n}": make(rng, n) for name, make in SHAPES.items() for n in (1, 999, 2003, 6000)}
+    rows = [(g, x) for g, values in data.items() for x in values]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows + [("normal 1", None), ("normal 1", float("nan")), ("normal 1", float("inf")), (None, 1.0)], "g string, x double").repartition(3)
+    points = [0.0, 0.01, 0.5, 0.9, 1.0]
+    got = {(r["g"], r["p"]): r["q"] for r in profiling.exact_quantiles(df, "g", "x", points).collect()}
+    assert got.keys() == {(g, p) for g in data for p in points}
+    for g, values in data.items():
+        if "widest" not in g:
+            assert np.allclose([got[g, p] for p in points], np.quantile(values, points), rtol=1e-9, atol=0), g
+    for r in profiling.box_stats(df.where("g not like 'widest%'"), "g", "x").collect():
+        values = np.array(data[r["g"]])
+        q1, q3 = r["q1"], r["q3"]
+        assert np.allclose([q1, r["median"], q3], np.quantile(values, [0.25, 0.5, 0.75]), rtol=1e-9, atol=0)
+        low, high = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
+        assert (r["n"], r["lowest"], r["highest"]) == (len(values), values.min(), values.max())
+        assert (r["whisker_low"], r["whisker_high"]) == (values[values >= low].min(), values[values <= high].max())
+        assert r["outliers"] == int(((values < low) | (values > high)).sum())
+
+
 def test_histogram_equals_numpy(spark):
     values = [0.0, 0.1, 0.5, 0.5, 1.0, None, float("nan"), float("inf")]
     df = spark.createDataFrame([(v,) for v in values], "x double")
