@@ -27,6 +27,14 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or the first longer one that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def whole_text(text: str = "text") -> Column:
     """The text, null counted as empty."""
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
@@ -47,7 +55,9 @@ def one_of_each(docs: DataFrame, key: str, body: Column, keep: DataFrame) -> Dat
     # No null and one type, so that the join meets rows where the aggregation has put them.
     named = lambda c: F.coalesce(F.concat(F.lit("k"), F.col(c).cast("string")), F.lit(""))
     rows = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("_row"), named(key).alias("_pair_key"), F.sha2(body, 256).alias("_digest"))
-    single = rows.groupBy("_digest", "_pair_key").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
+    # Maps can't be hashed as they are.
+    whole = F.to_json("_row") if "map<" in rows.schema["_row"].dataType.simpleString() else F.col("_row")
+    single = rows.groupBy("_digest", "_pair_key").agg(F.min_by("_row", F.xxhash64(whole)).alias("_row"))
     wanted = keep.select("_digest", named("_kept_key").alias("_pair_key"))
     return single.join(wanted, ["_digest", "_pair_key"], "left_semi").select("_row.*")
 

@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchspark.llm.common import slices, staged, texts_of, whole_text, worker_value
+from matchspark.llm.common import free_name, slices, staged, texts_of, whole_text, worker_value
 
 TOKENS = 2048
 #: Sequences a group is meant to fill: large enough that its last one hardly counts.
@@ -198,25 +198,27 @@ def pack(
     `group` sequences each, and every group is packed by itself, so a task's memory doesn't
     grow with the table; what is lost is less than one sequence a group. Every piece is
     placed; a piece longer than size, or null or negative lengths, raise. Offsets within a
-    sequence leave no gaps. An empty table gives an empty result.
+    sequence leave no gaps. An empty table gives an empty result. Columns already named
+    sequence_id or offset are replaced.
     """
     attention = float(size) ** 2 if attention is None else attention
     capacity = (float(size), float(documents), float(attention))
     groups = pieces.agg(F.greatest(F.ceil(F.sum("length") / F.lit(size * group)), F.lit(1)).alias("n")).scalar()
-    names = pieces.columns
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64(*names), F.coalesce(groups, F.lit(1))))
+    pieces = pieces.drop("sequence_id", "offset")
+    dealing = free_name(pieces, "_group")
+    dealt = pieces.withColumn(dealing, F.pmod(F.xxhash64(*pieces.columns), F.coalesce(groups, F.lit(1))))
 
     def run(table: pa.Table) -> pa.Table:
         lengths = table["length"].to_numpy()
         if len(lengths) and (lengths.min() < 0 or lengths.max() > size or lengths.max() ** 2 > attention):
             raise ValueError("a piece is longer than a sequence may be")
         bins, offsets = best_fit(lengths, capacity, weights, rule)
-        sequence = (table["_group"].to_numpy() << 32) + bins
-        return table.drop_columns(["_group"]).append_column("sequence_id", pa.array(sequence, pa.int64())).append_column(
+        sequence = (table[dealing].to_numpy() << 32) + bins
+        return table.drop_columns([dealing]).append_column("sequence_id", pa.array(sequence, pa.int64())).append_column(
             "offset", pa.array(offsets, pa.int64()))
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields), "sequence_id long, offset long"])
-    return dealt.groupBy("_group").applyInArrow(run, schema)
+    return dealt.groupBy(dealing).applyInArrow(run, schema)
 
 
 def packed_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:

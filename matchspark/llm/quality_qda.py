@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchspark.llm.common import row_identity, staged, texts_of, whole_text
+from matchspark.llm.common import free_name, row_identity, staged, texts_of, whole_text
 
 SHRINK, RIDGE, FAR = 0.3, 1e-3, 8.0
 THRESHOLD = 0.3
@@ -176,5 +176,6 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs without the rows that score below the threshold."""
-    good = score(docs, labels, key, text).where(F.col("score") >= threshold).select("rid").distinct()
-    return docs.withColumn("rid", row_identity(key, text)).join(good, "rid", "left_semi").select(docs.columns)
+    rid = free_name(docs, "_rid")
+    good = score(docs, labels, key, text).where(F.col("score") >= threshold).select(F.col("rid").alias(rid)).distinct()
+    return docs.withColumn(rid, row_identity(key, text)).join(good, rid, "left_semi").select(docs.columns)

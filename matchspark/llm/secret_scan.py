@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchspark.functions.once import let
-from matchspark.llm.common import row_identity, staged, whole_text
+from matchspark.llm.common import free_name, row_identity, staged, whole_text
 
 #: Fixed values of the contract: kinds in the order in which equal starts are listed.
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -136,7 +136,8 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", mark: str =
 
     Texts without spans, null ones among them, stay as they are; so do other columns.
     """
-    spans = scan(docs, key, text).where(F.size("spans") > 0).select("rid", F.col("spans").alias("_spans")).dropDuplicates(["rid"])
+    rid, found = free_name(docs, "_rid"), free_name(docs, "_spans")
+    spans = scan(docs, key, text).where(F.size("spans") > 0).select(F.col("rid").alias(rid), F.col("spans").alias(found)).dropDuplicates([rid])
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     t = F.col(text)
 
@@ -146,8 +147,8 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", mark: str =
         return F.struct(F.greatest(state["at"], s["stop"]).alias("at"), F.concat(state["out"], added).alias("out"))
 
     rest = lambda s: F.concat(s["out"], F.substring(t, s["at"] + 1, F.length(t)))
-    clean = F.when(F.col("_spans").isNull(), t).otherwise(F.aggregate("_spans", start, step, rest))
-    return docs.withColumn("rid", row_identity(key, text)).join(spans, "rid", "left").withColumn(text, clean).select(docs.columns)
+    clean = F.when(F.col(found).isNull(), t).otherwise(F.aggregate(found, start, step, rest))
+    return docs.withColumn(rid, row_identity(key, text)).join(spans, rid, "left").withColumn(text, clean).select(docs.columns)
 
 
 #: DuckDB's form of the scan over `documents`.

@@ -76,3 +76,23 @@ def test_repeated_rows_and_null_keys_leave_one(spark, docs_schema):
     # Key 5 stays for another text, but this near copy of document 4 goes.
     crossed = spark.createDataFrame([(4, " ".join(words), None, None, 1), (5, near, None, None, 2), (5, "a text of its own", None, None, 3)] * 2, docs_schema)
     assert sorted(texts(simhash_ring.keep_first(crossed))) == [(4, " ".join(words)), (5, "a text of its own")]
+
+
+def test_columns_with_clashing_names_stay(spark, folder, docs_schema):
+    """Extra columns named like the operators' own keep their values through all filtering stages."""
+    good = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").limit(40).collect()]
+    rows = [(i, t + (' password = "abcdefghijkl0123"' if n % 3 == 0 else ""), "en", "s", 1, 7 + n, [n], f"g{n}", f"d{n}", n, n, {"k": n}) for n, (i, t) in enumerate(good)]
+    docs = spark.createDataFrame(rows, docs_schema + ", rid long, _spans array<int>, _group string, _digest string, _rid int, rid_ int, m map<string,int>")
+    before = {r.doc_id: r for r in docs.collect()}
+    after = docs
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        after = stage(spark, after, folder)
+        assert after.columns == docs.columns
+    after = after.collect()
+    assert after
+    for r in after:
+        assert [r[c] for c in docs.columns if c not in ("text", "n_chars")] == [before[r.doc_id][c] for c in docs.columns if c not in ("text", "n_chars")]
+    assert any("[SECRET]" in r.text for r in after)
+    pieces = spark.createDataFrame([(i, 100, f"g{i}", 5, 6) for i in range(50)], "doc_id long, length long, _group string, sequence_id int, offset int")
+    packed = packing.pack(pieces)
+    assert packed.columns == ["doc_id", "length", "_group", "sequence_id", "offset"] and {r["_group"] for r in packed.collect()} == {f"g{i}" for i in range(50)}
