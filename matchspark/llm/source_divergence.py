@@ -34,6 +34,8 @@ TOP = 50
 ENTRIES = 400_000
 #: Expected sources in a block and terms in a salt: bounds of one matrix.
 BLOCK, SALT = 64, 8192
+#: Copies of a language's row that its terms are dealt to.
+SLICES = 64
 
 #: A-Z lower-cased; every other ASCII character that is no letter separates terms.
 FOLDED = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -169,7 +171,11 @@ def divergences(docs: DataFrame, text: str = "text", lang: str = "lang", source:
     tiles = [F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")]
     dealt = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     left = shares.select("lang", "salt", "source", "term", "p", "block", dealt).select("lang", *tiles, "salt", "source", "term", "p")
-    of_salt = words.join(langs, "lang").groupBy("lang", salt.alias("salt")).agg(F.count(F.lit(1)).alias("terms"))
+    # The terms of a language are many, so each meets one of several copies of its language's row.
+    slice_ = F.pmod(F.xxhash64("term"), F.lit(SLICES)).cast("int").alias("slice")
+    copies = langs.select("*", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))).alias("slice"))
+    known = words.select("*", slice_).join(copies, ["lang", "slice"])
+    of_salt = known.groupBy("lang", salt.alias("salt")).agg(F.count(F.lit(1)).alias("terms"))
     right = (
         groups.select("lang", "source", "p", "block", "salts", dealt)
         .select("*", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
@@ -182,7 +188,7 @@ def divergences(docs: DataFrame, text: str = "text", lang: str = "lang", source:
         left.toDF(*left.columns).groupBy(*tile).cogroup(right.toDF(*right.columns).groupBy(*tile)).applyInArrow(_differences, "lang string, source string, item string, value bigint")
         .groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
     )
-    of_lang = words.join(langs, "lang").select("lang", "term", share(F.col("n"), F.col("all"), F.col("terms")).alias("q"))
+    of_lang = known.select("lang", "term", share(F.col("n"), F.col("all"), F.col("terms")).alias("q"))
     more = (
         shares.join(of_lang, ["lang", "term"]).where(F.col("p") > F.col("q"))
         .select("lang", "source", F.col("term").alias("item"), (F.col("p") - F.col("q")).alias("value"))
