@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchspark.operators import quantiles
-from matchspark.operators.skew import join_weighted
 from matchspark.session import shared_folder
 from matchspark.sources.tables import spread, staged
 
@@ -93,15 +94,6 @@ def pair_counts(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.join(counts.where(F.col(x).isNotNull() & F.col(y).isNotNull()), [x, y], "left").select(*df.columns, "pair_count")
 
 
-def _counted(df: DataFrame, group: str, value: str) -> DataFrame:
-    """(g, x, c): how often each finite value occurs in each group."""
-    return (
-        df.select(F.col(group).alias("g"), F.col(value).cast("double").alias("x"))
-        .where("g is not null and x is not null and not isnan(x) and abs(x) < double('infinity')")
-        .groupBy("g", "x").agg(F.count("*").alias("c"))
-    )
-
-
 QUARTILES = [0.25, 0.5, 0.75]
 
 
@@ -150,28 +142,49 @@ def box_stats(df: DataFrame, group: str, value: str) -> DataFrame:
     )
 
 
+#: Terms of a cell's series, and the cell's width in bandwidths. Values are within a quarter
+#: bandwidth of their cell's centre; of a value's kernel the series leaves out less than
+#: sum(1.09 * 0.25 ** k / sqrt(k!) for k >= TERMS) < 1e-12.
+TERMS, CELL = 13, 0.5
+
+
 def density(df: DataFrame, group: str, value: str, points: int = 50) -> DataFrame:
     """Gaussian kernel density per group on an even grid (Scott bandwidth).
 
-    Equal values are counted first, then each distinct value adds its share to
-    every grid point through a partial aggregate.
+    Fast Gauss sums: the line is cut into cells of half a bandwidth, and of each cell only
+    the powers of its values' distances to its centre are summed (in every task, before the
+    shuffle). A kernel is a series of these powers and Hermite polynomials of the grid
+    point, so the work behind one pass is cells times grid points, however many values.
     """
-    counts = _counted(df, group, value)
-    stats = (
-        df.select(F.col(group).alias("g"), F.col(value).cast("double").alias("x"))
-        .where("g is not null and x is not null and not isnan(x) and abs(x) < double('infinity')")
-        .groupBy("g").agg(F.count("*").alias("n"), F.stddev_samp("x").alias("sd"), F.min("x").alias("lo"), F.max("x").alias("hi"))
-        .where("n > 1 and sd > 0")
-        .select("g", "n", "lo", "hi", (F.col("sd") * F.pow("n", F.lit(-0.2))).alias("h"), F.col("n").alias("rows"))
-    )
+    rows = spread(df.select(group, value)).select(F.col(group).alias("g"), quantiles.finite(F.col(value)).alias("x"))
+    rows = rows.where("g is not null and x is not null")
+    stats = rows.groupBy("g").agg(
+        F.count(F.lit(1)).alias("n"), F.stddev_samp("x").alias("sd"), F.min("x").alias("lo"), F.max("x").alias("hi")
+    ).where("n > 1 and sd > 0").select("g", "n", "lo", "hi", (F.col("sd") * F.pow("n", F.lit(-0.2))).alias("h"))
+    stats = staged(stats, "bandwidths")
+    width = F.col("h") * CELL
+    centre = F.col("lo") + (F.col("cell") + 0.5) * width
+    apart = (
+        rows.join(stats, "g").withColumn("cell", F.floor((F.col("x") - F.col("lo")) / width).cast("double"))
+        .select("g", "n", "lo", "hi", "h", "cell", ((F.col("x") - centre) / F.col("h")).alias("d")))
+    powers = [reduce(lambda a, _: a * F.col("d"), range(k - 1), F.col("d")) if k else F.lit(1.0) for k in range(TERMS)]
+    cells = apart.groupBy("g", "n", "lo", "hi", "h", "cell").agg(*[F.sum(p).alias(f"m{k}") for k, p in enumerate(powers)])
     grid_x = F.col("lo") + F.col("i") * (F.col("hi") - F.col("lo")) / (points - 1)
-    z = (F.col("grid_x") - F.col("x")) / F.col("h")
+    on_grid = (
+        cells.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+        .withColumn("grid_x", grid_x).withColumn("u", (F.col("grid_x") - centre) / F.col("h")))
+
+    def hermite(k: int) -> Column:
+        """The polynomial He_k of u, by Horner's rule."""
+        factors = [0] * (k + 1)
+        for j in range(k // 2 + 1):
+            factors[k - 2 * j] = (-1) ** j * math.factorial(k) // (math.factorial(j) * math.factorial(k - 2 * j) * 2**j)
+        return reduce(lambda a, c: a * F.col("u") + F.lit(float(c)), reversed(factors[:-1]), F.lit(float(factors[-1])))
+
+    series = reduce(lambda a, b: a + b, [F.col(f"m{k}") * F.lit(1 / math.factorial(k)) * hermite(k) for k in range(TERMS)])
     return (
-        join_weighted(counts, stats, ["g"], "rows")
-        .withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-        .withColumn("grid_x", grid_x)
-        .groupBy("g", "i", "grid_x", "n", "h")
-        .agg(F.sum(F.col("c") * F.exp(-0.5 * z * z)).alias("k"))
+        on_grid.groupBy("g", "i", "grid_x", "n", "h")
+        .agg(F.sum(series * F.exp(-0.5 * F.col("u") * F.col("u"))).alias("k"))
         .select(F.col("g").alias(group), F.col("i").alias("point"), "grid_x",
                 (F.col("k") / (F.col("n") * F.col("h") * F.sqrt(F.lit(2) * F.pi()))).alias("density"))
     )

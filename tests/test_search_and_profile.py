@@ -120,6 +120,25 @@ def test_density_integrates_to_one(spark):
     assert 0.95 < np.trapezoid([r["density"] for r in rows], [r["grid_x"] for r in rows]) <= 1.0
 
 
+def test_density_equals_the_sum_of_kernels(spark):
+    rng = random.Random(5)
+    data = {"normal": [rng.gauss(50, 9) for _ in range(3000)], "two": [1.0, 2.0], "far": [rng.gauss(0, 1) for _ in range(400)] + [1e6],
+            "copies": [float(rng.choice([1, 2, 2, 7])) for _ in range(900)], "large": [1e9 + rng.random() for _ in range(200)], "none": [3.0] * 5}
+    df = spark.createDataFrame([(g, x) for g, values in data.items() for x in values] + [("two", float("nan")), (None, 1.0)], "g string, x double")
+    got = {}
+    for r in profiling.density(df, "g", "x", 40).collect():
+        got.setdefault(r["g"], {})[r["point"]] = (r["grid_x"], r["density"])
+    assert got.keys() == data.keys() - {"none"}
+    for g, found in got.items():
+        values = np.array(data[g])
+        h = values.std(ddof=1) * len(values) ** -0.2
+        grid = np.linspace(values.min(), values.max(), 40)
+        wanted = np.exp(-0.5 * ((grid[:, None] - values) / h) ** 2).sum(axis=1) / (len(values) * h * math.sqrt(2 * math.pi))
+        assert np.allclose([found[i][0] for i in range(40)], grid, rtol=1e-12)
+        # In units of the kernel's height; rounding of large values apart, the stated bound holds.
+        assert np.abs(np.array([found[i][1] for i in range(40)]) - wanted).max() * h * math.sqrt(2 * math.pi) < (1e-10 if g != "large" else 1e-6)
+
+
 def test_weekday_order_and_pairs(spark):
     days = spark.sql("select explode(sequence(timestamp_ntz'2024-01-03', timestamp_ntz'2024-01-09', interval 1 day)) as t")
     assert [r["part"] for r in profiling.datepart_counts(days, "t", "weekday").collect()] == profiling.WEEKDAYS
