@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -138,7 +139,8 @@ def _run(
     tables.publish(answers.rejected.select(key, "answer"), f"{root}/{name}_rejects")
     rejects = tables.current(spark, f"{root}/{name}_rejects").agg(F.count("*").alias("rejected")).scalar()
     counts = incremental.run_counts(detected, stamp, **counted).withColumn("nproc_rejected", rejects)
-    tables.append_log(counts, f"{root}/{name}_log", run_id or uuid.uuid4().hex)
+    # In the order of starting, also of runs with one stamp.
+    tables.append_log(counts, f"{root}/{name}_log", run_id or f"{time.time_ns():020d}-{uuid.uuid4().hex}")
     return tables.current(spark, target)
 
 
