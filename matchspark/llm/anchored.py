@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +36,10 @@ KEPT = 150_000
 LEAST = -(1 << 63)
 
 
+#: Bits of each of a spot's two distances; a window may be this much longer than a gram.
+NARROW = 8
+
+
 @dataclass(frozen=True)
 class Shape:
     """What a window is. Grams at more than `most` anchors are lengthened to windows."""
@@ -44,6 +49,10 @@ class Shape:
     gram: int
     most: int
 
+    def __post_init__(self) -> None:
+        if self.window - self.gram >= 1 << NARROW:
+            raise ValueError(f"a window may have {(1 << NARROW) - 1} units more than its gram")
+
 
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -84,8 +93,21 @@ def _leftmost_least(g: np.ndarray, m: int) -> np.ndarray:
     return at
 
 
-def anchors_of(bodies: list[bytes], shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, lo, hi, hash) of each anchor: it is that of the windows starting at lo to hi."""
+def spots_at(place: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """One number for an anchor's place and the windows (starting at lo to hi) that name it;
+    the lowest bit is left free."""
+    return (place << (2 * NARROW + 1)) | ((place - lo) << (NARROW + 1)) | ((hi - lo) << 1)
+
+
+def of_spot(spot: int) -> tuple[int, int, int, bool]:
+    """(place, lo, hi, the lowest bit) of a spot."""
+    place, narrow = spot >> (2 * NARROW + 1), (1 << NARROW) - 1
+    lo = place - (spot >> (NARROW + 1) & narrow)
+    return place, lo, lo + (spot >> 1 & narrow), bool(spot & 1)
+
+
+def anchors_of(bodies: list[bytes], shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, spot, hash) of each anchor."""
     flat = np.frombuffer(b"".join(bodies), np.uint8)
     edges = np.cumsum([0, *map(len, bodies)])
     letters = LETTERS[flat]
@@ -104,19 +126,20 @@ def anchors_of(bodies: list[bytes], shape: Shape) -> tuple[np.ndarray, np.ndarra
     n = len(units)
     none = np.empty(0, np.int64)
     if n < shape.window:
-        return none, none, none, none
+        return none, none, none
     sums = _sums(units)
     grams = mix((sums[shape.gram:] - sums[:-shape.gram]) * _powers(n)[1][:n - shape.gram + 1])
     place = _leftmost_least(grams, shape.window - shape.gram + 1)
     last = np.repeat(edges[1:], np.diff(edges))[:len(place)]
     at = np.flatnonzero(np.arange(len(place)) + shape.window <= last)
     if not len(at):
-        return none, none, none, none
+        return none, none, none
     anchor = place[at]
     first = np.concatenate([[True], anchor[1:] != anchor[:-1]])
     lo, hi = at[first], at[np.concatenate([first[1:], [True]])]
     text = np.searchsorted(edges, lo, "right") - 1
-    return text, lo - edges[text], hi - edges[text], grams[anchor[first]].view(np.int64)
+    spot = spots_at(anchor[first].astype(np.int64) - edges[text], lo - edges[text], hi - edges[text])
+    return text, spot, grams[anchor[first]].view(np.int64)
 
 
 def _chunks(bodies: list[bytes]) -> Iterator[tuple[int, int]]:
@@ -131,19 +154,18 @@ def _chunks(bodies: list[bytes]) -> Iterator[tuple[int, int]]:
 
 
 def find_anchors(rows: DataFrame, shape: Shape) -> DataFrame:
-    """(h, rid, lo, hi) of all anchors of rows (rid, _text)."""
+    """(h, rid, spot) of all anchors of rows (rid, _text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bodies, rids = texts_of(batch, "_text"), int_column(batch, "rid")
             for a, b in _chunks(bodies):
-                text, lo, hi, h = anchors_of(bodies[a:b], shape)
+                text, spot, h = anchors_of(bodies[a:b], shape)
                 if len(h):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(h), pa.array(rids[a:b][text]), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))],
-                        names=["h", "rid", "lo", "hi"])
+                        [pa.array(h), pa.array(rids[a:b][text]), pa.array(spot)], names=["h", "rid", "spot"])
 
-    return rows.select("rid", "_text").mapInArrow(run, "h long, rid long, lo int, hi int")
+    return rows.select("rid", "_text").mapInArrow(run, "h long, rid long, spot long")
 
 
 SENT = "mark long, kind int, own long, rid long, lo int, hi int, body binary"
@@ -259,35 +281,40 @@ def send_surroundings(rows: DataFrame, spots: DataFrame, shape: Shape, settle: t
     """What surrounds each repeated anchor, sent under its gram's hash; see SENT.
 
     NEAR: body holds all windows of the anchor. WINDOW: one window's digest (128 bit).
-    SPAN: windows lo to hi are already known to be repeated.
+    SPAN: windows lo to hi are already known to be repeated. Grams are hashed here again, so
+    that spots need not carry hashes. Earlier documents of a batch go first: what repeats
+    them is then settled in the task.
     """
-    window = shape.window
+    window, gram = shape.window, shape.gram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, local = _Sender(), settle()
         for batch in batches:
             spots = batch["spots"]
             offsets, flat = spots.offsets.to_numpy(), spots.values
-            lo, hi, h, n = (flat.field(k).to_numpy().tolist() for k in ("lo", "hi", "h", "n"))
-            rids, owns = int_column(batch, "rid").tolist(), int_column(batch, "own").tolist()
-            for i, body in enumerate(texts_of(batch, "_text")):
-                own, rid = owns[i], rids[i]
+            flat = flat.to_numpy(zero_copy_only=False)
+            rids, owns = int_column(batch, "rid").tolist(), int_column(batch, "own")
+            bodies = texts_of(batch, "_text")
+            for i in np.argsort(owns, kind="stable").tolist():
+                own, rid, body = int(owns[i]), rids[i], bodies[i]
                 units = body.split() if shape.words else body
                 mine: set[bytes] = set()
                 settled: list[int] = []
-                for k in sorted(range(offsets[i], offsets[i + 1]), key=lo.__getitem__):
-                    if hi[k] + window > len(units):
+                for place, lo, hi, many in map(of_spot, sorted(flat[offsets[i]:offsets[i + 1]].tolist())):
+                    if hi + window > len(units):
                         continue  # another text's place, under an equal 64-bit identity
-                    part = units[lo[k]:hi[k] + window]
+                    part = units[lo:hi + window]
                     part = b" ".join(part) if shape.words else part
-                    known = local.whole(_digest(part), own, rid, lo[k], hi[k])
+                    known = local.whole(_digest(part), own, rid, lo, hi)
                     if known is not None:  # settled by what this task has seen; the text need not travel
                         out.rows += known
                         continue
-                    if n[k] <= shape.most:
-                        out.rows.append((h[k], NEAR, own, rid, lo[k], hi[k], part))
+                    if not many:
+                        near = units[place:place + gram]
+                        near = xxhash.xxh3_64_intdigest(b" ".join(near) if shape.words else near)
+                        out.rows.append((near - (1 << 63), NEAR, own, rid, lo, hi, part))
                         continue
-                    for at in range(lo[k], hi[k] + 1):
+                    for at in range(lo, hi + 1):
                         part = units[at:at + window]
                         digest = _digest(b" ".join(part) if shape.words else part)
                         if local.once_a_text and digest in mine:
@@ -343,7 +370,8 @@ def repeated_spans(rows: DataFrame, shape: Shape, settle: type, resolve: Callabl
     # Anchors are found twice: once more over the texts costs less than keeping them on disk.
     anchors = find_anchors(rows, shape)
     twice = anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    spots = anchors.join(twice, "h").groupBy("rid").agg(F.collect_set(F.struct("lo", "hi", "h", "n")).alias("spots"))
+    marked = F.col("spot") + (F.col("n") > shape.most).cast("long")
+    spots = anchors.join(twice, "h").groupBy("rid").agg(F.collect_set(marked).alias("spots"))
     sent = send_surroundings(rows, spots, shape, settle)
     window = shape.window
 

@@ -2,16 +2,18 @@
 
 The suffixes that can begin a repeated window are split by prefixes of variable length: a
 prefix of a few words, and where too many suffixes share it, of a whole window. What
-shares a prefix fits into memory and is settled together. No tree is built: only nodes as deep as a window matter,
-so each suffix is cut to its first window, and equal neighbours of the sorted windows are
-the leaves of one such node, a repeat's places; all but the earliest are removed.
+shares a prefix fits into memory: its suffixes are sorted and, with the words that
+neighbours have in common, form a subtree. Its internal nodes at least as deep as a window
+are repeated passages, the leaves below them their places; all but the earliest are removed.
+A prefix as long as a window is such a node itself, and its places need no order below it.
+A subtree's suffixes end with their surroundings, so passages longer than a window come
+from the nodes of several prefixes, and their places are joined document by document.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,33 +25,58 @@ from matchspark.llm.common import texts_of
 SHAPE = Shape(words=True, window=20, gram=6, most=4096)
 
 
+def common_words(a: list[bytes], b: list[bytes]) -> int:
+    """Words that two suffixes have in common before they differ or one ends."""
+    n = 0
+    for x, y in zip(a, b):
+        if x != y:
+            break
+        n += 1
+    return n
+
+
+def deep_nodes(depths: list[int], least: int) -> Iterator[tuple[int, int, int]]:
+    """(depth, first, last leaf) of the internal nodes of at least that depth that have none
+    such above them. depths: words in common of each sorted suffix and the next.
+
+    Bottom-up over the depths: a node is open as long as no shallower depth follows, and a
+    closing one hands its first leaf to its parent.
+    """
+    stack: list[tuple[int, int]] = []
+    for i, depth in enumerate([*depths, -1]):
+        first = i
+        while stack and stack[-1][0] >= depth:
+            inner, first = stack.pop()
+            if inner >= least and (stack[-1][0] if stack else -1) < least and depth < least:
+                yield inner, first, i
+        stack.append((depth, first))
+
+
 def subtree(bodies: dict[bytes, list[tuple[int, int, int]]], window: int) -> Spans:
     """Removed windows among different surroundings of one prefix; each has the places of its earliest occurrence.
 
-    Sorted suffixes with at least a window in common stand together: they are the leaves
-    below one deep node.
+    The suffixes of the surroundings that hold a window are sorted; with the words that
+    neighbours have in common they are the prefix's subtree. Leaves below one node at least
+    as deep as a window are the places of one repeated passage: all but the earliest go.
     """
-    leaves = []
+    suffixes = []
     for body, places in bodies.items():
         words = body.split(b" ")
-        ends = np.cumsum([len(w) + 1 for w in words])
-        starts = [0, *ends.tolist()]
         for j in range(len(words) - window + 1):
-            deep = body[starts[j]:starts[j + window] - 1]
-            for own, rid, lo in places:
-                leaves.append((deep, own, lo + j, rid))
-    leaves.sort()
-    gone: dict[tuple[int, int], list[int]] = {}
-    node, earliest, rows = None, 0, set()
-    for deep, own, at, rid in leaves:
-        if deep != node:
-            node, earliest, rows = deep, own, {rid}
-        elif own > earliest or rid in rows:
-            gone.setdefault((own, rid), []).append(at)
-        else:
-            rows.add(rid)
-    for (own, rid), places in gone.items():
-        for a, b in runs_of(sorted(set(places))):
+            suffixes.append((words[j:], j, places))
+    suffixes.sort(key=lambda s: s[0])
+    depths = [common_words(a[0], b[0]) for a, b in zip(suffixes, suffixes[1:])]
+    gone: dict[tuple[int, int], set[int]] = {}
+    for _, first, last in deep_nodes(depths, window):
+        leaves = sorted((own, lo + j, rid) for _, j, places in suffixes[first:last + 1] for own, rid, lo in places)
+        earliest, rows = leaves[0][0], set()
+        for own, at, rid in leaves:
+            if own > earliest or rid in rows:
+                gone.setdefault((own, rid), set()).add(at)
+            else:
+                rows.add(rid)
+    for (own, rid), at in gone.items():
+        for a, b in runs_of(sorted(at)):
             yield own, rid, a, b
 
 

@@ -108,6 +108,35 @@ def test_matches_of_the_index():
     assert len(index.symbols) < len(starts)
 
 
+def test_deep_nodes_group_suffixes_by_their_first_words():
+    rng = random.Random(6)
+    for least in (1, 2, 4):
+        suffixes = sorted([rng.choice([b"a", b"a\x01", b"b"]) for _ in range(rng.randint(0, 9))] for _ in range(200))
+        depths = [suffix_trees.common_words(a, b) for a, b in zip(suffixes, suffixes[1:])]
+        got = sorted((first, last) for _, first, last in suffix_trees.deep_nodes(depths, least))
+        groups = {}
+        for i, s in enumerate(suffixes):
+            if len(s) >= least:
+                groups.setdefault(tuple(s[:least]), []).append(i)
+        assert got == sorted((g[0], g[-1]) for g in groups.values() if len(g) > 1)
+        for depth, first, last in suffix_trees.deep_nodes(depths, least):
+            assert depth == min(depths[first:last])
+
+
+def test_words_with_control_characters(spark, rows_of):
+    head = " ".join(f"w{i}" for i in range(20))
+    rows = [(1, head), (2, head + "\x01 x y"), (3, head + " z"), (4, "q " + head), (5, head + "! x"), (6, head + " z z")]
+    got = sorted(rows_of(suffix_trees.removed_digests(frame(spark, rows)), *COLUMNS["words"]))
+    assert got == brute.repeated_words(rows)
+    assert [r[2] for r in got] == [0, 0, 20, 20, 0, 21]
+
+
+def test_spots_keep_place_and_windows():
+    place, lo, hi = np.array([5, 200, 1 << 30]), np.array([0, 24, (1 << 30) - 3]), np.array([5, 180, (1 << 30)])
+    for p, a, b, spot in zip(place, lo, hi, anchored.spots_at(place, lo, hi).tolist()):
+        assert anchored.of_spot(spot) == (p, a, b, False) and anchored.of_spot(spot + 1) == (p, a, b, True)
+
+
 def near_rows(n=400):
     rng = random.Random(9)
     base = [" ".join(rng.choice(["alpha", "Beta", "gamma", "delta", "eps", "zeta"]) + str(rng.randint(0, 50)) for _ in range(120)) for _ in range(12)]
