@@ -8,6 +8,7 @@ secrets only if they look live; those with one always count.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -31,26 +32,91 @@ OWNERS = 2
 SPAN = "array<struct<start:int,kind:int,stop:int,value:string>>"
 
 
+#: Code points of the pieces in which a text is taken apart.
+PIECE = 1024
+
+
+def running(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """For each of an array of integers what it and all before it combine to (a sum, a maximum).
+
+    Blocks of about the square root of the size are folded one by one, then their totals:
+    an append copies the array it extends, so one fold over n values would copy n * n / 2.
+    """
+    def fold(part: Column, of: Callable[[Column], Column]) -> Column:
+        def step(done: Column, x: Column) -> Column:
+            return F.array_append(done, F.coalesce(combine(F.try_element_at(done, F.lit(-1)), of(x)), of(x)))
+
+        return F.aggregate(part, F.array().cast("array<int>"), step)
+
+    def blocks(v: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(v))).cast("int")
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / size).cast("int")), lambda i: F.slice(v, i * size + 1, size))
+
+    def carried(parts: Column, totals: Column) -> Column:
+        def with_earlier(part: Column, j: Column) -> Column:
+            return F.transform(part, lambda x: F.coalesce(combine(F.get(totals, j - 1), x), x))
+
+        return F.flatten(F.transform(parts, with_earlier))
+
+    def whole(v: Column) -> Column:
+        parts = F.transform(blocks(v), lambda part: fold(part, lambda x: x))
+        return let(parts, lambda p: let(fold(p, lambda part: F.element_at(part, -1)), lambda totals: carried(p, totals)))
+
+    return let(values, lambda v: F.when(F.size(v) == 0, F.array().cast("array<int>")).otherwise(whole(v)))
+
+
+def _larger(a: Column, b: Column) -> Column:
+    return F.greatest(a, b)
+
+
 def _located(text: Column, pattern: str, kind: int, group: int = 0) -> Column:
     """Matches with their places in code points: what stands between them gives the distances."""
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else None
 
     def places(found: Column) -> Column:
-        between = F.split(text, pattern, -1)
-        rows = F.arrays_zip(between.alias("gap"), found.alias("whole"), (found if values is None else values).alias("value"))
-        start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
+        between = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
+        steps = F.zip_with(between, found, lambda gap, match: F.length(gap) + F.length(match))
+        values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
+        rows = F.arrays_zip(running(steps, lambda a, b: a + b).alias("stop"), found.alias("whole"), values.alias("value"))
+        return F.transform(rows, lambda r: F.struct(
+            (r["stop"] - F.length(r["whole"])).alias("start"), F.lit(kind).alias("kind"), r["stop"].alias("stop"), r["value"].alias("value")))
 
-        def step(state: Column, row: Column) -> Column:
-            at = state["at"] + F.length(row["gap"])
-            stop = at + F.coalesce(F.length(row["whole"]), F.lit(0))
-            span = F.struct(at.alias("start"), F.lit(kind).alias("kind"), stop.alias("stop"), row["value"].alias("value"))
-            return F.struct(stop.alias("at"), F.when(row["whole"].isNull(), state["spans"]).otherwise(
-                F.array_append(state["spans"], span)).alias("spans"))
+    return let(whole, lambda found: F.when(F.size(found) == 0, F.array().cast(SPAN)).otherwise(places(found)))
 
-        return F.aggregate(rows, start, step, lambda s: s["spans"])
 
-    return let(whole, lambda found: F.when(F.size(found) == 0, F.array().cast(SPAN)).otherwise(places(found)))
+def _apart(bare: Column, base: Column) -> Column:
+    """Spans of bare that overlap none of base (kinds before it)."""
+    last = F.lit(KINDS.index("bare"))
+
+    def free(spans: Column) -> Column:
+        before = running(F.transform(spans, lambda s: F.when(s["kind"] < last, s["stop"]).otherwise(F.lit(0))), _larger)
+        starts = F.transform(F.reverse(spans), lambda s: F.when(s["kind"] < last, s["start"]).otherwise(F.lit(2**31 - 1)))
+        behind = F.reverse(running(starts, lambda a, b: F.least(a, b)))
+        rows = F.arrays_zip(spans.alias("span"), before.alias("before"), behind.alias("behind"))
+        kept = F.filter(rows, lambda r: (r["span"]["kind"] == last) & (r["before"] <= r["span"]["start"]) & (r["behind"] >= r["span"]["stop"]))
+        return F.transform(kept, lambda r: r["span"])
+
+    both = F.array_sort(F.concat(base, bare))
+    return F.when((F.size(bare) == 0) | (F.size(base) == 0), bare).otherwise(let(both, free))
+
+
+def _without(text: Column, spans: Column, mark: str) -> Column:
+    """The text with each group of overlapping spans (sorted) replaced by the mark."""
+    def rebuilt(pieces: Column, stops: Column) -> Column:
+        def part(a: Column, b: Column) -> Column:
+            first, last = F.floor(a / PIECE).cast("int"), F.floor(b / PIECE).cast("int")
+            return F.substring(F.array_join(F.slice(pieces, first + 1, last - first + 1), ""), a - first * PIECE + 1, b - a)
+
+        def one(s: Column, i: Column) -> Column:
+            at = F.coalesce(F.get(stops, i - 1), F.lit(0))
+            return F.when(s["start"] >= at, F.concat(part(at, s["start"]), F.lit(mark))).otherwise(F.lit(""))
+
+        rest = part(F.element_at(stops, -1), F.length(text))
+        return F.concat(F.array_join(F.transform(spans, one), ""), rest)
+
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    stops = running(F.transform(spans, lambda s: s["stop"]), _larger)
+    return let(pieces, lambda p: let(stops, lambda ends: rebuilt(p, ends)))
 
 
 def _if_has(text: Column, words: tuple[str, ...], found: Column) -> Column:
@@ -76,8 +142,7 @@ def find_candidates(docs: DataFrame, key: str, text: str, owner: str, repository
         _if_has(F.lower(t), WORDS, assign), _if_has(t, ("AKIA",), _located(t, ACCESS, 1)), _located(t, HEX, 2))
     bare = F.filter(_located(t, BARE, 3), lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]"))
     found = rows.select(key, "rid", "owner", "repository", F.array_sort(base).alias("base"), bare.alias("bare"))
-    apart = lambda s: ~F.exists("base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))
-    return found.withColumn("bare", F.filter("bare", apart))
+    return found.withColumn("bare", _apart(F.col("bare"), F.col("base")))
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
@@ -138,16 +203,8 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", mark: str =
     """
     rid, found = free_name(docs, "_rid"), free_name(docs, "_spans")
     spans = scan(docs, key, text).where(F.size("spans") > 0).select(F.col("rid").alias(rid), F.col("spans").alias(found)).dropDuplicates([rid])
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     t = F.col(text)
-
-    def step(state: Column, s: Column) -> Column:
-        fresh = s["start"] >= state["at"]
-        added = F.when(fresh, F.concat(F.substring(t, state["at"] + 1, s["start"] - state["at"]), F.lit(mark))).otherwise(F.lit(""))
-        return F.struct(F.greatest(state["at"], s["stop"]).alias("at"), F.concat(state["out"], added).alias("out"))
-
-    rest = lambda s: F.concat(s["out"], F.substring(t, s["at"] + 1, F.length(t)))
-    clean = F.when(F.col(found).isNull(), t).otherwise(F.aggregate(found, start, step, rest))
+    clean = F.when(F.col(found).isNull(), t).otherwise(_without(t, F.col(found), mark))
     return docs.withColumn(rid, row_identity(key, text)).join(spans, rid, "left").withColumn(text, clean).select(docs.columns)
 
 

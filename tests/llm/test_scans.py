@@ -72,6 +72,28 @@ def test_redaction(spark, secret_rows):
     assert left[101] is None and left[104] == "one"
 
 
+def test_running_values(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(5)
+    rows = [([rng.randint(-9, 99) for _ in range(n)],) for n in (0, 1, 2, 3, 4, 5, 8, 9, 10, 50, 101)]
+    df = spark.createDataFrame(rows, "v array<int>")
+    sums, most = secret_scan.running(F.col("v"), lambda a, b: a + b), secret_scan.running(F.col("v"), F.greatest)
+    for r in df.select("v", sums.alias("sums"), most.alias("most")).collect():
+        assert r.sums == [sum(r.v[:i + 1]) for i in range(len(r.v))]
+        assert r.most == [max(r.v[:i + 1]) for i in range(len(r.v))]
+
+
+def test_very_many_secrets_in_one_text(spark, rows_of):
+    text = "".join(f"é {i:016x} 😀 token=abcdefghijkl{i} Zz9+Zz9+Zz9+Zz9+Zz9+{i}\n" for i in range(30_000))
+    rows = [(1, text), (2, "Zz9+Zz9+Zz9+Zz9+Zz9+7 end")]
+    df = spark.createDataFrame([(i, t, f"s{i}") for i, t in rows], "doc_id long, text string, source string")
+    digests = secret_scan.scan_digests(df)
+    assert rows_of(digests, "doc_id", "n_assign", "n_access", "n_hex", "base_sha256") == brute.secrets(rows)
+    assert digests.where("doc_id = 1").first().spans.count("bare") == 30_000
+    assert secret_scan.redact(df).where("doc_id = 1").first().text == "é [SECRET] 😀 [SECRET] [SECRET]\n" * 30_000
+
+
 def test_licences(spark, empty_docs, tmp_path):
     import duckdb
 
