@@ -8,10 +8,13 @@ every capacity, the one is taken whose residual after placing has the least weig
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
+from itertools import takewhile
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,11 +31,12 @@ WORDS, CORES = 300_000, 450_000
 class WordEncoder:
     """Texts to ids of a tokenizer that drops white space and never joins across it.
 
-    Words are cut at ASCII white space and looked up; new ones go to the tokenizer. Words
-    of Latin-1 characters are first split as the tokenizer's own pattern does, so that
-    one core serves all the words it stands in. Words that hold one of the file's added
-    tokens, which the library finds before it splits, go to the tokenizer whole; where an
-    added token has white space or is looked for in normalised text, every text does.
+    Words are cut at ASCII white space, with A-Z in lower case, and looked up; new ones go
+    to the tokenizer. Words of Latin-1 characters are first split as the tokenizer's own
+    pattern does, so that one core serves all the words it stands in. Texts that hold one
+    of the file's added tokens, which the library finds before it splits, in any case, are
+    asked for by whole words as they stand; where an added token has white space or is
+    looked for in normalised text, or case counts, every text goes to the tokenizer whole.
     """
 
     def __init__(self, path: str):
@@ -42,15 +46,41 @@ class WordEncoder:
         #: Newer and older entries: what is met again moves to the newer ones, the rest goes.
         self.cores: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
         self.words: tuple[dict[bytes, bytes], dict[bytes, bytes]] = ({}, {})
-        self.parts = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+        # A line break is a part by itself: it ends a word.
+        self.parts = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+|\n")
         self.plain = regex.compile(r"[\x21-\x7e\xa1-\xac\xae-\xff]+")
-        added = list(self.tokenizer.get_added_tokens_decoder().values())
-        self.uncut = any(t.normalized or t.content.split() != [t.content] for t in added)
-        self.added = regex.compile("|".join(regex.escape(t.content) for t in added) or r"(?!)")
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = [t.lower().encode() for t in added]
+        flags = [t.normalized for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: Tokens that only stand at the end of a word, by the file's mark of them.
+        vocabulary, mark = self.tokenizer.get_vocab(), getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if mark and t.endswith(mark)]] = True
+        normal = self.tokenizer.normalizer
+        folds = normal is not None and normal.normalize_str("A\xc9Z") == "a\xe9z"
+        self.uncut = any(flags) or any(t.split() != [t] or not t.isascii() for t in added) or not folds
 
     def _ask(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
+        return [array("I", x.ids).tobytes() for x in found]
+
+    def _ask_cores(self, cores: list[str]) -> list[bytes]:
+        """As _ask, some hundred cores in one text where the last token of a core can be told."""
+        if not self.ends.any():
+            return self._ask(cores)
+        out: list[bytes] = []
+        step = 512
+        joined = [" ".join(cores[i:i + step]) for i in range(0, len(cores), step)]
+        for n, found in enumerate(self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
+            ids = np.array(found.ids, "<u4")
+            ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            own = cores[n * step:(n + 1) * step]
+            if len(ends) == len(own):
+                body = ids.tobytes()
+                out += [body[i:j] for i, j in zip([0, *ends], ends)]
+            else:
+                out += self._ask(own)
+        return out
 
     def _cores(self, wanted: set[str]) -> dict[str, bytes]:
         known, older = self.cores
@@ -61,45 +91,61 @@ class WordEncoder:
                 fresh.append(core)
             else:
                 known[core] = ids
-        known.update(zip(fresh, self._ask(fresh)))
+        known.update(zip(fresh, self._ask_cores(fresh)))
         if len(known) > CORES:  # the ones met since the last time stay
             self.cores = ({}, known)
         return known
 
-    def learn(self, words: set[bytes]) -> None:
+    def learn(self, words: list[bytes]) -> None:
+        """Different words, A-Z in lower case, without an added token."""
         known, older = self.words
-        whole, split = [], {}
+        fresh = []
         for word in words:
             ids = older.get(word)
-            if ids is not None:
-                known[word] = ids
-                continue
-            text = word.decode()
-            if self.plain.fullmatch(text) and not self.added.search(text):
-                split[word] = self.parts.findall(text.lower())
+            if ids is None:
+                fresh.append(word)
             else:
-                whole.append(word)
-        cores = self._cores({c for parts in split.values() for c in parts})
-        for word, parts in split.items():
-            known[word] = cores[parts[0]] if len(parts) == 1 else b"".join([cores[c] for c in parts])
-        known.update(zip(whole, self._ask([w.decode() for w in whole])))
+                known[word] = ids
+        texts = [w.decode() for w in fresh]
+        whole = [i for i, t in enumerate(texts) if not self.plain.fullmatch(t)] if not self.plain.fullmatch("".join(texts) or "-") else []
+        if whole:
+            known.update(zip([fresh[i] for i in whole], self._ask([texts[i] for i in whole])))
+            left = sorted(set(range(len(fresh))).difference(whole))
+            fresh, texts = [fresh[i] for i in left], [texts[i] for i in left]
+        texts = "\n".join(texts).lower().split("\n")
+        mixed = [(w, t) for w, t in zip(fresh, texts) if not t.isalpha()]
+        parts = self.parts.findall("\n".join([t for _, t in mixed]))
+        wanted = {t for t in texts if t.isalpha()}
+        wanted.update(parts)
+        wanted.discard("\n")
+        cores = self._cores(wanted)
+        known.update([(w, cores[t]) for w, t in zip(fresh, texts) if t.isalpha()])
+        coded = iter([cores.get(p) for p in parts])
+        for word, _ in mixed:
+            known[word] = b"".join(takewhile(lambda c: c is not None, coded))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text, 32 bit little-endian."""
-        out, step = [], 512
-        for at in range(0, len(texts), step):
-            if self.uncut:
-                out += self._ask([t.decode() for t in texts[at:at + step]])
-                continue
-            split = [t.split() for t in texts[at:at + step]]
-            if len(self.words[0]) > WORDS:
-                self.words = ({}, self.words[0])
-            fresh = set().union(*split).difference(self.words[0])
-            if fresh:
-                self.learn(fresh)
-            known = self.words[0]
-            out += [b"".join([known[w] for w in words]) for words in split]
-        return out
+        if self.uncut:
+            return self._ask([t.decode() for t in texts])
+        small = [t.lower() for t in texts]
+        odd = {i: b"".join(self._ask([w.decode() for w in texts[i].split()])) for i, t in enumerate(small) if any(a in t for a in self.added)}
+        split = pc.ascii_split_whitespace(pa.array([b"" if i in odd else t for i, t in enumerate(small)], pa.large_string()))
+        table = split.flatten().dictionary_encode()
+        words = table.dictionary.view(pa.large_binary()).to_pylist()
+        if len(self.words[0]) > WORDS:
+            self.words = ({}, self.words[0])
+        known = self.words[0]
+        coded = list(map(known.get, words))
+        fresh = [w for w, c in zip(words, coded) if c is None]
+        if fresh:
+            self.learn(fresh)
+            coded = [known[w] if c is None else c for w, c in zip(words, coded)]
+        flat = pa.array(coded, pa.large_binary()).take(table.indices)
+        body = flat.buffers()[2]
+        ends = np.frombuffer(flat.buffers()[1], np.int64)[split.offsets.to_numpy()].tolist()
+        data = body.to_pybytes() if body is not None else b""
+        return [odd[i] if i in odd else data[a:b] for i, (a, b) in enumerate(zip(ends, ends[1:]))]
 
 
 def tokenise(

@@ -156,6 +156,42 @@ def test_added_tokens_with_spaces_or_normalised(token, tmp_path):
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+MIXED_TEXTS = [
+    "", " ", "\x0b", "The the THE tHe. DON'T don't's 'S", "a\x85b\xa0c \x1cd", "ΟΔΟΣ Σ İstanbul ǅ K Å", "e\u0301 É é ÀÉ´ ª º µ ß ÿ",
+    "</w> x</w>y </ w> 12 3.5% %%% ...", "數 字 ABC數 ĳ", "word " * 3000, "\u200b \ufeffx \u3000y", "\x00 a\x00b \x7f \x80",
+]
+
+
+def test_words_in_any_case_and_script():
+    from tokenizers import Tokenizer
+
+    tokenizer, rng = Tokenizer.from_file(packing.default_file()), random.Random(8)
+    texts = MIXED_TEXTS + [" ".join(rng.choice(["", "Ab", "é", "'s", "9", "</w>", "Σ", "%,"]) + rng.choice(["x", "Ñu", "", "7"]) for _ in range(40)) for _ in range(200)]
+    encoder = packing.WordEncoder(packing.default_file())
+    wanted = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    for _ in range(2):  # the second time from what is kept
+        got = encoder.encode([t.encode() for t in texts])
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == wanted
+    assert encoder.encode([]) == []
+
+
+def test_words_and_pieces_that_leave_the_tables(monkeypatch):
+    import tiktoken
+
+    ranks, pattern = bpe_fst.read_ranks(bpe_fst.default_files()[0]), bpe_fst.default_files()[1]
+    plain = tiktoken.Encoding("t", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    for name, size in (("UNITS", 7), ("PIECES", 5), ("STATES", 40), ("STEPS", 60)):
+        monkeypatch.setattr(bpe_fst, name, size)
+    rng = random.Random(9)
+    words = ["Reating%%%", "reating", "don't", "x1y22", "é", "數字", "\n\n", "a\tb", "", " ", "z" * 90, "...", "</s>"]
+    texts = MIXED_TEXTS + [" ".join(rng.choice(words) for _ in range(30)) for _ in range(100)]
+    encoder = bpe_fst.Encoder(ranks, pattern)
+    for _ in range(2):
+        got = encoder.encode_all(texts)
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == [plain.encode_ordinary(t) for t in texts]
+    assert encoder.encode_all([]) == [] and encoder.encode("") == b""
+
+
 def check_sequences(rows, size=2048):
     filled = {}
     for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
