@@ -12,11 +12,13 @@ within reach of one unfinished token. States and steps are made when first met.
 from __future__ import annotations
 
 import base64
+import gc
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from matchspark.llm.common import slices, texts_of, whole_text, with_columns, worker_value
 
 #: Entries a worker keeps of each kind, so that texts of unlimited variety stay within memory.
-UNITS, STATES, STEPS = 150_000, 250_000, 500_000
+UNITS, PIECES, STATES, STEPS = 150_000, 100_000, 250_000, 500_000
 NEVER = 1 << 60
 
 
@@ -45,7 +47,9 @@ class Transducer:
         #: there, and the places from which some token can still grow.
         self.states: list[tuple[int, bytes, tuple[int, ...], tuple[int, ...]]] = [(-1, b"", (), (0,))]
         self.ids = {(-1, b"", ()): 0}
+        #: The steps of each state: next state and emitted tokens by byte.
         self.steps: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self.made = 0
         #: Equal outputs and places are kept once.
         self.outputs: dict[tuple[int, ...], tuple[int, ...]] = {}
 
@@ -99,23 +103,29 @@ class Transducer:
         start, pending, ends, live = self.states[state]
         pending += bytes((byte,))
         n = len(pending)
+        ranks, unfinished = self.ranks, self.open
+        last, growing = -1, []
         for at in live:  # the token that ends here began where a token could still grow
-            token = self.ranks.get(pending[at:])
-            if token is not None:
+            tail = pending[at:]
+            if last < 0 and (token := ranks.get(tail)) is not None:
                 before = ends[at - 1] if at else start
                 if before < 0 or self.stays(before, token):
-                    break
-        else:
+                    last = token
+            if tail in unfinished:
+                growing.append(at)
+        if last < 0:
             raise ValueError("bytes without a token")
-        ends += (token,)
-        live = (*(at for at in live if pending[at:] in self.open), n)
+        ends += (last,)
+        live = (*growing, n)
         # The nearest place that the paths back from all live places share.
-        met = set(live)
-        while len(met) > 1:
-            far = max(met)
-            met.remove(far)
-            met.add(far - self.sizes[ends[far - 1]])
-        settled = met.pop()
+        settled = n
+        if growing:
+            sizes, met = self.sizes, set(live)
+            while len(met) > 1:
+                far = max(met)
+                met.remove(far)
+                met.add(far - sizes[ends[far - 1]])
+            settled = met.pop()
         out = self._tokens(settled, ends)
         if out:
             start, pending, ends = out[-1], pending[settled:], ends[settled:]
@@ -132,6 +142,7 @@ class Transducer:
         if found is None:
             found = self.ids[key] = len(self.states)
             self.states.append((*key, self.outputs.setdefault(live, live)))
+        self.made += 1
         return found, self.outputs.setdefault(tuple(out), tuple(out))
 
     def _tokens(self, at: int, ends: tuple[int, ...]) -> list[int]:
@@ -143,7 +154,7 @@ class Transducer:
         return out[::-1]
 
     def encode(self, piece: bytes) -> list[int]:
-        if len(self.states) >= STATES or len(self.steps) >= STEPS:
+        if len(self.states) >= STATES or self.made >= STEPS:
             self.clear()
         out: list[int] = []
         state, steps = 0, self.steps
@@ -151,9 +162,9 @@ class Transducer:
             step = steps.get(state << 8 | byte)
             if step is None:
                 step = steps[state << 8 | byte] = self._step(state, byte)
-            state = step[0]
-            if step[1]:
-                out += step[1]
+            state, emitted = step
+            if emitted:
+                out += emitted
         ends = self.states[state][2]
         return out + self._tokens(len(ends), ends)
 
@@ -170,18 +181,27 @@ class Encoder:
         self.pattern = regex.compile(pattern)
         self.cuts = regex.compile(r" (?=\S)")
         self.doubtful = regex.compile(r" (?!\S)")
-        self.known, self.older = {}, {}
-
-    def _unit(self, unit: str) -> bytes:
-        ids = array("I")
-        for piece in self.pattern.findall(unit):
+        #: Newer and older entries: what is met again moves to the newer ones, the rest goes.
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.older_pieces: dict[str, bytes] = {}
+
+    def _piece(self, piece: str) -> bytes:
+        ids = self.older_pieces.get(piece)
+        if ids is None:
             body = piece.encode()
             token = self.ranks.get(body)
-            if token is None:
-                ids.extend(self.transducer.encode(body))
-            else:
-                ids.append(token)
-        return ids.tobytes()
+            ids = array("I", self.transducer.encode(body) if token is None else (token,)).tobytes()
+        if len(piece) < 64:
+            if len(self.pieces) >= PIECES:
+                self.older_pieces, self.pieces = self.pieces, {}
+            self.pieces[piece] = ids
+        return ids
+
+    def _unit(self, unit: str) -> bytes:
+        pieces = self.pattern.findall(unit)
+        return b"".join([self.pieces.get(p) or self._piece(p) for p in pieces])
 
     def _learn(self, word: str) -> bytes:
         ids = self.older.get(word)
@@ -193,12 +213,39 @@ class Encoder:
             self.known[word] = ids
         return ids
 
+    def _doubtful(self, text: str) -> bytes:
+        words = self.cuts.split(text)
+        return b"".join([self._unit(words[0]), *[self.known.get(w) or self._learn(w) for w in words[1:]]])
+
     def encode(self, text: str) -> bytes:
-        words = text.split(" ") if self.doubtful.search(text) is None else self.cuts.split(text)
-        out = [self._unit(words[0])]
-        for word in words[1:]:
-            out.append(self.known.get(word) or self._learn(word))
-        return b"".join(out)
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids; a word that the texts share is looked up once.
+
+        Cycles are not looked for meanwhile: none are made, and the collector would walk
+        through all states again and again.
+        """
+        watched = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode_all(texts)
+        finally:
+            if watched:
+                gc.enable()
+
+    def _encode_all(self, texts: list[str]) -> list[bytes]:
+        odd = {i: self._doubtful(t) for i, t in enumerate(texts) if self.doubtful.search(t) is not None}
+        split = pc.split_pattern(pa.array(["" if i in odd else t for i, t in enumerate(texts)], pa.large_string()), " ")
+        table = split.flatten().dictionary_encode()
+        coded = [self.known.get(w) or self._learn(w) for w in table.dictionary.to_pylist()]
+        flat = pa.array(coded, pa.large_binary()).take(table.indices)
+        body = flat.buffers()[2]
+        data, ends = b"" if body is None else body.to_pybytes(), np.frombuffer(flat.buffers()[1], np.int64)
+        # A text's first word has no space in front.
+        cuts = split.offsets.to_numpy()
+        starts, stops = ends[cuts[:-1] + 1].tolist(), ends[cuts[1:]].tolist()
+        return [odd[i] if i in odd else self._unit(t.partition(" ")[0]) + data[a:b] for i, (t, a, b) in enumerate(zip(texts, starts, stops))]
 
 
 class Utf8Stream:
@@ -270,7 +317,7 @@ def encode(
         encoder = worker_value(("bpe", ranks_path, pattern), lambda: Encoder(ranks.value, pattern))
         decoder = worker_value(("tokens", ranks_path), lambda: Decoder(ranks.value)) if decoded else None
         for batch in slices(batches):
-            coded = [encoder.encode(t.decode()) for t in texts_of(batch, text)]
+            coded = encoder.encode_all([t.decode() for t in texts_of(batch, text)])
             ends = np.cumsum([0, *map(len, coded)]) // 4
             flat = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(coded))])
             added = {ids: pa.ListArray.from_arrays(ends.astype(np.int32), flat)}
