@@ -39,6 +39,8 @@ class Transducer:
         self.sizes = {rank: len(token) for token, rank in ranks.items()}
         self.open = {token[:n] for token in ranks for n in range(1, len(token))}
         self.halves: dict[int, tuple[int, int] | None] = {}
+        #: By token, for its right (1) and left (0) edge; no more than there are tokens.
+        self.spines: tuple[dict[int, list[int]], dict[int, list[int]]] = ({}, {})
         self.pairs: dict[int, bool] = {}
         self.clear()
 
@@ -67,11 +69,13 @@ class Transducer:
         return self.halves[token]
 
     def spine(self, token: int, side: int) -> list[int]:
-        """The tokens that stand at one edge of a token while it is being merged, first to last."""
-        out = [token]
-        while (parts := self.split(out[-1])) is not None:
-            out.append(parts[side])
-        return out[::-1]
+        """The tokens that stand at one edge of a token while it is being merged, first to last, and NEVER."""
+        out = self.spines[side].get(token)
+        if out is None:
+            parts = self.split(token)
+            out = [token, NEVER] if parts is None else [*self.spine(parts[side], side)[:-1], token, NEVER]
+            self.spines[side][token] = out
+        return out
 
     def stays(self, left: int, right: int) -> bool:
         """Whether merging left and right together would leave the border between them."""
@@ -82,8 +86,7 @@ class Transducer:
             known = True
             while True:
                 # What happens first: the edge tokens' own next merges, or one across the border.
-                next_a = a[i + 1] if i + 1 < len(a) else NEVER
-                next_b = b[j + 1] if j + 1 < len(b) else NEVER
+                next_a, next_b = a[i + 1], b[j + 1]
                 across = self.ranks.get(self.tokens[a[i]] + self.tokens[b[j]], NEVER)
                 if across < next_a and across <= next_b and across < NEVER:
                     known = False
@@ -129,15 +132,15 @@ class Transducer:
         out = self._tokens(settled, ends)
         if out:
             start, pending, ends = out[-1], pending[settled:], ends[settled:]
-            live = tuple(at - settled for at in live)
+            live = tuple([at - settled for at in live])
         # Equal futures, one state: what no live place leads back to is forgotten, and so is the
         # token before, unless one may still start right behind it.
-        paths: set[int] = set()
+        sizes, marked = self.sizes, [-1] * len(ends)
         for at in live:
-            while at > 0 and at not in paths:
-                paths.add(at)
-                at -= self.sizes[ends[at - 1]]
-        key = (start if live[0] == 0 else -1, pending, tuple(t if at in paths else 0 for at, t in enumerate(ends, 1)))
+            while at > 0 and marked[at - 1] < 0:
+                token = marked[at - 1] = ends[at - 1]
+                at -= sizes[token]
+        key = (start if live[0] == 0 else -1, pending, tuple(marked))
         found = self.ids.get(key)
         if found is None:
             found = self.ids[key] = len(self.states)
