@@ -4,23 +4,30 @@ Scoring many vacancies needs every admitted pair once for the minimum of each
 similarity and once for the score, but no pair is ever written as a row: a task
 multiplies a batch of candidates with a set of vacancies and returns a minimum, or
 the best k, per vacancy. A counted, small set of vacancies is sent to the
-candidates, which then are not shuffled at all. Larger sets are cut, like the
-candidates, into tiles of bounded size per block (place or region).
+candidates, which then are not shuffled at all. Larger sets are ordered by place and
+packed, like the candidates, into rows of many; each pack is written once, and pairs of
+packs that share a block (place or region) are met by reading, not by copying.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from matchspark import vocab
 from matchspark.functions import filters, geo, text, vectors
 from matchspark.functions.geo import EARTH_RADIUS_KM
 from matchspark.functions.once import where_computed
 from matchspark.functions.vectors import EPSILON
+from matchspark.sources.tables import staged
 
 SIMS = ("last", "second", "third", "skills")
 CANDIDATE_VECTORS = ["last_job_emb", "second_last_job_emb", "third_last_job_emb", "skills_emb"]
@@ -30,6 +37,10 @@ CELL_DEGREES = 0.5
 KM_PER_DEGREE = 111.0
 TIE_DIGITS = 9
 SENT_VACANCIES = 2048
+#: Openings in a pack, as a multiple of those scored at once.
+PACKED_TILES = 16
+#: Parts of the candidates that a set of openings meets in different tasks.
+CANDIDATE_PARTS = 4
 
 
 # --- one request -----------------------------------------------------------------
@@ -117,7 +128,7 @@ def _everywhere() -> Column:
 
 
 def candidate_blocks(candidates: DataFrame, cell: float = CELL_DEGREES) -> DataFrame:
-    """One row per block in which a vacancy may admit a prepared candidate.
+    """The blocks in which a vacancy may admit a prepared candidate, as an array.
 
     Candidates every vacancy admits sit in the block 'G' only; the others in
     their region (if regional), grid cell and city.
@@ -129,13 +140,12 @@ def candidate_blocks(candidates: DataFrame, cell: float = CELL_DEGREES) -> DataF
         F.when(placed, _cell_name(_cell(F.col("latitude"), -90, cell), _cell(F.col("longitude"), -180, cell))),
         F.when(F.col("location") != "", F.concat(F.lit("L:"), "location")),
     ))
-    return candidates.withColumn(
-        "block", F.explode(F.when(F.col("everywhere"), F.array(F.lit("G"))).otherwise(keys)))
+    return candidates.withColumn("blocks", F.when(F.col("everywhere"), F.array(F.lit("G"))).otherwise(keys))
 
 
 def vacancy_blocks(vacancies: DataFrame, cell: float = CELL_DEGREES) -> DataFrame:
-    """One row per block a prepared vacancy draws from: everyone, its region, and the grid
-    cells its radius touches, or its city when it has no coordinates. Without a radius
+    """The blocks a prepared vacancy draws from, as an array: everyone, its region, and the
+    grid cells its radius touches, or its city when it has no coordinates. Without a radius
     nobody is near."""
     placed = geo.is_number(F.col("latitude")) & geo.is_number(F.col("longitude"))
     reach = F.col("max_distance") / F.lit(KM_PER_DEGREE)
@@ -157,7 +167,7 @@ def vacancy_blocks(vacancies: DataFrame, cell: float = CELL_DEGREES) -> DataFram
         F.when(F.coalesce(placed, F.lit(False)) & F.col("max_distance").isNotNull(), cells)
         .when(F.coalesce(placed, F.lit(False)), F.array().cast("array<string>"))
         .otherwise(F.array_compact(F.array(city))))
-    return vacancies.withColumn("block", F.explode(F.concat(keys, near)))
+    return vacancies.withColumn("blocks", F.concat(keys, near))
 
 
 # --- many requests: tiles ------------------------------------------------------------
@@ -233,19 +243,8 @@ def _within_reach(c: pd.DataFrame, v: pd.DataFrame) -> np.ndarray:
     return _distance(c, v) <= v["max_distance"].to_numpy(float)[None, :]
 
 
-def _place_in_block(c: pd.DataFrame, v: pd.DataFrame) -> np.ndarray:
-    """The pairs a block stands for; a pair its region block holds is not taken again."""
-    block = c["block"].iat[0]
-    if block == "G":
-        return np.ones((len(c), len(v)), dtype=bool)
-    if block.startswith("R:"):
-        return _by_region(c, v)
-    near = _within_reach(c, v) if block.startswith("C:") else True
-    return near & ~_by_region(c, v)
-
-
 def _place(c: pd.DataFrame, v: pd.DataFrame) -> np.ndarray:
-    """The whole place clause, without blocks."""
+    """The whole place clause; blocks only say which packs may hold such pairs."""
     placed = v["latitude"].notna().to_numpy() & v["longitude"].notna().to_numpy()
     c_city, v_city = c["location"].to_numpy()[:, None], v["location"].to_numpy()[None, :]
     same_city = ~placed[None, :] & (c_city == v_city) & (v_city != "")
@@ -266,8 +265,7 @@ def _served(c: pd.DataFrame, v: pd.DataFrame) -> np.ndarray:
 
 def _admitted(c: pd.DataFrame, v: pd.DataFrame) -> np.ndarray:
     """Which pairs the structured filter admits."""
-    ok = _place_in_block(c, v) if "block" in c else _place(c, v)
-    ok = ok & _served(c, v) & _upper_bound(c["age"], v["max_age"])
+    ok = _place(c, v) & _served(c, v) & _upper_bound(c["age"], v["max_age"])
     ok &= _upper_bound(c["salary_low"], v["max_ral"])
     ok &= _upper_bound(c["available_day"], v["available_day"])
     have, need = c["parttime_preferenza_perc"].to_numpy(float)[:, None], v["parttime_preferenza_perc"].to_numpy(float)[None, :]
@@ -410,18 +408,103 @@ def _top(c: pd.DataFrame, v: pd.DataFrame, weights: tuple[float, ...], k: int) -
         "vacancy_id": v["vacancy_id"].to_numpy()[owner], "candidate_id": ids[rows], "raw": score[rows, owner]})[names]
 
 
+def _by_place(df: DataFrame, first: Column, cell: float) -> DataFrame:
+    """Rows in the order of a first column, then grid cells, cut into ranges: neighbours share packs."""
+    df = df.withColumns({
+        "_first": first, "_lat": _cell(F.col("latitude"), -90, cell), "_lon": _cell(F.col("longitude"), -180, cell)})
+    order = ["_first", "_lat", "_lon", df.columns[0]]
+    return df.repartitionByRange(*order).sortWithinPartitions(*order).drop("_first", "_lat", "_lon")
+
+
+def packs(df: DataFrame, size: int) -> DataFrame:
+    """Neighbouring rows as one: (pack, blocks, body), body being up to size rows as an Arrow
+    stream without their blocks, blocks what any of them has. Rows without a block go."""
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            while n >= size:
+                rows = pa.Table.from_batches(held)
+                yield packed(rows.slice(0, size))
+                held, n = rows.slice(size).to_batches(), n - size
+        if n:
+            yield packed(pa.Table.from_batches(held))
+
+    def packed(rows):
+        names = pa.compute.unique(rows["blocks"].combine_chunks().flatten())
+        sink = pa.BufferOutputStream()
+        body = rows.drop_columns(["blocks"]).combine_chunks()
+        with pa.ipc.new_stream(sink, body.schema) as out:
+            out.write_table(body)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([uuid.uuid4().hex]), pa.array([names.to_pylist()], pa.list_(pa.string())), pa.array([sink.getvalue().to_pybytes()])],
+            names=["pack", "blocks", "body"])
+
+    return df.where(F.size("blocks") > 0).mapInArrow(run, "pack string, blocks array<string>, body binary")
+
+
+def _rows_of(body) -> pd.DataFrame:
+    return pa.ipc.open_stream(body.as_buffer()).read_pandas()
+
+
+def _met(candidates: DataFrame, vacancies: DataFrame, run, kind: str) -> DataFrame:
+    """run(pairs) over the pairs of packs that share a block, as (candidates, pack of vacancies,
+    vacancies). The packs are read by each task that needs them and nothing is shuffled; a task
+    has all pairs of its packs, those of one pack of candidates in a row."""
+    right = vacancies.select(F.col("pack").alias("v_pack"), F.col("blocks").alias("v_blocks"), F.col("body").alias("v_body"))
+    pairs = candidates.coalesce(CANDIDATE_PARTS).join(
+        right.hint("shuffle_replicate_nl"), F.arrays_overlap("blocks", "v_blocks")).select("pack", "body", "v_pack", "v_body")
+
+    def opened(batches):
+        last, people = None, None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                pack = batch["pack"][i].as_py()
+                if pack != last:
+                    last, people = pack, _rows_of(batch["body"][i])
+                yield people, batch["v_pack"][i].as_py(), _rows_of(batch["v_body"][i])
+
+    def each(batches):
+        for found in run(opened(batches)):
+            yield pa.RecordBatch.from_pandas(found, schema=schema, preserve_index=False)
+
+    schema = to_arrow_schema(T._parse_datatype_string(kind))
+    return pairs.mapInArrow(each, kind)
+
+
 def _match_tiled(vacancies, candidates, k, weights, candidate_tile, vacancy_tile, cell, types):
-    left, right = tiles(
-        candidate_blocks(candidates, cell).select("block", *CANDIDATE_COLUMNS),
-        vacancy_blocks(vacancies, cell).select("block", *VACANCY_COLUMNS), candidate_tile, vacancy_tile)
-    tile = ["block", "c_tile", "v_tile"]
-    lows = (
-        left.groupBy(*tile).cogroup(right.groupBy(*tile)).applyInPandas(_lowest, types["lows"])
-        .groupBy("vacancy_id").agg(*[F.min(s).alias(f"low_{s}") for s in SIMS])
-    )
-    scaled = right.join(lows, "vacancy_id")
-    return left.groupBy(*tile).cogroup(scaled.groupBy(*tile)).applyInPandas(
-        lambda c, v: _top(c, v, weights, k), types["top"])
+    regional = F.when(F.col("everywhere"), F.lit("G")).when(F.col("desired_location") == "Regionale", F.col("region"))
+    people = candidate_blocks(_by_place(candidates.select(*CANDIDATE_COLUMNS, "everywhere", "location"), regional, cell), cell)
+    openings = vacancies.select(*VACANCY_COLUMNS, "location")
+    left = staged(packs(people, candidate_tile), "candidates")
+
+    def right(rows):
+        return staged(packs(vacancy_blocks(_by_place(rows, F.col("region"), cell), cell), PACKED_TILES * vacancy_tile), "vacancies")
+
+    def lows_of(pairs):
+        found = {}
+        for c, pack, v in pairs:
+            parts = [p for p in (_lowest(c, some) for some in _chunks(v, vacancy_tile)) if len(p)]
+            if parts:
+                parts += [found[pack]] if pack in found else []
+                found[pack] = pd.concat(parts, ignore_index=True).groupby("vacancy_id", as_index=False).min()
+        yield from found.values()
+
+    def top_of(pairs):
+        found = {}
+        for c, pack, v in pairs:
+            parts = [p for p in (_top(c, some, weights, k) for some in _chunks(v, vacancy_tile)) if len(p)]
+            if parts:
+                parts += [found[pack]] if pack in found else []
+                found[pack] = pd.concat(parts, ignore_index=True)
+                if len(found[pack]) > 2 * k * len(v):
+                    found[pack] = _keep_best(found[pack], k)
+        for kept in found.values():
+            yield _keep_best(kept, k)
+
+    lows = _met(left, right(openings), lows_of, types["lows"]).groupBy("vacancy_id").agg(*[F.min(s).alias(f"low_{s}") for s in SIMS])
+    return _met(left, right(openings.join(lows, "vacancy_id")), top_of, types["top"])
 
 
 def _chunks(df: pd.DataFrame, size: int) -> list[pd.DataFrame]:
@@ -479,7 +562,8 @@ def match_all(
 
     Exact: similarities are scaled by their minimum over all admitted candidates of
     the vacancy, then the best k are kept per task and again overall. Up to
-    sent_vacancies vacancies are sent to the candidates; more are matched in tiles.
+    sent_vacancies vacancies are sent to the candidates; more are matched in packs, which
+    are written twice (openings) and once (candidates) and shuffled once, whatever the pairs.
     cell is the grid step in degrees (a divisor of 360), best near the usual radius.
     """
     people, openings = prepare_candidates(candidates), prepare_vacancies(vacancies)

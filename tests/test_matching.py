@@ -3,6 +3,7 @@ import random
 from datetime import date
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,6 +134,26 @@ def test_hot_block_is_cut_into_bounded_tiles(spark):
     assert left.where("block <> 'G'").count() == 0
 
 
+def test_packs_hold_every_row_once_and_no_copies(spark):
+    """However many packs the other side has, a row is written once, with the blocks of its pack."""
+    rows = spark.range(1000).select(
+        F.col("id"), F.when(F.col("id") % 10 == 3, F.array().cast("array<string>")).otherwise(F.array((F.col("id") % 7).cast("string"))).alias("blocks"))
+    found = matching.packs(rows.coalesce(2), 64).collect()
+    sizes = [len(matching._rows_of(pa.scalar(bytes(r["body"]), pa.binary()))) for r in found]
+    ids = sorted(i for r in found for i in matching._rows_of(pa.scalar(bytes(r["body"]), pa.binary()))["id"])
+    assert ids == [i for i in range(1000) if i % 10 != 3] and max(sizes) == 64 and len(found) <= 16
+    assert all(set(r["blocks"]) == set("0123456") for r in found if len(r["blocks"]) > 6) and len({r["pack"] for r in found}) == len(found)
+
+
+def test_many_openings_are_matched_without_copies_of_vectors(spark):
+    """Smaller tiles mean more packs that meet, but no more rows shuffled."""
+    candidates, vacancies = random_sides(4)
+    people, openings = spark.createDataFrame(candidates, CANDIDATE), spark.createDataFrame(vacancies, VACANCY)
+    met = matching.match_all(openings, people, k=7, sent_vacancies=0, candidate_tile=4, vacancy_tile=1)
+    assert "FlatMapCoGroupsInPandas" not in met._jdf.queryExecution().toString() and "CartesianProduct" in met._jdf.queryExecution().toString()
+    assert sorted(tuple(r) for r in met.collect()) == brute_force(candidates, vacancies, 7)
+
+
 def test_score_request_scales_and_breaks_ties(spark):
     e = lambda *x: [float(v) for v in x]
     rows = [(i, e(1, 0), e(1, 0), e(1, 0), e(1, 0)) for i in (3, 1, 2)] + [(4, e(0, 1), e(0, 1), e(0, 1), e(0, 1)), (5, e(0, 0), e(0, 0), e(0, 0), e(0, 0))]
