@@ -36,15 +36,18 @@ def index_description(df: DataFrame, searched: list[str], attributes: list[str],
     return counted.select(F.inline(rows))
 
 
-def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
+def postings(docs: DataFrame, key: str, text: str, tasks: int | None = None) -> DataFrame:
     """(key, token, tf, doc_len): one row per distinct token of a document, counted where the
-    document lies after one hash partitioning by key."""
+    document lies after one hash partitioning by key. With a number of tasks the texts are
+    partitioned, which are several times smaller than the rows of their words."""
     def rows(words: Column) -> Column:
         size = F.size(words)
         return F.transform(words, lambda w: F.struct(w.alias("token"), size.alias("doc_len")))
 
+    if tasks:
+        docs = docs.select(key, text).repartition(tasks, F.col(key))
     each = docs.select(key, F.inline(let(tokens(F.col(text)), rows)))
-    return each.repartition(F.col(key)).groupBy(key, "token").agg(F.count("*").alias("tf"), F.first("doc_len").alias("doc_len"))
+    return (each if tasks else each.repartition(F.col(key))).groupBy(key, "token").agg(F.count("*").alias("tf"), F.first("doc_len").alias("doc_len"))
 
 
 def lengths(docs: DataFrame, key: str, text: str) -> DataFrame:

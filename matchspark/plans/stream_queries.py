@@ -20,7 +20,7 @@ def _arriving(spark, folder, batches, run) -> None:
     """Files that arrive one lot after the other; run(stream) handles each lot as one
     micro-batch, and goes on from its checkpoint."""
     for batch in batches:
-        batch.write.mode("append").parquet(f"{folder}/arrived")
+        batch.write.mode("append").option("compression", "zstd").parquet(f"{folder}/arrived")
         run(ingest.read_stream(spark, f"{folder}/arrived", batch.schema))
 
 

@@ -17,6 +17,10 @@ from matchspark.streaming.target import apply_batch
 
 #: Keeps state on disk, as states with timers need.
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Keys of a batch that are sent to the stored rows; with more, both are shuffled.
+SENT_KEYS = 2_000_000
+#: Documents tokenised by one task, whose words it counts in memory.
+TOKENISED = 4_000
 
 
 def read_stream(spark: SparkSession, folder: str, schema: T.StructType, pattern: str = "*.parquet",
@@ -111,13 +115,18 @@ def upsert(target: str, keys: list[str], order: list[str], stream: str) -> Calla
     return lambda batch, number: apply_batch(batch, number, stream, target, keys, change) and None
 
 
+def _keys_of(batch: DataFrame, key: str) -> DataFrame:
+    keys = batch.select(key).distinct()
+    return F.broadcast(keys) if batch.count() <= SENT_KEYS else keys
+
+
 def merge(target: str, key: str, transform: Callable[[DataFrame, DataFrame | None], DataFrame], stream: str) -> Callable[[DataFrame, int], None]:
     """Batch writer for change detection: transform(batch, previous rows of its keys)
     gives the new rows; rows of other keys in the touched partitions are kept."""
     def change(batch: DataFrame, stored: DataFrame | None) -> DataFrame:
         if stored is None:
             return transform(batch, None)
-        keys = batch.select(key).distinct()
+        keys = _keys_of(batch, key)
         fresh = transform(batch, stored.join(keys, key, "left_semi"))
         untouched = stored.join(keys, key, "left_anti")
         return fresh.unionByName(tables.align(untouched, fresh.schema))
@@ -128,7 +137,8 @@ def merge(target: str, key: str, transform: Callable[[DataFrame, DataFrame | Non
 def refresh_postings(target: str, key: str, text: str, stream: str) -> Callable[[DataFrame, int], None]:
     """Batch writer replacing the postings of the documents in the batch."""
     def change(batch: DataFrame, stored: DataFrame | None) -> DataFrame:
-        fresh = search.postings(tables.spread(batch), key, text)
-        return fresh if stored is None else stored.join(batch.select(key).distinct(), key, "left_anti").unionByName(fresh)
+        tasks = max(batch.sparkSession.sparkContext.defaultParallelism, -(-batch.count() // TOKENISED))
+        fresh = search.postings(batch, key, text, tasks)
+        return fresh if stored is None else stored.join(_keys_of(batch, key), key, "left_anti").unionByName(fresh)
 
     return lambda batch, number: apply_batch(batch, number, stream, target, [key], change) and None

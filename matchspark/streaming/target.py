@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Rows of the first batch that one partition should hold, and the least number of partitions.
 ROWS, LEAST = 250_000, 4
+#: Partitions a task may write at once; with more it sorts by them.
+OPEN_FILES = 64
 OWN = ["_part", "_stream", "_batch", "_parts"]
 
 
@@ -49,8 +51,14 @@ def _markers(stored: DataFrame | None) -> dict[int, tuple[str, int, int]]:
 
 
 def _replace(staged: DataFrame, path: str) -> None:
-    """Replaces the partitions that staged has rows of; large ones are written by several tasks."""
-    staged.hint("rebalance", "_part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_part").parquet(path)
+    """Replaces the partitions that staged has rows of. A task writes a file of each partition it
+    meets, with up to OPEN_FILES open, so that rows are neither shuffled nor sorted for it."""
+    conf, before = staged.sparkSession.conf, staged.sparkSession.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    conf.set("spark.sql.maxConcurrentOutputFileWriters", OPEN_FILES)
+    try:
+        staged.write.mode("overwrite").options(compression="zstd", partitionOverwriteMode="dynamic").partitionBy("_part").parquet(path)
+    finally:
+        conf.set("spark.sql.maxConcurrentOutputFileWriters", before)
 
 
 def apply_batch(
@@ -86,7 +94,7 @@ def apply_batch(
                 F.explode(F.array(*map(F.lit, touched))).alias("_part"), F.lit(stream).alias("_stream"),
                 F.lit(number).cast("long").alias("_batch"), F.lit(kept).alias("_parts"))
             fresh = fresh.unionByName(marks, allowMissingColumns=True)
-            fresh.write.mode("overwrite").parquet(slot)
+            fresh.write.mode("overwrite").option("compression", "zstd").parquet(slot)
             staged = spark.read.schema(fresh.schema).parquet(slot)
         _replace(staged.where(F.col("_part").isin(todo)), f"{path}/table")
         return True

@@ -148,3 +148,29 @@ def test_stream_dedup_drops_late_copies(spark, tmp_path):
     seen = []
     ingest.run_available(stream, lambda batch, _: seen.extend(r["k"] for r in batch.collect()), str(tmp_path / "c"))
     assert sorted(seen) == [1, 2]
+
+
+def test_a_batch_shuffles_neither_stored_rows_nor_words(spark, tmp_path, monkeypatch):
+    """Keys are sent to the stored rows, texts are shuffled in place of their words, and
+    replacing partitions shuffles nothing."""
+    plans, whole = [], target.apply_batch
+
+    def watched(batch, number, stream, path, keys, change, parts=None):
+        def seen(rows, stored):
+            fresh = change(rows, stored)
+            plans.append(fresh._jdf.queryExecution().executedPlan().toString())
+            return fresh
+        return whole(batch, number, stream, path, keys, seen, parts)
+
+    monkeypatch.setattr(ingest, "apply_batch", watched)
+    index = ingest.refresh_postings(str(tmp_path / "index"), "k", "text", "s")
+    for number in range(2):
+        index(spark.createDataFrame([(k, number, f"red {number} red") for k in range(50 - number * 10)], SCHEMA), number)
+    found = {(r["k"], r["token"], r["tf"]) for r in target.rows(spark, str(tmp_path / "index")).collect()}
+    assert found == {(k, t, n) for k in range(50) for t, n in (("red", 2), ("1" if k < 40 else "0", 1))}
+    assert "BroadcastHashJoin" in plans[1] and "SortMergeJoin" not in plans[1]
+    staged = []
+    monkeypatch.setattr(target, "_replace", lambda rows, path, old=target._replace: (staged.append(rows), old(rows, path)))
+    index(spark.createDataFrame([(1, 2, "blue")], SCHEMA), 2)
+    assert "Rebalance" not in staged[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
