@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -19,6 +19,8 @@ from matchspark.streaming.target import apply_batch
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Keys of a batch that are sent to the stored rows; with more, both are shuffled.
 SENT_KEYS = 2_000_000
+#: Buckets of keys whose versions a stream holds, and slots of a bucket.
+KEY_BUCKETS, KEY_SLOTS = 1024, 16
 #: Documents tokenised by one task, whose words it counts in memory.
 TOKENISED = 4_000
 
@@ -49,54 +51,116 @@ def dedup_stream(stream: DataFrame, keys: list[str], ts: str, delay: str) -> Dat
 
 
 class _Newest(StatefulProcessor):
-    """Holds the version of each key's newest row until the watermark is past it by the delay."""
+    """Holds the version of each key's newest row until the watermark is past it by the delay.
+
+    Python is called once per bucket of keys and batch, and reads and writes a slot of keys at a
+    time: calls for single keys cost a thousand times what their work does.
+    """
 
     def __init__(self, names: list[str], tie: str, tie_type: str, delay_ms: int):
         self.names, self.tie, self.delay_ms = names, tie, delay_ms
-        self.state_schema = f"at long, tie {tie_type}"
+        self.whole = tie_type in ("tinyint", "smallint", "int", "bigint")
+        self.state_schema = f"held array<struct<key: string, at: bigint, tie: {tie_type}>>"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.newest = handle.getValueState("newest", self.state_schema)
+        self.slots = handle.getMapState("slots", "slot int", self.state_schema)
+
+    def newest(self, rows: pd.DataFrame) -> pd.DataFrame:
+        """The newest row per key; a missing tie is older than any."""
+        return rows.sort_values(["_at", self.tie], na_position="first").drop_duplicates("_key", keep="last")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        best, version = None, None
-        if self.newest.exists():
-            version = tuple(self.newest.get())
-        for part in rows:
+        best = self._reduced(rows)
+        asked: dict[int, list[tuple]] = {}
+        for i, (slot, name, at, tie) in enumerate(zip(*(best[c].to_numpy() for c in ("_slot", "_key", "_at", self.tie)))):
+            # Whole numbers beside nulls come as floats, which the state would hold as null.
+            tie = None if pd.isna(tie) else int(tie) if self.whole else tie.item() if hasattr(tie, "item") else tie
+            asked.setdefault(int(slot), []).append((i, name, (int(at), tie)))
+        known, fresh = self.slots.exists(), []
+        for slot, versions in asked.items():
+            found = self.slots.getValue((slot,)) if known else None
+            held = {name: (at, tie) for name, at, tie in found[0]} if found else {}
+            later = [(i, name, version) for i, name, version in versions if name not in held or _later(version, held[name])]
+            if later:
+                held.update((name, version) for _, name, version in later)
+                self._put(slot, held)
+                fresh += [i for i, _, _ in later]
+        if fresh:
+            newer = best.iloc[fresh]
+            self._wake(int(newer["_at"].min()))
+            yield newer
+
+    def _reduced(self, parts: Iterator[pd.DataFrame]) -> pd.DataFrame:
+        """The newest row per key of all parts; about twice the keys' number of rows is held."""
+        held, n, size = [], 0, 0
+        for part in parts:
             # Computed columns come without their names.
-            part = part.set_axis(self.names, axis=1).sort_values(["_at", self.tie])
-            last = (int(part["_at"].iloc[-1]), part[self.tie].iloc[-1])
-            if version is None or last > version:
-                best, version = part.iloc[[-1]], last
-        if best is not None:
-            tie = version[1].item() if hasattr(version[1], "item") else version[1]
-            self.newest.update((version[0], tie))
-            self.handle.registerTimer(version[0] // 1000 + self.delay_ms)
-            yield best
+            part = part.set_axis(self.names, axis=1)
+            if part["_at"].isna().any():
+                raise ValueError("a row without a time has no place among the versions")
+            held.append(self.newest(part))
+            n += len(held[-1])
+            if len(held) > 1 and n > 2 * size:
+                held = [self.newest(pd.concat(held))]
+                n = size = len(held[0])
+        return held[0] if len(held) == 1 else self.newest(pd.concat(held))
+
+    def _put(self, slot: int, held: dict[str, tuple]) -> None:
+        self.slots.updateValue((slot,), ([(name, *version) for name, version in held.items()],))
+
+    def _wake(self, oldest: int) -> None:
+        """A timer for the oldest version, on a grid: a bucket is looked through some times per delay, not per key."""
+        step = max(1, self.delay_ms // 4)
+        self.handle.registerTimer(-(-(oldest // 1000 + self.delay_ms) // step) * step)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        # Timers of versions that were replaced meanwhile find a newer one, which has its own.
-        if self.newest.exists() and self.newest.get()[0] // 1000 + self.delay_ms <= expiredTimerInfo.getExpiryTimeInMs():
-            self.newest.clear()
+        # No version is without a timer: that of its batch, or the one set here when it went off.
+        until, left = expiredTimerInfo.getExpiryTimeInMs() - self.delay_ms, []
+        for (slot,), (found,) in list(self.slots.iterator()) if self.slots.exists() else []:
+            held = {name: (at, tie) for name, at, tie in found if at // 1000 > until}
+            left += [at for at, _ in held.values()]
+            if not held:
+                self.slots.removeKey((slot,))
+            elif len(held) < len(found):
+                self._put(slot, held)
+        if left:
+            self._wake(min(left))
         return iter([])
 
     def close(self) -> None:
         pass
 
 
-def newest_stream(stream: DataFrame, keys: list[str], ts: str, tie: str, delay: str) -> DataFrame:
+def _later(version: tuple, held: tuple) -> bool:
+    (at, tie), (held_at, held_tie) = version, held
+    return at > held_at or (at == held_at and tie is not None and (held_tie is None or tie > held_tie))
+
+
+def _key_text(rows: DataFrame, keys: list[str]) -> Column:
+    """The values of a key (of plain types) as one text, different for different keys; null differs from every text."""
+    exact = {"binary": F.hex, "timestamp": F.unix_micros}
+    return F.to_json(F.array(*[exact.get(dict(rows.dtypes)[k], lambda c: c)(F.col(k)).cast("string") for k in keys]), {"ignoreNullFields": "false"})
+
+
+def newest_stream(stream: DataFrame, keys: list[str], ts: str, tie: str, delay: str,
+                  buckets: int = KEY_BUCKETS, slots: int = KEY_SLOTS) -> DataFrame:
     """Rows that are newer (by ts, then tie) than every earlier row of their key.
 
     Rows older than the watermark are dropped. A key's state is one version number, and goes
-    when the watermark is the delay past it: whatever comes for the key after that is newer
-    than what was forgotten, or too late. Needs the state store STATE_STORE.
+    when the watermark is the delay past it, or up to a quarter of the delay later: whatever
+    comes for the key after that is newer than what was forgotten, or too late. Keys are dealt
+    by hash into buckets, as many as tasks can work at once, and each bucket's into slots, which
+    are read and written whole; both numbers must stay for a checkpoint. Needs the state store
+    STATE_STORE.
     """
     delay_ms = int(pd.Timedelta(delay).total_seconds() * 1000)
     rows = stream.withColumn("_at", F.unix_micros(F.col(ts).cast("timestamp"))).withWatermark(ts, delay)
+    place = F.pmod(F.xxhash64(*keys), F.lit(buckets * slots))
+    rows = rows.withColumns({"_key": _key_text(rows, keys), "_bucket": (place % buckets).cast("int"), "_slot": F.floor(place / buckets).cast("int")})
     newest = _Newest(rows.columns, tie, stream.schema[tie].dataType.simpleString(), delay_ms)
-    found = rows.groupBy(*keys).transformWithStateInPandas(newest, rows.schema, "Append", "EventTime")
-    return found.drop("_at")
+    found = rows.groupBy("_bucket").transformWithStateInPandas(newest, rows.schema, "Append", "EventTime")
+    return found.select(stream.columns)
 
 
 def last_activity_stream(stream: DataFrame, key: str, ts: str, delay: str, width: str = "1 day") -> DataFrame:

@@ -1,5 +1,9 @@
 """Streams: batches delivered again or broken off, late rows, bounded state."""
 
+import random
+from types import SimpleNamespace
+
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -128,6 +132,79 @@ def test_newest_on_a_stream_with_late_rows_and_bounded_state(spark, tmp_path):
     assert max(held) == 31 and held[-1] <= 2
 
 
+class FakeSlots:
+    """A map state that counts its calls."""
+
+    def __init__(self):
+        self.held, self.calls = {}, 0
+
+    def exists(self):
+        return bool(self.held)
+
+    def getValue(self, key):  # noqa: N802
+        self.calls += 1
+        return self.held.get(key)
+
+    def updateValue(self, key, value):  # noqa: N802
+        self.calls += 1
+        self.held[key] = value
+
+    def removeKey(self, key):  # noqa: N802
+        self.calls += 1
+        del self.held[key]
+
+    def iterator(self):
+        return iter(self.held.items())
+
+
+def test_newest_works_on_slots_of_keys_not_on_single_keys():
+    """Thousands of keys cost as many state calls as there are slots, in any number of batches."""
+    slots, timers = FakeSlots(), []
+    newest = ingest._Newest(["k", "_at", "id", "_key", "_slot"], "id", "bigint", 1000)
+    newest.init(SimpleNamespace(getMapState=lambda *_: slots, registerTimer=timers.append))
+    rng, best = random.Random(3), {}
+    for lot in range(3):
+        rows = [(k := rng.randrange(3000), rng.randrange(lot * 10**6, 3 * 10**6), rng.randrange(9), str(k), k % 8) for _ in range(6000)]
+        found = [r for part in newest.handleInputRows((0,), iter([pd.DataFrame(rows[:2500]), pd.DataFrame(rows[2500:])]), None) for r in part.itertuples(index=False)]
+        wanted = {}
+        for k, at, tie, *_ in rows:
+            if (at, tie) > best.get(k, (-1, -1)):
+                best[k] = wanted[k] = (at, tie)
+        assert {r.k: (r._1, r.id) for r in found} == wanted and len(found) == len(wanted)
+    assert slots.calls <= 3 * 2 * 8 and len(timers) == 3
+    newest.handleExpiredTimer((0,), None, SimpleNamespace(getExpiryTimeInMs=lambda: 3500))
+    left = {int(name): (at, tie) for (found,) in slots.held.values() for name, at, tie in found}
+    assert left == {k: v for k, v in best.items() if v[0] // 1000 + 1000 > 3500} and 0 < len(left) < len(best)
+    assert len(timers) == 4 and timers[-1] >= min(at for at, _ in left.values()) // 1000 + 1000
+    newest.handleExpiredTimer((0,), None, SimpleNamespace(getExpiryTimeInMs=lambda: 9000))
+    assert not slots.held and len(timers) == 4
+
+
+def test_newest_on_a_stream_with_null_and_similar_keys(spark, tmp_path):
+    rng, best, wanted, seen = random.Random(5), {}, [], []
+    pairs = [(None, None), (1, None), (None, "1"), (1, "1"), (11, ""), (1, "1,"), (2, "null"), (2, None), (2, "")]
+    schema = "a long, b string, s long, id long"
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ingest.STATE_STORE)
+    try:
+        for _ in range(2):
+            lot = [(*rng.choice(pairs), DAY * 10 + rng.randrange(40), rng.choice([None, 1, 2, 3])) for _ in range(60)]
+            fresh = {}
+            for a, b, s, tie in lot:
+                if (s, tie or 0) > best.get((a, b), (0, 0)):
+                    best[a, b] = fresh[a, b] = (s, tie or 0)
+            wanted += [(*key, *version) for key, version in fresh.items()]
+            rows = spark.createDataFrame(lot, schema).select("a", "b", F.timestamp_seconds("s").alias("ts"), "id")
+            rows.write.mode("append").parquet(str(tmp_path / "in"))
+            stream = ingest.newest_stream(ingest.read_stream(spark, str(tmp_path / "in"), rows.schema), ["a", "b"], "ts", "id", "1 day", buckets=2, slots=2)
+            assert stream.columns == ["a", "b", "ts", "id"]
+            ingest.run_available(stream, lambda batch, _: seen.extend(
+                (r["a"], r["b"], r["s"], r["id"] or 0) for r in batch.withColumn("s", F.unix_seconds("ts")).collect()), str(tmp_path / "checkpoint"))
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    assert sorted(seen, key=repr) == sorted(wanted, key=repr)
+
+
 def test_activity_by_windows_has_bounded_state(spark, tmp_path):
     lots = [[(k, DAY * d + k, "") for k in range(20) for d in (first, first + 1)] for first in (10, 14, 18, 22)]
     lots[-1] += [(0, DAY * 3, "far too late")]
