@@ -31,6 +31,9 @@ from matchspark.sources.tables import staged
 
 SIMS = ("last", "second", "third", "skills")
 CANDIDATE_VECTORS = ["last_job_emb", "second_last_job_emb", "third_last_job_emb", "skills_emb"]
+#: Greatest values that openings set, and the candidates' columns they hold for.
+UPPER = {"max_age": "age", "max_ral": "salary_low", "available_day": "available_day"}
+LISTS = ("skills", "languages", "certifications")
 CANDIDATE_TILE = 8192
 VACANCY_TILE = 256
 CELL_DEGREES = 0.5
@@ -38,7 +41,9 @@ KM_PER_DEGREE = 111.0
 TIE_DIGITS = 9
 SENT_VACANCIES = 2048
 #: Openings in a pack, as a multiple of those scored at once.
-PACKED_TILES = 16
+PACKED_TILES = 32
+#: Candidates scored at once.
+SCORED_PEOPLE = 512
 #: Parts of the candidates that a set of openings meets in different tasks.
 CANDIDATE_PARTS = 4
 
@@ -202,89 +207,6 @@ def tiles(candidates: DataFrame, vacancies: DataFrame, candidate_tile: int, vaca
     return left, right
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.vstack(column.to_numpy()).astype(np.float64)
-
-
-def _cosines(c: pd.DataFrame, v: pd.DataFrame) -> dict[str, np.ndarray]:
-    job, skills = _matrix(v["jobtitle_emb"]), _matrix(v["skills_emb"])
-    job_norm, skills_norm = np.linalg.norm(job, axis=1), np.linalg.norm(skills, axis=1)
-    out = {}
-    for sim, column in zip(SIMS, ("last_job_emb", "second_last_job_emb", "third_last_job_emb", "skills_emb")):
-        mat = _matrix(c[column])
-        target, length = (skills, skills_norm) if sim == "skills" else (job, job_norm)
-        out[sim] = (mat @ target.T) / (np.linalg.norm(mat, axis=1)[:, None] * length[None, :] + EPSILON)
-    return out
-
-
-def _distance(c: pd.DataFrame, v: pd.DataFrame) -> np.ndarray:
-    a = np.radians(v["latitude"].to_numpy(float))[None, :]
-    b = np.radians(c["latitude"].to_numpy(float))[:, None]
-    half_lat = np.sin((b - a) / 2)
-    half_lon = np.sin((np.radians(c["longitude"].to_numpy(float))[:, None]
-                       - np.radians(v["longitude"].to_numpy(float))[None, :]) / 2)
-    chord = half_lat**2 + np.cos(a) * np.cos(b) * half_lon**2
-    return 2 * EARTH_RADIUS_KM * np.arcsin(np.sqrt(np.minimum(1.0, chord)))
-
-
-def _upper_bound(c: pd.Series, v: pd.Series) -> np.ndarray:
-    """Value within the bound; unknown values and unset bounds (null or 0) pass."""
-    have, bound = c.to_numpy(float)[:, None], v.to_numpy(float)[None, :]
-    return np.isnan(have) | np.isnan(bound) | (bound == 0) | (have <= bound)
-
-
-def _by_region(c: pd.DataFrame, v: pd.DataFrame) -> np.ndarray:
-    c_region, v_region = c["region"].to_numpy()[:, None], v["region"].to_numpy()[None, :]
-    regional = (c["desired_location"].fillna("") == "Regionale").to_numpy()[:, None]
-    return regional & (c_region == v_region) & (v_region != "")
-
-
-def _within_reach(c: pd.DataFrame, v: pd.DataFrame) -> np.ndarray:
-    return _distance(c, v) <= v["max_distance"].to_numpy(float)[None, :]
-
-
-def _place(c: pd.DataFrame, v: pd.DataFrame) -> np.ndarray:
-    """The whole place clause; blocks only say which packs may hold such pairs."""
-    placed = v["latitude"].notna().to_numpy() & v["longitude"].notna().to_numpy()
-    c_city, v_city = c["location"].to_numpy()[:, None], v["location"].to_numpy()[None, :]
-    same_city = ~placed[None, :] & (c_city == v_city) & (v_city != "")
-    return c["everywhere"].to_numpy(bool)[:, None] | _by_region(c, v) | _within_reach(c, v) | same_city
-
-
-def _served(c: pd.DataFrame, v: pd.DataFrame) -> np.ndarray:
-    """Candidates of the provinces a vacancy names; one that names none takes all."""
-    ok, known = np.ones((len(c), len(v)), dtype=bool), {}
-    for j, names in enumerate(v["provinces"]):
-        if names is not None and len(names):
-            names = frozenset(names)
-            if names not in known:
-                known[names] = c["province_ext"].isin(names).to_numpy()
-            ok[:, j] = known[names]
-    return ok
-
-
-def _admitted(c: pd.DataFrame, v: pd.DataFrame) -> np.ndarray:
-    """Which pairs the structured filter admits."""
-    ok = _place(c, v) & _served(c, v) & _upper_bound(c["age"], v["max_age"])
-    ok &= _upper_bound(c["salary_low"], v["max_ral"])
-    ok &= _upper_bound(c["available_day"], v["available_day"])
-    have, need = c["parttime_preferenza_perc"].to_numpy(float)[:, None], v["parttime_preferenza_perc"].to_numpy(float)[None, :]
-    ok &= np.isnan(have) | (have == 0) | np.isnan(need) | (need == 0) | (have >= need)
-    shifts, wanted = c["shift_bits"].to_numpy(int)[:, None], v["shift_bits"].to_numpy(int)[None, :]
-    ok &= (shifts == 0) | ((shifts & wanted) == wanted)
-    rank, level = c["education_rank"].to_numpy(float)[:, None], v["education_rank"].to_numpy(float)[None, :]
-    ok &= np.isnan(level) | (level == 0) | (rank >= level)
-    for column in ("skills", "languages", "certifications"):
-        texts = c[column].fillna("").str.lower()
-        seen: dict[str, np.ndarray] = {}
-        for j, terms in enumerate(v[f"{column}_mand"]):
-            for term in terms if terms is not None else ():
-                if term not in seen:
-                    seen[term] = texts.str.contains(term, regex=False).to_numpy(bool)
-                ok[:, j] &= seen[term]
-    return ok
-
-
 # Null lists and unknown shifts count as "no preference" (0 bits).
 def shift_bits(c: Column, shifts: list[str] = vocab.SHIFTS) -> Column:
     low = F.transform(c, lambda x: F.lower(F.trim(x)))
@@ -350,62 +272,397 @@ def prepare_vacancies(vacancies: DataFrame) -> DataFrame:
     })
 
 
-# --- many requests: the two passes on a pair of batches ------------------------------
-
-def _any_admitted(c: pd.DataFrame, v: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
-    """Candidates that some vacancy of the batch admits: only their vectors are multiplied."""
-    ok = _admitted(c, v)
-    rows = ok.any(axis=1)
-    return c[rows], ok[rows]
-
-
-def _lowest(c: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-    """Minimum of each similarity per vacancy over the admitted candidates."""
-    if c.empty or v.empty:
-        return pd.DataFrame(columns=["vacancy_id", *SIMS])
-    c, ok = _any_admitted(c, v)
-    some = ok.any(axis=0)
-    if not some.any():
-        return pd.DataFrame(columns=["vacancy_id", *SIMS])
-    sims = _cosines(c, v)
-    lows = {s: np.where(ok, sims[s], np.inf).min(axis=0)[some] for s in SIMS}
-    return pd.DataFrame({"vacancy_id": v["vacancy_id"].to_numpy()[some], **lows})
-
-
-def _best_rows(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k best scores, ties by id."""
-    order_score = np.round(score, TIE_DIGITS)
-    rows = np.arange(len(score))
-    if len(rows) > k:
-        # Everything at or above the k-th score, so that ties are settled by id.
-        kth = np.partition(order_score, len(rows) - k)[len(rows) - k]
-        rows = rows[order_score >= kth]
-    return rows[np.lexsort((ids[rows], -order_score[rows]))][:k]
-
-
-def _top(c: pd.DataFrame, v: pd.DataFrame, weights: tuple[float, ...], k: int) -> pd.DataFrame:
-    """The k best admitted candidates per vacancy; v carries the minima."""
-    names = ["vacancy_id", "candidate_id", "raw"]
-    if c.empty or v.empty:
-        return pd.DataFrame(columns=names)
-    c, ok = _any_admitted(c, v)
-    if c.empty:
-        return pd.DataFrame(columns=names)
-    sims = _cosines(c, v)
-    score = np.zeros(ok.shape)
-    for weight, s in zip(weights, SIMS):
-        low = v[f"low_{s}"].to_numpy(float)[None, :]
-        score += weight * ((sims[s] - low) / (1.0 - low + EPSILON))
-    ok &= score > 0
-    ids, picked, owner = c["candidate_id"].to_numpy(), [], []
-    for j in range(len(v)):
-        rows = np.flatnonzero(ok[:, j])
-        rows = rows[_best_rows(score[rows, j], ids[rows], k)]
-        picked.append(rows)
-        owner.append(np.full(len(rows), j))
-    rows, owner = np.concatenate(picked), np.concatenate(owner)
-    return pd.DataFrame({
-        "vacancy_id": v["vacancy_id"].to_numpy()[owner], "candidate_id": ids[rows], "raw": score[rows, owner]})[names]
+# --- many requests: a batch of candidates and a set of openings ------------------------
+
+def _rows(arrow) -> pd.DataFrame:
+    """Arrow rows as a frame; lists, the vectors among them, stay as they are."""
+    return arrow.to_pandas(types_mapper=lambda t: pd.ArrowDtype(t) if pa.types.is_list(t) else None)
+
+
+def _vectors(column: pd.Series) -> np.ndarray:
+    lists = pa.chunked_array(pa.array(column)).combine_chunks()
+    if len(pa.compute.unique(pa.compute.list_value_length(lists))) > 1:
+        raise ValueError(f"vectors of {column.name} differ in length")
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), len(flat) // max(1, len(column)))
+
+
+def _units(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors in single precision, and norms. Zero vectors and those that hold a
+    number that is none become zero; the norm tells them."""
+    exact = rows.astype(np.float64)
+    norms = np.sqrt(np.einsum("nd,nd->n", exact, exact))
+    units = exact / np.where(norms > 0, norms, 1.0)[:, None]
+    return np.where(np.isfinite(norms)[:, None], units, 0.0).astype(np.float32), norms
+
+
+def _bound(column: pd.Series, unset: float, zero_is_unset: bool = True) -> np.ndarray:
+    values = column.to_numpy(float, na_value=np.nan)
+    return np.where(np.isnan(values) | ((values == 0) & zero_is_unset), unset, values)
+
+
+def _codes(column: pd.Series, known: dict) -> np.ndarray:
+    """Numbers of names that the candidates have, -1 for others and for no name."""
+    numbers, names = pd.factorize(column.fillna(""))
+    return np.array([known.get(x, -1) if x else -1 for x in names], np.int64)[numbers]
+
+
+class _People:
+    """A batch of candidates, neighbours in what openings ask together: those every opening
+    admits by place by age, others by region and place, in tiles."""
+
+    def __init__(self, rows: pd.DataFrame):
+        everywhere = rows["everywhere"].to_numpy(bool)
+        regional = (rows["desired_location"].fillna("") == "Regionale").to_numpy() & ~everywhere
+        lat, lon, age = (rows[c].to_numpy(float, na_value=np.nan) for c in ("latitude", "longitude", "age"))
+        own = np.where(regional, pd.factorize(rows["region"])[0], -1)
+        order = np.lexsort((np.where(everywhere, age, _interleaved(lat, lon)), own, ~everywhere))
+        rows = rows.iloc[order].reset_index(drop=True)
+        self.rows, self.ids, self.everywhere = rows, rows["candidate_id"].to_numpy(), everywhere[order]
+        self.lat, self.lon, self.known = lat[order], lon[order], {}
+        self.regions = {x: i for i, x in enumerate(rows["region"].unique()) if x}
+        self.cities = {x: i for i, x in enumerate(rows["location"].unique()) if x}
+        region, city = _codes(rows["region"], self.regions), _codes(rows["location"], self.cities)
+        # No name is another number here than with openings: two unknown places aren't one.
+        self.region = np.where(regional[order] & (region >= 0), region, -2)
+        self.city = np.where(city >= 0, city, -2)
+        self.most = {bound: _bound(rows[c], -np.inf, False) for bound, c in UPPER.items()}
+        self.part_time = _bound(rows["parttime_preferenza_perc"], np.inf)
+        self.shifts, self.rank = rows["shift_bits"].to_numpy(np.int64), _bound(rows["education_rank"], -np.inf, False)
+        self.raw = [_vectors(rows[c]) for c in CANDIDATE_VECTORS]
+        units, norms = zip(*map(_units, self.raw))
+        self.units, self.norms, self.bad = np.hstack(units), np.stack(norms), ~np.isfinite(np.stack(norms))
+        self.shortest = min((x[(x > 0) & np.isfinite(x)].min(initial=np.inf) for x in self.norms), default=np.inf)
+        self.tiles = [_Tile(self, i, min(i + SCORED_PEOPLE, len(rows))) for i in range(0, len(rows), SCORED_PEOPLE)]
+
+    def mentions(self, column: str, term: str) -> np.ndarray:
+        if (column, term) not in self.known:
+            texts = self.rows[column].fillna("").str.lower()
+            self.known[column, term] = texts.str.contains(term, regex=False).to_numpy(bool)
+        return self.known[column, term]
+
+    def lists(self, wants: tuple) -> np.ndarray:
+        """Who lives in one of the provinces (none: all) and mentions every term."""
+        if wants not in self.known:
+            provinces, *lists = wants
+            ok = self.rows["province_ext"].isin(provinces).to_numpy() if provinces else np.ones(len(self.rows), bool)
+            for column, terms in zip(LISTS, lists):
+                for term in terms:
+                    ok = ok & self.mentions(column, term)
+            self.known[wants] = ok
+        return self.known[wants]
+
+
+class _Tile:
+    """Neighbouring candidates, and what all of them have in common."""
+
+    def __init__(self, c: _People, start: int, stop: int):
+        self.start, self.stop, at = start, stop, slice(start, stop)
+        self.everywhere = c.everywhere[at].any()
+        self.least = {name: values[at].min() for name, values in c.most.items()}
+        self.region, self.city = np.unique(c.region[at]), np.unique(c.city[at])
+        placed = ~(np.isnan(c.lat[at]) | np.isnan(c.lon[at]))
+        self.box = None
+        if placed.any():
+            lat, lon = c.lat[at][placed], c.lon[at][placed]
+            self.box = lat.min(), lat.max(), lon.min(), lon.max()
+
+
+class _Openings:
+    """Openings as arrays, and what they ask of a batch of candidates."""
+
+    def __init__(self, rows: pd.DataFrame):
+        self.rows, self.ids = rows, rows["vacancy_id"].to_numpy()
+        self.lat, self.lon, self.reach = (rows[c].to_numpy(float, na_value=np.nan) for c in ("latitude", "longitude", "max_distance"))
+        self.placed = ~(np.isnan(self.lat) | np.isnan(self.lon))
+        self.most = {c: _bound(rows[c], np.inf) for c in UPPER}
+        self.part_time, self.rank = _bound(rows["parttime_preferenza_perc"], -np.inf), _bound(rows["education_rank"], -np.inf)
+        self.shifts = rows["shift_bits"].to_numpy(np.int64)
+        lists = [pa.array(rows[c]) for c in ("provinces", *(f"{c}_mand" for c in LISTS))]
+        named = [pa.compute.max(pa.compute.list_value_length(x)).as_py() for x in lists]
+        asked = [x.to_pylist() if n else [None] * len(rows) for x, n in zip(lists, named)]
+        wants = [tuple(frozenset(x or ()) for x in row) for row in zip(*asked)] if any(named) else []
+        self.wants = list(dict.fromkeys(wants)) or [(frozenset(),) * len(lists)]
+        numbers = {x: i for i, x in enumerate(self.wants)}
+        self.want = np.array([numbers[x] for x in wants], np.int64) if wants else np.zeros(len(rows), np.int64)
+        self.raw = [_vectors(rows[c]) for c in ("jobtitle_emb", "skills_emb")]
+        (self.job, job), (self.skills, skills) = map(_units, self.raw)
+        self.norms = np.stack([job, job, job, skills])
+        self.fine = np.isfinite(self.norms).all(axis=0)
+        if "low_last" in rows:
+            self.lows = np.stack([rows[f"low_{s}"].to_numpy(float) for s in SIMS])
+            self.fine &= np.isfinite(self.lows).all(axis=0)
+
+    def __len__(self) -> int:
+        return len(self.ids)
+
+    def meet(self, c: _People) -> None:
+        """The names and lists of openings by the numbers of a batch."""
+        self.region = _codes(self.rows["region"], c.regions)
+        self.city = np.where(self.placed, -1, _codes(self.rows["location"], c.cities))
+        self.lists = np.stack([c.lists(x) for x in self.wants])
+
+    def slack(self, c: _People) -> np.ndarray:
+        """How far a similarity in single precision may be from the exact one: by rounding of
+        the vectors and sums of products of a length's many terms, and by EPSILON."""
+        terms = c.units.shape[1] + 16
+        return terms * 2.0 ** -23 + EPSILON / (c.shortest * np.where(self.norms > 0, self.norms, np.inf).min(axis=0) + EPSILON)
+
+
+def _interleaved(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
+    """Order of places in which neighbours are mostly near; unknown places come last."""
+    known = ~(np.isnan(lat) | np.isnan(lon))
+    out = np.zeros(len(lat), np.int64)
+    for i, (x, low, span) in enumerate(((lat, -90, 180), (lon, -180, 360))):
+        step = (np.clip((np.where(known, x, 0.0) - low) / span, 0, 1) * (2 ** 20 - 1)).astype(np.int64)
+        for bit in range(20):
+            out |= ((step >> bit) & 1) << (2 * bit + i)
+    return np.where(known, out, 2.0 ** 40)
+
+
+def _half_chord(lat_gap: np.ndarray, lon_gap: np.ndarray, cosines: np.ndarray) -> np.ndarray:
+    return np.sin(np.radians(lat_gap) / 2) ** 2 + cosines * np.sin(np.radians(lon_gap) / 2) ** 2
+
+
+def _kilometres(chord: np.ndarray) -> np.ndarray:
+    return 2 * EARTH_RADIUS_KM * np.arcsin(np.sqrt(np.minimum(1.0, chord)))
+
+
+def _near(c: _People, v: _Openings, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    chord = _half_chord(c.lat[i] - v.lat[j], c.lon[i] - v.lon[j], np.cos(np.radians(c.lat[i])) * np.cos(np.radians(v.lat[j])))
+    return _kilometres(chord) <= v.reach[j]
+
+
+def _admitted(c: _People, v: _Openings, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs the structured filter admits; i and j are broadcast. Unknown values of a
+    candidate and unset bounds (null or 0) pass."""
+    ok = v.lists[v.want[j], i]
+    for name, have in c.most.items():
+        if np.isfinite(v.most[name]).any():
+            ok = ok & (have[i] <= v.most[name][j])
+    ok = ok & (c.part_time[i] >= v.part_time[j]) & (c.rank[i] >= v.rank[j])
+    ok &= (c.shifts[i] == 0) | ((c.shifts[i] & v.shifts[j]) == v.shifts[j])
+    place = c.everywhere[i] | (c.region[i] == v.region[j]) | (c.city[i] == v.city[j])
+    open_ = np.nonzero(ok & ~place & v.placed[j])
+    i, j = (np.broadcast_to(x, ok.shape)[open_] for x in (i, j))
+    # The way between two latitudes is a distance by itself.
+    far = np.radians(np.abs(c.lat[i] - v.lat[j])) * EARTH_RADIUS_KM > v.reach[j] * (1 + 1e-9) + 1e-6
+    far &= (np.abs(c.lat[i]) <= 90) & (np.abs(v.lat[j]) <= 90)
+    near = np.zeros(len(i), bool)
+    near[~far] = _near(c, v, i[~far], j[~far])
+    ok &= place
+    ok[open_] = near
+    return ok
+
+
+def _asking(c: _People, v: _Openings, tile: _Tile) -> np.ndarray:
+    """The openings that may admit someone of the tile, by its place and least values."""
+    ok = v.fine.copy()
+    for name, least in tile.least.items():
+        ok &= least <= v.most[name]
+    if not tile.everywhere:
+        place = np.isin(v.region, tile.region) | np.isin(v.city, tile.city)
+        if tile.box is not None:
+            south, north, west, east = tile.box
+            lat, lon = np.where(v.placed, v.lat, 0.0), np.where(v.placed, v.lon, 0.0)
+            lat_gap = np.maximum(0, np.maximum(south - lat, lat - north))
+            # The way to the nearer side of the box, round the other side of the earth too.
+            lon_gap = np.where((west <= lon) & (lon <= east), 0.0, np.minimum((west - lon) % 360, (lon - east) % 360))
+            cosines = np.cos(np.radians(lat)) * np.cos(np.radians(max(abs(south), abs(north))))
+            near = _kilometres(_half_chord(lat_gap, lon_gap, cosines)) <= v.reach * (1 + 1e-9) + 1e-6
+            if max(-south, north) > 90 or max(-west, east) > 180:  # no places on a globe
+                near = v.reach >= 0
+            near |= (np.abs(lat) > 90) | (np.abs(lon) > 180)
+            place |= near & v.placed
+        ok &= place
+    return np.flatnonzero(ok & v.lists[:, tile.start:tile.stop].any(axis=1)[v.want])
+
+
+def _pairs(c: _People, v: _Openings, tile: _Tile, j: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Admitted pairs among those wanted (openings j by the tile's candidates), as positions there."""
+    if wanted.mean() > 0.25:
+        return np.nonzero(wanted & _admitted(c, v, np.arange(tile.start, tile.stop)[None, :], j[:, None]))
+    r, p = np.nonzero(wanted)
+    ok = _admitted(c, v, tile.start + p, j[r])
+    return r[ok], p[ok]
+
+
+def _exact(c: _People, v: _Openings, sim: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """A similarity of pairs in double precision."""
+    people, asked = c.raw[sim], v.raw[sim == 3]
+    out, step = np.empty(len(i)), max(1, 2 ** 21 // people.shape[1])
+    for at in (slice(n, n + step) for n in range(0, len(i), step)):
+        dots = np.einsum("nd,nd->n", people[i[at]].astype(np.float64), asked[j[at]].astype(np.float64))
+        out[at] = dots / (c.norms[sim][i[at]] * v.norms[sim][j[at]] + EPSILON)
+    return out
+
+
+class _Lows:
+    """Minimum of each similarity per opening over the admitted candidates seen so far.
+
+    Products in single precision name the few pairs that may be below what was found;
+    only those are tested for admission and computed exactly.
+    """
+
+    def __init__(self, v: _Openings):
+        self.ids, shape = v.ids, (len(SIMS), len(v))
+        self.about, self.lows = np.full(shape, np.inf, np.float32), np.full(shape, np.inf)
+
+    def add(self, c: _People, v: _Openings, size: int) -> None:
+        slack, found = 2 * v.slack(c), [[] for _ in SIMS]
+        sims = np.empty((len(SIMS), size, SCORED_PEOPLE), np.float32)
+        dims = v.job.shape[1]
+        for tile in c.tiles:
+            people = c.units[tile.start:tile.stop]
+            for j in _chunks(_asking(c, v, tile), size):
+                job, skills, some = v.job[j], v.skills[j], sims[:, :len(j), :len(people)]
+                for n in range(3):
+                    np.matmul(job, people[:, n * dims:(n + 1) * dims].T, out=some[n])
+                np.matmul(skills, people[:, 3 * dims:].T, out=some[3])
+                limit = (self.about[:, j] + slack[j]).astype(np.float32)
+                below = some.min(axis=2) <= limit
+                hit = np.flatnonzero(below.any(axis=0))
+                if len(hit) == 0:
+                    continue
+                wanted = np.zeros((len(hit), len(people)), bool)
+                for n in range(len(SIMS)):
+                    at = np.flatnonzero(below[n, hit])
+                    wanted[at] |= some[n, hit[at]] <= limit[n, hit[at], None]
+                r, p = _pairs(c, v, tile, j[hit], wanted)
+                if len(r) == 0:
+                    continue
+                owner, person = j[hit][r], tile.start + p
+                starts = np.flatnonzero(np.diff(owner, prepend=-1))
+                for n in range(len(SIMS)):
+                    values = np.where(c.bad[n][person], np.float32(np.inf), some[n, hit[r], p])
+                    rows = owner[starts]
+                    self.about[n, rows] = np.minimum(self.about[n, rows], np.minimum.reduceat(values, starts))
+                    keep = np.isfinite(values) & (values <= self.about[n, owner] + slack[owner])
+                    found[n].append((person[keep], owner[keep], values[keep]))
+        for n, parts in enumerate(found):
+            if parts:
+                i, j, values = map(np.concatenate, zip(*parts))
+                keep = values <= self.about[n, j] + slack[j]
+                i, j = i[keep], j[keep]
+                np.fmin.at(self.lows[n], j, _exact(c, v, n, i, j))
+
+    def result(self) -> pd.DataFrame:
+        some = np.isfinite(self.lows).any(axis=0)
+        return pd.DataFrame({"vacancy_id": self.ids[some], **{s: low[some] for s, low in zip(SIMS, self.lows)}})
+
+
+class _Best:
+    """The k best admitted candidates per opening seen so far; the openings carry the minima.
+
+    With the minima known the score is one product of weighted vectors. As for the minima,
+    single precision names the pairs that may be among the best, others are never looked at.
+    """
+
+    def __init__(self, v: _Openings, weights: tuple[float, ...], k: int):
+        self.ids, self.weights, self.k = v.ids, weights, k
+        self.about = np.full((len(v), k), -np.inf, np.float32)
+        self.found: list[tuple] = []
+
+    def add(self, c: _People, v: _Openings, size: int) -> None:
+        k, lows = self.k, np.where(v.fine, v.lows, 0.0)
+        scale = np.array(self.weights)[:, None] / (1.0 - lows + EPSILON)
+        slack = 2 * (v.slack(c) * np.abs(scale).sum(axis=0) + 1.0 / 10 ** TIE_DIGITS)
+        # Scores above zero only; the constant part of a score is left out of all comparisons.
+        zero = (scale * lows).sum(axis=0) - slack
+        least = lambda rows: np.maximum(self.about[rows, 0] - slack[rows], zero[rows]).astype(np.float32)
+        factors = scale[:, :, None].astype(np.float32)
+        weighted = np.hstack([*(v.job * factors[n] for n in range(3)), v.skills * factors[3]])
+        scores, found = np.empty((size, SCORED_PEOPLE), np.float32), []
+        for tile in c.tiles:
+            people = c.units[tile.start:tile.stop]
+            for j in _chunks(_asking(c, v, tile), size):
+                some, limit = np.matmul(weighted[j], people.T, out=scores[:len(j), :len(people)]), least(j)
+                hit = np.flatnonzero(some.max(axis=1) >= limit)
+                if len(hit) == 0:
+                    continue
+                r, p = _pairs(c, v, tile, j[hit], some[hit] >= limit[hit, None])
+                fine = ~c.bad[:, tile.start + p].any(axis=0)
+                r, p = r[fine], p[fine]
+                if len(r) == 0:
+                    continue
+                owner, values = j[hit][r], some[hit[r], p]
+                starts = np.flatnonzero(np.diff(owner, prepend=-1))
+                counts = np.diff(starts, append=len(owner))
+                new = np.full((len(starts), counts.max()), -np.inf, np.float32)
+                new[np.repeat(np.arange(len(starts)), counts), np.arange(len(owner)) - np.repeat(starts, counts)] = values
+                rows = owner[starts]
+                both = np.hstack([self.about[rows], new])
+                self.about[rows] = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
+                keep = values >= least(owner)
+                found.append((tile.start + p[keep], owner[keep], values[keep]))
+        if not found:
+            return
+        i, j, values = map(np.concatenate, zip(*found))
+        keep = values >= least(j)
+        i, j, values = i[keep], j[keep], values[keep]
+        raw = np.zeros(len(i))
+        for n, weight in enumerate(self.weights):
+            low = v.lows[n][j]
+            raw += weight * ((_exact(c, v, n, i, j) - low) / (1.0 - low + EPSILON))
+        keep = raw > 0
+        self.found.append((j[keep], c.ids[i[keep]], raw[keep], values[keep], slack[j[keep]]))
+        if sum(len(x[0]) for x in self.found) > 2 * k * len(v):
+            self.compact()
+            if len(self.found[0][0]) > 2 * k * len(v):  # ties
+                self.found = [tuple(x[self.order()] for x in self.found[0])]
+
+    def compact(self) -> None:
+        """Drops what is below k others by more than single precision may be wrong."""
+        j, ids, raw, values, slack = (np.concatenate(x) for x in zip(*self.found))
+        keep = values >= self.about[j, 0] - slack
+        self.found = [(j[keep], ids[keep], raw[keep], values[keep], slack[keep])]
+
+    def order(self) -> np.ndarray:
+        """Positions of the k best per opening, ties by candidate."""
+        j, ids, raw = self.found[0][:3]
+        order = np.lexsort((ids, -np.round(raw, TIE_DIGITS), j))
+        starts = np.flatnonzero(np.diff(j[order], prepend=-1))
+        rank = np.arange(len(j)) - np.repeat(starts, np.diff(starts, append=len(j)))
+        return order[rank < self.k]
+
+    def result(self) -> pd.DataFrame:
+        if not self.found:
+            return pd.DataFrame(columns=["vacancy_id", "candidate_id", "raw"])
+        self.compact()
+        j, ids, raw = (x[self.order()] for x in self.found[0][:3])
+        return pd.DataFrame({"vacancy_id": self.ids[j], "candidate_id": ids, "raw": raw})
+
+
+def _chunks(rows: np.ndarray, size: int) -> list[np.ndarray]:
+    return [rows[i:i + size] for i in range(0, len(rows), size)]
+
+
+def _found(pairs, start, size: int):
+    """Results of start(openings), to which every batch of pairs is added, one for each set of
+    openings. pairs: (candidates, name of the set, function that makes the set)."""
+    sets = {}
+    for c, name, openings in pairs:
+        v = openings()
+        if len(c.rows) and len(v):
+            if name not in sets:
+                sets[name] = start(v)
+            v.meet(c)
+            sets[name].add(c, v, size)
+    for name in list(sets):
+        result = sets.pop(name).result()
+        if len(result):
+            yield result
+
+
+def _found_in(df: DataFrame, pairs, start, size: int, kind: str) -> DataFrame:
+    """_found on the pairs that pairs(batches) makes of df's rows."""
+    schema = to_arrow_schema(T._parse_datatype_string(kind))
+
+    def run(batches):
+        for rows in _found(pairs(batches), start, size):
+            yield pa.RecordBatch.from_pandas(rows, schema=schema, preserve_index=False)
+
+    return df.mapInArrow(run, kind)
 
 
 def _by_place(df: DataFrame, first: Column, cell: float) -> DataFrame:
@@ -445,15 +702,17 @@ def packs(df: DataFrame, size: int) -> DataFrame:
 
 
 def _rows_of(body) -> pd.DataFrame:
-    return pa.ipc.open_stream(body.as_buffer()).read_pandas()
+    return _rows(pa.ipc.open_stream(body.as_buffer()).read_all())
 
 
-def _met(candidates: DataFrame, vacancies: DataFrame, run, kind: str) -> DataFrame:
-    """run(pairs) over the pairs of packs that share a block, as (candidates, pack of vacancies,
-    vacancies). The packs are read by each task that needs them and nothing is shuffled; a task
-    has all pairs of its packs, those of one pack of candidates in a row."""
+def _met(candidates: DataFrame, vacancies: DataFrame, start, size: int, kind: str) -> DataFrame:
+    """What start(openings) finds over the pairs of packs that share a block. The packs are read
+    by each task that needs them and none is copied for its pairs; a task has all pairs of its
+    packs, those of one pack of candidates in a row. Candidates are dealt so that every task has
+    some whom all openings admit by place, and has them first: they tell early what is too far off."""
     right = vacancies.select(F.col("pack").alias("v_pack"), F.col("blocks").alias("v_blocks"), F.col("body").alias("v_body"))
-    pairs = candidates.coalesce(CANDIDATE_PARTS).join(
+    dealt = candidates.repartition(CANDIDATE_PARTS, "pack").sortWithinPartitions(F.array_contains("blocks", "G").desc())
+    pairs = dealt.join(
         right.hint("shuffle_replicate_nl"), F.arrays_overlap("blocks", "v_blocks")).select("pack", "body", "v_pack", "v_body")
 
     def opened(batches):
@@ -462,15 +721,10 @@ def _met(candidates: DataFrame, vacancies: DataFrame, run, kind: str) -> DataFra
             for i in range(batch.num_rows):
                 pack = batch["pack"][i].as_py()
                 if pack != last:
-                    last, people = pack, _rows_of(batch["body"][i])
-                yield people, batch["v_pack"][i].as_py(), _rows_of(batch["v_body"][i])
+                    last, people = pack, _People(_rows_of(batch["body"][i]))
+                yield people, batch["v_pack"][i].as_py(), lambda: _Openings(_rows_of(batch["v_body"][i]))
 
-    def each(batches):
-        for found in run(opened(batches)):
-            yield pa.RecordBatch.from_pandas(found, schema=schema, preserve_index=False)
-
-    schema = to_arrow_schema(T._parse_datatype_string(kind))
-    return pairs.mapInArrow(each, kind)
+    return _found_in(pairs, opened, start, size, kind)
 
 
 def _match_tiled(vacancies, candidates, k, weights, candidate_tile, vacancy_tile, cell, types):
@@ -482,71 +736,30 @@ def _match_tiled(vacancies, candidates, k, weights, candidate_tile, vacancy_tile
     def right(rows):
         return staged(packs(vacancy_blocks(_by_place(rows, F.col("region"), cell), cell), PACKED_TILES * vacancy_tile), "vacancies")
 
-    def lows_of(pairs):
-        found = {}
-        for c, pack, v in pairs:
-            parts = [p for p in (_lowest(c, some) for some in _chunks(v, vacancy_tile)) if len(p)]
-            if parts:
-                parts += [found[pack]] if pack in found else []
-                found[pack] = pd.concat(parts, ignore_index=True).groupby("vacancy_id", as_index=False).min()
-        yield from found.values()
-
-    def top_of(pairs):
-        found = {}
-        for c, pack, v in pairs:
-            parts = [p for p in (_top(c, some, weights, k) for some in _chunks(v, vacancy_tile)) if len(p)]
-            if parts:
-                parts += [found[pack]] if pack in found else []
-                found[pack] = pd.concat(parts, ignore_index=True)
-                if len(found[pack]) > 2 * k * len(v):
-                    found[pack] = _keep_best(found[pack], k)
-        for kept in found.values():
-            yield _keep_best(kept, k)
-
-    lows = _met(left, right(openings), lows_of, types["lows"]).groupBy("vacancy_id").agg(*[F.min(s).alias(f"low_{s}") for s in SIMS])
-    return _met(left, right(openings.join(lows, "vacancy_id")), top_of, types["top"])
-
-
-def _chunks(df: pd.DataFrame, size: int) -> list[pd.DataFrame]:
-    return [df.iloc[i:i + size] for i in range(0, len(df), size)]
+    lows = _met(left, right(openings), _Lows, vacancy_tile, types["lows"]).groupBy("vacancy_id").agg(
+        *[F.min(s).alias(f"low_{s}") for s in SIMS])
+    return _met(left, right(openings.join(lows, "vacancy_id")), lambda v: _Best(v, weights, k), vacancy_tile, types["top"])
 
 
 def _match_sent(vacancies, candidates, k, weights, vacancy_tile, types):
     """vacancies is small and counted: both passes run where the candidates lie."""
     people = candidates.select("everywhere", "location", *CANDIDATE_COLUMNS)
-    sent = vacancies.select("location", *VACANCY_COLUMNS).toPandas()
-
-    def lows_of(batches):
-        found = None
-        for c in batches:
-            parts = [_lowest(c, v) for v in _chunks(sent, vacancy_tile)]
-            found = pd.concat(parts if found is None else [found, *parts], ignore_index=True)
-            found = found.groupby("vacancy_id", as_index=False).min()
-        if found is not None:
-            yield found
-
-    lows = people.mapInPandas(lows_of, types["lows"]).groupBy("vacancy_id").agg(
-        *[F.min(s).alias(f"low_{s}") for s in SIMS])
-    # One row per vacancy at most, so bounded as the vacancies are.
-    scaled = sent.merge(lows.toPandas(), on="vacancy_id")
-
-    def top_of(batches):
-        kept = None
-        for c in batches:
-            parts = [_top(c, v, weights, k) for v in _chunks(scaled, vacancy_tile)]
-            kept = pd.concat(parts if kept is None else [kept, *parts], ignore_index=True)
-            if len(kept) > 4 * k * max(1, len(scaled)):
-                kept = _keep_best(kept, k)
-        if kept is not None:
-            yield _keep_best(kept, k)
+    sent = vacancies.select("location", *VACANCY_COLUMNS).where(F.col("vacancy_id").isNotNull()).toArrow()
 
-    return people.mapInPandas(top_of, types["top"])
+    def met(openings, start, kind):
+        def each(batches):
+            v = _Openings(_rows(openings))
+            for c in batches:
+                yield _People(_rows(c)), 0, lambda: v
 
+        return _found_in(people, each, start, vacancy_tile, kind)
 
-def _keep_best(found: pd.DataFrame, k: int) -> pd.DataFrame:
-    order = found.assign(key=found["raw"].round(TIE_DIGITS)).sort_values(
-        ["vacancy_id", "key", "candidate_id"], ascending=[True, False, True])
-    return order.groupby("vacancy_id").head(k).drop(columns="key")
+    lows = met(sent, _Lows, types["lows"]).groupBy("vacancy_id").agg(*[F.min(s).alias(f"low_{s}") for s in SIMS])
+    # One row per vacancy at most, so bounded as the vacancies are.
+    low = lows.toPandas().set_index("vacancy_id").reindex(sent["vacancy_id"].to_pandas())
+    for s in SIMS:
+        sent = sent.append_column(f"low_{s}", pa.array(low[f"low_{s}"].to_numpy(float)))
+    return met(sent, lambda v: _Best(v, weights, k), types["top"])
 
 
 def match_all(

@@ -154,6 +154,79 @@ def test_many_openings_are_matched_without_copies_of_vectors(spark):
     assert sorted(tuple(r) for r in met.collect()) == brute_force(candidates, vacancies, 7)
 
 
+def batches(spark, candidates, vacancies):
+    people = matching.prepare_candidates(spark.createDataFrame(candidates, CANDIDATE)).select("everywhere", "location", *matching.CANDIDATE_COLUMNS)
+    openings = matching.prepare_vacancies(spark.createDataFrame(vacancies, VACANCY)).select("location", *matching.VACANCY_COLUMNS)
+    c, v = matching._People(matching._rows(people.toArrow())), matching._Openings(matching._rows(openings.toArrow()))
+    v.meet(c)
+    return c, v
+
+
+@pytest.mark.parametrize("options", [{}, {"sent_vacancies": 0}, {"sent_vacancies": 0, "candidate_tile": 100, "vacancy_tile": 8}])
+def test_close_short_and_zero_vectors_are_scored_exactly(spark, options):
+    """Vectors closer than single precision tells, very short ones and zeros: nobody is lost to rounding."""
+    candidates, vacancies = random_sides(6, 700, 20)
+    rng, near = random.Random(6), lambda v: [float(np.float32(x + rng.choice([0, 1e-7, 3e-7]))) for x in v]
+    scaled = lambda v, x: [float(np.float32(y * x)) for y in v]
+    people = []
+    for i, c in enumerate(candidates):
+        vecs = [near(x) for x in candidates[i % 40][-4:]]
+        if i % 50 == 7:
+            vecs = [scaled(x, rng.choice([0.0, 1e-5, 1e-11])) for x in vecs]
+        people.append((*c[:-4], *vecs))
+    got = matching.match_all(
+        spark.createDataFrame(vacancies, VACANCY), spark.createDataFrame(people, CANDIDATE).repartition(3), k=30, **options)
+    assert sorted(tuple(r) for r in got.collect()) == brute_force(people, vacancies, 30)
+
+
+def test_a_candidate_without_numbers_spoils_no_others(spark):
+    """A vector that holds no numbers can't be scored; the other candidates are as without it."""
+    candidates, vacancies = random_sides(7, 120, 12)
+    lost = [(*c[:-4], [float("nan")] * DIMS, *c[-3:]) if i % 10 == 0 else c for i, c in enumerate(candidates)]
+    got = matching.match_all(spark.createDataFrame(vacancies, VACANCY), spark.createDataFrame(lost, CANDIDATE), k=200, sent_vacancies=0)
+    picked = {(r[0], r[1]) for r in got.collect()}
+    assert picked and not [p for p in picked if p[1] % 10 == 0]
+    assert {p[0] for p in picked} == {v[0] for v in vacancies if sum(admits(c, v) for c in candidates if c[0] % 10) > 1}
+
+
+def test_tiles_ask_every_opening_that_may_admit(spark):
+    """Also around the poles, across the date line and for places that are none."""
+    rng = random.Random(8)
+    spots = [(89.9, 10.0), (-89.9, -170.0), (0.0, 179.9), (0.0, -179.9), (45.0, 9.0), (95.0, 9.0), (45.0, 200.0), (None, None)]
+    spot = lambda: tuple(None if x is None else x + rng.uniform(-0.5, 0.5) for x in rng.choice(spots))
+    candidates, vacancies = random_sides(8, 1500, 60)
+    candidates = [(*c[:5], *spot(), *c[7:]) for c in candidates]
+    vacancies = [(*v[:3], *spot(), *v[5:]) for v in vacancies]
+    c, v = batches(spark, candidates, vacancies)
+    asked = 0
+    for tile in c.tiles:
+        ok = matching._admitted(c, v, np.arange(tile.start, tile.stop)[None, :], np.arange(len(v))[:, None])
+        assert ok.tolist() == [[admits(candidates[i], vacancies[j]) for i in c.ids[tile.start:tile.stop]] for j in v.ids]
+        assert set(np.flatnonzero(ok.any(axis=1))) <= set(matching._asking(c, v, tile))
+        asked += len(matching._asking(c, v, tile))
+    assert asked < len(c.tiles) * len(v)
+
+
+def test_few_pairs_are_tested_or_scored_exactly(spark, monkeypatch):
+    """Matrix products settle most pairs; filters and exact scores see the few that may count."""
+    candidates, vacancies = random_sides(9, 40 * matching.SCORED_PEOPLE // 8, 30)
+    candidates = [(*c[:4], "Internazionale", *c[5:]) for c in candidates]
+    rng = np.random.default_rng(9)
+    many = [(n * len(candidates) + c[0], *c[1:-4], *rng.normal(size=(4, DIMS)).tolist()) for n in range(8) for c in candidates]
+    c, v = batches(spark, many, vacancies)
+    seen = {"tested": 0, "exact": 0}
+    test, exact = matching._admitted, matching._exact
+    monkeypatch.setattr(matching, "_admitted", lambda c, v, i, j: (seen.__setitem__("tested", seen["tested"] + np.broadcast(i, j).size), test(c, v, i, j))[1])
+    monkeypatch.setattr(matching, "_exact", lambda c, v, n, i, j: (seen.__setitem__("exact", seen["exact"] + len(i)), exact(c, v, n, i, j))[1])
+    lows = next(matching._found([(c, 0, lambda: v)], matching._Lows, 16))
+    v.lows = lows.set_index("vacancy_id").reindex(v.ids)[list(matching.SIMS)].to_numpy().T
+    v.fine &= np.isfinite(v.lows).all(axis=0)
+    best = next(matching._found([(c, 0, lambda: v)], lambda v: matching._Best(v, vocab.SCORE_WEIGHTS, 5), 16))
+    assert len(best) == 5 * v.fine.sum() > 50
+    pairs = len(many) * len(vacancies)
+    assert seen["tested"] < pairs / 4 and seen["exact"] < pairs / 50
+
+
 def test_score_request_scales_and_breaks_ties(spark):
     e = lambda *x: [float(v) for v in x]
     rows = [(i, e(1, 0), e(1, 0), e(1, 0), e(1, 0)) for i in (3, 1, 2)] + [(4, e(0, 1), e(0, 1), e(0, 1), e(0, 1)), (5, e(0, 0), e(0, 0), e(0, 0), e(0, 0))]
