@@ -3,7 +3,8 @@
 Scoring many vacancies needs every admitted pair once for the minimum of each
 similarity and once for the score, but no pair is ever written as a row: a task
 multiplies a batch of candidates with a set of vacancies and returns a minimum, or
-the best k, per vacancy. A counted, small set of vacancies is sent to the
+the best k, per vacancy. The products are in single precision and only name the
+pairs that may count; these are filtered and computed in double precision. A counted, small set of vacancies is sent to the
 candidates, which then are not shuffled at all. Larger sets are ordered by place and
 packed, like the candidates, into rows of many; each pack is written once, and pairs of
 packs that share a block (place or region) are met by reading, not by copying.
@@ -41,7 +42,10 @@ KM_PER_DEGREE = 111.0
 TIE_DIGITS = 9
 SENT_VACANCIES = 2048
 #: Openings in a pack, as a multiple of those scored at once.
-PACKED_TILES = 32
+PACKED_TILES = 128
+#: A pack of long vectors holds fewer rows; a task keeps so much of the openings it has read.
+PACK_BYTES = 32 << 20
+KEPT_BYTES = 128 << 20
 #: Candidates scored at once.
 SCORED_PEOPLE = 512
 #: Parts of the candidates that a set of openings meets in different tasks.
@@ -301,9 +305,13 @@ def _bound(column: pd.Series, unset: float, zero_is_unset: bool = True) -> np.nd
     return np.where(np.isnan(values) | ((values == 0) & zero_is_unset), unset, values)
 
 
-def _codes(column: pd.Series, known: dict) -> np.ndarray:
+def _names(column: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    return pd.factorize(column.fillna(""))
+
+
+def _codes(named: tuple[np.ndarray, np.ndarray], known: dict) -> np.ndarray:
     """Numbers of names that the candidates have, -1 for others and for no name."""
-    numbers, names = pd.factorize(column.fillna(""))
+    numbers, names = named
     return np.array([known.get(x, -1) if x else -1 for x in names], np.int64)[numbers]
 
 
@@ -322,7 +330,7 @@ class _People:
         self.lat, self.lon, self.known = lat[order], lon[order], {}
         self.regions = {x: i for i, x in enumerate(rows["region"].unique()) if x}
         self.cities = {x: i for i, x in enumerate(rows["location"].unique()) if x}
-        region, city = _codes(rows["region"], self.regions), _codes(rows["location"], self.cities)
+        region, city = _codes(_names(rows["region"]), self.regions), _codes(_names(rows["location"]), self.cities)
         # No name is another number here than with openings: two unknown places aren't one.
         self.region = np.where(regional[order] & (region >= 0), region, -2)
         self.city = np.where(city >= 0, city, -2)
@@ -372,7 +380,7 @@ class _Openings:
     """Openings as arrays, and what they ask of a batch of candidates."""
 
     def __init__(self, rows: pd.DataFrame):
-        self.rows, self.ids = rows, rows["vacancy_id"].to_numpy()
+        self.ids, self.regions, self.cities = rows["vacancy_id"].to_numpy(), _names(rows["region"]), _names(rows["location"])
         self.lat, self.lon, self.reach = (rows[c].to_numpy(float, na_value=np.nan) for c in ("latitude", "longitude", "max_distance"))
         self.placed = ~(np.isnan(self.lat) | np.isnan(self.lon))
         self.most = {c: _bound(rows[c], np.inf) for c in UPPER}
@@ -396,10 +404,13 @@ class _Openings:
     def __len__(self) -> int:
         return len(self.ids)
 
+    def size(self) -> int:
+        return sum(x.nbytes for x in (*self.raw, self.job, self.skills))
+
     def meet(self, c: _People) -> None:
         """The names and lists of openings by the numbers of a batch."""
-        self.region = _codes(self.rows["region"], c.regions)
-        self.city = np.where(self.placed, -1, _codes(self.rows["location"], c.cities))
+        self.region = _codes(self.regions, c.regions)
+        self.city = np.where(self.placed, -1, _codes(self.cities, c.cities))
         self.lists = np.stack([c.lists(x) for x in self.wants])
 
     def slack(self, c: _People) -> np.ndarray:
@@ -639,10 +650,9 @@ def _chunks(rows: np.ndarray, size: int) -> list[np.ndarray]:
 
 def _found(pairs, start, size: int):
     """Results of start(openings), to which every batch of pairs is added, one for each set of
-    openings. pairs: (candidates, name of the set, function that makes the set)."""
+    openings. pairs: (candidates, name of the set, openings)."""
     sets = {}
-    for c, name, openings in pairs:
-        v = openings()
+    for c, name, v in pairs:
         if len(c.rows) and len(v):
             if name not in sets:
                 sets[name] = start(v)
@@ -674,17 +684,19 @@ def _by_place(df: DataFrame, first: Column, cell: float) -> DataFrame:
 
 
 def packs(df: DataFrame, size: int) -> DataFrame:
-    """Neighbouring rows as one: (pack, blocks, body), body being up to size rows as an Arrow
-    stream without their blocks, blocks what any of them has. Rows without a block go."""
+    """Neighbouring rows as one: (pack, blocks, body), body being up to size rows and about
+    PACK_BYTES as an Arrow stream without their blocks, blocks what any of them has. Rows
+    without a block go."""
     def run(batches):
         held, n = [], 0
         for batch in batches:
+            most = min(size, max(1, PACK_BYTES * batch.num_rows // max(1, batch.nbytes)))
             held.append(batch)
             n += batch.num_rows
-            while n >= size:
+            while n >= most:
                 rows = pa.Table.from_batches(held)
-                yield packed(rows.slice(0, size))
-                held, n = rows.slice(size).to_batches(), n - size
+                yield packed(rows.slice(0, most))
+                held, n = rows.slice(most).to_batches(), n - most
         if n:
             yield packed(pa.Table.from_batches(held))
 
@@ -716,13 +728,16 @@ def _met(candidates: DataFrame, vacancies: DataFrame, start, size: int, kind: st
         right.hint("shuffle_replicate_nl"), F.arrays_overlap("blocks", "v_blocks")).select("pack", "body", "v_pack", "v_body")
 
     def opened(batches):
-        last, people = None, None
+        last, people, kept, held = None, None, {}, 0
         for batch in batches:
             for i in range(batch.num_rows):
-                pack = batch["pack"][i].as_py()
+                pack, name = batch["pack"][i].as_py(), batch["v_pack"][i].as_py()
                 if pack != last:
                     last, people = pack, _People(_rows_of(batch["body"][i]))
-                yield people, batch["v_pack"][i].as_py(), lambda: _Openings(_rows_of(batch["v_body"][i]))
+                v = kept.get(name) or _Openings(_rows_of(pa.scalar(batch["v_body"][i].as_py())))
+                if name not in kept and held + v.size() <= KEPT_BYTES:
+                    kept[name], held = v, held + v.size()
+                yield people, name, v
 
     return _found_in(pairs, opened, start, size, kind)
 
@@ -750,7 +765,7 @@ def _match_sent(vacancies, candidates, k, weights, vacancy_tile, types):
         def each(batches):
             v = _Openings(_rows(openings))
             for c in batches:
-                yield _People(_rows(c)), 0, lambda: v
+                yield _People(_rows(c)), 0, v
 
         return _found_in(people, each, start, vacancy_tile, kind)
 
@@ -776,7 +791,8 @@ def match_all(
     Exact: similarities are scaled by their minimum over all admitted candidates of
     the vacancy, then the best k are kept per task and again overall. Up to
     sent_vacancies vacancies are sent to the candidates; more are matched in packs, which
-    are written twice (openings) and once (candidates) and shuffled once, whatever the pairs.
+    are written twice (openings) and once (candidates); the candidates' are shuffled twice, to
+    deal them, whatever the pairs.
     cell is the grid step in degrees (a divisor of 360), best near the usual radius.
     """
     people, openings = prepare_candidates(candidates), prepare_vacancies(vacancies)

@@ -218,10 +218,10 @@ def test_few_pairs_are_tested_or_scored_exactly(spark, monkeypatch):
     test, exact = matching._admitted, matching._exact
     monkeypatch.setattr(matching, "_admitted", lambda c, v, i, j: (seen.__setitem__("tested", seen["tested"] + np.broadcast(i, j).size), test(c, v, i, j))[1])
     monkeypatch.setattr(matching, "_exact", lambda c, v, n, i, j: (seen.__setitem__("exact", seen["exact"] + len(i)), exact(c, v, n, i, j))[1])
-    lows = next(matching._found([(c, 0, lambda: v)], matching._Lows, 16))
+    lows = next(matching._found([(c, 0, v)], matching._Lows, 16))
     v.lows = lows.set_index("vacancy_id").reindex(v.ids)[list(matching.SIMS)].to_numpy().T
     v.fine &= np.isfinite(v.lows).all(axis=0)
-    best = next(matching._found([(c, 0, lambda: v)], lambda v: matching._Best(v, vocab.SCORE_WEIGHTS, 5), 16))
+    best = next(matching._found([(c, 0, v)], lambda v: matching._Best(v, vocab.SCORE_WEIGHTS, 5), 16))
     assert len(best) == 5 * v.fine.sum() > 50
     pairs = len(many) * len(vacancies)
     assert seen["tested"] < pairs / 4 and seen["exact"] < pairs / 50
